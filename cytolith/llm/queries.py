@@ -6,12 +6,15 @@ import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import op1_language_id, op2_quality_rules, op4_packing, op7_simhash_golay
+from . import op1_language_id, op2_quality_rules, op3_chat_format, op4_packing, op5_secret_scan, op6_pii, op7_simhash_golay, op8_token_counts, op9_html_extraction, op10_decontamination
 from .common import table
 
 #: Vocabulary files of the installed package of public tokenizers.
 PACKING_TOKENIZER = "word_bpe_49k.json"
+#: Its pieces and scores are taken as a unigram vocabulary.
+UNIGRAM_TOKENIZER = "piece_bpe_32k.model"
 
 
 def tokenizer_path(name: str) -> str:
@@ -27,20 +30,53 @@ def op2_quality_rules_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op2_quality_rules.quality(table(spark, sf_dir, "documents"))
 
 
+def op3_chat_format_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one (id -1) whose texts hold control strings."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hostile = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
+    return op3_chat_format.report(rows.unionByName(hostile))
+
+
 def op4_packing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op4_packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(PACKING_TOKENIZER))
 
 
+def op5_secret_scan_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5_secret_scan.report(table(spark, sf_dir, "documents"))
+
+
+def op6_pii_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op6_pii.report(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash_golay_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7_simhash_golay.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_token_counts_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op8_token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_path(UNIGRAM_TOKENIZER))
+
+
+def op9_html_extraction_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op9_html_extraction.main_text(table(spark, sf_dir, "pages"))
+
+
+def op10_decontamination_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op10_decontamination.contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id_query,
         "op2_quality_rules": op2_quality_rules_query,
+        "op3_chat_format": op3_chat_format_query,
         "op4_packing": op4_packing_query,
+        "op5_secret_scan": op5_secret_scan_query,
+        "op6_pii": op6_pii_query,
         "op7_simhash_golay": op7_simhash_golay_query,
+        "op8_token_counts": op8_token_counts_query,
+        "op9_html_extraction": op9_html_extraction_query,
+        "op10_decontamination": op10_decontamination_query,
     }
 
 
