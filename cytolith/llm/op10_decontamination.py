@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE
+from .common import SPACE, materialise
 
 WINDOW = 8
 #: Share of a window's tokens that are no placeholders, at least.
@@ -120,3 +120,12 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     return summed.filter(F.col("covered_tokens") >= F.ceil(F.lit(covered) * F.col("item_tokens"))).select(
         F.col("__doc.doc_id").alias("doc_id"), F.col("__item.item_id").alias("item_id"), "n_windows", "covered_tokens", "item_tokens", F.coalesce("n_slots", F.lit(0).cast("long")).alias("n_slots")
     )
+
+
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of docs, all columns, whose doc_id no item contaminates.
+
+    What goes is written first: Spark then knows its size, and broadcasts it or shuffles accordingly.
+    """
+    gone = materialise(contaminations(docs, benchmark).select(F.col("doc_id").alias("__gone")).distinct(), "contaminated")
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__gone"]), "left_anti")

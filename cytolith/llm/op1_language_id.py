@@ -27,6 +27,8 @@ from .common import small_batches
 PROFILE = 400
 TRAIN_DOCS = 2000
 MAX_LANGS = 500
+#: Score under which a filter rejects a document as being in none of the languages.
+LEAST_SCORE = 0.2
 UNKNOWN = "und"
 _SEPARATOR = 32
 _HASH_RANGE = 1 << 30
@@ -131,3 +133,15 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]], size: int = PROFIL
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(predict, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+
+
+def accepted(docs: DataFrame, profiles: dict[str, list[int]], least_score: float = LEAST_SCORE, size: int = PROFILE) -> DataFrame:
+    """The rows of docs, all columns, whose language is known and has this score at least."""
+    model, at = Model(profiles, size), docs.columns.index("text")
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, at):
+            found = [model.predict(t) for t in batch.column(at).to_pylist()]
+            yield batch.filter(pa.array([lang != UNKNOWN and score >= least_score for lang, score in found]))
+
+    return docs.mapInArrow(choose, docs.schema)

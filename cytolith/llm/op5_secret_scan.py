@@ -24,7 +24,7 @@ except ImportError:  # before Python 3.11
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import spans_of
+from .common import materialise, spans_of
 
 
 @dataclass(frozen=True)
@@ -175,15 +175,19 @@ def _rule_spans(rule: Rule, order: int, text: Column, ask: Column) -> Column:
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """doc_id, text and found (array of start, rule, end, kind by start, then rule) of each row of docs."""
-    docs = docs.select("doc_id", "text")
-    if all(frozenset() in trigram_query(r.regex) for r in rules):
-        asked = docs.select(F.col("doc_id").alias("__id"), F.lit(0).cast("long").alias("rules")).limit(0)
-    else:
-        asked = candidates(docs, rules).withColumnRenamed("doc_id", "__id")
-    joined = docs.join(asked.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(asked["__id"]), "left").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("rules", F.lit(0)).alias("rules"))
-    parts = [_rule_spans(r, k, F.col("text"), F.lit(True) if frozenset() in trigram_query(r.regex) else F.col("rules").bitwiseAND(1 << k) != 0) for k, r in enumerate(rules)]
-    return joined.select("doc_id", "text", F.array_sort(F.concat(*parts)).alias("found"))
+    """All columns of docs and __found (array of start, rule, end, kind by start, then rule; of null text none) for each row.
+
+    The candidates are written first: Spark then knows their size, and broadcasts or shuffles them accordingly.
+    """
+    queries = [trigram_query(r.regex) for r in rules]
+    rows, may = docs, F.lit(0).cast("long")
+    if any(frozenset() not in q for q in queries):
+        asked = materialise(candidates(docs.select("doc_id", "text"), rules), "candidates").withColumnsRenamed({"doc_id": "__id", "rules": "__rules"})
+        rows = docs.join(asked, docs["doc_id"].eqNullSafe(asked["__id"]), "left")
+        may = F.coalesce("__rules", F.lit(0).cast("long"))
+    text = F.coalesce("text", F.lit(""))
+    parts = [_rule_spans(r, k, text, F.lit(True) if frozenset() in q else may.bitwiseAND(F.lit(1 << k)) != 0) for k, (r, q) in enumerate(zip(rules, queries, strict=True))]
+    return rows.select(*(docs[c] for c in docs.columns), F.array_sort(F.concat(*parts)).alias("__found"))
 
 
 def listed(found: Column) -> Column:
@@ -193,7 +197,7 @@ def listed(found: Column) -> Column:
 
 def report(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Counts of the base kinds, the digest of the base spans and all spans, of each row of docs."""
-    found = F.col("found")
+    found = F.col("__found")
     count = lambda k: F.size(F.filter(found, lambda s: s["rule"] == k)).cast("long")
     return scan(docs, rules).select(
         "doc_id",
@@ -204,16 +208,15 @@ def report(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """doc_id and text, each span replaced by [kind]; of overlapping spans the first one is named and all are covered."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    """docs with each span of its text replaced by [kind]; of overlapping spans the first one is named and all are covered."""
     text = F.col("text")
     done = F.aggregate(
-        "found", start,
+        "__found",
+        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
         lambda acc, s: F.when(s["start"] < acc["at"], F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))).otherwise(
             F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), s["kind"], F.lit("]")).alias("out"))
         ),
         lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))),
-    )
-    return scan(docs, rules).select("doc_id", F.when(F.size("found") == 0, text).otherwise(done).alias("text"))
-
-
+    )
+    new = F.when(F.size("__found") == 0, text).otherwise(done)
+    return scan(docs, rules).select(*(new.alias(c) if c == "text" else F.col(c) for c in docs.columns))

@@ -178,3 +178,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     of_linked = roots.join(least, "root").select(F.col("node").alias("fp"), "component_id")
     labels = distinct.join(of_linked, "fp", "left").select("fp", F.coalesce("component_id", "least_id").alias("component_id"))
     return own.join(labels, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame) -> DataFrame:
+    """The rows of docs, all columns, without those whose doc_id isn't their component's.
+
+    Rows without an id stay; of rows that repeat id and text one stays. What goes is written first: Spark then knows its
+    size, and broadcasts it or shuffles accordingly, so texts are shuffled only where many of them go.
+    """
+    found = materialise(near_duplicates(docs), "components")
+    gone = materialise(found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+    repeated = materialise(found.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("__repeated")), "repeated")
+    left = docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    once = left.join(repeated, left["doc_id"] == repeated["__repeated"], "left_anti")
+    return once.unionByName(left.join(repeated, left["doc_id"] == repeated["__repeated"], "left_semi").dropDuplicates(["doc_id", "text"]))
