@@ -7,8 +7,9 @@ the pairs of benchmark word and document word under each placeholder. Over all w
 benchmark value must stand for one document value: a question with other numbers or names passes, a chance likeness does
 not. A document is contaminated by an item if its consistent windows cover COVERED of the item's tokens.
 
-The documents' windows are first filtered by the hashes of the benchmark's windows. These are broadcast if there are
-at most BROADCAST_WINDOWS of them (16 bytes each), else joined by shuffle; either way only matching windows go on.
+A first pass makes narrow rows (doc_id, position, hash) and keeps those whose hash some item has. The items' hashes are
+broadcast if there are at most BROADCAST_WINDOWS of them (16 bytes each), else joined by shuffle. The places found, a few
+documents' own, are written; the second pass reads just these documents' windows and words.
 
 Defined results: null and empty texts, and those without a window, have no row; items likewise (an item shorter than
 WINDOW is one window). Rows that share a doc_id are judged as one document, null ids too; likewise items. Extra columns
@@ -17,6 +18,8 @@ are ignored; an empty table on either side gives an empty result.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +34,7 @@ BROADCAST_WINDOWS = 1_000_000
 #: Units of measure and currency, as fixed words.
 UNITS = "mm|cm|m|km|in|ft|mi|g|kg|mg|lb|oz|t|s|min|h|hr|hrs|ms|l|ml|kb|mb|gb|w|kw|v|a|hz|khz|mhz|%|usd|eur|gbp|dollars?|cents?|euros?|pounds?|miles?|meters?|metres?|hours?|minutes?|seconds?|days?|weeks?|months?|years?"
 NUMBER = r"[0-9][0-9.,:/]*"
+SLOT = r"<(?:num|name|unit)>"
 
 
 def raw_tokens(text: Column) -> Column:
@@ -43,7 +47,7 @@ def _canonical_text(text: Column) -> Column:
     named = F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), "<>", "()"), r"(?<=[\p{L}\p{N},;] )\p{Lu}[\p{L}'-]*", "<name>")
     numbered = F.regexp_replace(F.lower(named), NUMBER, "<num>")
     measured = F.regexp_replace(numbered, rf"(?<=<num>[ -]?)(?:{UNITS})(?![\p{{L}}\p{{N}}<])", "<unit>")
-    return F.regexp_replace(measured, r"(?<=[\p{L}>])[^\p{L}\p{N}<\x20\x09-\x0D]+(?=[\x20\x09-\x0D]|$)", "")
+    return F.regexp_replace(measured, r"(?<=[\p{L}>])[^\p{L}\p{N}<>\x20\x09-\x0D]+(?=[\x20\x09-\x0D]|$)", "")
 
 
 def canonical_tokens(text: Column) -> Column:
@@ -51,41 +55,40 @@ def canonical_tokens(text: Column) -> Column:
     return F.filter(F.split(_canonical_text(text), rf"[{SPACE}]+"), lambda w: w != "")
 
 
-def _windows(df: DataFrame, keys: list[str], sizes: list[int]) -> DataFrame:
-    """keys, text, size, pos, hash of the windows of these sizes with enough literal tokens."""
-    tokens = df.select(*keys, "text", canonical_tokens(F.col("text")).alias("tokens"))
-    placed = tokens.select(*keys, "text", "tokens", F.posexplode("tokens").alias("pos", "_token"))
-    parts = []
-    for size in sizes:
-        cut = placed.filter(F.size("tokens") - F.col("pos") >= size)
-        parts.append(cut.select(*keys, "text", "tokens", F.lit(size).alias("size"), "pos", F.xxhash64(F.slice("tokens", F.col("pos") + 1, F.lit(size))).alias("hash")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def _let(value: Column, body) -> Column:
+    """body of a value that is computed once a row, however often body names it."""
+    return F.transform(F.array(value), body)[0]
 
 
-def _spelled(df: DataFrame, prefix: str) -> DataFrame:
-    """With the canonical window and its raw words."""
-    return df.withColumn(f"{prefix}_window", F.slice("tokens", F.col("pos") + 1, F.col("size"))).withColumn(f"{prefix}_words", F.slice(raw_tokens(F.col("text")), F.col("pos") + 1, F.col("size")))
+def _hashed(df: DataFrame, keys: list[str], sizes: list[int]) -> DataFrame:
+    """keys, size, pos, hash of all windows: rows as narrow as they can be."""
+    parts = []
+    for size in sizes:
+        each = lambda t: F.when(F.size(t) >= size, F.transform(F.sequence(F.lit(1), F.size(t) - size + 1), lambda i: F.xxhash64(F.slice(t, i, F.lit(size)))))  # noqa: B023, E731
+        hashes = _let(canonical_tokens(F.col("text")), each)
+        # outer: else a filter on the array's size is inferred, and all hashes are computed twice
+        parts.append(df.select(*keys, hashes.alias("hashes")).select(*keys, F.lit(size).alias("size"), F.posexplode_outer("hashes").alias("pos", "hash")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _spelled(text: Column, places: Column) -> Column:
+    """For places (array of size and pos): the canonical window and its raw words."""
+    return _let(
+        F.struct(canonical_tokens(text).alias("c"), raw_tokens(text).alias("r")),
+        lambda t: F.transform(places, lambda p: F.struct(p["size"].alias("size"), p["pos"].alias("pos"), F.slice(t["c"], p["pos"] + 1, p["size"]).alias("window"), F.slice(t["r"], p["pos"] + 1, p["size"]).alias("words"))),
+    )
 
 
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> tuple[DataFrame, list[int]]:
     """item_id, n_tokens, size, i_pos, hash, i_window, i_words of the items' windows; the sizes in use (window of them at most)."""
     items = benchmark.select("item_id", "text", F.size(canonical_tokens(F.col("text"))).alias("n_tokens")).filter("n_tokens > 0")
     sizes = sorted(r[0] for r in items.select(F.least(F.lit(window), "n_tokens").alias("size")).distinct().collect())
-    parts = []
-    for size in sizes:
-        fits = items.filter(F.col("n_tokens") >= window) if size == window else items.filter(F.col("n_tokens") == size)
-        parts.append(_spelled(_windows(fits, ["item_id", "n_tokens"], [size]), "i"))
-    if not parts:
-        return items, []
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    literal = F.size(F.filter("i_window", lambda w: ~F.regexp_like(w, F.lit(r"<(?:num|name|unit)>"))))
-    out = out.filter(literal >= F.ceil(F.lit(LITERAL) * F.col("size")))
-    return out.select("item_id", "n_tokens", "size", F.col("pos").alias("i_pos"), "hash", "i_window", "i_words"), sizes
+    size = F.least(F.lit(window), F.col("n_tokens"))
+    places = F.transform(F.sequence(F.lit(0), F.col("n_tokens") - size), lambda p: F.struct(size.alias("size"), p.alias("pos")))
+    out = items.select("item_id", "n_tokens", F.explode_outer(_spelled(F.col("text"), places)).alias("w"))
+    literal = F.size(F.filter("w.window", lambda w: ~F.regexp_like(w, F.lit(SLOT))))
+    out = out.filter(literal >= F.ceil(F.lit(LITERAL) * F.col("w.size")))
+    return out.select("item_id", "n_tokens", "w.size", F.col("w.pos").alias("i_pos"), F.xxhash64("w.window").alias("hash"), F.col("w.window").alias("i_window"), F.col("w.words").alias("i_words")), sizes
 
 
 def contaminations(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, covered: float = COVERED) -> DataFrame:
@@ -97,12 +100,14 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     hashes = of_items.select(F.col("size").alias("h_size"), F.col("hash").alias("h_hash")).distinct()
     if hashes.count() <= BROADCAST_WINDOWS:
         hashes = F.broadcast(hashes)
-    mine = _windows(docs, ["doc_id"], sizes)
-    hit = _spelled(mine.join(hashes, (mine["hash"] == hashes["h_hash"]) & (mine["size"] == hashes["h_size"]), "left_semi"), "d")
-    hit = hit.select("doc_id", "size", "hash", "d_window", "d_words")
+    mine = _hashed(docs.select("doc_id", "text"), ["doc_id"], sizes)
+    hit = mine.join(hashes, (mine["hash"] == hashes["h_hash"]) & (mine["size"] == hashes["h_size"]), "left_semi")
+    places = materialise(hit.groupBy("doc_id").agg(F.collect_set(F.struct("size", "pos")).alias("places")), "places").withColumnRenamed("doc_id", "__id")
+    found = docs.select("doc_id", "text").join(places, docs["doc_id"].eqNullSafe(places["__id"])).select("doc_id", F.explode_outer(_spelled(F.col("text"), F.col("places"))).alias("w"))
+    hit = found.select("doc_id", F.col("w.size").alias("size"), F.xxhash64("w.window").alias("hash"), F.col("w.window").alias("d_window"), F.col("w.words").alias("d_words"))
     both = hit.join(of_items.withColumnsRenamed({"size": "i_size", "hash": "i_hash"}), (F.col("hash") == F.col("i_hash")) & (F.col("d_window") == F.col("i_window")))
     slots = F.filter(
-        F.transform("i_window", lambda w, k: F.struct(F.regexp_like(w, F.lit(r"<(?:num|name|unit)>")).alias("slot"), F.lower(F.col("i_words")[k]).alias("i"), F.lower(F.col("d_words")[k]).alias("d"))),
+        F.transform("i_window", lambda w, k: F.struct(F.regexp_like(w, F.lit(SLOT)).alias("slot"), F.lower(F.col("i_words")[k]).alias("i"), F.lower(F.col("d_words")[k]).alias("d"))),
         lambda s: s["slot"],
     )
     both = both.select("doc_id", "item_id", "n_tokens", "size", "i_pos", slots.alias("slots"))
