@@ -7,7 +7,7 @@ one stream of ids that is cut every 2048; what is left at its end is cut into po
 
 A first pass tokenizes and writes ids to the shared folder (two bytes an id where the vocabulary allows), so neither
 the range sampling nor a lost executor tokenizes again. Tokenization splits at white space, which the tokenizer drops
-and never merges over, and keeps the ids of each distinct chunk, so a chunk is encoded once.
+and never merges over, and keeps the ids of each distinct chunk; a full store keeps the chunks that came more than once.
 
 Defined results: null and empty texts are the end id alone, one piece of length 1. Repeated rows are packed one by one;
 null ids are kept as they are; extra columns are ignored; an empty table gives an empty result. Order on the curve is by
@@ -17,9 +17,11 @@ key, then doc_id (nulls first), then ids.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -35,10 +37,30 @@ HASHED = 1024
 BITS = 10
 #: Half the width of the cube that the curve fills, in units of a projected mean.
 SPREAD = 0.6
-CACHED_WORDS = 400_000
+CACHED_WORDS = 600_000
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+#: A full stop or comma after a letter or digit and before white space is a token by itself: a blank before it changes
+#: no token, and makes for fewer distinct chunks.
+_MARK = re.compile(r"(?<=[^\W_])([.,])(?=[ \n])")
+
+
+def _spaced(text: str) -> str:
+    """The text with blanks for white space and before marks; ASCII is lower-cased as the tokenizer does it."""
+    if text.isascii() and "<|" not in text:
+        text = text.lower()
+    return _MARK.sub(r" \1", text).replace("\n", " ").replace("\t", " ")
+
+
+class Numbered(dict):
+    """Numbers its keys as they are first asked for."""
+
+    def __missing__(self, key: str) -> int:
+        n = self[key] = len(self)
+        return n
+
+
 class Encoder:
     """Token ids of many texts at once, by a store of the ids of distinct chunks between white space."""
 
@@ -55,40 +77,46 @@ class Encoder:
         self.vectors = matrix[(hashed % HASHED).astype(np.int64)] * np.where((hashed >> np.uint64(20)) & np.uint64(1), 1, -1).astype(np.float32)[:, None]
         self._reset()
 
-    def _reset(self) -> None:
-        self.known: dict[str, int] = {"": 0}
+    def _reset(self, keep: list[str] = ()) -> None:
+        self.known = Numbered()
         self.ids, self.starts, self.filled = np.zeros(1 << 20, np.uint32), np.zeros(1 << 16, np.int64), 0
-        self.sizes = np.zeros(1 << 16, np.int64)
+        self.sizes, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.known[""]  # number 0, without ids
+        for chunk in keep:
+            self.known[chunk]
+        self._learn(list(keep))
 
     def _learn(self, chunks: list[str]) -> None:
+        """Store the ids of new chunks, which have the next numbers. They are encoded as one text; offsets tell them apart."""
+        first = len(self.known) - len(chunks)
+        while len(self.known) > self.sizes.size:
+            self.starts, self.sizes, self.used = (np.concatenate((x, np.zeros_like(x))) for x in (self.starts, self.sizes, self.used))
         for low in range(0, len(chunks), 20_000):
             part = chunks[low : low + 20_000]
-            lists = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
-            sizes = np.array([len(x) for x in lists], np.int64)
-            flat = np.array([i for x in lists for i in x], np.uint32)
-            first = len(self.known)
+            done = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            flat = np.array(done.ids, np.uint32)
+            lengths = np.fromiter(map(len, part), np.int64, len(part)) + 1
+            at = np.searchsorted(np.cumsum(lengths), np.array([o for o, _ in done.offsets], np.int64), "right")
+            sizes = np.bincount(at, minlength=len(part))
             while self.filled + flat.size > self.ids.size:
                 self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
-            while first + len(part) > self.sizes.size:
-                self.starts, self.sizes = (np.concatenate((x, np.zeros_like(x))) for x in (self.starts, self.sizes))
             self.ids[self.filled : self.filled + flat.size] = flat
-            self.sizes[first : first + len(part)] = sizes
-            self.starts[first : first + len(part)] = self.filled + np.cumsum(sizes) - sizes
+            own = slice(first + low, first + low + len(part))
+            self.sizes[own], self.starts[own] = sizes, self.filled + np.cumsum(sizes) - sizes
             self.filled += flat.size
-            self.known.update(zip(part, range(first, first + len(part)), strict=True))
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other and each with END_ID, and how many each text has."""
         if len(self.known) > CACHED_WORDS:
-            self._reset()
-        split = [(t or "").replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
+            often = self.used[: len(self.known)] > 1
+            self._reset([c for c, keep in zip(self.known, often.tolist(), strict=True) if keep and c] if often.sum() < CACHED_WORDS // 2 else [])
+        split = [_spaced(t or "").split(" ") for t in texts]
         chunks = [c for part in split for c in part]
-        get = self.known.get
-        at = np.array([get(c, -1) for c in chunks], np.int64)
-        missing = np.flatnonzero(at < 0)
-        if missing.size:
-            self._learn(list(dict.fromkeys(chunks[k] for k in missing)))
-            at[missing] = [get(chunks[k]) for k in missing]
+        before = len(self.known)
+        at = np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks))
+        if len(self.known) > before:
+            self._learn(list(islice(self.known, before, None)))
+        self.used[: len(self.known)] += np.bincount(at, minlength=len(self.known))
         sizes = self.sizes[at]
         per_text = np.add.reduceat(sizes, np.cumsum([0, *map(len, split[:-1])]))
         last = np.cumsum(sizes)
