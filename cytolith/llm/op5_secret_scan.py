@@ -146,7 +146,8 @@ def postings(docs: DataFrame, trigrams: list[str]) -> DataFrame:
     """The inverted index, for these trigrams: a row (gram, doc_id) if the text of doc_id has the trigram in either case."""
     low = docs.filter(F.col("text").isNotNull()).select("doc_id", F.lower("text").alias("low"))
     held = F.array_compact(F.array(*[F.when(F.contains(F.col("low"), F.lit(t)), F.lit(k)) for k, t in enumerate(trigrams)]))
-    return low.select("doc_id", held.alias("grams")).select("doc_id", F.explode("grams").alias("gram"))
+    # outer: else a filter on the array's size is inferred, and the array is computed twice
+    return low.select("doc_id", held.alias("grams")).select("doc_id", F.explode_outer("grams").alias("gram")).filter(F.col("gram").isNotNull())
 
 
 def candidates(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:

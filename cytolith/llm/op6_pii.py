@@ -98,7 +98,9 @@ def entity_contexts(docs: DataFrame) -> DataFrame:
 
 def document_frequencies(docs: DataFrame) -> DataFrame:
     """term, n_docs over all documents."""
-    return docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term")).groupBy("term").agg(F.count("*").alias("n_docs"))
+    terms = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))
+    # outer: else a filter on the array's size is inferred, and the array is computed twice
+    return docs.select(F.explode_outer(terms).alias("term")).groupBy("term").agg(F.count("*").alias("n_docs")).filter(F.col("term").isNotNull())
 
 
 def disclosures(contexts: DataFrame, docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
