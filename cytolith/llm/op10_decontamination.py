@@ -91,6 +91,11 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> tuple[DataF
     return out.select("item_id", "n_tokens", "w.size", F.col("w.pos").alias("i_pos"), F.xxhash64("w.window").alias("hash"), F.col("w.window").alias("i_window"), F.col("w.words").alias("i_words")), sizes
 
 
+def _bare(word: Column) -> Column:
+    """A slot's value: the word without marks around it."""
+    return F.regexp_replace(F.lower(word), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
+
+
 def contaminations(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, covered: float = COVERED) -> DataFrame:
     """doc_id, item_id, n_windows, covered_tokens, item_tokens, n_slots of every contaminated document and its items."""
     of_items, sizes = benchmark_windows(benchmark, window)
@@ -107,7 +112,7 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     hit = found.select("doc_id", F.col("w.size").alias("size"), F.xxhash64("w.window").alias("hash"), F.col("w.window").alias("d_window"), F.col("w.words").alias("d_words"))
     both = hit.join(of_items.withColumnsRenamed({"size": "i_size", "hash": "i_hash"}), (F.col("hash") == F.col("i_hash")) & (F.col("d_window") == F.col("i_window")))
     slots = F.filter(
-        F.transform("i_window", lambda w, k: F.struct(F.regexp_like(w, F.lit(SLOT)).alias("slot"), F.lower(F.col("i_words")[k]).alias("i"), F.lower(F.col("d_words")[k]).alias("d"))),
+        F.transform("i_window", lambda w, k: F.struct(F.regexp_like(w, F.lit(SLOT)).alias("slot"), _bare(F.col("i_words")[k]).alias("i"), _bare(F.col("d_words")[k]).alias("d"))),
         lambda s: s["slot"],
     )
     both = both.select("doc_id", "item_id", "n_tokens", "size", "i_pos", slots.alias("slots"))
