@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .fixtures import ALIGNED, COLLAPSED, MOLECULES, SKEWED, TUPLES, bc_sql
+from .fixtures import ALIGNED, COLLAPSED, EXPRESSION, MOLECULES, SKEWED, TUPLES, bc_sql
 
 T_SUMS = ", ".join(f"cast(count(*) filter (where substr(umi, {i}, 1) = 'T') as bigint) as t{i}" for i in range(1, 7))
 COUNTED = f"{TUPLES}, counted as (select cb, count(*) as cb_count, {T_SUMS} from kept group by cb)"
@@ -12,7 +12,79 @@ RANKED = f"{SKEWED}, ranked as (select cb, cb_count, row_number() over (order by
 SLOTS = "slots as (select cell, gene, umi, slot, md5(concat({seed}, '|', cell, '|', gene, '|', umi, '|', cast(slot as varchar))) as h from (select cell, gene, umi, unnest(range(1, depth + 1)) as slot from molecules))"
 PAIRS = f"""{BARCODES}, known as (select distinct {{known}} as target from bars where id < {{limit}})"""
 
+MATRIX = f"{MOLECULES}, matrix as (select cell, gene, cast(sum(depth) as bigint) as count from molecules group by 1, 2)"
+CLUSTERS = f"clusters as (select {bc_sql('s_suppkey', 6)} as cell, min(concat('c', cast(s_nationkey % 4 as varchar))) as cluster from supplier group by 1)"
+SCORES = f"""{MATRIX}, {CLUSTERS}, markers(cell_type, gene, sign) as (values ('T', 'G0', '+'), ('T', 'G1', '-'), ('B', 'G2', '+'), ('B', 'G3', '+'), ('B', 'G4', '-'), ('N', 'G5', '-'), ('M', 'G6', '+')),
+  totals as (select cell, sum(count) as total from matrix group by 1), sums as (select t.cell, t.total, k.cell_type,
+   coalesce(sum(case when k.sign = '+' then m.count end), 0) as pos, coalesce(sum(case when k.sign = '-' then m.count end), 0) as neg, count(*) filter (where k.sign = '+') as n_pos
+   from totals t cross join markers k left join matrix m on m.cell = t.cell and m.gene = k.gene group by 1, 2, 3),
+  scores as (select cell, cell_type, round(ln(1 + greatest(0, cast(case when n_pos > 0 then pos - neg else max(neg) over (partition by cell_type) - neg end as double) / total * 10000)), 9) as score from sums)"""
+AUCS = f"""{SCORES}, joined as (select s.*, c.cluster from scores s join clusters c using (cell)),
+  ranked as (select *, rank() over (partition by cell_type order by score) + (count(*) over (partition by cell_type, score) - 1) / 2.0 as r from joined),
+  auc as (select cell_type, cluster, round((sum(r) - cast(count(*) as double) * (count(*) + 1) / 2) / (cast(count(*) as double) * (max(n) - count(*))), 6) as auc
+   from (select *, count(*) over (partition by cell_type) as n from ranked) group by 1, 2),
+  assigned as (select cluster, cell_type, auc from (select *, row_number() over (partition by cluster order by auc desc, cell_type) as rn from auc) where rn = 1)"""
+MUTATIONS = """mut as (select concat('P', cast(o_orderkey % 25 as varchar)) as sample, concat('M', cast(1 + o_orderkey % 14 as varchar)) as hgnc_symbol,
+  (['HOMD', 'HLAMP', 'MISSENSE', 'NONSENSE', 'FRAMESHIFT', 'SYNONYMOUS', 'SPLICE'])[1 + o_orderkey % 7] as variant_type from orders where o_orderkey % 53 = 0)"""
+EDGES = """edges as (select concat('M', cast(1 + p_partkey % 12 as varchar)) as gene, concat('M', cast(1 + (p_partkey // 12) % 12 as varchar)) as neighbour, max(cast(p_partkey * 37 % 100 as double) / 100) as weight from part group by 1, 2)"""
+
 ORACLES: dict[str, str] = {
+    "gene_name_reset": """with g as (select p_partkey as pos, concat('E', cast(p_partkey as varchar), '_', replace(p_name, ' ', '_')) as gene from part), n as (select *, regexp_replace(gene, '^[^_]*_', '') as short from g)
+        select pos, gene, case when row_number() over (partition by short order by pos) > 1 then gene else short end as name from n""",
+    "marker_score": f"with {SCORES} select cell, cell_type, round(score, 6) as score from scores",
+    "marker_auc": f"with {AUCS} select * from auc",
+    "rank_auc": """with r as (select l_returnflag, l_linestatus = 'O' as label, rank() over (partition by l_returnflag order by l_quantity) + (count(*) over (partition by l_returnflag, l_quantity) - 1) / 2.0 as r from lineitem),
+        s as (select l_returnflag, sum(r) filter (where label) as r1, cast(count(*) filter (where label) as double) as a, cast(count(*) as double) as n from r group by 1)
+        select l_returnflag, round(case when a = 0 or a = n then 0.5 else (r1 - a * (a + 1) / 2) / (a * (n - a)) end, 6) as auc from s""",
+    "assign_cluster": f"with {AUCS} select * from assigned",
+    "merged_auc": f"""with {AUCS}, m as (select j.cell_type, j.score, a.cell_type = j.cell_type as label from joined j join assigned a using (cluster) where j.cell_type in (select cell_type from assigned)),
+        k as (select *, rank() over (partition by cell_type order by score) + (count(*) over (partition by cell_type, score) - 1) / 2.0 as r from m),
+        s as (select cell_type, sum(r) filter (where label) as r1, cast(count(*) filter (where label) as double) as a, cast(count(*) as double) as n from k group by 1)
+        select cell_type, round(case when a = 0 or a = n then 0.5 else (r1 - a * (a + 1) / 2) / (a * (n - a)) end, 6) as auc from s""",
+    "average_auc": f"with {AUCS}, t as (select cell_type, avg(auc) as m, count(*) as n from assigned group by 1) select round(case when sum(n) >= 2 * count(*) then 0.0 else sum(m - cast(0.7 as double)) end, 6) as score from t",
+    "split_markers": """with m as (select distinct concat('t', cast(p_partkey % 7 as varchar)) as cell_type, concat('A-', cast(p_partkey % 31 as varchar)) as gene, case when p_partkey % 5 = 0 then '-' else '+' end as sign from part)
+        select * from m where sign = '-' union all select * from m where sign = '+' and not exists (select 1 from m x where x.sign = '-' and x.cell_type = m.cell_type and x.gene = m.gene)""",
+    "top_markers": """with t as (select l_orderkey * 8 + l_linenumber as pos, concat('k', cast(l_suppkey % 9 as varchar)) as cluster, case when l_partkey % 6 = 0 then 'RPL1' when l_partkey % 11 = 0 then 'MALAT1' else concat('GENE', cast(l_partkey as varchar)) end as gene,
+        l_discount as p, l_quantity / 50 as pct_1, l_tax as pct_2 from lineitem where l_orderkey < 4000),
+        f as (select *, row_number() over (partition by cluster order by pos) as r from t where p <= cast(0.01 as double) and not regexp_matches(gene, 'MALAT1|^MTRNR') and pct_2 <= 1)
+        select cluster, round(count(*) / cast(15 as double), 6) as ratio from f where r <= 15 and not regexp_matches(gene, '^MT-|^RPL|^RPS|^MRPS|^MRPL') and pct_1 > cast(0.25 as double) group by 1 having count(*) / cast(15 as double) > cast(0.7 as double)""",
+    "mito_filter": f"""with {MATRIX}, r as (select cell, cast(sum(count) as bigint) as total, cast(coalesce(sum(count) filter (where gene in ('G0', 'G1')), 0) as double) / sum(count) as ratio from matrix group by 1),
+        q as (select quantile_cont(ratio, 0.75) + 3 * (quantile_cont(ratio, 0.75) - quantile_cont(ratio, 0.25)) as f, max(ratio) as top from r)
+        select cell, total, round(ratio, 9) as ratio from r, q where ratio <= case when f <= cast(0.02 as double) then greatest(top / 2, f) else f end""",
+    "mito_ratio": f"with {MATRIX} select cell, cast(sum(count) as bigint) as total, round(cast(coalesce(sum(count) filter (where gene in ('G7', 'G8')), 0) as double) / sum(count), 9) as ratio from matrix group by 1",
+    "log_normalised": f"with {MATRIX} select cell, gene, round(ln(1 + count / cast(sum(count) over (partition by cell) as double) * 10000), 6) as value from matrix",
+    "expressed_cells": f"""with {MOLECULES}, m as (select cell, gene, cast(sum(depth) as bigint) as count from molecules where depth > 14 group by 1, 2)
+        select * from m where gene in (select gene from m group by 1 having count(*) >= 60) and cell in (select cell from m group by 1 having count(*) >= 8)""",
+    "rank_sum_tests": f"""with {MATRIX}, {CLUSTERS}, v as (select cell, gene, ln(1 + count / cast(sum(count) over (partition by cell) as double) * 10000) as value from matrix),
+        grid as (select c.cell, c.cluster, g.gene, coalesce(v.value, 0) as value from clusters c cross join (select distinct gene from v) g left join v on v.cell = c.cell and v.gene = g.gene),
+        r as (select *, rank() over (partition by gene order by value) + (count(*) over (partition by gene, value) - 1) / cast(2 as double) as rk, count(*) over (partition by gene) as n from grid),
+        tie as (select gene, sum(cast(t as double) * t * t - t) as tie from (select gene, value, count(*) as t from grid group by 1, 2) group by 1),
+        s as (select cluster, gene, sum(rk) as r, cast(count(*) as double) as n1, cast(max(n) - count(*) as double) as n2, cast(max(n) as double) as n, cast(count(*) filter (where value > 0) as double) as k from r group by 1, 2),
+        w as (select *, sum(k) over (partition by gene) as k_all from s)
+        select cluster, gene, round((r - n1 * (n1 + 1) / 2 - n1 * n2 / 2) / sqrt(n1 * n2 / 12 * ((n + 1) - tie / (n * (n - 1)))), 5) as z, round(k / n1, 6) as pct_1, round((k_all - k) / n2, 6) as pct_2 from w join tie using (gene)""",
+    "gene_set_intersection": f"with {EXPRESSION}, {MUTATIONS} select distinct gene from expr where gene in (select hgnc_symbol from mut)",
+    "na_fraction": f"with {EXPRESSION} select gene, count(*) filter (where (length(sample) + length(gene) + cast(floor(value) as integer)) % 3 = 0) as n_missing, count(*) as n from expr group by 1",
+    "quantile_norm": f"""with {EXPRESSION}, r as (select *, row_number() over (partition by sample order by value, gene) as r from expr), m as (select r, avg(value) as m from r group by 1)
+        select sample, gene, round(avg(m) over (partition by sample, value), 4) as value from r join m using (r)""",
+    "ideal_fourths": """with x as (select o_orderpriority as gene, list_sort(list(o_totalprice)) as l, count(*) as n from orders group by 1), j as (select *, cast(floor(n / cast(4 as double) + cast(5 as double) / 12) as bigint) as j from x),
+        g as (select *, n / cast(4 as double) + cast(5 as double) / 12 - j as g from j) select gene, n, round((1 - g) * l[j] + g * l[j + 1], 4) as ql, round((1 - g) * l[n - j + 1] + g * l[n - j], 4) as qu from g""",
+    "boxplot_outliers": """with v as (select l_orderkey, l_linenumber, l_returnflag as gene, pow(l_extendedprice, 9) as value from lineitem), x as (select gene, list_sort(list(value)) as l, count(*) as n from v group by 1),
+        j as (select *, cast(floor(n / cast(4 as double) + cast(5 as double) / 12) as bigint) as j from x), g as (select *, n / cast(4 as double) + cast(5 as double) / 12 - j as g from j),
+        q as (select gene, (1 - g) * l[j] + g * l[j + 1] as ql, (1 - g) * l[n - j + 1] + g * l[n - j] as qu from g)
+        select l_orderkey, l_linenumber, gene from v join q using (gene) where value < ql - cast(1.5 as double) * (qu - ql) or value > qu + cast(1.5 as double) * (qu - ql)""",
+    "complex_mutation": f"""with {MUTATIONS}, p as (select *, count(*) over (partition by sample, hgnc_symbol) as c from mut where variant_type not in ('HOMD', 'HLAMP')),
+        u as (select sample, hgnc_symbol, case when c > 1 then 'COMPLEX' else variant_type end as variant_type from p union all select * from mut where variant_type in ('HOMD', 'HLAMP')) select sample, hgnc_symbol, variant_type, count(*) as n from u group by 1, 2, 3""",
+    "strong_mutations": f"with {EXPRESSION}, {MUTATIONS} select distinct * from mut where variant_type in ('HOMD', 'HLAMP', 'NONSENSE', 'FRAMESHIFT', 'SPLICE') and sample in (select sample from expr)",
+    "top_edges": f"""with {EDGES}, e as (select *, row_number() over (partition by gene order by weight desc, neighbour) as r, count(*) over (partition by gene) as n from edges where weight >= cast(0.4 as double) and gene <> neighbour)
+        select gene, neighbour, weight from e where n >= 5 and r <= 8""",
+    "network_filter": f"""with {EDGES}, w as (select concat('M', cast(n_nationkey + 1 as varchar)) as gene, n_nationkey % 4 / cast(4 as double) + cast(0.2 as double) as weight from nation where n_nationkey < 12),
+        e as (select e.*, row_number() over (partition by e.gene order by e.weight desc, neighbour) as r, count(*) over (partition by e.gene) as n from edges e where e.weight >= cast(0.4 as double) and e.gene <> neighbour and neighbour in (select gene from w where weight >= cast(0.4 as double)))
+        select gene, neighbour, weight from e where n >= 2 and r <= 5""",
+    "network_expansion": f"with {EXPRESSION}, {MUTATIONS}, {EDGES} select * from edges where gene <> neighbour and gene in (select hgnc_symbol from mut) and neighbour in (select gene from expr)",
+    "bh_adjust": """with p as (select l_orderkey, l_linenumber, l_returnflag as gene, l_extendedprice / 200000 * (l_discount + cast(0.01 as double)) as p from lineitem where l_orderkey < 3000),
+        r as (select *, row_number() over (partition by gene order by p) as r, count(*) over (partition by gene) as n from p)
+        select l_orderkey, l_linenumber, round(least(1, min(p * n / r) over (partition by gene order by r desc rows unbounded preceding)), 6) as q from r""",
+    "z_scores": f"with {EXPRESSION} select sample, gene, round(greatest(cast(-1.5 as double), least(cast(1.5 as double), coalesce((value - avg(value) over (partition by gene)) / nullif(stddev_samp(value) over (partition by gene), 0), 0))), 5) as value from expr",
     "parsed_reads": f"with {TUPLES} select record_id, cb, umi, seq2 from kept",
     "read_filter_metrics": f"""with {TUPLES}, m as (select count(*) filter (where fits and length(replace(polyt, 'T', '')) <= 1) as a, count(*) filter (where fits) as b,
         count(*) filter (where fits and length(replace(polyt, 'T', '')) <= 1) as c, count(*) as d from tuples)

@@ -4,19 +4,25 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.dna import count_base, gene_short_name, is_homopolymer, passes_n_rule, within_poly_t
+from ..functions.dna import count_base, is_homopolymer, passes_n_rule, within_poly_t
 from ..operators import annotate as A
 from ..operators import cells as C
+from ..operators import clustering as U
+from ..operators import driver_model as D
+from ..operators import expression as E
+from ..operators import filters as L
 from ..operators import fuzzy as Z
+from ..operators import markers as K
 from ..operators import matrix as X
 from ..operators import molecules as M
+from ..operators import network as N
 from ..operators import reads as R
 from ..operators import sample as S
 from ..operators.collapse import collapse_umis
-from ..operators.template import compile_template
+from ..operators.template import STRUCTURES, compile_template
 from . import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -76,8 +82,6 @@ def value_filter(spark, sf_dir):
     q = lambda c: F.repeat(F.lit("F"), F.length(c))
     reads = fx.table(spark, sf_dir, "events").select(e.alias("record_id"), F.lit("r").alias("name3"), fx.bc(F.col("user_id"), 8).alias("seq1"), cb2.alias("seq2"), F.lit("ACGT").alias("seq3"), F.concat(fx.bc(e, 8), fx.bc(e + 1, 6)).alias("seq4"))
     reads = reads.select("*", *(q(f"seq{k}").alias(f"qual{k}") for k in (1, 2, 3, 4)))
-    from ..operators.template import STRUCTURES
-
     return R.kept(R.parse_reads(reads, compile_template(STRUCTURES["InDrop"]))).select("record_id", "cb_raw", "cb", "umi")
 
 
@@ -263,14 +267,229 @@ def choose_cells(spark, sf_dir):
 
 
 def gene_name_reset(spark, sf_dir):
-    from ..operators.markers import reset_gene_names
-
     genes = fx.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("pos"), F.concat(F.lit("E"), F.col("p_partkey").cast("string"), F.lit("_"), F.regexp_replace("p_name", " ", "_")).alias("gene"))
-    return reset_gene_names(genes)
+    return K.reset_gene_names(genes)
+
+
+# -- cells, clusters and markers
+
+
+def _matrix(spark, sf_dir) -> DataFrame:
+    return X.read_counts(fx.molecules(spark, sf_dir))
+
+
+def _clusters(spark, sf_dir) -> DataFrame:
+    """Cells by their supplier's nation, four clusters."""
+    rows = fx.table(spark, sf_dir, "supplier").select(fx.bc(F.col("s_suppkey"), 6).alias("cell"), F.concat(F.lit("c"), (F.col("s_nationkey") % 4).cast("string")).alias("cluster"))
+    return rows.groupBy("cell").agg(F.min("cluster").alias("cluster"))
+
+
+MARKERS = [("T", "G0", "+"), ("T", "G1", "-"), ("B", "G2", "+"), ("B", "G3", "+"), ("B", "G4", "-"), ("N", "G5", "-"), ("M", "G6", "+")]
+
+
+def _markers(spark) -> DataFrame:
+    return spark.createDataFrame(MARKERS, "cell_type string, gene string, sign string")
+
+
+def _scores(spark, sf_dir) -> DataFrame:
+    return K.marker_scores(_matrix(spark, sf_dir), _markers(spark)).withColumn("score", F.round("score", 9))
+
+
+def marker_score(spark, sf_dir):
+    return K.marker_scores(_matrix(spark, sf_dir), _markers(spark)).select("cell", "cell_type", F.round("score", 6).alias("score"))
+
+
+def marker_auc(spark, sf_dir):
+    return K.cluster_auc(_scores(spark, sf_dir), _clusters(spark, sf_dir)).select("cell_type", "cluster", F.round("auc", 6).alias("auc"))
+
+
+def rank_auc(spark, sf_dir):
+    rows = fx.table(spark, sf_dir, "lineitem").select("l_returnflag", F.col("l_quantity").alias("score"), (F.col("l_linestatus") == "O").alias("label"))
+    return K.rank_auc(rows, ["l_returnflag"]).select("l_returnflag", F.round("auc", 6).alias("auc"))
+
+
+def assign_cluster(spark, sf_dir):
+    auc = K.cluster_auc(_scores(spark, sf_dir), _clusters(spark, sf_dir)).withColumn("auc", F.round("auc", 6))
+    return K.assign_clusters(auc)
+
+
+def merged_auc(spark, sf_dir):
+    scores, clusters = _scores(spark, sf_dir), _clusters(spark, sf_dir)
+    assigned = K.assign_clusters(K.cluster_auc(scores, clusters).withColumn("auc", F.round("auc", 6)))
+    return K.merged_auc(scores, clusters, assigned).select("cell_type", F.round("auc", 6).alias("auc"))
+
+
+def average_auc(spark, sf_dir):
+    auc = K.cluster_auc(_scores(spark, sf_dir), _clusters(spark, sf_dir)).withColumn("auc", F.round("auc", 6))
+    return K.average_auc(K.assign_clusters(auc)).select(F.round("score", 6).alias("score"))
+
+
+def annotate_clusters(spark, sf_dir):
+    auc, _ = K.annotate_clusters(_matrix(spark, sf_dir), _clusters(spark, sf_dir), _markers(spark))
+    return auc
+
+
+def split_markers(spark, sf_dir):
+    p = F.col("p_partkey")
+    rows = fx.table(spark, sf_dir, "part").select(F.concat(F.lit("t"), (p % 7).cast("string")).alias("cell_type"), F.concat(F.lit("A-"), (p % 31).cast("string"), F.when(p % 5 == 0, "-").otherwise("+")).alias("marker"))
+    return K.split_markers(rows)
+
+
+def top_markers(spark, sf_dir):
+    o = F.col("l_orderkey") * 8 + F.col("l_linenumber")
+    tests = fx.table(spark, sf_dir, "lineitem").filter("l_orderkey < 4000").select(
+        o.alias("pos"), F.concat(F.lit("k"), (F.col("l_suppkey") % 9).cast("string")).alias("cluster"),
+        F.when(F.col("l_partkey") % 6 == 0, "RPL1").when(F.col("l_partkey") % 11 == 0, "MALAT1").otherwise(F.concat(F.lit("GENE"), F.col("l_partkey").cast("string"))).alias("gene"),
+        F.col("l_discount").alias("p_val_adj"), (F.col("l_quantity") / 50).alias("pct_1"), F.col("l_tax").alias("pct_2"),
+    )
+    return K.top_marker_clusters(tests).select("cluster", F.round("ratio", 6).alias("ratio"))
+
+
+def mito_filter(spark, sf_dir):
+    kept = L.mito_filter(_matrix(spark, sf_dir), pattern="^G[01]$")
+    return kept.select("cell", "total", F.round("ratio", 9).alias("ratio"))
+
+
+def mito_ratio(spark, sf_dir):
+    named = _matrix(spark, sf_dir).withColumn("gene", F.when(F.col("gene").isin("G7", "G8"), F.concat(F.lit("MT-"), F.col("gene"))).otherwise(F.col("gene")))
+    return L.mito_ratio(named).select("cell", "total", F.round("ratio", 9).alias("ratio"))
+
+
+def low_count_filter(spark, sf_dir):
+    counts = fx.table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").cast("string").alias("cell")).agg(F.sum(F.col("o_totalprice")).alias("count"))
+    return L.low_count_filter(counts)
+
+
+def log_normalised(spark, sf_dir):
+    return U.normalise(_matrix(spark, sf_dir)).select("cell", "gene", F.round("value", 6).alias("value"))
+
+
+def expressed_cells(spark, sf_dir):
+    rows = X.read_counts(fx.molecules(spark, sf_dir).filter("depth > 14"))
+    return U.expressed(rows, 60, 8)
+
+
+def rank_sum_tests(spark, sf_dir):
+    found = U.rank_sum_tests(U.normalise(_matrix(spark, sf_dir)), _clusters(spark, sf_dir), 0.0, -10.0)
+    return found.select("cluster", "gene", F.round("z", 5).alias("z"), F.round("pct_1", 6).alias("pct_1"), F.round("pct_2", 6).alias("pct_2"))
+
+
+def cluster_cells(spark, sf_dir):
+    return U.cluster_cells(_matrix(spark, sf_dir), 0.4, 4, min_cells=1).select("cell", "cluster")
+
+
+# -- expression, networks and mutations
+
+
+def gene_set_intersection(spark, sf_dir):
+    """Genes with expression that are also mutated."""
+    return fx.expression(spark, sf_dir).select("gene").distinct().join(_mutations(spark, sf_dir).select(F.col("hgnc_symbol").alias("gene")).distinct(), "gene", "left_semi")
+
+
+def na_fraction(spark, sf_dir):
+    holes = F.when((F.length("sample") + F.length("gene") + F.floor("value").cast("int")) % 3 == 0, None).otherwise(F.col("value"))
+    return E.missing_share(fx.expression(spark, sf_dir).withColumn("value", holes))
+
+
+def quantile_norm(spark, sf_dir):
+    return E.quantile_normalise(fx.expression(spark, sf_dir)).select("sample", "gene", F.round("value", 4).alias("value"))
+
+
+def ideal_fourths(spark, sf_dir):
+    rows = fx.table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("gene"), F.col("o_totalprice").alias("value"))
+    return E.ideal_fourths(rows, "gene").select("gene", "n", F.round("ql", 4).alias("ql"), F.round("qu", 4).alias("qu"))
+
+
+def boxplot_outliers(spark, sf_dir):
+    rows = fx.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_returnflag").alias("gene"), F.pow("l_extendedprice", F.lit(9.0)).alias("value"))
+    return E.boxplot_outliers(rows, "gene").select("l_orderkey", "l_linenumber", "gene")
+
+
+def _mutations(spark, sf_dir) -> DataFrame:
+    o = F.col("o_orderkey")
+    kinds = F.array(*map(F.lit, ("HOMD", "HLAMP", "MISSENSE", "NONSENSE", "FRAMESHIFT", "SYNONYMOUS", "SPLICE")))
+    rows = fx.table(spark, sf_dir, "orders").filter(o % 53 == 0)
+    return rows.select(F.concat(F.lit("P"), (o % 25).cast("string")).alias("sample"), F.concat(F.lit("M"), (1 + o % 14).cast("string")).alias("hgnc_symbol"), kinds[(o % 7).cast("int")].alias("variant_type"))
+
+
+def complex_mutation(spark, sf_dir):
+    return E.recode_complex(_mutations(spark, sf_dir)).groupBy("sample", "hgnc_symbol", "variant_type").agg(F.count("*").alias("n"))
+
+
+def strong_mutations(spark, sf_dir):
+    return E.strong_mutations(_mutations(spark, sf_dir), fx.expression(spark, sf_dir)).distinct()
+
+
+def _edges(spark, sf_dir) -> DataFrame:
+    p = F.col("p_partkey")
+    rows = fx.table(spark, sf_dir, "part").select(F.concat(F.lit("M"), (1 + p % 12).cast("string")).alias("gene"), F.concat(F.lit("M"), (1 + (F.floor(p / 12)) % 12).cast("string")).alias("neighbour"), ((p * 37 % 100) / 100.0).alias("weight"))
+    return rows.groupBy("gene", "neighbour").agg(F.max("weight").alias("weight"))
+
+
+def top_edges(spark, sf_dir):
+    return N.top_edges(_edges(spark, sf_dir).filter("weight >= 0.4 AND gene <> neighbour"), 5, 8)
+
+
+def network_filter(spark, sf_dir):
+    weights = fx.table(spark, sf_dir, "nation").filter("n_nationkey < 12").select(F.concat(F.lit("M"), (F.col("n_nationkey") + 1).cast("string")).alias("gene"), (F.col("n_nationkey") % 4 / 4.0 + 0.2).alias("weight"))
+    return N.filter_by_weight(_edges(spark, sf_dir), weights, 0.4, 0.4, 2, 5)
+
+
+def network_expansion(spark, sf_dir):
+    return N.expand(_mutations(spark, sf_dir).select(F.col("hgnc_symbol").alias("gene")), _edges(spark, sf_dir), fx.expression(spark, sf_dir))
+
+
+def bh_adjust(spark, sf_dir):
+    rows = fx.table(spark, sf_dir, "lineitem").filter("l_orderkey < 3000").select("l_orderkey", "l_linenumber", F.col("l_returnflag").alias("gene"), (F.col("l_extendedprice") / 200000 * (F.col("l_discount") + 0.01)).alias("p"))
+    return N.adjust(rows, ["gene"]).select("l_orderkey", "l_linenumber", F.round("q", 6).alias("q"))
+
+
+def z_scores(spark, sf_dir):
+    return E.z_scores(fx.expression(spark, sf_dir), "gene", 1.5).select("sample", "gene", F.round("value", 5).alias("value"))
+
+
+def expression_distribution(spark, sf_dir):
+    return E.distributions(fx.expression(spark, sf_dir), _mutations(spark, sf_dir)).select("gene", "sample", "p_down", "p_neutral", "p_up")
+
+
+def gauss_mixture(spark, sf_dir):
+    return E.distributions(fx.expression(spark, sf_dir), None, "gauss").select("gene", "share", "mu", "sigma", "aic", "bic").distinct()
+
+
+def student_mixture(spark, sf_dir):
+    return E.distributions(fx.expression(spark, sf_dir)).select("gene", "share", "mu", "sigma", "nu", "aic", "bic").distinct()
+
+
+def regulation_heatmap(spark, sf_dir):
+    return E.heatmap_data(E.distributions(fx.expression(spark, sf_dir)))
+
+
+def expression_weights(spark, sf_dir):
+    rows = fx.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("sample"), (F.col("l_partkey") % 200).cast("string").alias("gene"), F.pow(F.log("l_extendedprice"), 1 + F.col("l_partkey") % 200 % 3 / 10).alias("value"))
+    return E.expression_weights(rows)
+
+
+def impute_knn(spark, sf_dir):
+    holes = F.when(F.xxhash64("sample", "gene") % 7 == 0, None).otherwise(F.col("value"))
+    return E.impute_knn(fx.expression(spark, sf_dir).withColumn("value", holes))
+
+
+def copy_number_residuals(spark, sf_dir):
+    expr = fx.expression(spark, sf_dir)
+    return E.remove_copy_number(expr, expr.select("sample", "gene", (F.floor("value") % 5 - 2.0).alias("value")))
+
+
+def differential_edges(spark, sf_dir):
+    return N.differential_edges(_edges(spark, sf_dir).filter("gene <> neighbour"), fx.expression(spark, sf_dir), _mutations(spark, sf_dir))
 
 
-def _double(c: str) -> Column:
-    return F.round(F.col(c).cast("double"), 6).alias(c)
+def driver_posterior(spark, sf_dir):
+    expr, mut, edges = fx.expression(spark, sf_dir), _mutations(spark, sf_dir), _edges(spark, sf_dir).filter("gene <> neighbour")
+    dist = E.distributions(expr, mut).checkpoint()
+    tables = D.set_priors(dist, mut, edges, cis=False)
+    data = D.evidence(dist, expr, mut, edges)
+    learned, _ = D.learn(data, tables, rounds=5)
+    return D.posterior_table(D.infer(data, learned))
 
 
 QUERIES: dict[str, Query] = {
@@ -280,5 +499,9 @@ QUERIES: dict[str, Query] = {
         n_filter, umi_filter, uniform_filter, fuzzy_correct, fuzzy_constrained, composite_correct, near_pairs, component_index, primer_merge, umi_runs, molecule_counts,
         reads_per_cell, map_info, gene_join, depth_filter, range_annotate, umi_collapse, read_counts, transcript_counts, deep_transcript_counts, padded_matrix, mtx_coords,
         knee_curve, cell_threshold, called_cells, forced_cells, whitelist_remove, detected_cells, greedy_merge, greedy_absorb, down_sample, down_sample_cell, choose_cells,
+        gene_name_reset, marker_score, marker_auc, rank_auc, assign_cluster, merged_auc, average_auc, annotate_clusters, split_markers, top_markers, mito_filter, mito_ratio, low_count_filter,
+        log_normalised, expressed_cells, rank_sum_tests, cluster_cells, gene_set_intersection, na_fraction, quantile_norm, ideal_fourths, boxplot_outliers, complex_mutation, strong_mutations,
+        top_edges, network_filter, network_expansion, bh_adjust, z_scores, expression_distribution, gauss_mixture, student_mixture, regulation_heatmap, expression_weights, impute_knn,
+        copy_number_residuals, differential_edges, driver_posterior,
     )
 }
