@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dna import neighbours, passes_n_rule
 from .fuzzy import correct_components, near_pairs
+from ..session import checkpointed
 
 #: First characters of a barcode by which barcodes of one count are grouped.
 HEAD = 6
@@ -98,13 +99,13 @@ def t_ratios(counts: DataFrame) -> DataFrame:
 
 def connected(pairs: DataFrame, nodes: DataFrame, rounds: int = 30) -> DataFrame:
     """cb, component of each of nodes (cb) under pairs (a, b): smallest labels spread over neighbours and jump."""
-    both = pairs.select(F.col("a").alias("u"), F.col("b").alias("v")).union(pairs.select(F.col("b").alias("u"), F.col("a").alias("v"))).checkpoint()
+    both = checkpointed(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")).union(pairs.select(F.col("b").alias("u"), F.col("a").alias("v"))))
     labels = nodes.select("cb", F.col("cb").alias("component"))
     for _ in range(rounds):
         near = both.join(labels, both["v"] == labels["cb"]).groupBy("u").agg(F.min("component").alias("low"))
         spread = labels.join(near, labels["cb"] == near["u"], "left").select("cb", F.least("component", F.coalesce("low", "component")).alias("component"), F.col("component").alias("was"))
         up = spread.select(F.col("cb").alias("_c"), F.col("component").alias("_up"))
-        jumped = spread.join(up, spread["component"] == up["_c"]).select("cb", F.least("component", "_up").alias("component"), "was").checkpoint()
+        jumped = checkpointed(spread.join(up, spread["component"] == up["_c"]).select("cb", F.least("component", "_up").alias("component"), "was"))
         labels = jumped.select("cb", "component")
         if jumped.filter("component <> was").isEmpty():
             return labels
@@ -137,7 +138,7 @@ def absorb_in_order(rows: Iterable[tuple[str, int]], distance: int = 1) -> list[
 
 def _by_component(counts: DataFrame, kernel, distance: int) -> DataFrame:
     """A greedy kernel run in each connected component of barcodes; barcodes of different components don't interact."""
-    nodes = counts.select("cb", "cb_count").checkpoint()
+    nodes = checkpointed(counts.select("cb", "cb_count"))
     pairs = near_pairs(nodes, distance, "cb")
     placed = nodes.join(connected(pairs, nodes), "cb")
 
@@ -164,10 +165,10 @@ def merge_deleted(counts: DataFrame, merge: bool, distance: int = 1, most_merged
     have lost a base and are represented by the largest of each neighbourhood, others go. Of the whitelist, barcodes next
     to a representative whose last base is N are to be removed.
     """
-    flagged = t_ratios(counts).select("cb", "cb_count", "n_flags").checkpoint()
+    flagged = checkpointed(t_ratios(counts).select("cb", "cb_count", "n_flags"))
     whole = flagged.filter("n_flags = 0")
     listed = greedy_merge(whole, distance) if merge and whole.count() <= most_merged else whole.select("cb")
-    shorter = greedy_absorb(flagged.filter("n_flags = 1"), distance).checkpoint()
+    shorter = checkpointed(greedy_absorb(flagged.filter("n_flags = 1"), distance))
     masked = shorter.select(F.explode(neighbours(F.concat(F.expr("left(cb, length(cb) - 1)"), F.lit("N")))).alias("cb")).distinct()
     removed = listed.join(masked, "cb", "left_semi")
     return listed.unionByName(shorter), removed

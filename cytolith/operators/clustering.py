@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dna import MITO_RIBO
 from .markers import annotate_clusters, assign_clusters, average_auc, cluster_auc, marker_scores
+from ..session import checkpointed
 
 MOST_GENES = 3000
 
@@ -130,7 +131,7 @@ def select_model(counts: DataFrame, markers: DataFrame, resolutions=(0.8, 1.0, 1
     The grid is a loop on the driver over a few dozen models; each model's work is distributed.
     """
     rows: list[dict] = []
-    scores = marker_scores(counts, markers).checkpoint()
+    scores = checkpointed(marker_scores(counts, markers))
     for r, n_pc, v in product(resolutions, n_pcs, variable):
         clustered = cluster_cells(counts, r, n_pc, v, **options).cache()
         n = clustered.select("cluster").distinct().count()

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stats import log_sum_exp
+from ..session import checkpointed
 
 EVIDENCE = "gene string, sample string, neighbour string, p_down double, p_neutral double, p_up double, h double"
 E_STEP = "gene string, loglik double, p_driver double, stat_d array<double>, stat_df array<double>, stat_fg array<double>, samples array<string>, p_effect array<double>, neighbours array<string>, p_up_neighbour array<double>, p_g array<double>"
@@ -200,7 +201,7 @@ def learn(data: DataFrame, t: Tables, rounds: int = 20, threshold: float = 1e-5,
         if not t.direction:
             p_fg[1, [0, 2]] = p_fg[1, [0, 2]].mean()
         t = replace(t, p_fg=p_fg)
-    data = data.checkpoint()
+    data = checkpointed(data)
     trace: list[float] = []
     for k in range(rounds):
         loglik, d, df, fg = _sums(infer(data, t), t.p_fg.size)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dna import IGNORED, MITO_RIBO, gene_short_name
+from ..session import checkpointed
 
 UNASSIGNED = 0.65
 GOOD, SEPARABLE = 0.9, 0.55
@@ -123,7 +124,7 @@ def annotate_clusters(counts: DataFrame, clusters: DataFrame, markers: DataFrame
     threshold are Unassigned; the AUC of a type is that of its merged clusters.
     """
     spark = counts.sparkSession
-    scores = marker_scores(counts, markers).checkpoint()
+    scores = checkpointed(marker_scores(counts, markers))
     table = {(r["cell_type"], r["cluster"]): r["auc"] for r in cluster_auc(scores, clusters).collect()}  # types x clusters
     names = sorted({c for _, c in table})
     assigned = _best(table, names)

@@ -19,6 +19,7 @@ from ..operators import sample as S
 from ..operators.collapse import collapse_umis
 from ..operators.template import STRUCTURES, compile_template, load_config
 from ..sources import fastq, gtf, mtx, sam
+from ..session import checkpointed
 
 
 def merge_fastq(spark: SparkSession, paths: list[str], method: str, fastq_out: str, counts_out: str, config: str | None = None) -> DataFrame:
@@ -62,7 +63,7 @@ def cell_map(spark: SparkSession, observed: DataFrame, counts: DataFrame | None,
         if counts is None:
             raise ValueError("barcode counts or a whitelist are needed")
         known, removed = C.candidates(counts, dictionaries, expect_cell, force_cell)
-        known, removed = known.checkpoint(), removed.checkpoint()
+        known, removed = checkpointed(known), checkpointed(removed)
         if known.isEmpty():
             raise ValueError("no cell barcodes were found")
     listed = known.select(F.col("cb").alias("barcode"))

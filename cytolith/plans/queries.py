@@ -24,6 +24,7 @@ from ..operators import sample as S
 from ..operators.collapse import collapse_umis
 from ..operators.template import STRUCTURES, compile_template
 from . import fixtures as fx
+from ..session import checkpointed
 
 Query = Callable[[SparkSession, str], DataFrame]
 TEMPLATE_UMI = 6
@@ -485,7 +486,7 @@ def differential_edges(spark, sf_dir):
 
 def driver_posterior(spark, sf_dir):
     expr, mut, edges = fx.expression(spark, sf_dir), _mutations(spark, sf_dir), _edges(spark, sf_dir).filter("gene <> neighbour")
-    dist = E.distributions(expr, mut).checkpoint()
+    dist = checkpointed(E.distributions(expr, mut))
     tables = D.set_priors(dist, mut, edges, cis=False)
     data = D.evidence(dist, expr, mut, edges)
     learned, _ = D.learn(data, tables, rounds=5)

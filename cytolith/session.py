@@ -6,7 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 PACKAGE = Path(__file__).resolve().parent
 
@@ -33,3 +33,19 @@ def ship_package(spark: SparkSession) -> None:
             z.write(path, path.relative_to(PACKAGE.parent))
     context.addPyFile(str(archive))
     context._cytolith_shipped = True
+
+
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from spark.checkpoint.dir; only where none is set, one of our own."""
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    current = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if not current.isDefined():
+        spark.sparkContext.setCheckpointDir(configured or "/tmp/checkpoints")
+        current = spark.sparkContext._jsc.sc().getCheckpointDir()
+    return (configured or str(current.get())).rstrip("/")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df, computed once and written to the shared folder."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
