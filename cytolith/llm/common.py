@@ -43,6 +43,14 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like this one that df doesn't have, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def small_batches(batches: Iterable[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that column ``text`` holds about BATCH_CHARS bytes at most; a single row is never cut."""
     for batch in batches:

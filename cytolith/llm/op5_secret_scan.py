@@ -24,7 +24,7 @@ except ImportError:  # before Python 3.11
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, spans_of
+from .common import fresh, materialise, spans_of
 
 
 @dataclass(frozen=True)
@@ -175,20 +175,20 @@ def _rule_spans(rule: Rule, order: int, text: Column, ask: Column) -> Column:
     return F.when(ask & F.regexp_like(text, F.lit(rule.regex)), shaped).otherwise(F.array().cast("array<struct<start:int,rule:int,end:int,kind:string>>"))
 
 
-def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """All columns of docs and __found (array of start, rule, end, kind by start, then rule; of null text none) for each row.
+def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, out: str = "found") -> DataFrame:
+    """All columns of docs and out (array of start, rule, end, kind by start, then rule; of null text none) for each row.
 
     The candidates are written first: Spark then knows their size, and broadcasts or shuffles them accordingly.
     """
     queries = [trigram_query(r.regex) for r in rules]
     rows, may = docs, F.lit(0).cast("long")
+    text = F.coalesce(docs["text"], F.lit(""))
     if any(frozenset() not in q for q in queries):
-        asked = materialise(candidates(docs.select("doc_id", "text"), rules), "candidates").withColumnsRenamed({"doc_id": "__id", "rules": "__rules"})
-        rows = docs.join(asked, docs["doc_id"].eqNullSafe(asked["__id"]), "left")
-        may = F.coalesce("__rules", F.lit(0).cast("long"))
-    text = F.coalesce("text", F.lit(""))
+        asked = materialise(candidates(docs.select("doc_id", "text"), rules), "candidates")
+        rows = docs.join(asked, docs["doc_id"].eqNullSafe(asked["doc_id"]), "left")
+        may = F.coalesce(asked["rules"], F.lit(0).cast("long"))
     parts = [_rule_spans(r, k, text, F.lit(True) if frozenset() in q else may.bitwiseAND(F.lit(1 << k)) != 0) for k, (r, q) in enumerate(zip(rules, queries, strict=True))]
-    return rows.select(*(docs[c] for c in docs.columns), F.array_sort(F.concat(*parts)).alias("__found"))
+    return rows.select(*(docs[c] for c in docs.columns), F.array_sort(F.concat(*parts)).alias(out))
 
 
 def listed(found: Column) -> Column:
@@ -198,9 +198,9 @@ def listed(found: Column) -> Column:
 
 def report(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Counts of the base kinds, the digest of the base spans and all spans, of each row of docs."""
-    found = F.col("__found")
+    found = F.col("found")
     count = lambda k: F.size(F.filter(found, lambda s: s["rule"] == k)).cast("long")
-    return scan(docs, rules).select(
+    return scan(docs.select("doc_id", "text"), rules).select(
         "doc_id",
         *(count(k).alias(f"n_{r.kind}") for k, r in enumerate(rules[:BASE])),
         F.sha2(listed(F.filter(found, lambda s: s["rule"] < BASE)), 256).alias("base_sha256"),
@@ -210,14 +210,14 @@ def report(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """docs with each span of its text replaced by [kind]; of overlapping spans the first one is named and all are covered."""
-    text = F.col("text")
+    text, found = F.col("text"), fresh(docs, "found")
     done = F.aggregate(
-        "__found",
+        found,
         F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
         lambda acc, s: F.when(s["start"] < acc["at"], F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))).otherwise(
             F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), s["kind"], F.lit("]")).alias("out"))
         ),
         lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))),
     )
-    new = F.when(F.size("__found") == 0, text).otherwise(done)
-    return scan(docs, rules).select(*(new.alias(c) if c == "text" else F.col(c) for c in docs.columns))
+    new = F.when(F.size(found) == 0, text).otherwise(done)
+    return scan(docs, rules, found).select(*(new.alias(c) if c == "text" else F.col(c) for c in docs.columns))

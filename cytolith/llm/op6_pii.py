@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, spans_of
+from .common import fresh, materialise, spans_of
 
 CONTEXT = 64
 GENERALISE = 0.75
@@ -90,10 +90,10 @@ def _context_terms(text: Column, span: Column) -> Column:
 
 
 def entity_contexts(docs: DataFrame) -> DataFrame:
-    """row, doc_id, spans (SPAN, with terms) of each row of docs, written to the shared folder."""
+    """row (a number), doc_id, mark (hash of the text), spans (SPAN, with terms) of each row of docs, written to the shared folder."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select("doc_id", "text", base_spans(F.col("text")).alias("base"))
     spans = F.transform("base", lambda s: F.struct(s["start"], s["end"], s["kind"], F.lower(s["text"]).alias("value"), _context_terms(F.col("text"), s).alias("terms")))
-    return materialise(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", spans.alias("spans")), "pii")
+    return materialise(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("text").alias("mark"), spans.alias("spans")), "pii")
 
 
 def document_frequencies(docs: DataFrame) -> DataFrame:
@@ -120,7 +120,7 @@ def disclosures(contexts: DataFrame, docs: DataFrame, least_docs: int = LEAST_DO
 
 
 def hits(docs: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
-    """doc_id, base (SPAN and terms) and terms (HIT; kind 4: generalise, 5: remove) of each row of docs."""
+    """doc_id, mark, base and terms (HIT; kind 4: generalise, 5: remove) of each row of docs."""
     contexts = entity_contexts(docs)
     telling = disclosures(contexts, docs).filter(F.col("disclosure") >= generalise)
     places = contexts.select("row", F.explode("spans").alias("s")).select("row", "s.kind", "s.value", F.explode("s.terms").alias("t")).select("row", "kind", "value", "t.term", "t.start", "t.end")
@@ -131,7 +131,7 @@ def hits(docs: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE
     )
     names = F.array(*map(F.lit, KINDS))
     return contexts.join(found, "row", "left").select(
-        "row", "doc_id",
+        "doc_id", "mark",
         F.transform("spans", lambda s: F.struct(s["kind"], s["start"], s["end"], names[s["kind"]].alias("name"))).alias("base"),
         F.array_sort(F.coalesce("terms", F.array().cast(f"array<{HIT}>"))).alias("terms"),
     )
@@ -147,3 +147,26 @@ def report(docs: DataFrame) -> DataFrame:
     base = F.array_sort(F.col("base"))
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
     return hits(docs).select("doc_id", *(count(k).alias(f"n_{name}") for k, name in enumerate(KINDS)), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.concat(base, "terms")).alias("spans"))
+
+
+def sanitise(docs: DataFrame) -> DataFrame:
+    """docs with base spans replaced by [kind], terms that are to be generalised by [name] or [term], others removed.
+
+    Of overlapping spans the first by start is named and all are covered. Rows are matched by id and text.
+    """
+    text, none = F.coalesce("text", F.lit("")), F.array().cast(f"array<{HIT}>")
+    id_, mark, spans = (fresh(docs, x) for x in ("id", "mark", "spans"))
+    found = hits(docs).dropDuplicates(["doc_id", "mark"]).select(F.col("doc_id").alias(id_), F.col("mark").alias(mark), F.concat("base", "terms").alias(spans))
+    placed = F.array_sort(F.transform(F.coalesce(spans, none), lambda s: F.struct(s["start"], s["kind"], s["end"], s["name"])))
+    class_of = lambda s: F.when(F.regexp_like(F.substring(text, s["start"] + 1, s["end"] - s["start"]), F.lit(r"^\p{Lu}")), "[name]").otherwise("[term]")
+    label = lambda s: F.when(s["kind"] < 4, F.concat(F.lit("["), s["name"], F.lit("]"))).when(s["kind"] == 4, class_of(s)).otherwise("")
+    done = F.aggregate(
+        placed,
+        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
+        lambda acc, s: F.when(s["start"] < acc["at"], F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))).otherwise(
+            F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), label(s)).alias("out"))
+        ),
+        lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))),
+    )
+    new = F.when(F.col("text").isNotNull(), done)
+    return docs.join(found, docs["doc_id"].eqNullSafe(found[id_]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == found[mark]), "left").select(*(new.alias(c) if c == "text" else F.col(c) for c in docs.columns))
