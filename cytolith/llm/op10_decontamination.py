@@ -7,9 +7,9 @@ the pairs of benchmark word and document word under each placeholder. Over all w
 benchmark value must stand for one document value: a question with other numbers or names passes, a chance likeness does
 not. A document is contaminated by an item if its consistent windows cover COVERED of the item's tokens.
 
-A first pass makes narrow rows (doc_id, position, hash) and keeps those whose hash some item has. The items' hashes are
-broadcast if there are at most BROADCAST_WINDOWS of them (16 bytes each), else joined by shuffle. The places found, a few
-documents' own, are written; the second pass reads just these documents' windows and words.
+The items' hashes are broadcast if there are at most BROADCAST_WINDOWS of them (16 bytes each): then one pass over the
+texts, without a shuffle, gives the matching windows, which are written. A larger benchmark is joined by shuffle, on
+narrow rows (doc_id, position, hash), and the documents with a match are read again.
 
 Defined results: null and empty texts, and those without a window, have no row; items likewise (an item shorter than
 WINDOW is one window). Rows that share a doc_id are judged as one document, null ids too; likewise items. Extra columns
@@ -60,17 +60,39 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _hashed(df: DataFrame, keys: list[str], sizes: list[int]) -> DataFrame:
-    """keys, size, pos, hash of all windows: rows as narrow as they can be."""
+def _hashes(tokens: Column, size: int) -> Column:
+    """Hash of the window of so many tokens from each position on; null if there are fewer tokens."""
+    return F.when(F.size(tokens) >= size, F.transform(F.sequence(F.lit(1), F.size(tokens) - size + 1), lambda i: F.xxhash64(F.slice(tokens, i, F.lit(size)))))
+
+
+def _matching(docs: DataFrame, hashes: DataFrame, sizes: list[int]) -> DataFrame:
+    """doc_id, size, hash, d_window, d_words of the documents' windows whose (h_size, h_hash) is listed, by broadcast.
+
+    Exploding and probing are one generated loop: tokens and words go along by reference, and only matches are rows.
+    """
+    tokens = docs.select("doc_id", canonical_tokens(F.col("text")).alias("tokens"), raw_tokens(F.col("text")).alias("raw"))
     parts = []
     for size in sizes:
-        each = lambda t: F.when(F.size(t) >= size, F.transform(F.sequence(F.lit(1), F.size(t) - size + 1), lambda i: F.xxhash64(F.slice(t, i, F.lit(size)))))  # noqa: B023, E731
-        hashes = _let(canonical_tokens(F.col("text")), each)
         # outer: else a filter on the array's size is inferred, and all hashes are computed twice
-        parts.append(df.select(*keys, hashes.alias("hashes")).select(*keys, F.lit(size).alias("size"), F.posexplode_outer("hashes").alias("pos", "hash")))
+        placed = tokens.select("doc_id", "tokens", "raw", _hashes(F.col("tokens"), size).alias("hashes")).select("doc_id", "tokens", "raw", F.posexplode_outer("hashes").alias("pos", "hash"))
+        hit = placed.join(F.broadcast(hashes.filter(F.col("h_size") == size)), F.col("hash") == F.col("h_hash"), "left_semi")
+        parts.append(hit.select("doc_id", F.lit(size).alias("size"), "hash", F.slice("tokens", F.col("pos") + 1, F.lit(size)).alias("d_window"), F.slice("raw", F.col("pos") + 1, F.lit(size)).alias("d_words")))
     return reduce(DataFrame.unionByName, parts)
 
 
+def _matching_by_shuffle(docs: DataFrame, hashes: DataFrame, sizes: list[int]) -> DataFrame:
+    """As _matching, for a benchmark of any size: narrow rows (doc_id, position, hash) are joined, and texts met again."""
+    parts = []
+    for size in sizes:
+        every = _let(canonical_tokens(F.col("text")), lambda t: _hashes(t, size))  # noqa: B023
+        parts.append(docs.select("doc_id", every.alias("hashes")).select("doc_id", F.lit(size).alias("size"), F.posexplode_outer("hashes").alias("pos", "hash")))
+    mine = reduce(DataFrame.unionByName, parts)
+    hit = mine.join(hashes, (mine["hash"] == hashes["h_hash"]) & (mine["size"] == hashes["h_size"]), "left_semi")
+    places = materialise(hit.groupBy("doc_id").agg(F.collect_set(F.struct("size", "pos")).alias("places")), "places").withColumnRenamed("doc_id", "p_id")
+    found = docs.join(places, docs["doc_id"].eqNullSafe(places["p_id"])).select("doc_id", F.explode_outer(_spelled(F.col("text"), F.col("places"))).alias("w"))
+    return found.select("doc_id", F.col("w.size").alias("size"), F.xxhash64("w.window").alias("hash"), F.col("w.window").alias("d_window"), F.col("w.words").alias("d_words"))
+
+
 def _spelled(text: Column, places: Column) -> Column:
     """For places (array of size and pos): the canonical window and its raw words."""
     return _let(
@@ -96,20 +118,15 @@ def _bare(word: Column) -> Column:
     return F.regexp_replace(F.lower(word), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
 
 
-def contaminations(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, covered: float = COVERED) -> DataFrame:
+def contaminations(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, covered: float = COVERED, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
     """doc_id, item_id, n_windows, covered_tokens, item_tokens, n_slots of every contaminated document and its items."""
     of_items, sizes = benchmark_windows(benchmark, window)
     if not sizes:
         kinds = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {benchmark.schema['item_id'].dataType.simpleString()}, n_windows long, covered_tokens long, item_tokens int, n_slots long"
         return docs.sparkSession.createDataFrame([], kinds)
     hashes = of_items.select(F.col("size").alias("h_size"), F.col("hash").alias("h_hash")).distinct()
-    if hashes.count() <= BROADCAST_WINDOWS:
-        hashes = F.broadcast(hashes)
-    mine = _hashed(docs.select("doc_id", "text"), ["doc_id"], sizes)
-    hit = mine.join(hashes, (mine["hash"] == hashes["h_hash"]) & (mine["size"] == hashes["h_size"]), "left_semi")
-    places = materialise(hit.groupBy("doc_id").agg(F.collect_set(F.struct("size", "pos")).alias("places")), "places").withColumnRenamed("doc_id", "__id")
-    found = docs.select("doc_id", "text").join(places, docs["doc_id"].eqNullSafe(places["__id"])).select("doc_id", F.explode_outer(_spelled(F.col("text"), F.col("places"))).alias("w"))
-    hit = found.select("doc_id", F.col("w.size").alias("size"), F.xxhash64("w.window").alias("hash"), F.col("w.window").alias("d_window"), F.col("w.words").alias("d_words"))
+    match = _matching if hashes.count() <= broadcast_windows else _matching_by_shuffle
+    hit = materialise(match(docs.select("doc_id", "text"), hashes, sizes), "matches")
     both = hit.join(of_items.withColumnsRenamed({"size": "i_size", "hash": "i_hash"}), (F.col("hash") == F.col("i_hash")) & (F.col("d_window") == F.col("i_window")))
     slots = F.filter(
         F.transform("i_window", lambda w, k: F.struct(F.regexp_like(w, F.lit(SLOT)).alias("slot"), _bare(F.col("i_words")[k]).alias("i"), _bare(F.col("d_words")[k]).alias("d"))),

@@ -38,6 +38,14 @@ def test_parameters_change_but_slots_must_agree(documents, items):
     assert found(docs, items) == {(1, 1), (2, 2), (5, 4), (7, 5), (10, 5)}
 
 
+def test_a_large_benchmark_is_joined_by_shuffle(documents, items, spark, sf_dir):
+    docs, bench = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    rows = lambda df: sorted(map(tuple, df.collect()), key=str)
+    assert rows(op.contaminations(docs, bench)) == rows(op.contaminations(docs, bench, broadcast_windows=0))
+    odd = documents([(1, "one two three"), (1, "one two three"), (None, None), (2, "x")])
+    assert rows(op.contaminations(odd, items, broadcast_windows=0)) == rows(op.contaminations(odd, items))
+
+
 def test_long_texts_repeats_and_null_ids(documents, items):
     filler = " ".join(f"w{k}" for k in range(30_000))
     docs = documents([(1, f"{filler} plain words of a passage that has neither names nor numbers in it at all {filler}"), (1, "other"), (None, "one two three"), (2, "x" * 200_000)])
