@@ -51,13 +51,13 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def small_batches(batches: Iterable[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches so that column ``text`` holds about BATCH_CHARS bytes at most; a single row is never cut."""
+def small_batches(batches: Iterable[pa.RecordBatch], text: int, chars: int = BATCH_CHARS) -> Iterator[pa.RecordBatch]:
+    """Cut Arrow batches so that column ``text`` holds about so many bytes at most; a single row is never cut."""
     for batch in batches:
         if not batch.num_rows:
             continue
         lengths = pc.binary_length(batch.column(text)).fill_null(0).to_numpy(zero_copy_only=False)
-        group = np.cumsum(lengths) // BATCH_CHARS
+        group = np.cumsum(lengths) // chars
         start = 0
         for stop in [*(np.flatnonzero(np.diff(group)) + 1).tolist(), len(group)]:
             if stop > start:

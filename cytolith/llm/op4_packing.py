@@ -37,7 +37,9 @@ HASHED = 1024
 BITS = 10
 #: Half the width of the cube that the curve fills, in units of a projected mean.
 SPREAD = 0.6
-CACHED_WORDS = 600_000
+CACHED_WORDS = 450_000
+ENCODED_AT_ONCE = 4000
+BATCH_CHARS = 500_000
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -91,8 +93,8 @@ class Encoder:
         first = len(self.known) - len(chunks)
         while len(self.known) > self.sizes.size:
             self.starts, self.sizes, self.used = (np.concatenate((x, np.zeros_like(x))) for x in (self.starts, self.sizes, self.used))
-        for low in range(0, len(chunks), 20_000):
-            part = chunks[low : low + 20_000]
+        for low in range(0, len(chunks), ENCODED_AT_ONCE):
+            part = chunks[low : low + ENCODED_AT_ONCE]
             done = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
             flat = np.array(done.ids, np.uint32)
             lengths = np.fromiter(map(len, part), np.int64, len(part)) + 1
@@ -169,7 +171,7 @@ def tokenized(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        for batch in small_batches(batches, 1):
+        for batch in small_batches(batches, 1, BATCH_CHARS):
             ids, sizes = enc.encode(batch.column(1).to_pylist())
             keys = enc.keys(ids, sizes)
             raw = ids.astype("<u4" if enc.wide else "<u2").tobytes()
