@@ -52,8 +52,6 @@ def main(argv: list[str] | None = None) -> None:
     a = parser().parse_args(argv)
     spark = build_session()
     ship_package(spark)
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir("/tmp/checkpoints")
     if a.command == "merge_fastq":
         commands.merge_fastq(spark, a.fastq, a.method, a.fastq_out, a.cell_barcode_count, a.config).show()
     elif a.command == "tag_bam":

@@ -17,6 +17,7 @@ from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions.dna import MITO_RIBO
 from .markers import annotate_clusters, assign_clusters, average_auc, cluster_auc, marker_scores
@@ -84,7 +85,7 @@ def silhouette(clustered: DataFrame) -> float:
     return float(ClusteringEvaluator(featuresCol="pc", predictionCol="c").evaluate(rows))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _two_sided(z: pd.Series) -> pd.Series:
     return z.map(lambda v: math.erfc(abs(v) / math.sqrt(2)))
 

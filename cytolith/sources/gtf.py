@@ -15,7 +15,7 @@ def parse_gtf(lines: DataFrame) -> DataFrame:
     f = F.split("value", "\t")
     order = F.col("at") if "at" in lines.columns else F.lit(0).cast("long")
     rows = lines.filter(~F.col("value").startswith("#") & (F.size(f) >= 9))
-    cut = rows.select(f[0].alias("chrom"), f[2].alias("feature"), f[3].cast("long").alias("start"), f[4].cast("long").alias("end"), f[6].alias("strand"), f[8].alias("attributes"), order.alias("at"))
+    cut = rows.select(F.get(f, F.lit(0)).alias("chrom"), F.get(f, F.lit(2)).alias("feature"), F.get(f, F.lit(3)).try_cast("long").alias("start"), F.get(f, F.lit(4)).try_cast("long").alias("end"), F.get(f, F.lit(6)).alias("strand"), F.get(f, F.lit(8)).alias("attributes"), order.alias("at"))
     return cut.select("chrom", "feature", "start", "end", "strand", _attribute("gene_id").alias("gene_id"), _attribute("gene_name").alias("gene_name"), "at")
 
 

@@ -24,11 +24,19 @@ def write_mtx(coordinates: DataFrame, genes: DataFrame, cells: DataFrame, prefix
 
 
 def read_mtx(spark: SparkSession, path: str) -> DataFrame:
-    """gene_idx, cell_idx, count of a Matrix Market file; the line of sizes, the first that is no comment, is left out."""
-    lines = spark.createDataFrame(spark.sparkContext.textFile(path).zipWithIndex(), "value string, at long").filter(~F.col("value").startswith("%"))
-    first = lines.agg(F.min("at").alias("_first"))
+    """gene_idx, cell_idx, count of a Matrix Market file or folder.
+
+    The line of sizes is the first, in the file with the format's mark, that is no comment; files of a folder may be
+    listed in any order.
+    """
+    place = ["_metadata.file_path", "_metadata.file_block_start"]
+    lines = spark.read.text(path).select("value", *place, F.monotonically_increasing_id().alias("at"))
+    marked = lines.filter(F.col("value").startswith("%%MatrixMarket")).select("file_path").limit(1)
+    plain = lines.filter(~F.col("value").startswith("%"))
+    sizes = plain.join(F.broadcast(marked), "file_path", "left_semi").agg(F.min(F.struct("file_block_start", "at")).alias("first"), F.first("file_path").alias("head"))
+    entries = plain.join(F.broadcast(sizes), (F.col("file_path") == F.col("head")) & (F.col("at") == F.col("first.at")), "left_anti")
     f = F.split("value", r"\s+")
-    return lines.join(F.broadcast(first), F.col("at") > F.col("_first")).select(f[0].cast("long").alias("gene_idx"), f[1].cast("long").alias("cell_idx"), f[2].cast("long").alias("count"))
+    return entries.select(*(F.get(f, F.lit(k)).try_cast("long").alias(c) for k, c in enumerate(("gene_idx", "cell_idx", "count"))))
 
 
 def write_store(path: str, **tables: DataFrame) -> None:

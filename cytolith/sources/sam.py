@@ -34,8 +34,8 @@ def read_sam(spark: SparkSession, path: str, feature_tag: str = "XT:Z") -> DataF
     """SAM text from any store that Spark reads; aln_id is the line's number."""
     lines = spark.createDataFrame(spark.sparkContext.textFile(path).zipWithIndex(), "line string, aln_id long").filter(~F.col("line").startswith("@") & (F.col("line") != ""))
     f = F.split("line", "\t")
-    start = f[3].cast("long")
-    raw = lines.select("aln_id", f[0].alias("qname"), f[1].cast("int").alias("flag"), F.when(f[2] != "*", f[2]).alias("chrom"), start.alias("start"), (start + F.greatest(reference_length(f[5]), F.lit(1)) - 1).alias("end"), F.slice(f, 12, 100000).alias("tags"))
+    start = F.get(f, F.lit(3)).try_cast("long")
+    raw = lines.select("aln_id", F.get(f, F.lit(0)).alias("qname"), F.get(f, F.lit(1)).try_cast("int").alias("flag"), F.when(F.get(f, F.lit(2)) != "*", F.get(f, F.lit(2))).alias("chrom"), start.alias("start"), (start + F.greatest(reference_length(F.get(f, F.lit(5))), F.lit(1)) - 1).alias("end"), F.slice(f, 12, 100000).alias("tags"))
     return shaped(raw, feature_tag)
 
 
