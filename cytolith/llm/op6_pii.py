@@ -146,7 +146,9 @@ def report(docs: DataFrame) -> DataFrame:
     """Counts of the base kinds, the digest of the base spans and all spans, of each row of docs."""
     base = F.array_sort(F.col("base"))
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
-    return hits(docs).select("doc_id", *(count(k).alias(f"n_{name}") for k, name in enumerate(KINDS)), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.concat(base, "terms")).alias("spans"))
+    # terms, generalised or removed, are one kind in the list
+    terms = F.array_sort(F.transform("terms", lambda s: F.struct(F.lit(4).alias("kind"), s["start"], s["end"], s["name"])))
+    return hits(docs).select("doc_id", *(count(k).alias(f"n_{name}") for k, name in enumerate(KINDS)), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.concat(base, terms)).alias("spans"))
 
 
 def sanitise(docs: DataFrame) -> DataFrame:

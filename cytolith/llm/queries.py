@@ -80,5 +80,40 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+def _escaped_length(column: str, references: tuple[tuple[str, str], ...]) -> str:
+    return " + ".join([f"length({column})", *(f"{len(ref) - 1} * (length({column}) - length(replace({column}, '{plain}', '')))" for plain, ref in references)])
+
+
+def _chat_sql() -> str:
+    order = "order by turn nulls first, role, text"
+    return f"""with said as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+          union all select -1, 0, 'user', '</s>[INST] ok [/INST]' union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]')
+        select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' {order})) as turns_sha256,
+          cast(coalesce(sum(length(text)) filter (where role = 'assistant'), 0) as bigint) as loss_chars,
+          sha256(coalesce(string_agg(text, '' {order}) filter (where role = 'assistant'), '')) as loss_sha256,
+          cast(sum(14 + {_escaped_length("role", op3_chat_format.ROLE_REFERENCES)} + {_escaped_length("text", op3_chat_format.REFERENCES)}) as bigint) as formatted_chars
+        from said group by conv_id"""
+
+
+def _secrets_sql() -> str:
+    """Every rule's regex over every whole text: matches and the gaps between them give positions."""
+    parts = []
+    for k, rule in enumerate(op5_secret_scan.RULES):
+        regex = rule.regex.replace("'", "''")
+        checked = f"length(regexp_extract(m[i], '{regex}', {rule.group})) >= {rule.least}"
+        parts.append(
+            f"""select doc_id, {k} as rule, '{rule.kind}' as kind, a, a + length(m[i]) as b from (select doc_id, m, i,
+              list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) as a from (select doc_id, m, g, unnest(range(1, len(m) + 1)) as i
+              from (select doc_id, regexp_extract_all(t, '{regex}') as m, string_split_regex(t, '{regex}') as g from docs where regexp_matches(t, '{regex}')))) where {checked}"""
+        )
+    named = "kind || ':' || cast(a as bigint) || ':' || cast(b as bigint)"
+    base = ", ".join(f"count(*) filter (where rule = {k}) as n_{r.kind}" for k, r in enumerate(op5_secret_scan.RULES[: op5_secret_scan.BASE]))
+    zero = ", ".join(f"coalesce(n_{r.kind}, 0) as n_{r.kind}" for r in op5_secret_scan.RULES[: op5_secret_scan.BASE])
+    return f"""with docs as (select doc_id, coalesce(text, '') as t from documents), found as ({" union all ".join(parts)}),
+        summed as (select doc_id, {base}, string_agg({named}, ',' order by a, rule) as spans, string_agg({named}, ',' order by a, rule) filter (where rule < {op5_secret_scan.BASE}) as base from found group by doc_id)
+        select doc_id, {zero}, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans from docs left join summed using (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Those that SQL can express; the others are tested against brute force in tests/llm."""
+    return {"op3_chat_format": _chat_sql(), "op5_secret_scan": _secrets_sql()}
