@@ -12,7 +12,8 @@ copies don't make their own article look like a template. Inside an article or m
 ARTICLE_TEXTS texts over ARTICLE_PAGES pages to be taken for template.
 
 Two passes over the html (texts by style node; removal), with counts by host, node and text in between; a host's rows are
-spread by text and summed before each shuffle, and what joins the pages is the host's list of removed nodes.
+spread by text and summed before each shuffle, and what joins the pages is the host's list of removed nodes, written
+first so that html is only shuffled where that list is large.
 
 Defined results: null html is an empty one and gives an empty text. Pages without a url have no host and are not merged.
 Unclosed elements end with their parent; an article that begins in an unclosed menu or advert is not part of it.
@@ -31,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import materialise, small_batches
 
 LOW = 0.3
 LEAST_PAGES = 4
@@ -192,7 +193,7 @@ def node_texts(pages: DataFrame) -> DataFrame:
 
 def style_nodes(pages: DataFrame) -> DataFrame:
     """host, node, content, n_pages, n_texts, importance of the merged trees."""
-    seen = node_texts(pages).distinct()
+    seen = materialise(node_texts(pages).distinct(), "nodes")
     key = ["host", "node", "content"]
     by_page = seen.groupBy(*key, "page").agg(F.count("*").alias("n")).groupBy(*key).agg(F.count("*").alias("n_pages"))
     by_text = seen.groupBy(*key, "text").agg(F.count("*").alias("c")).groupBy(*key).agg(F.count("*").alias("n_texts"), F.sum(F.log("c")).alias("logs"))
@@ -204,7 +205,8 @@ def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of each row of pages."""
     pages = pages.select("page_id", "url", "html")
     low = style_nodes(pages).filter((F.col("importance") < LOW) & (~F.col("content") | (F.col("n_texts") <= ARTICLE_TEXTS) & (F.col("n_pages") >= ARTICLE_PAGES)))
-    removed = low.groupBy("host").agg(F.collect_set("node").alias("removed"))
+    # written first: Spark then knows its size, and broadcasts it, or splits the rows of a host that has very many
+    removed = materialise(low.groupBy("host").agg(F.collect_set("node").alias("removed")), "removed")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, 2):
