@@ -12,6 +12,12 @@ and asks for all pairs of codewords within distance 4 (3 x 36 keys at most); the
 every link, and the join condition verifies it. No link is lost and no group is expanded: exact copies are one
 fingerprint before the join, and only verified pairs leave it.
 
+The pipeline's stage (representatives) has a link of its own: a Jaccard similarity of SIMILAR (0.8) or more of the sets
+of 5-word shingles. Candidates share one of BANDS keys, each of BAND_ROWS min-hashes: a pair of similarity 0.8 shares
+none with a chance of 2 in a million, a closer pair with less. Candidates are verified on their texts: each text of a
+bucket with the bucket's first and last one, then, of what is not yet in one component, every pair. So a group of
+copies costs its size, and no bucket is cut.
+
 Components: alternating large-star and small-star rounds on the links between fingerprints, each written to the shared
 folder. Only fingerprints with a link take part; the rest are their own component.
 
@@ -30,7 +36,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import SPACE, materialise, small_batches
@@ -42,6 +48,10 @@ MAX_DISTANCE = 3
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: Generator polynomial of the binary Golay code, x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
 GENERATOR = 0b110001110101
+#: The stage's shingles, and the Jaccard similarity of their sets that links.
+STAGE_SHINGLE = 5
+SIMILAR = 0.8
+BANDS, BAND_ROWS = 25, 4
 WORD = re.compile(rf"[^{SPACE}]+")
 _LOWER = {c: c + 32 for c in range(65, 91)}
 
@@ -180,13 +190,108 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return own.join(labels, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def shingle_set(text: str | None) -> np.ndarray:
+    """Distinct XXH64 values of a text's 5-word shingles, sorted; of a shorter text, that of all its words."""
+    words = WORD.findall((text or "").translate(_LOWER))
+    n = max(len(words) - STAGE_SHINGLE + 1, 1)
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(" ".join(words[k : k + STAGE_SHINGLE]), SEED) for k in range(n)), np.uint64, n))
+
+
+@cache
+def _multipliers() -> tuple[np.ndarray, np.ndarray]:
+    """Odd factors of the min-hashes, and of the rows within a band's key."""
+    odd = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * BAND_ROWS + BAND_ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+    return odd[: BANDS * BAND_ROWS], odd[BANDS * BAND_ROWS :]
+
+
+def band_keys(shingles: np.ndarray) -> np.ndarray:
+    """BANDS keys (signed) of a set of shingles."""
+    factors, mixers = _multipliers()
+    least = np.full(factors.size, np.iinfo(np.uint64).max, np.uint64)
+    for start in range(0, shingles.size, 10_000):
+        np.minimum(least, (factors[:, None] * shingles[None, start : start + 10_000]).min(1), out=least)
+    keys = (least.reshape(BANDS, BAND_ROWS) * mixers).sum(1, dtype=np.uint64)
+    return ((keys ^ (keys >> np.uint64(29))) * mixers[0] + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
+
+
+def _node() -> Column:
+    """A text's number; equal texts have one."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
+def with_bands(docs: DataFrame) -> DataFrame:
+    """doc_id, node and keys (of its bands) of each row of docs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, 2):
+            keys = [band_keys(shingle_set(t)) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "node", "keys"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", _node().alias("node"), "text").mapInArrow(run, f"doc_id {kind}, node long, keys array<long>")
+
+
+def similar(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) of nodes whose texts have a similarity of SIMILAR or more, written."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, mine = None, None
+        for whole in batches:
+            for batch in small_batches([whole], 3):
+                a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+                keep = []
+                for k in range(batch.num_rows):
+                    if a[k] != last:
+                        last, mine = a[k], shingle_set(batch.column(2)[k].as_py())
+                    other = shingle_set(batch.column(3)[k].as_py())
+                    common = np.intersect1d(mine, other, assume_unique=True).size
+                    keep.append(common >= SIMILAR * (mine.size + other.size - common))
+                yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    pairs = materialise(pairs, "pairs")
+    needed = pairs.select(F.col("a").alias("needed")).union(pairs.select(F.col("b").alias("needed"))).distinct()
+    texts = docs.select(_node().alias("node"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = materialise(texts.join(needed, texts["node"] == needed["needed"], "left_semi").groupBy("node").agg(F.first("text").alias("text")), "texts")
+    left, right = (texts.select(F.col("node").alias(x), F.col("text").alias(f"{x}_text")) for x in "ab")
+    return materialise(pairs.join(right, "b").join(left, "a").select("a", "b", "a_text", "b_text").mapInArrow(run, "a long, b long"), "similar")
+
+
+def _pairs(df: DataFrame, a: str, b: str) -> DataFrame:
+    return df.filter(F.col(a) != F.col(b)).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
+
+
+def similar_groups(docs: DataFrame) -> DataFrame:
+    """doc_id and component_id (the smallest doc_id reachable over similar texts) of each row of docs."""
+    own = materialise(with_bands(docs), "bands")
+    nodes = materialise(own.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.first("keys").alias("keys")), "nodes")
+    buckets = nodes.select("node", F.explode("keys").alias("key"))
+    ends = buckets.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high")
+    shared = materialise(buckets.join(ends, "key"), "buckets")
+    found = similar(_pairs(shared, "node", "low").union(_pairs(shared, "node", "high")).distinct(), docs)
+    roots = components(found)
+    # what the first and last of a bucket did not join: all pairs across components that are not tested yet
+    inner = shared.filter("node <> low and node <> high").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    sizes = inner.groupBy("key", "root").count().groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    open_ = materialise(inner.join(sizes, "key"), "open")
+    x, y = open_.filter("root <> main").alias("x"), open_.alias("y")
+    across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root"))).select(F.col("x.node").alias("m"), F.col("y.node").alias("n"))
+    more = similar(_pairs(across, "m", "n"), docs)
+    if not more.isEmpty():
+        roots = components(found.union(more).distinct())
+    least = roots.join(nodes, "node").groupBy("root").agg(F.min("least_id").alias("component_id"))
+    of_linked = roots.join(least, "root").select("node", "component_id")
+    labels = nodes.join(of_linked, "node", "left").select("node", F.coalesce("component_id", "least_id").alias("component_id"))
+    return own.join(labels, "node").select("doc_id", "component_id")
+
+
 def representatives(docs: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, without those whose doc_id isn't their component's.
+    """The rows of docs, all columns, without those whose doc_id isn't their component's (of similar texts).
 
     Rows without an id stay; of rows that repeat id and text one stays. What goes is written first: Spark then knows its
     size, and broadcasts it or shuffles accordingly, so texts are shuffled only where many of them go.
     """
-    found = materialise(near_duplicates(docs), "components")
+    found = materialise(similar_groups(docs), "components")
     gone = materialise(found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__gone")).distinct(), "gone")
     repeated = materialise(found.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("__repeated")), "repeated")
     left = docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")

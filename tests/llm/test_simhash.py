@@ -105,3 +105,34 @@ def test_empty_and_null_ids(documents):
     assert op.representatives(documents([])).count() == 0
     rows = op.near_duplicates(documents([(None, "a b c d"), (None, "a b c d")])).collect()
     assert [r["component_id"] for r in rows] == [None, None]
+
+
+def jaccard(a, b):
+    """Of the 5-word shingles, by plain sets."""
+    x, y = ({tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))} for w in (a.lower().split(), b.lower().split()))
+    return len(x & y) / len(x | y)
+
+
+def test_stage_groups_by_five_word_similarity(documents):
+    rng = random.Random(11)
+    texts, vocabulary = [None, "", "  ", "one two", "ONE  two", "one three"], [f"w{k}" for k in range(500)]
+    for _ in range(40):
+        words = [rng.choice(vocabulary) for _ in range(rng.randrange(60, 250))]
+        texts.append(" ".join(words))
+        for _ in range(rng.randrange(5)):
+            near = list(words)
+            for _ in range(rng.randrange(1, 7)):
+                near[rng.randrange(len(near))] = "changed"
+            texts.append(" ".join(near))
+    ids = dict(enumerate(texts))
+    root = {k: k for k in ids}
+    for a in ids:
+        for b in ids:
+            if a < b and jaccard(ids[a] or "", ids[b] or "") >= 0.8 and root[a] != root[b]:
+                low, high = sorted((root[a], root[b]))
+                root = {k: low if r == high else r for k, r in root.items()}
+    docs = documents(ids)
+    assert {r["doc_id"]: r["component_id"] for r in op.similar_groups(docs).collect()} == root
+    assert {r["doc_id"] for r in op.representatives(docs).collect()} == set(root.values())
+    # the query's link alone leaves many of these apart
+    assert {r["doc_id"]: r["component_id"] for r in op.near_duplicates(docs).collect()} != root
