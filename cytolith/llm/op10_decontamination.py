@@ -3,9 +3,16 @@
 Numbers, names and units of a text become typed placeholders (<num>, <name>, <unit>); the rest is lower-cased and loses
 punctuation after a word. Tokens keep their places, so a canonical window and its raw words line up. Windows of WINDOW
 canonical tokens of every document are hashed and joined with those of the benchmark's items; equal windows give slots,
-the pairs of benchmark word and document word under each placeholder. Over all windows of a document and an item, each
-benchmark value must stand for one document value: a question with other numbers or names passes, a chance likeness does
-not. A document is contaminated by an item if its consistent windows cover COVERED of the item's tokens.
+the pairs of benchmark word and document word under each placeholder. Within an occurrence each benchmark value must
+stand for one document value: a question with other numbers or names passes, a chance likeness does not. Windows of one
+text at one offset from the item are an alignment. From each consistent alignment on, others that agree with what is
+taken so far join it, the longest first, and so do all windows without slots (a copy with words put in has several
+alignments). A document is contaminated by an item if one such union covers COVERED of the item's tokens; that of the
+longest alignment is reported if it does, else the widest. Of an alignment that contradicts itself only the windows
+without slots count.
+
+Windows with fewer than LITERAL literal tokens say little by their shape: they match where the raw words are equal, in
+lower case and without marks around them.
 
 The items' hashes are broadcast if there are at most BROADCAST_WINDOWS of them (16 bytes each): then one pass over the
 texts, without a shuffle, gives the matching windows, which are written. A larger benchmark is joined by shuffle, on
@@ -26,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import SPACE, materialise
 
 WINDOW = 8
-#: Share of a window's tokens that are no placeholders, at least.
+#: Share of a window's tokens that are no placeholders, at least, for a match by template; else raw words must be equal.
 LITERAL = 0.5
 #: Share of an item's tokens that matching windows cover, at least.
 COVERED = 0.4
@@ -60,23 +67,43 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _hashes(tokens: Column, size: int) -> Column:
-    """Hash of the window of so many tokens from each position on; null if there are fewer tokens."""
-    return F.when(F.size(tokens) >= size, F.transform(F.sequence(F.lit(1), F.size(tokens) - size + 1), lambda i: F.xxhash64(F.slice(tokens, i, F.lit(size)))))
+def _bare(word: Column) -> Column:
+    """A word without marks around it, in lower case: a slot's value."""
+    return F.regexp_replace(F.lower(word), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
+
+
+def _slotted(tokens: Column) -> Column:
+    """How many canonical tokens hold placeholders, the only ones with angle brackets."""
+    return F.size(F.filter(tokens, lambda w: F.contains(w, F.lit("<"))))
+
+
+def _is_verbatim(window: Column, size: Column) -> Column:
+    """Whether a canonical window has too few literal tokens to match by template."""
+    return size - _slotted(window) < F.ceil(F.lit(LITERAL) * size)
+
+
+def _hashes(tokens: Column, raw: Column, size: int) -> Column:
+    """Hash of the window of so many tokens from each position on, of its bare raw words if it matches verbatim; null if there are fewer tokens."""
+    places = F.sequence(F.lit(1), F.size(tokens) - size + 1)
+    part = lambda words, i: F.slice(words, i, F.lit(size))
+    either = lambda i: F.when(_is_verbatim(part(tokens, i), F.lit(size)), F.xxhash64(F.transform(part(raw, i), _bare))).otherwise(F.xxhash64(part(tokens, i)))
+    # a text with few placeholders has no verbatim window
+    few = ~_is_verbatim(tokens, F.lit(size))
+    return F.when(F.size(tokens) >= size, F.when(few, F.transform(places, lambda i: F.xxhash64(part(tokens, i)))).otherwise(F.transform(places, either)))
 
 
 def _matching(docs: DataFrame, hashes: DataFrame, sizes: list[int]) -> DataFrame:
-    """doc_id, size, hash, d_window, d_words of the documents' windows whose (h_size, h_hash) is listed, by broadcast.
+    """doc_id, row (hash of the text), size, hash, d_pos, d_window, d_words of the documents' windows whose (h_size, h_hash) is listed, by broadcast.
 
     Exploding and probing are one generated loop: tokens and words go along by reference, and only matches are rows.
     """
-    tokens = docs.select("doc_id", canonical_tokens(F.col("text")).alias("tokens"), raw_tokens(F.col("text")).alias("raw"))
+    tokens = docs.select("doc_id", F.xxhash64("text").alias("row"), canonical_tokens(F.col("text")).alias("tokens"), raw_tokens(F.col("text")).alias("raw"))
     parts = []
     for size in sizes:
         # outer: else a filter on the array's size is inferred, and all hashes are computed twice
-        placed = tokens.select("doc_id", "tokens", "raw", _hashes(F.col("tokens"), size).alias("hashes")).select("doc_id", "tokens", "raw", F.posexplode_outer("hashes").alias("pos", "hash"))
+        placed = tokens.select("doc_id", "row", "tokens", "raw", _hashes(F.col("tokens"), F.col("raw"), size).alias("hashes")).select("doc_id", "row", "tokens", "raw", F.posexplode_outer("hashes").alias("pos", "hash"))
         hit = placed.join(F.broadcast(hashes.filter(F.col("h_size") == size)), F.col("hash") == F.col("h_hash"), "left_semi")
-        parts.append(hit.select("doc_id", F.lit(size).alias("size"), "hash", F.slice("tokens", F.col("pos") + 1, F.lit(size)).alias("d_window"), F.slice("raw", F.col("pos") + 1, F.lit(size)).alias("d_words")))
+        parts.append(hit.select("doc_id", "row", F.lit(size).alias("size"), "hash", F.col("pos").alias("d_pos"), F.slice("tokens", F.col("pos") + 1, F.lit(size)).alias("d_window"), F.slice("raw", F.col("pos") + 1, F.lit(size)).alias("d_words")))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -84,13 +111,13 @@ def _matching_by_shuffle(docs: DataFrame, hashes: DataFrame, sizes: list[int]) -
     """As _matching, for a benchmark of any size: narrow rows (doc_id, position, hash) are joined, and texts met again."""
     parts = []
     for size in sizes:
-        every = _let(canonical_tokens(F.col("text")), lambda t: _hashes(t, size))  # noqa: B023
+        every = _let(F.struct(canonical_tokens(F.col("text")).alias("c"), raw_tokens(F.col("text")).alias("r")), lambda t: _hashes(t["c"], t["r"], size))  # noqa: B023
         parts.append(docs.select("doc_id", every.alias("hashes")).select("doc_id", F.lit(size).alias("size"), F.posexplode_outer("hashes").alias("pos", "hash")))
     mine = reduce(DataFrame.unionByName, parts)
     hit = mine.join(hashes, (mine["hash"] == hashes["h_hash"]) & (mine["size"] == hashes["h_size"]), "left_semi")
     places = materialise(hit.groupBy("doc_id").agg(F.collect_set(F.struct("size", "pos")).alias("places")), "places").withColumnRenamed("doc_id", "p_id")
-    found = docs.join(places, docs["doc_id"].eqNullSafe(places["p_id"])).select("doc_id", F.explode_outer(_spelled(F.col("text"), F.col("places"))).alias("w"))
-    return found.select("doc_id", F.col("w.size").alias("size"), F.xxhash64("w.window").alias("hash"), F.col("w.window").alias("d_window"), F.col("w.words").alias("d_words"))
+    found = docs.join(places, docs["doc_id"].eqNullSafe(places["p_id"])).select("doc_id", F.xxhash64("text").alias("row"), F.explode_outer(_spelled(F.col("text"), F.col("places"))).alias("w"))
+    return found.select("doc_id", "row", F.col("w.size").alias("size"), _hash_of(F.col("w")).alias("hash"), F.col("w.pos").alias("d_pos"), F.col("w.window").alias("d_window"), F.col("w.words").alias("d_words"))
 
 
 def _spelled(text: Column, places: Column) -> Column:
@@ -101,6 +128,11 @@ def _spelled(text: Column, places: Column) -> Column:
     )
 
 
+def _hash_of(w: Column) -> Column:
+    """As _hashes, of one spelled window."""
+    return F.when(_is_verbatim(w["window"], w["size"]), F.xxhash64(F.transform(w["words"], _bare))).otherwise(F.xxhash64(w["window"]))
+
+
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> tuple[DataFrame, list[int]]:
     """item_id, n_tokens, size, i_pos, hash, i_window, i_words of the items' windows; the sizes in use (window of them at most)."""
     items = benchmark.select("item_id", "text", F.size(canonical_tokens(F.col("text"))).alias("n_tokens")).filter("n_tokens > 0")
@@ -108,14 +140,26 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> tuple[DataF
     size = F.least(F.lit(window), F.col("n_tokens"))
     places = F.transform(F.sequence(F.lit(0), F.col("n_tokens") - size), lambda p: F.struct(size.alias("size"), p.alias("pos")))
     out = items.select("item_id", "n_tokens", F.explode_outer(_spelled(F.col("text"), places)).alias("w"))
-    literal = F.size(F.filter("w.window", lambda w: ~F.regexp_like(w, F.lit(SLOT))))
-    out = out.filter(literal >= F.ceil(F.lit(LITERAL) * F.col("w.size")))
-    return out.select("item_id", "n_tokens", "w.size", F.col("w.pos").alias("i_pos"), F.xxhash64("w.window").alias("hash"), F.col("w.window").alias("i_window"), F.col("w.words").alias("i_words")), sizes
+    out = out.filter(~_is_verbatim(F.col("w.window"), F.col("w.size")))
+    return out.select("item_id", "n_tokens", "w.size", F.col("w.pos").alias("i_pos"), _hash_of(F.col("w")).alias("hash"), F.col("w.window").alias("i_window"), F.col("w.words").alias("i_words")), sizes
 
 
-def _bare(word: Column) -> Column:
-    """A slot's value: the word without marks around it."""
-    return F.regexp_replace(F.lower(word), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
+def _unions(units: Column, size: Column) -> Column:
+    """Of a document's consistent alignments, the widest first: the union (covered, n, slots) from the first, or the widest from any."""
+    kind = "struct<places:array<int>,binds:array<struct<i:string,d:string>>,n:bigint>"
+
+    def joined(acc: Column, u: Column) -> Column:
+        both = F.array_union(acc["binds"], u["binds"])
+        agree = F.size(F.array_distinct(F.transform(both, lambda b: b["i"]))) == F.size(both)
+        return F.when(agree, F.struct(F.array_union(acc["places"], u["places"]).alias("places"), both.alias("binds"), (acc["n"] + u["n"]).alias("n")).cast(kind)).otherwise(acc)
+
+    def union(seed: Column) -> Column:
+        rest = F.filter(units, lambda u: u["binds"] != seed["binds"])
+        start = F.struct(seed["places"].alias("places"), seed["binds"].alias("binds"), seed["n"].alias("n")).cast(kind)
+        covered = lambda acc: F.size(F.array_distinct(F.flatten(F.transform(acc["places"], lambda p: F.sequence(p, p + size - 1)))))
+        return F.aggregate(rest, start, joined, lambda acc: F.struct(covered(acc).cast("long").alias("covered"), acc["n"].alias("n"), F.size(acc["binds"]).cast("long").alias("slots")))
+
+    return _let(union(units[0]), lambda first: F.when(first["covered"] >= F.col("least"), first).otherwise(F.array_max(F.transform(units, union))))
 
 
 def contaminations(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, covered: float = COVERED, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
@@ -127,25 +171,25 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     hashes = of_items.select(F.col("size").alias("h_size"), F.col("hash").alias("h_hash")).distinct()
     match = _matching if hashes.count() <= broadcast_windows else _matching_by_shuffle
     hit = materialise(match(docs.select("doc_id", "text"), hashes, sizes), "matches")
-    both = hit.join(of_items.withColumnsRenamed({"size": "i_size", "hash": "i_hash"}), (F.col("hash") == F.col("i_hash")) & (F.col("d_window") == F.col("i_window")))
+    alike = F.when(_is_verbatim(F.col("i_window"), F.col("i_size")), F.transform("d_words", _bare) == F.transform("i_words", _bare)).otherwise(F.lit(True))
+    both = hit.join(of_items.withColumnsRenamed({"size": "i_size", "hash": "i_hash"}), (F.col("hash") == F.col("i_hash")) & (F.col("d_window") == F.col("i_window")) & alike)
     slots = F.filter(
         F.transform("i_window", lambda w, k: F.struct(F.regexp_like(w, F.lit(SLOT)).alias("slot"), _bare(F.col("i_words")[k]).alias("i"), _bare(F.col("d_words")[k]).alias("d"))),
         lambda s: s["slot"],
     )
-    both = both.select("doc_id", "item_id", "n_tokens", "size", "i_pos", slots.alias("slots"))
     pair = ["__doc", "__item"]
-    keyed = both.withColumns({"__doc": F.struct("doc_id"), "__item": F.struct("item_id")})
-    values = keyed.select(*pair, F.explode("slots").alias("s")).groupBy(*pair, "s.i").agg(F.min("s.d").alias("low"), F.max("s.d").alias("high"))
-    unlike = values.groupBy(*pair).agg(F.count("*").alias("n_slots"), F.sum((F.col("low") != F.col("high")).cast("int")).alias("n_unlike"))
-    # without slots that disagree all windows count; else those that have no slots
-    judged = keyed.join(unlike, pair, "left").filter((F.coalesce("n_unlike", F.lit(0)) == 0) | (F.size("slots") == 0))
-    places = judged.select(*pair, "n_tokens", "n_slots", "i_pos", F.explode(F.sequence("i_pos", F.col("i_pos") + F.col("size") - 1)).alias("at"))
-    summed = (
-        places.groupBy(*pair, "at").agg(F.max("n_tokens").alias("item_tokens"), F.max("n_slots").alias("n_slots"), F.sum((F.col("at") == F.col("i_pos")).cast("long")).alias("n"))
-        .groupBy(*pair).agg(F.sum("n").alias("n_windows"), F.count("*").alias("covered_tokens"), F.max("item_tokens").alias("item_tokens"), F.max("n_slots").alias("n_slots"))
-    )
-    return summed.filter(F.col("covered_tokens") >= F.ceil(F.lit(covered) * F.col("item_tokens"))).select(
-        F.col("__doc.doc_id").alias("doc_id"), F.col("__item.item_id").alias("item_id"), "n_windows", "covered_tokens", "item_tokens", F.coalesce("n_slots", F.lit(0).cast("long")).alias("n_slots")
+    keyed = both.select(F.struct("doc_id").alias("__doc"), F.struct("item_id").alias("__item"), "n_tokens", "size", "i_pos", "row", (F.col("d_pos") - F.col("i_pos")).alias("offset"), slots.alias("slots"))
+    keyed = keyed.select("*", F.transform("slots", lambda x: F.struct(x["i"].alias("i"), x["d"].alias("d"))).alias("said"))
+    aligned = keyed.groupBy(*pair, "n_tokens", "size", "row", "offset", (F.size("said") > 0).alias("slotted")).agg(
+        F.collect_set("i_pos").alias("places"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("said")))).alias("binds"), F.count("*").alias("n")
+    )
+    aligned = aligned.filter(F.size(F.array_distinct(F.transform("binds", lambda b: b["i"]))) == F.size("binds"))
+    # alignments of equal slot values agree, as do all windows without slots
+    units = aligned.groupBy(*pair, "n_tokens", "size", "binds").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("places")))).alias("places"), F.sum("n").alias("n"))
+    listed = units.groupBy(*pair, "n_tokens", "size").agg(F.sort_array(F.collect_list(F.struct((F.size("binds") == 0).alias("plain"), F.size("places").alias("width"), "n", "places", "binds")), asc=False).alias("units"))
+    widest = listed.withColumn("least", F.ceil(F.lit(covered) * F.col("n_tokens"))).withColumn("u", _unions(F.col("units"), F.col("size")))
+    return widest.filter(F.col("u.covered") >= F.col("least")).select(
+        F.col("__doc.doc_id").alias("doc_id"), F.col("__item.item_id").alias("item_id"), F.col("u.n").alias("n_windows"), F.col("u.covered").alias("covered_tokens"), F.col("n_tokens").alias("item_tokens"), F.col("u.slots").alias("n_slots")
     )
 
 

@@ -95,3 +95,11 @@ def test_planted_passages_of_the_small_tables(spark, sf_dir):
 def test_main_path_is_native(documents, items):
     plan = op.contaminations(documents(["a"]), items)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Cartesian" not in plan
+
+
+def test_slots_agree_by_occurrence(documents, items):
+    exact = "The farmer, Tom, sold 12 apples to Tom and 15 pears to Mary on the market day"
+    other = "The farmer, Bob, sold 7 apples to Bob and 9 pears to Sue on the market day"
+    odd = "The farmer, Bob, sold 7 apples to Jim and 9 pears to Sue on the market day"
+    docs = documents({1: f"{exact} then {other}", 2: f"{odd} {exact}", 3: f"{odd} {odd}", 4: "The farmer, Tom, sold 12 apples to Tom and 15 pears, well, to Mary on the market day"})
+    assert found(docs, items) == {(1, 4), (2, 4), (4, 4)}
