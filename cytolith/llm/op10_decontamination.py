@@ -140,7 +140,6 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> tuple[DataF
     size = F.least(F.lit(window), F.col("n_tokens"))
     places = F.transform(F.sequence(F.lit(0), F.col("n_tokens") - size), lambda p: F.struct(size.alias("size"), p.alias("pos")))
     out = items.select("item_id", "n_tokens", F.explode_outer(_spelled(F.col("text"), places)).alias("w"))
-    out = out.filter(~_is_verbatim(F.col("w.window"), F.col("w.size")))
     return out.select("item_id", "n_tokens", "w.size", F.col("w.pos").alias("i_pos"), _hash_of(F.col("w")).alias("hash"), F.col("w.window").alias("i_window"), F.col("w.words").alias("i_words")), sizes
 
 

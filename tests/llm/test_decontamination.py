@@ -103,3 +103,10 @@ def test_slots_agree_by_occurrence(documents, items):
     odd = "The farmer, Bob, sold 7 apples to Jim and 9 pears to Sue on the market day"
     docs = documents({1: f"{exact} then {other}", 2: f"{odd} {exact}", 3: f"{odd} {odd}", 4: "The farmer, Tom, sold 12 apples to Tom and 15 pears, well, to Mary on the market day"})
     assert found(docs, items) == {(1, 4), (2, 4), (4, 4)}
+
+
+def test_windows_of_few_literal_tokens_match_verbatim(documents, spark):
+    items = spark.createDataFrame([(1, "Sort 5 3 9 1 7 2 8", "x"), (2, "7 4 1 9 3 8 2 6 5 0 11 12 13", "x")], ITEMS)
+    docs = documents({1: "please sort 5 3 9 1 7 2 8, thanks", 2: "please sort 5 3 9 1 7 2 4 thanks", 3: "so 7 4 1 9 3 8 2 6 5 0 11 12 13 it is", 4: "so 7 4 1 9 3 8 3 7 5 0 11 12 13 it is"})
+    assert found(docs, items) == {(1, 1), (3, 2)}
+    assert found(docs, items) == {(r["doc_id"], r["item_id"]) for r in op.contaminations(docs, items, broadcast_windows=0).collect()}
