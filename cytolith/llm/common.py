@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters of text that one inner batch of a Python operator holds at most (a longer text is a batch of its own).
 BATCH_CHARS = 2_000_000
 
+#: Code points of a block that parts of a text are cut from.
+BLOCK = 2048
+
 #: White space of the word definition, as a character class body.
 SPACE = r"\x20\x09-\x0D"
 
@@ -65,23 +68,74 @@ def small_batches(batches: Iterable[pa.RecordBatch], text: int, chars: int = BAT
             start = stop
 
 
-def spans_of(column: F.col, regex: str):
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once a row, however often body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def running(values: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """Running results of an associative function over an array, in log n rounds over all of it.
+
+    In round k each element takes in the one 2^k before it. Growing an array element by element would copy it each time.
+    """
+
+    def rounds(v: Column) -> Column:
+        last = F.ceil(F.log2(F.size(v).cast("double"))).cast("int") - 1
+        step = lambda now, k: let(F.call_function("shiftleft", F.lit(1), k), lambda d: F.transform(now, lambda x, i: F.when(i >= d, join(F.get(now, i - d), x)).otherwise(x)))
+        return F.when(F.size(v) < 2, v).otherwise(F.aggregate(F.sequence(F.lit(0), last), v, step))
+
+    return let(values, rounds)
+
+
+def spans_of(column: Column, regex: str) -> Column:
     """Array of struct(start, end, text) of the leftmost non-overlapping matches of a regex, in code points, end exclusive.
 
     The matches and the gaps between them come from the same matcher, so the running sum of their lengths gives
     positions without a sentinel in the text. The regex must not match the empty string.
     """
-    found = F.regexp_extract_all(column, F.lit(regex), F.lit(0))
-    gaps = F.split(column, regex, -1)
-    ends = F.aggregate(
-        F.arrays_zip(F.transform(found, F.length).alias("m"), F.transform(gaps, F.length).alias("g")),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out")),
-        lambda acc, x: F.when(x["m"].isNull(), acc).otherwise(
-            F.struct(
-                (acc["at"] + x["g"] + x["m"]).alias("at"),
-                F.concat(acc["out"], F.array(F.struct((acc["at"] + x["g"]).alias("start"), (acc["at"] + x["g"] + x["m"]).alias("end")))).alias("out"),
+
+    def placed(x: Column) -> Column:
+        lengths = F.transform(x["found"], lambda t, i: F.length(t) + F.length(F.get(x["gaps"], i)))
+        ends = running(lengths, lambda a, b: a + b)
+        return F.zip_with(ends, x["found"], lambda e, t: F.struct((e - F.length(t)).alias("start"), e.alias("end"), t.alias("text")))
+
+    return let(F.struct(F.regexp_extract_all(column, F.lit(regex), F.lit(0)).alias("found"), F.split(column, regex, -1).alias("gaps")), placed)
+
+
+def slices(text: Column, spans: Column) -> Column:
+    """Array of the parts of a text at spans (struct with start and end, in code points), in the time it takes to read them.
+
+    A substring is counted from the start of its string: the text is cut into blocks first, and each part from its own.
+    """
+
+    def cut(x: Column) -> Column:
+        blocks, b = x["blocks"], F.lit(BLOCK)
+
+        def part(s: Column) -> Column:
+            at = lambda place: F.floor(place / b).cast("int")
+            first, last = at(s["start"]), at(s["end"] - 1)
+            own = F.substring(F.get(blocks, first), s["start"] - first * b + 1, s["end"] - s["start"])
+            return F.when(s["end"] <= s["start"], "").when(first == last, own).otherwise(
+                F.concat(own, F.array_join(F.slice(blocks, first + 2, last - first - 1), ""), F.substring(F.get(blocks, last), F.lit(1), s["end"] - last * b))
             )
-        ),
-        lambda acc: acc["out"],
-    )
-    return F.zip_with(ends, found, lambda p, t: F.struct(p["start"].alias("start"), p["end"].alias("end"), t.alias("text")))
+
+        return F.transform(x["spans"], part)
+
+    return let(F.struct(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0)).alias("blocks"), spans.alias("spans")), cut)
+
+
+def replaced(text: Column, spans: Column, label: Callable[[Column], Column]) -> Column:
+    """The text with spans (structs with start and end, sorted by start) replaced by their labels; of overlapping spans the first one is named and all are covered."""
+
+    def done(s: Column) -> Column:
+        reach = running(F.transform(s, lambda x: x["end"]), lambda a, b: F.greatest(a, b))
+
+        def around(r: Column) -> Column:
+            before = lambda i: F.coalesce(F.when(i > 0, F.get(r, i - 1)), F.lit(0))
+            heads = F.filter(F.transform(s, lambda x, i: F.struct(before(i).alias("from"), x.alias("x"))), lambda h: h["x"]["start"] >= h["from"])
+            gaps = F.concat(F.transform(heads, lambda h: F.struct(h["from"].alias("start"), h["x"]["start"].alias("end"))), F.array(F.struct(F.array_max(r).alias("start"), F.length(text).alias("end"))))
+            return let(F.struct(slices(text, gaps).alias("gaps"), F.transform(heads, lambda h: label(h["x"])).alias("labels")), lambda p: F.array_join(F.zip_with(p["gaps"], p["labels"], lambda g, n: F.concat(g, F.coalesce(n, F.lit("")))), ""))
+
+        return let(reach, around)
+
+    return F.when(F.size(spans) == 0, text).otherwise(let(spans, done))

@@ -9,7 +9,8 @@ Matches of a rule are leftmost and non-overlapping; a match that fails the rule'
 points, end exclusive.
 
 Defined results: null text has no spans, as has an empty one. Rows that share a doc_id share candidates, and each is
-verified on its own text; null ids are one id here. Extra columns are ignored; an empty table gives an empty result.
+verified on its own text; null ids are one id here. Extra columns are ignored; an empty table gives an empty result. A
+very long text is read whole, in time that grows as n log n with its matches.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ except ImportError:  # before Python 3.11
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, materialise, spans_of
+from .common import fresh, materialise, replaced, spans_of
 
 
 @dataclass(frozen=True)
@@ -211,13 +212,5 @@ def report(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """docs with each span of its text replaced by [kind]; of overlapping spans the first one is named and all are covered."""
     text, found = F.col("text"), fresh(docs, "found")
-    done = F.aggregate(
-        found,
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda acc, s: F.when(s["start"] < acc["at"], F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))).otherwise(
-            F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), s["kind"], F.lit("]")).alias("out"))
-        ),
-        lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))),
-    )
-    new = F.when(F.size(found) == 0, text).otherwise(done)
+    new = replaced(text, F.col(found), lambda s: F.concat(F.lit("["), s["kind"], F.lit("]")))
     return scan(docs, rules, found).select(*(new.alias(c) if c == "text" else F.col(c) for c in docs.columns))
