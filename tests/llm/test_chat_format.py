@@ -56,6 +56,12 @@ def test_records_of_all_layouts(spark):
         '{"question":"q","answer":"a"}': two,
         '{"data":{"prompt":"q","response":"a"}}': two,
         '{"prompt":"q","response":null}': [("user", "q"), ("assistant", "")],
+        '{"instruction":"q","input":"","output":"a","text":"all of it"}': two,
+        '{"system":"s","conversations":[{"from":"human","value":"q"},{"from":"gpt","value":"a"}]}': [("system", "s"), *two],
+        '{"system":"s","instruction":"q","output":"a"}': [("system", "s"), *two],
+        '{"prompt":"q","messages":[{"role":"user","content":"q"},{"role":"assistant","content":"a"}]}': two,
+        '{"role":"x","turn":1,"text":"t","messages":[{"content":"q"},{"role":"user"},null,{"role":"assistant","content":"a"}]}': [("", "q"), ("user", ""), ("assistant", "a")],
+        '{"messages":[]}': None,
         "no json": None,
         '{"other":1}': None,
     }
@@ -69,8 +75,31 @@ def test_typed_frames_and_fingerprints(spark):
     assert [tuple(t) for t in op.from_frame(messages).first()["turns"]] == [("user", "q"), ("assistant", "")]
     nested = spark.createDataFrame([(("q", "a"),)], "data struct<prompt:string,response:string>")
     assert [tuple(t) for t in op.from_frame(nested).first()["turns"]] == [("user", "q"), ("assistant", "a")]
+    beside = spark.createDataFrame([([("user", "q"), ("assistant", "a")], "s", "x", "y", 1)], "messages array<struct<role:string,content:string>>, system string, text string, role string, turn int")
+    assert [tuple(t) for t in op.from_frame(beside).first()["turns"]] == [("system", "s"), ("user", "q"), ("assistant", "a")]
     with pytest.raises(ValueError):
         op.from_frame(spark.createDataFrame([(1,)], "x int"))
     assert len(op.BY_FINGERPRINT) == len(op.LAYOUTS)
     paths = frozenset({"prompt", "response"})
     assert spark.range(1).select(F.xxhash64(F.lit("|".join(sorted(paths))))).first()[0] == op.fingerprint(paths)
+
+
+def test_records_without_a_layout_are_counted(spark):
+    df = spark.createDataFrame([('{"prompt":"q","response":"a"}', "x"), ('{"prompt":"q"}', "y"), ('{"prompt":"p","z":1}', "z"), (None, "n"), ("", "e")], "record string, paths string")
+    done, rejects = op.format_records(df)
+    assert [r["formatted"] for r in done.collect()] == ["<turn user>q</turn><turn assistant>a</turn>"]
+    assert sorted(r["paths"] for r in rejects.collect()) == ["e", "n", "y", "z"]
+    assert {tuple(r) for r in op.reject_counts(rejects, "_paths").collect()} == {("prompt", 2), ("", 2)}
+
+
+def test_very_long_conversations(spark):
+    many = spark.range(100_000).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.lit("<ü>").alias("text"))
+    long = spark.range(1).select(F.lit(2).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.lit("assistant").alias("role"), F.repeat(F.lit("a[b&c "), 1_700_000).alias("text"))
+    got = {r["conv_id"]: r for r in op.report(many.unionByName(long)).collect()}
+    assert (got[1]["n_turns"], got[1]["loss_chars"], got[1]["loss_sha256"]) == (100_000, 150_000, digest("<ü>" * 50_000))
+    assert (got[2]["n_turns"], got[2]["loss_sha256"]) == (1, digest("a[b&c " * 1_700_000))
+
+
+def test_main_path_is_native(spark):
+    plan = op.report(spark.createDataFrame([(1, 0, "user", "x", "x")], ROWS))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
