@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -10,6 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Characters of text that one inner batch of a Python operator holds at most (a longer text is a batch of its own).
 BATCH_CHARS = 2_000_000
@@ -17,6 +19,9 @@ BATCH_CHARS = 2_000_000
 #: Code points of a block that parts of a text are cut from.
 BLOCK = 2048
 
+#: Parts of a table of which a join's key may hold one before it is dealt over several tasks.
+SHARES = 1000
+
 #: White space of the word definition, as a character class body.
 SPACE = r"\x20\x09-\x0D"
 
@@ -27,15 +32,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; only where that is unset, one of our own."""
+    """The folder that driver and executors share, from spark.checkpoint.dir; a local session may have one of our own."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return str(current.get()).rstrip("/")
-    spark.sparkContext.setCheckpointDir("/tmp/checkpoints")
-    return str(spark.sparkContext._jsc.sc().getCheckpointDir().get()).rstrip("/")
+    if not current.isDefined():
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints"))
+        current = spark.sparkContext._jsc.sc().getCheckpointDir()
+    return str(current.get()).rstrip("/")
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
@@ -43,9 +50,42 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Tables that materialise has written and that are still there.
+WRITTEN: list[str] = []
+
+
+def discard(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Delete tables of materialise that nothing reads any more."""
+    jvm = spark.sparkContext._jvm
+    for path in list(paths):
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        WRITTEN.remove(path)
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", shares: int = SHARES) -> DataFrame:
+    """left joined with right on a column, of which some values may hold a large part of left's rows.
+
+    A value with more than 1 / shares of left's rows (there are fewer than shares of them, so they are collected and
+    broadcast) is dealt over as many tasks as it has such shares; right's rows with it are repeated for each of them.
+    left is read twice: it should be a written table.
+    """
+    counts = left.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
+    total = left.count()
+    heavy = counts.filter(F.col("n") * shares > total).select(key, F.ceil(F.col("n") * shares / F.lit(float(max(total, 1)))).cast("int").alias("__salts")).collect() if total > shares else []
+    if not heavy:
+        return left.join(right, key, how)
+    dealt = F.broadcast(left.sparkSession.createDataFrame(heavy, T.StructType([left.schema[key], T.StructField("__salts", T.IntegerType())])))
+    salts = F.coalesce("__salts", F.lit(1))
+    one = left.join(dealt, key, "left").withColumn("__salt", F.pmod(F.xxhash64(*[c for c, kind in left.dtypes if not kind.startswith("map")]), salts).cast("int")).drop("__salts")
+    other = right.join(dealt, key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("__salts")
+    return one.join(other, [key, "__salt"], how).drop("__salt")
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name like this one that df doesn't have, in any case of letters."""
     taken = {c.lower() for c in df.columns}

@@ -3,33 +3,40 @@
 Fingerprint: 64 bits, each 1 if it is set in more than half of the XXH64 values (UTF-8, seed 42) of the text's 3-word
 shingles. Fingerprints link at MAX_DISTANCE (3) or fewer differing bits.
 
-Candidates. A fingerprint is cut into three segments (22, 21 and 21 bits), each padded to a word of the perfect binary
-Golay code (23 bits, distance 7). Three errors over three segments leave two segments with at most one error each
-(pigeonhole). If two words differ in at most one bit, the codeword nearest to the first (at distance 3 or less) lies
-within distance 4 of the second, and such codewords are few: the nearest one, and five more if the nearest is at
-distance 3. So each fingerprint is stored under the pair of nearest codeword indices of every two segments (3 keys)
-and asks for all pairs of codewords within distance 4 (3 x 36 keys at most); the equality join on these keys finds
-every link, and the join condition verifies it. No link is lost and no group is expanded: exact copies are one
-fingerprint before the join, and only verified pairs leave it.
+Candidates. A fingerprint is cut into four segments of 16 bits, each padded to a word of the perfect binary Golay code (23
+bits, distance 7). Of three errors over four segments, some three segments hold at most two, in different segments
+(pigeonhole). If two words differ in one bit, the codeword nearest to the first (at distance 3 or less) lies within
+distance 4 of the second, and such codewords are few: the nearest one, and five more if the nearest is at distance 3. So
+of the two segments with an error, one is met by what is near the first fingerprint, the other by what is near the second:
+each fingerprint has, for every three segments, the key of the nearest codeword indices and those with one of the
+three replaced by another near index (4 x 16 keys at most, of 36 bits and the number of the three). Fingerprints that
+link share a key. Exact copies are one fingerprint before that.
+
+Links. Within a key's bucket each fingerprint is compared with the smallest one. What that leaves in different components
+is compared pair by pair, but for pairs of the bucket's largest component; so a dense ball of fingerprints costs its size,
+no bucket is cut and no link between components is lost.
 
 The pipeline's stage (representatives) has a link of its own: a Jaccard similarity of SIMILAR (0.8) or more of the sets
-of 5-word shingles. Candidates share one of BANDS keys, each of BAND_ROWS min-hashes: a pair of similarity 0.8 shares
-none with a chance of 2 in a million, a closer pair with less. Candidates are verified on their texts: each text of a
-bucket with the bucket's first and last one, then, of what is not yet in one component, every pair. So a group of
-copies costs its size, and no bucket is cut.
+of 5-word shingles. At that similarity fingerprints differ in some ten bits, which no few Golay keys cover (of 48 such
+pairs 5 are within 3 bits), so its candidates share one of BANDS keys, each of BAND_ROWS min-hashes: a pair of similarity
+0.8 shares none with a chance of 2 in a million, a closer pair with less. Each text is first compared with its hub, the
+text that most others share buckets with, exactly and on whole texts. Two texts of one hub that are not yet in one
+component differ by what their differences from the hub don't share: they link only if these differences share so many
+shingles, and a bitmap of DELTA_BITS bits of each difference bounds that from above. Pairs beyond the bound, or of too
+unlike sizes, are none; the few others of different components are compared exactly.
 
-Components: alternating large-star and small-star rounds on the links between fingerprints, each written to the shared
-folder. Only fingerprints with a link take part; the rest are their own component.
+Components: alternating large-star and small-star rounds on the links, each written to the shared folder, the last one
+deleted. Only what has a link takes part; the rest are their own component.
 
 Defined results: null and empty texts have fingerprint zero and are one component with whatever links to zero. The
-component of rows whose ids are all null is null. Repeated rows are copies of each other; extra columns are ignored;
-an empty table gives an empty result.
+component of rows whose ids are all null is null. Repeated rows are copies of each other; extra columns are ignored; an
+empty table gives an empty result. A very long text is read in blocks of words; for the stage its distinct shingles are
+held at once. Texts are told apart by a 64-bit hash.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 from itertools import combinations
 
@@ -39,37 +46,63 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, materialise, small_batches
+from .common import WRITTEN, discard, materialise, small_batches, spread_join
 
 SHINGLE = 3
 SEED = 42
 MAX_DISTANCE = 3
-#: Shift and width of the three segments.
-SEGMENTS = ((0, 22), (22, 21), (43, 21))
+#: Shift and width of the segments, and how many of them a key holds.
+SEGMENTS = ((0, 16), (16, 16), (32, 16), (48, 16))
+AGREEING = 3
 #: Generator polynomial of the binary Golay code, x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
 GENERATOR = 0b110001110101
 #: The stage's shingles, and the Jaccard similarity of their sets that links.
 STAGE_SHINGLE = 5
 SIMILAR = 0.8
 BANDS, BAND_ROWS = 25, 4
-WORD = re.compile(rf"[^{SPACE}]+")
-_LOWER = {c: c + 32 for c in range(65, 91)}
+DELTA_BITS = 1024
+#: Bytes of a text that are split into words at a time.
+BLOCK = 1 << 22
+
+
+def word_blocks(text: str | None) -> Iterator[list[bytes]]:
+    """The words of a text in order, A-Z in lower case, some at a time; bytes.lower and bytes.split know ASCII alone."""
+    raw, at = (text or "").encode("utf-8", "surrogatepass").lower(), 0
+    while at < len(raw):
+        end = at + BLOCK
+        while end < len(raw) and raw[end] not in b" \t\n\r\x0b\x0c":
+            end += 1
+        yield raw[at:end].split()
+        at = end
+
+
+def _runs(text: str | None, size: int) -> Iterator[list[bytes]]:
+    """Words in blocks that overlap by one less than a shingle; the whole sequence if it is shorter than one."""
+    held: list[bytes] = []
+    whole = False
+    for words in word_blocks(text):
+        held += words
+        if len(held) >= size:
+            yield held
+            held, whole = held[len(held) - size + 1 :], True
+    if not whole and held:
+        yield held
 
 
 def fingerprint(text: str | None) -> int:
     """64-bit SimHash of a text, unsigned."""
-    words = WORD.findall((text or "").translate(_LOWER))
-    if not words:
-        return 0
-    if len(words) < SHINGLE:
-        shingles = [" ".join(words)]
-    else:
-        shingles = [f"{a} {b} {c}" for a, b, c in zip(words, words[1:], words[2:], strict=False)]
-    digest, total = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
-    for start in range(0, len(shingles), 50_000):
-        h = np.array([digest(s, SEED) for s in shingles[start : start + 50_000]], ">u8")
-        total += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * total > len(shingles)).tobytes(), "big")
+    digest, total, n = xxhash.xxh64_intdigest, np.zeros(64, np.int64), 0
+    for words in _runs(text, SHINGLE):
+        joined = b" ".join(words)
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+        starts = np.concatenate(([0], ends[:-1] + 1))
+        for low in range(0, max(len(words) - SHINGLE + 1, 1), 50_000):
+            first = starts[: max(len(words) - SHINGLE + 1, 1)][low : low + 50_000].tolist()
+            last = ends[SHINGLE - 1 :][low : low + 50_000].tolist() or [len(joined)]
+            h = np.array([digest(joined[a:b], SEED) for a, b in zip(first, last, strict=True)], ">u8")
+            total += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+            n += h.size
+    return int.from_bytes(np.packbits(2 * total > n).tobytes(), "big") if n else 0
 
 
 def with_fingerprints(docs: DataFrame) -> DataFrame:
@@ -115,39 +148,44 @@ def codeword_indices(words: np.ndarray) -> np.ndarray:
     return np.where(errors < 0, -1, (words[:, None] ^ errors) >> 11)
 
 
-def keys_of(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys under which fingerprints are stored (n x 3), and the asked keys with the row they belong to."""
+def keys_of(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of fingerprints, and the row that each belongs to."""
     u = fps.view(np.uint64)
     found = [codeword_indices(((u >> np.uint64(s)) & np.uint64((1 << w) - 1)).astype(np.int64)) for s, w in SEGMENTS]
-    stored, asked, rows = [], [], []
-    for k, (a, b) in enumerate(combinations(range(3), 2)):
-        stored.append((k << 24) | (found[a][:, 0] << 12) | found[b][:, 0])
-        x, y = np.repeat(found[a], 6, axis=1), np.tile(found[b], (1, 6))
-        row, column = np.nonzero((x >= 0) & (y >= 0))
-        asked.append((k << 24) | (x[row, column] << 12) | y[row, column])
-        rows.append(row)
-    return np.stack(stored, 1), np.concatenate(asked), np.concatenate(rows)
+    all_rows = np.arange(fps.size)
+    keys, rows = [], []
+    for k, chosen in enumerate(combinations(range(len(SEGMENTS)), AGREEING)):
+        nearest = [found[c][:, 0] for c in chosen]
+        tag = k << 12 * AGREEING
+        keys.append(tag + sum(x << 12 * i for i, x in enumerate(nearest)))
+        rows.append(all_rows)
+        for i, c in enumerate(chosen):
+            row, column = np.nonzero(found[c][:, 1:] >= 0)
+            other = [x[row] if j != i else found[c][row, column + 1] for j, x in enumerate(nearest)]
+            keys.append(tag + sum(x << 12 * j for j, x in enumerate(other)))
+            rows.append(row)
+    return np.concatenate(keys), np.concatenate(rows)
+
+
+def buckets(fps: DataFrame) -> DataFrame:
+    """key, node (the fingerprint) for every key of the distinct fingerprints in column fp."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 20_000):
+                fp = batch.column(0).to_numpy(zero_copy_only=False)[start : start + 20_000].astype(np.int64)
+                keys, rows = keys_of(fp)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(fp[rows])], ["key", "node"])
 
-def links(fps: DataFrame) -> DataFrame:
-    """Distinct pairs a < b of the distinct fingerprints in column fp that differ in MAX_DISTANCE bits at most."""
+    return fps.select("fp").mapInArrow(run, "key long, node long")
 
-    def keyed(ask: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for start in range(0, batch.num_rows, 20_000):
-                    fp = batch.column(0).to_numpy(zero_copy_only=False)[start : start + 20_000].astype(np.int64)
-                    stored, asked, rows = keys_of(fp)
-                    key, own = (asked, fp[rows]) if ask else (stored.ravel(), np.repeat(fp, 3))
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(own)], ["key", "b" if ask else "a"])
 
-        return fps.select("fp").mapInArrow(run, f"key long, {'b' if ask else 'a'} long")
+def _near(a: str | Column, b: str | Column) -> Column:
+    return F.bit_count((F.col(a) if isinstance(a, str) else a).bitwiseXOR(F.col(b) if isinstance(b, str) else b)) <= MAX_DISTANCE
 
-    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_DISTANCE
-    return (
-        keyed(False).alias("s").join(keyed(True).alias("q"), (F.col("s.key") == F.col("q.key")) & (F.col("a") != F.col("b")) & near)
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    )
+
+def _pairs(df: DataFrame, a: str, b: str) -> DataFrame:
+    return df.filter(F.col(a) != F.col(b)).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
 
 
 def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
@@ -156,12 +194,14 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     A round is a large-star and a small-star step: every node's larger, then smaller neighbours are tied to its smallest
     neighbour. It takes a number of rounds that grows as the logarithm of the longest chain.
     """
+    spark = edges.sparkSession
     now = materialise(edges.select("a", "b"), "links")
     before = None
     for _ in range(max_rounds):
+        last = WRITTEN[-1]
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("a0"), F.col("m").alias("b0")).filter("a0 <> b0").distinct()
+        large = spread_join(both, least, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("a0"), F.col("m").alias("b0")).filter("a0 <> b0").distinct()
         down = large.select(F.greatest("a0", "b0").alias("u"), F.least("a0", "b0").alias("v"))
         low = down.groupBy("u").agg(F.min("v").alias("m"))
         small = (
@@ -171,6 +211,7 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         )
         now = materialise(small, "links")
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).collect()[0]
+        discard(spark, [last])
         if state == before:
             break
         before = state
@@ -179,35 +220,88 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     return now.select(F.col("b").alias("node"), F.col("a").alias("root")).union(now.select(F.col("a").alias("node"), F.col("a").alias("root"))).distinct()
 
 
+def _open(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """shared (key, node, ..) with root, and main (the bucket's largest component), of the buckets with several components."""
+    rooted = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("key")
+    left = materialise(rooted.join(mixed, "key", "left_semi"), "open")
+    main = left.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
+    return left.join(main, "key")
+
+
+def _across(left: DataFrame, condition: Callable[[str, str], Column]) -> DataFrame:
+    """Pairs (a, b) of nodes that share a bucket, are of different components and meet the condition on columns of x and y."""
+    x, y = left.filter("root <> main").withColumnRenamed("main", "main_").alias("x"), left.drop("main").alias("y")
+    # a pair of which neither is in the largest component would come twice
+    once = (F.col("y.root") == F.col("x.main_")) | (F.col("x.node") < F.col("y.node"))
+    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & once & condition("x", "y"))
+    return _pairs(met.select(F.col("x.node").alias("m"), F.col("y.node").alias("n")), "m", "n")
+
+
+def links(fps: DataFrame) -> DataFrame:
+    """Pairs a < b of the distinct fingerprints in column fp that differ in MAX_DISTANCE bits at most and join all that such pairs join."""
+    keyed = buckets(fps)
+    ends = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("key", "low")
+    shared = materialise(keyed.join(ends, "key"), "buckets")
+    first = materialise(_pairs(shared.filter(_near("node", "low")), "node", "low"), "first")
+    left = _open(shared.select("key", "node"), components(first))
+    return first.union(_across(left, lambda x, y: _near(f"{x}.node", f"{y}.node")))
+
+
+def _labels(nodes: DataFrame, roots: DataFrame, node: str) -> DataFrame:
+    """node, component_id (the least id reachable) of nodes (node, least_id)."""
+    least = roots.join(nodes, roots["node"] == nodes[node]).groupBy("root").agg(F.min("least_id").alias("component_id"))
+    of_linked = roots.join(least, "root").select(F.col("node").alias(node), "component_id")
+    return nodes.join(of_linked, node, "left").select(node, F.coalesce("component_id", "least_id").alias("component_id"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint, component_id (the smallest doc_id reachable over links) of each row of docs."""
     own = materialise(with_fingerprints(docs), "fingerprints")
     distinct = materialise(own.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct")
-    roots = components(links(distinct))
-    least = roots.join(distinct, roots["node"] == distinct["fp"]).groupBy("root").agg(F.min("least_id").alias("component_id"))
-    of_linked = roots.join(least, "root").select(F.col("node").alias("fp"), "component_id")
-    labels = distinct.join(of_linked, "fp", "left").select("fp", F.coalesce("component_id", "least_id").alias("component_id"))
-    return own.join(labels, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    labels = _labels(distinct, components(links(distinct)), "fp")
+    return spread_join(own, labels, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def shingle_set(text: str | None) -> np.ndarray:
-    """Distinct XXH64 values of a text's 5-word shingles, sorted; of a shorter text, that of all its words."""
-    words = WORD.findall((text or "").translate(_LOWER))
-    n = max(len(words) - STAGE_SHINGLE + 1, 1)
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((digest(" ".join(words[k : k + STAGE_SHINGLE]), SEED) for k in range(n)), np.uint64, n))
+class Hashed(dict):
+    """XXH64 of words, kept."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 1_000_000:
+            self.clear()
+        h = self[word] = xxhash.xxh64_intdigest(word, SEED)
+        return h
 
 
 @cache
-def _multipliers() -> tuple[np.ndarray, np.ndarray]:
-    """Odd factors of the min-hashes, and of the rows within a band's key."""
-    odd = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * BAND_ROWS + BAND_ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
-    return odd[: BANDS * BAND_ROWS], odd[BANDS * BAND_ROWS :]
+def _words() -> Hashed:
+    return Hashed()
+
+
+@cache
+def _multipliers() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Odd factors of the min-hashes, of the rows within a band's key, and of the words within a shingle."""
+    odd = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * BAND_ROWS + BAND_ROWS + STAGE_SHINGLE, np.uint64) * np.uint64(2) + np.uint64(1)
+    return odd[: BANDS * BAND_ROWS], odd[BANDS * BAND_ROWS :][:BAND_ROWS], odd[-STAGE_SHINGLE:]
+
+
+def shingle_set(text: str | None) -> np.ndarray:
+    """Distinct 64-bit hashes of a text's 5-word shingles, sorted; of a shorter text, that of all its words."""
+    known, factors, parts = _words(), _multipliers()[2], []
+    for words in _runs(text, STAGE_SHINGLE):
+        h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        n = max(h.size - STAGE_SHINGLE + 1, 1)
+        total = np.full(n, min(h.size, STAGE_SHINGLE), np.uint64)
+        for k in range(min(STAGE_SHINGLE, h.size)):
+            total += h[k : k + n] * factors[k]
+        total = (total ^ (total >> np.uint64(31))) * factors[0]
+        parts.append(np.unique(total ^ (total >> np.uint64(29))))
+    return parts[0] if len(parts) == 1 else np.unique(np.concatenate([np.zeros(1, np.uint64)] if not parts else parts))
 
 
 def band_keys(shingles: np.ndarray) -> np.ndarray:
     """BANDS keys (signed) of a set of shingles."""
-    factors, mixers = _multipliers()
+    factors, mixers, _ = _multipliers()
     least = np.full(factors.size, np.iinfo(np.uint64).max, np.uint64)
     for start in range(0, shingles.size, 10_000):
         np.minimum(least, (factors[:, None] * shingles[None, start : start + 10_000]).min(1), out=least)
@@ -226,63 +320,90 @@ def with_bands(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, 2):
             keys = [band_keys(shingle_set(t)) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "node", "keys"])
+            flat = pa.array(np.concatenate(keys))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(np.arange(0, len(keys) * BANDS + 1, BANDS, dtype=np.int32), flat)], ["doc_id", "node", "keys"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", _node().alias("node"), "text").mapInArrow(run, f"doc_id {kind}, node long, keys array<long>")
 
 
-def similar(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) of nodes whose texts have a similarity of SIMILAR or more, written."""
+def with_sets(texts: DataFrame) -> DataFrame:
+    """node, shingles (their sorted hashes, 8 bytes each) of texts (node, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, mine = None, None
-        for whole in batches:
-            for batch in small_batches([whole], 3):
-                a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-                keep = []
-                for k in range(batch.num_rows):
-                    if a[k] != last:
-                        last, mine = a[k], shingle_set(batch.column(2)[k].as_py())
-                    other = shingle_set(batch.column(3)[k].as_py())
-                    common = np.intersect1d(mine, other, assume_unique=True).size
-                    keep.append(common >= SIMILAR * (mine.size + other.size - common))
-                yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-    pairs = materialise(pairs, "pairs")
-    needed = pairs.select(F.col("a").alias("needed")).union(pairs.select(F.col("b").alias("needed"))).distinct()
-    texts = docs.select(_node().alias("node"), F.coalesce("text", F.lit("")).alias("text"))
-    texts = materialise(texts.join(needed, texts["node"] == needed["needed"], "left_semi").groupBy("node").agg(F.first("text").alias("text")), "texts")
-    left, right = (texts.select(F.col("node").alias(x), F.col("text").alias(f"{x}_text")) for x in "ab")
-    return materialise(pairs.join(right, "b").join(left, "a").select("a", "b", "a_text", "b_text").mapInArrow(run, "a long, b long"), "similar")
+        for batch in small_batches(batches, 1):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], ["node", "shingles"])
 
+    return texts.select("node", "text").mapInArrow(run, "node long, shingles binary")
 
-def _pairs(df: DataFrame, a: str, b: str) -> DataFrame:
-    return df.filter(F.col(a) != F.col(b)).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
+
+def delta_bitmap(delta: np.ndarray) -> tuple[np.ndarray, int]:
+    """Bitmap (as signed longs) of a set of shingles, and by how many it has fewer bits than the set has members."""
+    bits = np.zeros(DELTA_BITS, np.uint8)
+    bits[((delta >> np.uint64(20)) % np.uint64(DELTA_BITS)).astype(np.int64)] = 1
+    return np.packbits(bits).view(np.int64), delta.size - int(bits.sum())
+
+
+COMPARED = "a long, b long, size long, delta long, excess long, bits array<long>, similar boolean"
+
+
+def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of pairs (a, b) of nodes: a's size, the size of the two sets' difference, its bitmap, and whether they are similar. pairs is a written table."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for a, b, x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                mine, other = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                delta = np.setxor1d(mine, other, assume_unique=True)
+                both = mine.size + other.size
+                bitmap, excess = delta_bitmap(delta)
+                # similarity (both - delta) / (both + delta), in whole numbers
+                rows.append((a, b, mine.size, delta.size, excess, bitmap, 10 * (both - delta.size) >= 8 * (both + delta.size)))
+            if rows:
+                columns = list(zip(*rows, strict=True))
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:5]), pa.array(columns[5], pa.list_(pa.int64())), pa.array(columns[6], pa.bool_())], [x.split()[0] for x in COMPARED.split(", ")])
+
+    x, y = (sets.select(F.col("node").alias(n), F.col("shingles").alias(f"{n}_set")) for n in "ab")
+    # a's set goes along as it is joined first; a hub's set is repeated for the parts that its many rows are dealt over
+    met = spread_join(pairs, y, "b").join(x, "a")
+    return met.select("a", "b", "a_set", "b_set").mapInArrow(run, COMPARED)
 
 
 def similar_groups(docs: DataFrame) -> DataFrame:
     """doc_id and component_id (the smallest doc_id reachable over similar texts) of each row of docs."""
     own = materialise(with_bands(docs), "bands")
     nodes = materialise(own.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.first("keys").alias("keys")), "nodes")
-    buckets = nodes.select("node", F.explode("keys").alias("key"))
-    ends = buckets.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high")
-    shared = materialise(buckets.join(ends, "key"), "buckets")
-    found = similar(_pairs(shared, "node", "low").union(_pairs(shared, "node", "high")).distinct(), docs)
-    roots = components(found)
-    # what the first and last of a bucket did not join: all pairs across components that are not tested yet
-    inner = shared.filter("node <> low and node <> high").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    sizes = inner.groupBy("key", "root").count().groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    open_ = materialise(inner.join(sizes, "key"), "open")
-    x, y = open_.filter("root <> main").alias("x"), open_.alias("y")
-    across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root"))).select(F.col("x.node").alias("m"), F.col("y.node").alias("n"))
-    more = similar(_pairs(across, "m", "n"), docs)
-    if not more.isEmpty():
-        roots = components(found.union(more).distinct())
-    least = roots.join(nodes, "node").groupBy("root").agg(F.min("least_id").alias("component_id"))
-    of_linked = roots.join(least, "root").select("node", "component_id")
-    labels = nodes.join(of_linked, "node", "left").select("node", F.coalesce("component_id", "least_id").alias("component_id"))
-    return own.join(labels, "node").select("doc_id", "component_id")
+    keyed = nodes.select("node", F.explode("keys").alias("key"))
+    shared = materialise(keyed.join(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "key"), "buckets")
+    central = shared.groupBy("node").agg(F.sum("n").alias("n"))
+    ranked = materialise(shared.select("key", "node").join(central, "node"), "ranked")
+    hubs = ranked.groupBy("key").agg(F.max(F.struct("n", "node")).alias("hub"))
+    mine = ranked.select("key", "node").join(hubs, "key").groupBy("node").agg(F.max("hub").alias("hub")).select("node", F.col("hub.node").alias("hub"))
+    mine = materialise(mine, "hubs")
+    # the text of a node is that of its row with the least id: copies are not met again
+    asked = mine.join(nodes.select("node", "least_id"), "node").select(F.col("node").alias("asked"), "least_id")
+    asked = materialise(asked, "asked")
+    texts = docs.select("doc_id", _node().alias("node"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = texts.join(asked, (texts["node"] == asked["asked"]) & texts["doc_id"].eqNullSafe(asked["least_id"]), "left_semi")
+    sets = materialise(with_sets(texts).dropDuplicates(["node"]), "sets")
+    met = materialise(compared(materialise(mine.select(F.col("node").alias("a"), F.col("hub").alias("b")), "pairs"), sets), "compared")
+    found = materialise(_pairs(met.filter("similar"), "a", "b"), "similar")
+    known = met.select(F.col("a").alias("node"), F.col("b").alias("hub"), "size", "delta", "excess", *(F.col("bits")[k].alias(f"bits{k}") for k in range(DELTA_BITS // 64)))
+    left = _open(ranked.select("key", "node"), components(found)).join(known, "node")
+
+    def may_link(x: str, y: str) -> Column:
+        c = lambda side, name: F.col(f"{side}.{name}")
+        common = sum((F.bit_count(c(x, f"bits{k}").bitwiseAND(c(y, f"bits{k}"))) for k in range(1, DELTA_BITS // 64)), F.bit_count(c(x, "bits0").bitwiseAND(c(y, "bits0"))))
+        most = F.least(common + c(x, "excess"), common + c(y, "excess"), c(x, "delta"), c(y, "delta"))
+        # sets of sizes p and q are similar if their difference is at most (p + q) / 9; it is delta + delta - 2 common
+        enough = 9 * (c(x, "delta") + c(y, "delta") - 2 * most) <= c(x, "size") + c(y, "size")
+        sized = (10 * c(x, "size") >= 8 * c(y, "size")) & (10 * c(y, "size") >= 8 * c(x, "size"))
+        return sized & ((c(x, "hub") != c(y, "hub")) | enough)
+
+    more = materialise(_pairs(compared(materialise(_across(left, may_link), "across"), sets).filter("similar"), "a", "b"), "more")
+    labels = _labels(nodes.select("node", "least_id"), components(found.union(more).distinct()), "node")
+    return spread_join(own.select("doc_id", "node"), labels, "node").select("doc_id", "component_id")
 
 
 def representatives(docs: DataFrame) -> DataFrame:

@@ -2,8 +2,10 @@ import random
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from cytolith.llm import op7_simhash_golay as op
+from cytolith.llm.common import spread_join
 
 
 def fingerprint(text):
@@ -67,13 +69,13 @@ def test_golay_code_is_perfect():
 
 def test_every_close_pair_shares_a_key():
     rng = random.Random(8)
-    for _ in range(3000):
+    for _ in range(5000):
         a = rng.getrandbits(64)
         b = a
         for bit in rng.sample(range(64), rng.randrange(4)):
             b ^= 1 << bit
         x, y = (np.array([v], np.uint64).view(np.int64) for v in (a, b))
-        assert set(op.keys_of(x)[0].ravel().tolist()) & set(op.keys_of(y)[1].tolist())
+        assert set(op.keys_of(x)[0].tolist()) & set(op.keys_of(y)[0].tolist())
 
 
 def test_links_and_components_of_chains(spark):
@@ -116,12 +118,12 @@ def jaccard(a, b):
 def test_stage_groups_by_five_word_similarity(documents):
     rng = random.Random(11)
     texts, vocabulary = [None, "", "  ", "one two", "ONE  two", "one three"], [f"w{k}" for k in range(500)]
-    for _ in range(40):
+    for size in [*(rng.randrange(5) for _ in range(40)), 60]:
         words = [rng.choice(vocabulary) for _ in range(rng.randrange(60, 250))]
         texts.append(" ".join(words))
-        for _ in range(rng.randrange(5)):
+        for _ in range(size):
             near = list(words)
-            for _ in range(rng.randrange(1, 7)):
+            for _ in range(rng.randrange(1, 9)):
                 near[rng.randrange(len(near))] = "changed"
             texts.append(" ".join(near))
     ids = dict(enumerate(texts))
@@ -136,3 +138,41 @@ def test_stage_groups_by_five_word_similarity(documents):
     assert {r["doc_id"] for r in op.representatives(docs).collect()} == set(root.values())
     # the query's link alone leaves many of these apart
     assert {r["doc_id"]: r["component_id"] for r in op.near_duplicates(docs).collect()} != root
+
+
+def test_a_dense_ball_of_fingerprints(spark):
+    """Its links aren't all listed, but join all that they should."""
+    rng = random.Random(12)
+    centre = rng.getrandbits(63)
+    ball = {centre ^ sum(1 << b for b in rng.sample(range(63), rng.randrange(1, 6))) for _ in range(600)}
+    df = spark.createDataFrame([(v,) for v in ball], "fp long")
+    found = op.links(df)
+    assert found.count() < 20 * len(ball)
+    roots = {r["node"]: r["root"] for r in op.components(found).collect()}
+    wanted = components({v: v for v in ball})
+    assert {v: roots.get(v, v) for v in ball} == wanted
+
+
+def test_a_prevalent_key_is_dealt_out(spark):
+    left = spark.range(5000).selectExpr("if(id % 3 = 0, null, if(id % 2 = 0, 7, id)) as k", "id").select(F.col("k").cast("long"), "id")
+    right = spark.range(4000).selectExpr("id as k", "id * 2 as v")
+    for how in ("inner", "left"):
+        rows = sorted(map(tuple, spread_join(left, right, "k", how).collect()), key=str)
+        assert rows == sorted(map(tuple, left.join(right, "k", how).collect()), key=str)
+
+
+def test_long_texts_in_blocks(monkeypatch):
+    rng = random.Random(13)
+    text = " ".join(rng.choice(["a", "Bc", "déf", "\x1c", "x" * 50]) for _ in range(3000))
+    whole = op.fingerprint(text), op.shingle_set(text)
+    assert whole[0] == fingerprint(text)
+    monkeypatch.setattr(op, "BLOCK", 97)
+    assert op.fingerprint(text) == whole[0] and np.array_equal(op.shingle_set(text), whole[1])
+    assert [op.fingerprint(t) for t in (" ", "a", "a b", "x" * 300)] == [fingerprint(t) for t in (" ", "a", "a b", "x" * 300)]
+
+
+def test_very_long_text(documents):
+    docs = documents({1: "some words of a text " * 500_000, 2: "x" * 10_000_000, 3: "some words of a text " * 500_000 + "more"})
+    got = {r["doc_id"]: r["component_id"] for r in op.near_duplicates(docs).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}
+    assert {r["doc_id"] for r in op.representatives(docs).collect()} == {1, 2}
