@@ -161,6 +161,11 @@ def slices(text: Column, spans: Column) -> Column:
 
         return F.transform(x["spans"], part)
 
+    short = F.transform(spans, lambda s: F.substring(text, s["start"] + 1, F.greatest(s["end"] - s["start"], F.lit(0))))
+    return F.when(F.length(text) <= BLOCK, short).otherwise(_by_blocks(text, spans, cut))
+
+
+def _by_blocks(text: Column, spans: Column, cut: Callable[[Column], Column]) -> Column:
     return let(F.struct(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0)).alias("blocks"), spans.alias("spans")), cut)
 
 
@@ -179,3 +184,18 @@ def replaced(text: Column, spans: Column, label: Callable[[Column], Column]) ->
         return let(reach, around)
 
     return F.when(F.size(spans) == 0, text).otherwise(let(spans, done))
+
+
+def merged(spans: Column) -> Column:
+    """The unions of overlapping spans (structs with start and end, sorted by start), as structs with start and end."""
+
+    def done(s: Column) -> Column:
+        def around(r: Column) -> Column:
+            begins = lambda i: (i == 0) | (F.get(s, i)["start"] >= F.get(r, i - 1))
+            places = F.transform(s, lambda x, i: F.struct(begins(i).alias("begins"), x["start"].alias("start"), (begins(i + 1) | (i == F.size(s) - 1)).alias("ends"), F.get(r, i).alias("end")))
+            starts, ends = F.filter(places, lambda x: x["begins"]), F.filter(places, lambda x: x["ends"])
+            return F.zip_with(starts, ends, lambda a, b: F.struct(a["start"], b["end"]))
+
+        return let(running(F.transform(s, lambda x: x["end"]), lambda a, b: F.greatest(a, b)), around)
+
+    return let(spans, done)

@@ -1,20 +1,30 @@
-"""Personal data: base spans by pattern, then information-theoretic sanitisation of their context.
+"""Personal data: base spans by pattern, then information-theoretic sanitisation of the documents that hold them.
 
-Entities are the values of the base spans (kind and value). Over the whole corpus, how strongly a term reveals an
-entity is its pointwise mutual information with it as a share of the entity's information content:
+Entities are the values of the base spans (kind and value). Over the whole corpus of N documents, how strongly a term
+reveals an entity is their pointwise mutual information as a share of the entity's information content:
 
-    disclosure(t, e) = log(p(t, e) / (p(t) p(e))) / -log p(e) = 1 + log p(e | t) / -log p(e)
+    disclosure(t, e) = log(p(e | t) / p(e)) / -log p(e) = 1 + log p(e | t) / -log p(e)
 
-p(e) and p(t) are shares of documents, p(t, e) the share in which t stands in a context of e: its whole words (runs of
-letters) within CONTEXT code points of the entity. 1 means that the term alone gives the entity away, 0 that it says
-nothing. A term at GENERALISE or more, that stands by the entity in LEAST_DOCS documents or more, is generalised to its
-word class in that context; at REMOVE or more it is removed. Base spans are always replaced by their kind.
+p(e) is the share of documents with the entity; p(e | t) that among the documents with the term, to which one is added
+that is like the corpus: (n(t, e) + p(e)) / (n(t) + 1). Terms are the words (runs of letters, lower-cased) of a document,
+but for those in its base spans; counts are of documents, n(t) of all of them. 1 means that the term alone gives the entity
+away, 0 that it says nothing. In every document with an entity, a term whose disclosure of any of its entities is
+GENERALISE or more is generalised to its word class, at REMOVE or more it is removed. Base spans are always replaced by
+their kind. So rare names beside an entity are generalised, also where both stand in one document only, and terms that
+come with it in several documents and hardly without it are removed.
 
-DataFrame functions only. The text is read twice (spans with their contexts; document frequencies of terms); only spans,
-contexts and counts are shuffled, never texts, and every count is summed before its shuffle.
+Of an entity that is in one document n(t, e) is 1, and the disclosure follows from n(t). Entities that stand in the same
+documents are one class, and a class of several documents is only met with terms that are rare enough to disclose it at
+all, n(t) + 1 <= (n(e) + p(e)) p(e)^(GENERALISE - 1): others aren't listed.
+
+DataFrame functions only. The text is read twice (spans; document frequencies of terms). Documents with an entity are
+written, their base spans blanked; for the rest only terms, spans and counts are shuffled, every count is summed before
+its shuffle, and prevalent terms and entities are dealt over several tasks.
 
 Defined results: null text has no spans, as has an empty one. Repeated rows are separate documents. Extra columns are
-ignored; an empty table gives an empty result.
+ignored; an empty table gives an empty result. An entity in every document has no information, and nothing discloses it.
+A very long text is read whole, in time that grows as n log n with its spans and terms; a document of very many entities
+that each recur elsewhere is met with its rare terms once for each class.
 """
 
 from __future__ import annotations
@@ -22,12 +32,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, materialise, spans_of
+from .common import fresh, materialise, merged, replaced, spans_of, spread_join
 
-CONTEXT = 64
 GENERALISE = 0.75
 REMOVE = 0.95
-LEAST_DOCS = 2
 TERM = r"\p{L}+"
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = "A-Za-z0-9._%+-"
@@ -74,63 +82,74 @@ def base_spans(text: Column) -> Column:
     )
 
 
-def _context_terms(text: Column, span: Column) -> Column:
-    """Terms (start, end, term) of the whole words within CONTEXT code points of a span."""
-    low = F.greatest(span["start"] - CONTEXT, F.lit(0))
-    left = F.substring(text, low + 1, span["start"] - low)
-    right = F.substring(text, span["end"] + 1, F.lit(CONTEXT))
-    # a word that the cut parts is none of the context's: masked by as many blanks
-    cut_left = F.when(low > 0, F.length(F.regexp_extract(left, rf"^{TERM}", 0))).otherwise(0)
-    more = F.length(text) > span["end"] + CONTEXT
-    cut_right = F.when(more, F.length(F.regexp_extract(right, rf"{TERM}$", 0))).otherwise(0)
-    lefts = F.filter(spans_of(left, TERM), lambda s: s["start"] >= cut_left)
-    rights = F.filter(spans_of(right, TERM), lambda s: s["end"] <= F.length(right) - cut_right)
-    place = lambda spans, at: F.transform(spans, lambda s: F.struct((s["start"] + at).alias("start"), (s["end"] + at).alias("end"), F.lower(s["text"]).alias("term")))
-    return F.concat(place(lefts, low), place(rights, span["end"]))
-
-
-def entity_contexts(docs: DataFrame) -> DataFrame:
-    """row (a number), doc_id, mark (hash of the text), spans (SPAN, with terms) of each row of docs, written to the shared folder."""
+def entity_rows(docs: DataFrame) -> DataFrame:
+    """row (a number), doc_id, mark (hash of the text), spans (SPAN, values in lower case), outside (the text with its base spans blanked; null if it has none), written."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select("doc_id", "text", base_spans(F.col("text")).alias("base"))
-    spans = F.transform("base", lambda s: F.struct(s["start"], s["end"], s["kind"], F.lower(s["text"]).alias("value"), _context_terms(F.col("text"), s).alias("terms")))
-    return materialise(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("text").alias("mark"), spans.alias("spans")), "pii")
+    blank = replaced(F.col("text"), merged(F.array_sort(F.col("base"))), lambda s: F.repeat(F.lit(" "), s["end"] - s["start"]))
+    spans = F.transform("base", lambda s: F.struct(s["start"], s["end"], s["kind"], F.lower(s["text"]).alias("value")))
+    return materialise(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("text").alias("mark"), spans.alias("spans"), F.when(F.size("base") > 0, blank).alias("outside")), "pii")
 
 
 def document_frequencies(docs: DataFrame) -> DataFrame:
     """term, n_docs over all documents."""
-    terms = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))
+    terms = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(TERM), F.lit(0)), F.lower))
     # outer: else a filter on the array's size is inferred, and the array is computed twice
     return docs.select(F.explode_outer(terms).alias("term")).groupBy("term").agg(F.count("*").alias("n_docs")).filter(F.col("term").isNotNull())
 
 
-def disclosures(contexts: DataFrame, docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
-    """kind, value, term, n_both, disclosure of every entity and context term, from counts over all of docs."""
-    total = contexts.count()
-    spans = contexts.select("row", F.explode("spans").alias("s"))
-    entities = spans.select("row", "s.kind", "s.value").distinct().groupBy("kind", "value").agg(F.count("*").alias("n_entity"))
-    both = (
-        spans.select("row", "s.kind", "s.value", F.explode("s.terms.term").alias("term")).distinct()
-        .groupBy("kind", "value", "term").agg(F.count("*").alias("n_both")).filter(F.col("n_both") >= least_docs)
-    )
-    counted = both.join(entities, ["kind", "value"]).join(document_frequencies(docs), "term")
-    information = F.log(F.lit(float(max(total, 1)))) - F.log("n_entity")
-    # of an entity that every document has there is nothing to learn
-    share = F.when(information <= 0, 0.0).otherwise(1 + (F.log("n_both") - F.log(F.greatest("n_docs", "n_both"))) / information)
-    return counted.select("kind", "value", "term", "n_both", share.alias("disclosure"))
+def term_places(rows: DataFrame) -> DataFrame:
+    """row, term, start, end, capital of the terms outside of base spans, in the documents with an entity."""
+    held = rows.filter(F.col("outside").isNotNull()).select("row", F.explode_outer(spans_of(F.col("outside"), TERM)).alias("t")).filter(F.col("t").isNotNull())
+    return held.select("row", F.lower("t.text").alias("term"), "t.start", "t.end", F.regexp_like("t.text", F.lit(r"^\p{Lu}")).alias("capital"))
+
+
+def _share(n_entity: Column, total: int) -> Column:
+    return n_entity / F.lit(float(max(total, 1)))
+
+
+def disclosure(n_both: Column, n_term: Column, n_entity: Column, total: int) -> Column:
+    share = _share(n_entity, total)
+    return F.when(share >= 1, 0.0).otherwise(1 + F.log((n_both + share) / (n_term + 1)) / -F.log(share))
+
+
+def most_term_docs(n_entity: Column, total: int, generalise: float) -> Column:
+    """In how many documents a term may stand to disclose an entity of so many."""
+    share = _share(n_entity, total)
+    return F.when(share >= 1, 0.0).otherwise((n_entity + share) * F.pow(share, F.lit(generalise - 1)) - 1)
+
+
+def disclosures(rows: DataFrame, docs: DataFrame, generalise: float = GENERALISE) -> DataFrame:
+    """row, term, disclosure (the largest, of the row's entities) where it is generalise or more; from counts over all of docs."""
+    total = rows.count()
+    held = rows.select("row", F.explode("spans").alias("s")).select("row", F.concat_ws(":", "s.kind", "s.value").alias("entity")).distinct()
+    held = materialise(held, "entities")
+    # entities of the same documents have the same hashes of them
+    documents = held.groupBy("entity").agg(F.count("*").alias("n_entity"), F.bit_xor(F.xxhash64("row")).alias("h1"), F.bit_xor(F.xxhash64("row", F.lit(1))).alias("h2"))
+    classes = spread_join(held, documents, "entity").select("row", "n_entity", F.concat_ws(":", "n_entity", "h1", "h2").alias("class")).distinct()
+    classes = materialise(classes, "classes")
+    most = classes.agg(F.max(most_term_docs(F.col("n_entity"), total, generalise))).first()[0] or 0.0
+    posts = materialise(term_places(rows).select("row", "term").distinct(), "posts")
+    rare = spread_join(posts, document_frequencies(docs).filter(F.col("n_docs") <= most), "term")
+    rarest = classes.groupBy("row").agg(F.min("n_entity").alias("n_entity"))
+    # with its rarest entity a term shares one document at least
+    alone = disclosure(F.lit(1), F.col("n_docs"), F.col("n_entity"), total)
+    rare = materialise(rare.join(rarest, "row").select("row", "term", "n_docs", alone.alias("alone")), "rare")
+    several = classes.filter("n_entity > 1")
+    pairs = rare.select("row", "term", "n_docs").join(several, "row").filter(F.col("n_docs") <= most_term_docs(F.col("n_entity"), total, generalise))
+    pairs = materialise(pairs.select("row", F.concat_ws(":", "class", "term").alias("pair"), "term", "n_docs", "n_entity"), "pairs")
+    both = pairs.groupBy("pair", "n_docs", "n_entity").agg(F.count("*").alias("n_both")).select("pair", disclosure(F.col("n_both"), F.col("n_docs"), F.col("n_entity"), total).alias("disclosure"))
+    together = spread_join(pairs.select("row", "term", "pair"), both.filter(F.col("disclosure") >= generalise), "pair").select("row", "term", "disclosure")
+    return rare.filter(F.col("alone") >= generalise).select("row", "term", F.col("alone").alias("disclosure")).union(together).groupBy("row", "term").agg(F.max("disclosure").alias("disclosure"))
 
 
 def hits(docs: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """doc_id, mark, base and terms (HIT; kind 4: generalise, 5: remove) of each row of docs."""
-    contexts = entity_contexts(docs)
-    telling = disclosures(contexts, docs).filter(F.col("disclosure") >= generalise)
-    places = contexts.select("row", F.explode("spans").alias("s")).select("row", "s.kind", "s.value", F.explode("s.terms").alias("t")).select("row", "kind", "value", "t.term", "t.start", "t.end")
-    found = (
-        places.join(telling, ["kind", "value", "term"])
-        .groupBy("row", "start", "end").agg(F.max("disclosure").alias("d"))
-        .groupBy("row").agg(F.collect_list(F.struct(F.when(F.col("d") >= remove, 5).otherwise(4).alias("kind"), "start", "end", F.lit("term").alias("name"))).alias("terms"))
-    )
+    rows = entity_rows(docs)
+    telling = disclosures(rows, docs, generalise)
+    hit = F.struct(F.when(F.col("disclosure") >= remove, 5).otherwise(4).alias("kind"), "start", "end", F.when(F.col("capital"), "name").otherwise("term").alias("name"))
+    found = term_places(rows).join(telling, ["row", "term"]).groupBy("row").agg(F.collect_list(hit).alias("terms"))
     names = F.array(*map(F.lit, KINDS))
-    return contexts.join(found, "row", "left").select(
+    return rows.drop("outside").join(found, "row", "left").select(
         "doc_id", "mark",
         F.transform("spans", lambda s: F.struct(s["kind"], s["start"], s["end"], names[s["kind"]].alias("name"))).alias("base"),
         F.array_sort(F.coalesce("terms", F.array().cast(f"array<{HIT}>"))).alias("terms"),
@@ -147,7 +166,7 @@ def report(docs: DataFrame) -> DataFrame:
     base = F.array_sort(F.col("base"))
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
     # terms, generalised or removed, are one kind in the list
-    terms = F.array_sort(F.transform("terms", lambda s: F.struct(F.lit(4).alias("kind"), s["start"], s["end"], s["name"])))
+    terms = F.array_sort(F.transform("terms", lambda s: F.struct(F.lit(4).alias("kind"), s["start"], s["end"], F.lit("term").alias("name"))))
     return hits(docs).select("doc_id", *(count(k).alias(f"n_{name}") for k, name in enumerate(KINDS)), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.concat(base, terms)).alias("spans"))
 
 
@@ -160,15 +179,6 @@ def sanitise(docs: DataFrame) -> DataFrame:
     id_, mark, spans = (fresh(docs, x) for x in ("id", "mark", "spans"))
     found = hits(docs).dropDuplicates(["doc_id", "mark"]).select(F.col("doc_id").alias(id_), F.col("mark").alias(mark), F.concat("base", "terms").alias(spans))
     placed = F.array_sort(F.transform(F.coalesce(spans, none), lambda s: F.struct(s["start"], s["kind"], s["end"], s["name"])))
-    class_of = lambda s: F.when(F.regexp_like(F.substring(text, s["start"] + 1, s["end"] - s["start"]), F.lit(r"^\p{Lu}")), "[name]").otherwise("[term]")
-    label = lambda s: F.when(s["kind"] < 4, F.concat(F.lit("["), s["name"], F.lit("]"))).when(s["kind"] == 4, class_of(s)).otherwise("")
-    done = F.aggregate(
-        placed,
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda acc, s: F.when(s["start"] < acc["at"], F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))).otherwise(
-            F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), label(s)).alias("out"))
-        ),
-        lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))),
-    )
+    done = replaced(text, placed, lambda s: F.when(s["kind"] <= 4, F.concat(F.lit("["), s["name"], F.lit("]"))).otherwise(""))
     new = F.when(F.col("text").isNotNull(), done)
     return docs.join(found, docs["doc_id"].eqNullSafe(found[id_]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == found[mark]), "left").select(*(new.alias(c) if c == "text" else F.col(c) for c in docs.columns))
