@@ -6,10 +6,11 @@ either side), by falling count, ties by key. A document gets the language whose
 
 Defined results: null text, or a text without a letter, gives ``und`` with score 0; so does any text when there is no
 training row. Equal distances go to the language that sorts first. Repeated rows are predicted one by one, extra
-columns are ignored, an empty table gives an empty result.
+columns are ignored, an empty table gives an empty result. A very long text is counted in blocks; memory follows its
+distinct n-grams.
 
-Bound on what is learned from: about ``train_docs`` documents of each language (a hash of doc_id picks them) and at
-most ``max_langs`` languages (the most frequent ones). Each of these documents is read whole.
+Bound on what is learned from: about ``train_docs`` documents of each language (a hash of doc_id picks them), each read
+whole; no language is left out. The model that the driver and the workers hold is ``size`` n-grams for each language.
 """
 
 from __future__ import annotations
@@ -22,11 +23,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import materialise, small_batches
 
 PROFILE = 400
 TRAIN_DOCS = 2000
-MAX_LANGS = 500
+#: Code points that n-grams are counted of at a time.
+BLOCK = 4_000_000
 #: Score under which a filter rejects a document as being in none of the languages.
 LEAST_SCORE = 0.2
 UNKNOWN = "und"
@@ -39,20 +41,35 @@ def _letters() -> np.ndarray:
     return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
 
 
-def ngram_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Keys (ascending) and counts of a text's n-grams; a key packs up to three code points of 21 bits."""
-    code = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), "<u4")
-    code = np.where(_letters()[code], code, _SEPARATOR).astype(np.int64)
-    code = np.concatenate(([_SEPARATOR], code, [_SEPARATOR]))
+def _keys(code: np.ndarray, starts: int) -> np.ndarray:
+    """Keys of the n-grams that begin at the first places of some code points, which others follow."""
     letter = code != _SEPARATOR
     two = (code[:-1] << 21) | code[1:]
     three = (two[:-1] << 21) | code[2:]
-    keys = np.concatenate((code[letter], two[letter[:-1] | letter[1:]], three[letter[1:-1]]))
+    return np.concatenate((code[:starts][letter[:starts]], two[:starts][(letter[:-1] | letter[1:])[:starts]], three[:starts][letter[1:-1][:starts]]))
+
+
+def _counted(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, ascending, with their counts."""
     if not keys.size:
         return keys, keys
-    keys.sort()
+    if counts is None:
+        keys = np.sort(keys)
+    else:
+        order = np.argsort(keys, kind="stable")
+        keys, counts = keys[order], counts[order]
     first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-    return keys[first], np.diff(np.append(first, keys.size))
+    return keys[first], np.diff(np.append(first, keys.size)) if counts is None else np.add.reduceat(counts, first)
+
+
+def ngram_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Keys (ascending) and counts of a text's n-grams; a key packs up to three code points of 21 bits."""
+    low = f" {(text or '').lower()} "
+    parts = []
+    for start in range(0, len(low), BLOCK):
+        code = np.frombuffer(low[start : start + BLOCK + 2].encode("utf-32-le", "surrogatepass"), "<u4")
+        parts.append(_counted(_keys(np.where(_letters()[code], code, _SEPARATOR).astype(np.int64), BLOCK)))
+    return parts[0] if len(parts) == 1 else _counted(*map(np.concatenate, zip(*parts, strict=True)))
 
 
 def _top(keys: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
@@ -67,14 +84,15 @@ def is_held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
-def learn(docs: DataFrame, size: int = PROFILE, train_docs: int = TRAIN_DOCS, max_langs: int = MAX_LANGS) -> dict[str, list[int]]:
+def learn(docs: DataFrame, size: int = PROFILE, train_docs: int = TRAIN_DOCS) -> dict[str, list[int]]:
     """Profiles by language, from the rows of docs (doc_id, text, lang) with a language and not held out."""
     rows = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~is_held_out(F.col("doc_id")))
-    seen = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
-    if not seen:
-        return {}
-    share = F.create_map(*[x for r in seen for x in (F.lit(r["lang"]), F.lit(min(1.0, train_docs / r["count"]) * _HASH_RANGE))])
-    sample = rows.filter(F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.lit(17)), F.lit(_HASH_RANGE)) < share[F.col("lang")])
+    # a written table of counts, joined: however many values lang has, they stay with the executors
+    share = materialise(rows.groupBy("lang").agg(F.least(F.lit(1.0), train_docs / F.count("*")).alias("share")).withColumnRenamed("lang", "of"), "langs")
+    drawn = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.lit(17)), F.lit(_HASH_RANGE))
+    # narrow first: what no share can hold goes before the join
+    most = share.agg(F.max("share")).first()[0] or 0.0
+    sample = rows.filter(drawn < most * _HASH_RANGE).join(share, F.col("lang") == F.col("of")).filter(drawn < F.col("share") * _HASH_RANGE)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, 0):
@@ -93,31 +111,37 @@ def learn(docs: DataFrame, size: int = PROFILE, train_docs: int = TRAIN_DOCS, ma
         .filter(F.col("rank") <= size)
     )
     profiles: dict[str, list[int]] = {}
-    for r in ranked.orderBy("lang", "rank").collect():  # size x max_langs rows at most
+    for r in ranked.orderBy("lang", "rank").collect():  # the model: size rows for each language
         profiles.setdefault(r["lang"], []).append(r["ngram"])
     return profiles
 
 
 class Model:
-    """Profiles laid out for lookup: sorted n-grams, and for each a row of ranks by language."""
+    """Profiles laid out for lookup: sorted n-grams, and for each the languages that have it with their ranks."""
 
     def __init__(self, profiles: dict[str, list[int]], size: int = PROFILE):
         self.langs, self.size = sorted(profiles), size
-        self.ngrams = np.unique(np.array([g for p in profiles.values() for g in p], np.int64))
-        self.ranks = np.full((self.ngrams.size + 1, len(self.langs)), -1, np.int64)
-        for k, lang in enumerate(self.langs):
-            self.ranks[np.searchsorted(self.ngrams, np.array(profiles[lang], np.int64)), k] = np.arange(len(profiles[lang]))
+        sizes = [len(profiles[x]) for x in self.langs]
+        flat = np.array([g for x in self.langs for g in profiles[x]], np.int64)
+        order = np.argsort(flat, kind="stable")
+        self.lang = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[order]
+        self.rank = np.concatenate([np.arange(n, dtype=np.int32) for n in sizes] or [np.zeros(0, np.int32)])[order]
+        self.ngrams, starts = np.unique(flat[order], return_index=True)
+        self.starts = np.append(starts, flat.size)
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """Language and score: one less the share of the largest possible distance."""
         top = _top(*ngram_counts(text), self.size)
         if not top.size or not self.langs:
             return UNKNOWN, 0.0
-        at = np.searchsorted(self.ngrams, top)
-        at[at == self.ngrams.size] = -1
-        at[(at < 0) | (self.ngrams[at] != top)] = self.ngrams.size
-        ranks = self.ranks[at]
-        distance = np.where(ranks < 0, self.size, np.abs(ranks - np.arange(top.size)[:, None])).sum(0)
+        at = np.minimum(np.searchsorted(self.ngrams, top), self.ngrams.size - 1)
+        known = np.flatnonzero(self.ngrams[at] == top)
+        starts, sizes = self.starts[at[known]], self.starts[at[known] + 1] - self.starts[at[known]]
+        last = np.cumsum(sizes)
+        places = np.repeat(starts - (last - sizes), sizes) + np.arange(last[-1] if last.size else 0)
+        # what each language saves of the distance of a text that has none of its n-grams
+        saved = self.size - np.abs(self.rank[places] - np.repeat(known, sizes))
+        distance = self.size * top.size - np.bincount(self.lang[places], saved, len(self.langs))
         best = int(distance.argmin())
         return self.langs[best], 1.0 - float(distance[best]) / (self.size * top.size)
 

@@ -97,3 +97,30 @@ def test_held_out_accuracy(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     found = op.identify(docs, op.learn(docs)).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out AND lang IS NOT NULL").collect()
     assert np.mean([r["lang"] == r["lang_pred"] for r in found]) >= 0.95
+
+
+def test_blocks_give_the_same_counts(monkeypatch):
+    rng = np.random.default_rng(1)
+    text = "".join(rng.choice(list("abÜ ß\n1x"), 5000))
+    whole = op.ngram_counts(text)
+    for size in (1, 7, 4999, 5002):
+        monkeypatch.setattr(op, "BLOCK", size)
+        assert all(np.array_equal(x, y) for x, y in zip(op.ngram_counts(text), whole, strict=True))
+
+
+def test_equal_distances_go_to_the_first_language():
+    same = op.ngram_counts("the same")[0].tolist()
+    assert op.Model({"b": same, "a": same, "c": same[:3]}).predict("the same")[0] == "a"
+
+
+def test_no_language_is_left_out(documents):
+    made = {k: f"w{chr(97 + k % 26)}{chr(97 + k // 26)} only here" for k in range(676)}
+    docs = documents(made, {k: f"l{k:03}" for k in made})
+    profiles = op.learn(docs)
+    assert len(profiles) == sum(zlib.crc32(str(k).encode()) % 4 != 2 for k in made)
+
+
+def test_very_long_text(corpus, documents):
+    docs = documents({1: " ".join(ENGLISH) * 70_000, 2: "x" * 10_000_000, 3: "1 " * 5_000_000})
+    got = {r["doc_id"]: r["lang_pred"] for r in op.identify(docs, op.learn(corpus[0])).collect()}
+    assert got[1] == "en" and got[3] == "und"
