@@ -4,7 +4,8 @@ Numbers, names and units of a text become typed placeholders (<num>, <name>, <un
 punctuation after a word. Tokens keep their places, so a canonical window and its raw words line up. Windows of WINDOW
 canonical tokens of every document are hashed and joined with those of the benchmark's items; equal windows give slots,
 the pairs of benchmark word and document word under each placeholder. Within an occurrence each benchmark value must
-stand for one document value: a question with other numbers or names passes, a chance likeness does not. Windows of one
+stand for one document value, and each document value for one benchmark value: a question with other numbers or names
+passes, a chance likeness does not. Windows of one
 text at one offset from the item are an alignment. From each consistent alignment on, others that agree with what is
 taken so far join it, the longest first, and so do all windows without slots (a copy with words put in has several
 alignments). A document is contaminated by an item if one such union covers COVERED of the item's tokens; that of the
@@ -20,7 +21,8 @@ narrow rows (doc_id, position, hash), and the documents with a match are read ag
 
 Defined results: null and empty texts, and those without a window, have no row; items likewise (an item shorter than
 WINDOW is one window). Rows that share a doc_id are judged as one document, null ids too; likewise items. Extra columns
-are ignored; an empty table on either side gives an empty result.
+are ignored; an empty table on either side gives an empty result. A very long text is read whole, in time that grows with
+its words; what is held of a document and an item are their alignments, one for each set of slot values.
 """
 
 from __future__ import annotations
@@ -143,13 +145,19 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> tuple[DataF
     return out.select("item_id", "n_tokens", "w.size", F.col("w.pos").alias("i_pos"), _hash_of(F.col("w")).alias("hash"), F.col("w.window").alias("i_window"), F.col("w.words").alias("i_words")), sizes
 
 
+def _one_to_one(binds: Column) -> Column:
+    """Whether distinct pairs of benchmark and document values (i, d) pair each value with one only."""
+    of = lambda name: F.size(F.array_distinct(F.transform(binds, lambda b: b[name])))
+    return (of("i") == F.size(binds)) & (of("d") == F.size(binds))
+
+
 def _unions(units: Column, size: Column) -> Column:
     """Of a document's consistent alignments, the widest first: the union (covered, n, slots) from the first, or the widest from any."""
     kind = "struct<places:array<int>,binds:array<struct<i:string,d:string>>,n:bigint>"
 
     def joined(acc: Column, u: Column) -> Column:
         both = F.array_union(acc["binds"], u["binds"])
-        agree = F.size(F.array_distinct(F.transform(both, lambda b: b["i"]))) == F.size(both)
+        agree = _one_to_one(both)
         return F.when(agree, F.struct(F.array_union(acc["places"], u["places"]).alias("places"), both.alias("binds"), (acc["n"] + u["n"]).alias("n")).cast(kind)).otherwise(acc)
 
     def union(seed: Column) -> Column:
@@ -182,7 +190,7 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     aligned = keyed.groupBy(*pair, "n_tokens", "size", "row", "offset", (F.size("said") > 0).alias("slotted")).agg(
         F.collect_set("i_pos").alias("places"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("said")))).alias("binds"), F.count("*").alias("n")
     )
-    aligned = aligned.filter(F.size(F.array_distinct(F.transform("binds", lambda b: b["i"]))) == F.size("binds"))
+    aligned = aligned.filter(_one_to_one(F.col("binds")))
     # alignments of equal slot values agree, as do all windows without slots
     units = aligned.groupBy(*pair, "n_tokens", "size", "binds").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("places")))).alias("places"), F.sum("n").alias("n"))
     listed = units.groupBy(*pair, "n_tokens", "size").agg(F.sort_array(F.collect_list(F.struct((F.size("binds") == 0).alias("plain"), F.size("places").alias("width"), "n", "places", "binds")), asc=False).alias("units"))

@@ -1,4 +1,6 @@
+import math
 import random
+import re
 
 import pytest
 
@@ -110,3 +112,111 @@ def test_windows_of_few_literal_tokens_match_verbatim(documents, spark):
     docs = documents({1: "please sort 5 3 9 1 7 2 8, thanks", 2: "please sort 5 3 9 1 7 2 4 thanks", 3: "so 7 4 1 9 3 8 2 6 5 0 11 12 13 it is", 4: "so 7 4 1 9 3 8 3 7 5 0 11 12 13 it is"})
     assert found(docs, items) == {(1, 1), (3, 2)}
     assert found(docs, items) == {(r["doc_id"], r["item_id"]) for r in op.contaminations(docs, items, broadcast_windows=0).collect()}
+
+
+def plain_tokens(text):
+    """(canonical token, raw word) of each word, by the definition's steps in Python."""
+    canonical = re.sub(r"(?<=[^\W_] |[,;] )[A-ZÄÖÜ][^\W\d_'-]*", "<name>", text.replace("<", "(").replace(">", ")"))
+    canonical = re.sub(op.NUMBER, "<num>", canonical.lower())
+    canonical = re.sub(rf"(?:(?<=<num>)|(?<=<num>[ -]))(?:{op.UNITS})(?![^\W_]|<)", "<unit>", canonical)
+    canonical = re.sub(r"(?<=[^\W\d_>])[^\w<>\s]+(?=\s|$)", "", canonical)
+    return list(zip(canonical.split(), text.split(), strict=True))
+
+
+def bare(word):
+    return word.lower().strip(".,;:!?()")
+
+
+def directly(texts, items):
+    """(doc, item) pairs by comparing all windows of all pairs, one by one."""
+    found = set()
+    for d, text in texts.items():
+        doc = plain_tokens(text)
+        for i, item in items.items():
+            want = plain_tokens(item)
+            size, alignments = min(op.WINDOW, len(want)), {}
+            for p in range(len(want) - size + 1):
+                a = want[p : p + size]
+                literal = sum("<" not in c for c, _ in a)
+                for q in range(len(doc) - size + 1):
+                    b = doc[q : q + size]
+                    if [c for c, _ in a] != [c for c, _ in b] or literal < math.ceil(op.LITERAL * size) and [bare(w) for _, w in a] != [bare(w) for _, w in b]:
+                        continue
+                    binds = frozenset((bare(w), bare(v)) for (c, w), (_, v) in zip(a, b, strict=True) if re.search(op.SLOT, c))
+                    key = (q - p, bool(binds))
+                    places, held, n = alignments.get(key, (set(), set(), 0))
+                    alignments[key] = (places | {p}, held | binds, n + 1)
+            one = lambda x: len({u for u, _ in x}) == len({v for _, v in x}) == len(x)
+            units = {}
+            for places, binds, n in alignments.values():
+                if one(binds):
+                    units.setdefault(frozenset(binds), (set(), []))[0].update(places)
+                    units[frozenset(binds)][1].append(n)
+            order = sorted(((not b, len(p), sum(n), sorted(p), sorted(b)) for b, (p, n) in units.items()), reverse=True)
+            best = 0
+            for seed in order:
+                places, binds = set(seed[3]), set(seed[4])
+                for unit in order:
+                    if unit is not seed and one(binds | set(unit[4])):
+                        places, binds = places | set(unit[3]), binds | set(unit[4])
+                best = max(best, len({x for p in places for x in range(p, p + size)}))
+            if best >= math.ceil(op.COVERED * len(want)):
+                found.add((d, i))
+    return found
+
+
+def questions():
+    """Items with slots in every window, and documents of copies, variants and contradictions of them in any order."""
+    rng = random.Random(17)
+    verbs, nouns = ["sold", "bought", "gave", "lost", "counted"], ["apples", "pears", "books", "stamps", "coins"]
+    names, filler = ["Tom", "Mary", "Bob", "Sue", "Ann", "Jim"], "and so the day went on with nothing more to say of it".split()
+    shapes = [(rng.choice(verbs), rng.choice(nouns), rng.choice(verbs), rng.choice(nouns)) for _ in range(25)]
+
+    def said(shape, values):
+        a, b, x, y = values
+        return f"the farmer, {a}, {shape[0]} {x} {shape[1]} to {b} and then {a} {shape[2]} {y} {shape[3]} in {x} days"
+
+    def values():
+        return (*rng.sample(names, 2), *rng.sample(range(2, 90), 2))
+
+    items = {k: (said(s, values()), s) for k, s in enumerate(shapes)}
+    texts = {}
+    for d in range(60):
+        parts = []
+        for _ in range(rng.randrange(0, 4)):
+            text, shape = items[rng.randrange(len(items))]
+            kind = rng.randrange(5)
+            if kind == 0:
+                parts.append(text)
+            elif kind == 1:
+                parts.append(said(shape, values()))
+            elif kind == 2:  # a contradiction
+                parts.append(re.sub(r"in [0-9]+ days", f"in {rng.randrange(90, 99)} days", text))
+            elif kind == 3:  # two values become one
+                parts.append(said(shape, ("Tom", "Tom", 7, 7)))
+            else:
+                words = text.split()
+                parts.append(" ".join([*words[: rng.randrange(len(words))], *rng.sample(filler, 3)]))
+        parts += [" ".join(rng.sample(filler, rng.randrange(1, 10))) for _ in range(rng.randrange(1, 3))]
+        rng.shuffle(parts)
+        texts[d] = " ".join(parts)
+    return texts, {k: text for k, (text, _) in items.items()}
+
+
+def test_slots_against_a_direct_comparison(documents, spark):
+    texts, plain = questions()
+    wanted = directly(texts, plain)
+    items = spark.createDataFrame([(k, t, "x") for k, t in plain.items()], ITEMS)
+    assert len(texts) * len(plain) >= 1000 and len(wanted) > 20
+    assert found(documents(texts), items) == wanted
+
+
+def test_two_values_do_not_become_one(documents, items):
+    docs = documents({1: "so the farmer, Bob, sold 7 apples to Bob and 9 pears to Bob on the market day", 2: "so the farmer, Bob, sold 7 apples to Bob and 7 pears to Sue on the market day"})
+    assert found(docs, items) == set()
+
+
+def test_very_long_texts(documents, items):
+    filler = "plain words of no passage at all in many places " * 200_000
+    docs = documents({1: filler + "plain words of a passage that has neither names nor numbers in it at all", 2: filler, 3: "x" * 5_000_000})
+    assert found(docs, items) == {(1, 5)}
