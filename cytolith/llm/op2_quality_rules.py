@@ -11,7 +11,8 @@ rounds' lengths at which their ranks agree. One pass, no shuffle.
 
 Defined results: null text has no words and fails the base rules, as does an empty one. Repeated rows are judged one
 by one, extra columns are ignored, an empty table gives an empty result. A text longer than a batch is a batch of its
-own; memory follows the longest text.
+own; memory follows the longest text: a few words of 4 bytes for each of its words, and one more for each doubling of the
+length up to that of its longest repeat, for the words inside such repeats.
 """
 
 from __future__ import annotations
@@ -38,34 +39,36 @@ SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_rep
 def common_prefixes(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Suffix order and LCP with the suffix before it (0 for the first). No two suffixes may be equal."""
     n = ids.size
+    kind = np.int32 if n < 1 << 31 else np.int64
     dense = np.unique(ids, return_inverse=True)[1]
     held = np.bincount(dense)
-    rank = (np.cumsum(held) - held)[dense]  # of a suffix: how many are smaller
-    levels, length = [rank], 1
+    rank = (np.cumsum(held) - held)[dense].astype(kind)  # of a suffix: how many are smaller
+    # by level: the suffixes whose rank was still shared (ascending), and their ranks then
+    levels, length = [], 1
     while True:
-        shared = np.flatnonzero(np.bincount(rank, minlength=n)[rank] > 1)
+        shared = np.flatnonzero(np.bincount(rank, minlength=n)[rank] > 1).astype(kind)
         if not shared.size:
             break
-        after = shared + length
+        levels.append((shared, rank[shared]))
+        after = shared.astype(np.int64) + length
         second = np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
         order = np.lexsort((second, rank[shared]))
         a, b = rank[shared][order], second[order]
         group = np.concatenate(([True], a[1:] != a[:-1]))
         split = group | np.concatenate(([True], b[1:] != b[:-1]))
-        at = np.arange(order.size)
-        rank = rank.copy()
+        at = np.arange(order.size, dtype=kind)
         rank[shared[order]] = a + np.maximum.accumulate(np.where(split, at, 0)) - np.maximum.accumulate(np.where(group, at, 0))
-        levels.append(rank)
         length *= 2
-    order = np.empty(n, np.int64)
-    order[rank] = np.arange(n)
-    left, right = order[:-1].copy(), order[1:].copy()
+    order = np.empty(n, kind)
+    order[rank] = np.arange(n, dtype=kind)
+    del rank
+    left, right = order[:-1].astype(np.int64), order[1:].astype(np.int64)
     lcp = np.zeros(n, np.int64)
     for k in range(len(levels) - 1, -1, -1):
-        inside = (left < n) & (right < n)
-        same = np.zeros(left.size, bool)
-        same[inside] = levels[k][left[inside]] == levels[k][right[inside]]
-        step = same * (1 << k)
+        # a suffix whose rank was its own has no common prefix of this length with another
+        shared, ranks = levels.pop()
+        x, y = (np.minimum(np.searchsorted(shared, v), shared.size - 1) for v in (left, right))
+        step = ((shared[x] == left) & (shared[y] == right) & (ranks[x] == ranks[y])) * (1 << k)
         left += step
         right += step
         lcp[1:] += step

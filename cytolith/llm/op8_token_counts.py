@@ -12,7 +12,8 @@ gets one, and each mark begins a word that is counted by itself. Where all score
 word is also cut at characters that occur in no piece. The count of each distinct word is computed once.
 
 Defined results: null and empty texts have no tokens. Repeated rows are counted one by one, extra columns are ignored,
-an empty table gives an empty result.
+an empty table gives an empty result. A very long text is a batch of its own; of a word, however long, the programme holds
+as many ends as the longest piece has characters.
 """
 
 from __future__ import annotations
@@ -45,6 +46,7 @@ class Counter:
         if pieces:
             self.automaton.make_automaton()
         self.empty = not any(p for p, _ in pieces)
+        self.longest = max((len(p) for p, _ in pieces), default=0)
         self.bytes = byte_fallback
         self.unknown = min((s for _, s in pieces), default=0.0) - UNKNOWN_PENALTY
         inside = {c for p, _ in pieces for c in p}
@@ -57,26 +59,30 @@ class Counter:
     def viterbi(self, word: str) -> int:
         """Number of pieces on the best path through a word."""
         n = len(word)
-        score: list[float | None] = [None] * (n + 1)
-        count, unknown = [0] * (n + 1), [False] * (n + 1)
+        # ends by their remainder: no match reaches back further than the longest piece
+        size = max(self.longest, 1) + 1
+        score: list[float | None] = [None] * size
+        count, unknown = [0] * size, [False] * size
         score[0] = 0.0
         matches = iter([]) if self.empty else self.automaton.iter(word)
         ahead = next(matches, None)
         for end in range(1, n + 1):
-            best, single = None, False
+            own, best, single = end % size, None, False
+            ways, is_unknown = 0, False
             while ahead is not None and ahead[0] == end - 1:
                 length, piece = ahead[1]
                 single |= length == 1
-                if score[end - length] is not None and (best is None or score[end - length] + piece > best):
-                    best = score[end - length] + piece
-                    count[end], unknown[end] = count[end - length] + 1, False
+                from_ = (end - length) % size
+                if score[from_] is not None and (best is None or score[from_] + piece > best):
+                    best, ways, is_unknown = score[from_] + piece, count[from_] + 1, False
                 ahead = next(matches, None)
-            if not single and (best is None or score[end - 1] + self.unknown > best):
-                best = score[end - 1] + self.unknown
-                more = len(word[end - 1].encode("utf-8", "surrogatepass")) if self.bytes else 0 if unknown[end - 1] else 1
-                count[end], unknown[end] = count[end - 1] + more, True
-            score[end] = best
-        return count[n]
+            before = (end - 1) % size
+            if not single and (best is None or score[before] + self.unknown > best):
+                best = score[before] + self.unknown
+                more = len(word[end - 1].encode("utf-8", "surrogatepass")) if self.bytes else 0 if unknown[before] else 1
+                ways, is_unknown = count[before] + more, True
+            score[own], count[own], unknown[own] = best, ways, is_unknown
+        return count[n % size]
 
     def _word(self, word: str) -> int:
         if self.apart is None:

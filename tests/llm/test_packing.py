@@ -86,3 +86,8 @@ def test_empty_repeated_and_null_rows(documents):
 def test_spacing_changes_no_ids(text):
     tokenizer = Tokenizer.from_file(PATH)
     assert tokenizer.encode(op._spaced(text), add_special_tokens=False).ids == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_very_long_texts(documents):
+    texts = {1: "some words, here. " * 600_000, 2: "x" * 3_000_000, 3: "a"}
+    check(op.pack(documents(texts), PATH).collect(), texts)

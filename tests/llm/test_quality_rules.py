@@ -79,3 +79,11 @@ def test_long_repeat_is_rejected_and_long_clean_text_is_kept(documents):
 def test_empty_and_repeated_rows(documents):
     assert op.quality(documents([])).count() == 0
     assert op.quality(documents([(1, "a"), (1, "a"), (None, None)])).count() == 3
+
+
+def test_very_long_texts(documents):
+    once = " ".join(f"w{k}" for k in range(1_000_000))
+    docs = documents({1: once, 2: "a b c d e f g h " * 150_000, 3: "x" * 5_000_000, 4: f"{once[:2_000_000]} {once[:2_000_000]}"})
+    rows = {r["doc_id"]: r for r in op.quality(docs).collect()}
+    assert (rows[1]["kept"], rows[1]["n_repeat_words"], rows[2]["kept"], rows[3]["base_failed"]) == (True, 0, False, True)
+    assert rows[2]["longest_repeat"] == 1_200_000 - 8 and rows[4]["n_repeat_words"] == rows[4]["covered_words"] > 500_000

@@ -80,3 +80,12 @@ def test_a_full_store_changes_nothing(monkeypatch):
     wanted = op.sentencepiece_counter(PATH).count(texts).tolist()
     monkeypatch.setattr(op, "CACHED_WORDS", 3)
     assert [int(op.sentencepiece_counter(PATH).count([t])[0]) for t in texts] == wanted
+
+
+def test_very_long_texts(documents):
+    from cytolith.llm.queries import UNIGRAM_TOKENIZER, tokenizer_path
+
+    path = tokenizer_path(UNIGRAM_TOKENIZER)
+    docs = documents({1: "some words " * 900_000, 2: "xyz" * 300_000, 3: "some words", 4: "xyz"})
+    rows = {r["doc_id"]: r["n_tokens"] for r in op.token_counts(docs, path).collect()}
+    assert rows[1] >= 900_000 * rows[3] and rows[2] > 0
