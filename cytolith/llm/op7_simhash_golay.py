@@ -12,9 +12,9 @@ each fingerprint has, for every three segments, the key of the nearest codeword
 three replaced by another near index (4 x 16 keys at most, of 36 bits and the number of the three). Fingerprints that
 link share a key. Exact copies are one fingerprint before that.
 
-Links. Within a key's bucket each fingerprint is compared with the smallest one. What that leaves in different components
-is compared pair by pair, but for pairs of the bucket's largest component; so a dense ball of fingerprints costs its size,
-no bucket is cut and no link between components is lost.
+Links. Within a key's bucket each fingerprint is compared with the smallest one. Of what that leaves in different
+components every pair is compared; so a dense ball of fingerprints gives as many links as it has members and not all its
+pairs, no bucket is cut and no link between components is lost.
 
 The pipeline's stage (representatives) has a link of its own: a Jaccard similarity of SIMILAR (0.8) or more of the sets
 of 5-word shingles. At that similarity fingerprints differ in some ten bits, which no few Golay keys cover (of 48 such
@@ -61,6 +61,7 @@ STAGE_SHINGLE = 5
 SIMILAR = 0.8
 BANDS, BAND_ROWS = 25, 4
 DELTA_BITS = 1024
+CACHED_WORDS = 100_000
 #: Bytes of a text that are split into words at a time.
 BLOCK = 1 << 22
 
@@ -239,13 +240,19 @@ def _across(left: DataFrame, condition: Callable[[str, str], Column]) -> DataFra
 
 
 def links(fps: DataFrame) -> DataFrame:
-    """Pairs a < b of the distinct fingerprints in column fp that differ in MAX_DISTANCE bits at most and join all that such pairs join."""
+    """Pairs a < b of the distinct fingerprints in column fp that differ in MAX_DISTANCE bits at most and join all that such pairs join.
+
+    Only verified pairs leave a join: keys are many, and by chance most are shared in a large corpus.
+    """
     keyed = buckets(fps)
-    ends = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("key", "low")
-    shared = materialise(keyed.join(ends, "key"), "buckets")
-    first = materialise(_pairs(shared.filter(_near("node", "low")), "node", "low"), "first")
-    left = _open(shared.select("key", "node"), components(first))
-    return first.union(_across(left, lambda x, y: _near(f"{x}.node", f"{y}.node")))
+    dealt = keyed.repartition("key")
+    met = dealt.join(dealt.groupBy("key").agg(F.min("node").alias("low")), "key")
+    first = materialise(_pairs(met.filter((F.col("node") != F.col("low")) & _near("node", "low")), "node", "low"), "first")
+    rooted = keyed.join(components(first), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    x, y = rooted.alias("x"), rooted.alias("y")
+    apart = (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & _near(F.col("x.node"), F.col("y.node"))
+    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & apart).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    return first.union(rest)
 
 
 def _labels(nodes: DataFrame, roots: DataFrame, node: str) -> DataFrame:
@@ -267,7 +274,7 @@ class Hashed(dict):
     """XXH64 of words, kept."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > CACHED_WORDS:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word, SEED)
         return h
