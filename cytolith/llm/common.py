@@ -49,11 +49,18 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write df to a table in the shared folder and read it back: lineage ends there, and a lost executor costs a re-read."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    # rows are texts or sets of shingles: fewer go to Python at a time
+    rows = spark.conf.get(ARROW_ROWS)
+    spark.conf.set(ARROW_ROWS, str(min(int(rows), 1000) if int(rows) > 0 else 1000))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(ARROW_ROWS, rows)
     WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Tables that materialise has written and that are still there.
 WRITTEN: list[str] = []
 
