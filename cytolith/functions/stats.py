@@ -104,14 +104,11 @@ def trigamma_inverse(y: float) -> float:
     return math.sqrt(low * high)
 
 
-def moderated_t(groups: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """p-values by row of values (rows x samples) of a two-group comparison (groups: bool), variances shrunk over rows."""
-    a, b = values[:, groups], values[:, ~groups]
-    n1, n2 = a.shape[1], b.shape[1]
+def moderated_t_of(difference: np.ndarray, s2: np.ndarray, n1: int, n2: int) -> np.ndarray:
+    """p-values of two-group comparisons from each row's difference of means and pooled variance, variances shrunk over rows."""
     df = n1 + n2 - 2
     if n1 < 1 or n2 < 1 or df < 1:
-        return np.full(len(values), np.nan)
-    s2 = (((a - a.mean(1, keepdims=True)) ** 2).sum(1) + ((b - b.mean(1, keepdims=True)) ** 2).sum(1)) / df
+        return np.full(len(s2), np.nan)
     positive = s2[s2 > 0]
     d0, s0 = math.inf, float(np.mean(s2)) if len(s2) else 1.0
     if len(positive) > 1:
@@ -124,8 +121,8 @@ def moderated_t(groups: np.ndarray, values: np.ndarray) -> np.ndarray:
             s0 = math.exp(e.mean())
     post = (np.full_like(s2, s0) if math.isinf(d0) else (d0 * s0 + df * s2) / (d0 + df))
     with np.errstate(divide="ignore", invalid="ignore"):
-        t = (a.mean(1) - b.mean(1)) / np.sqrt(post * (1 / n1 + 1 / n2))
-    total = min(df + d0, df * len(values))
+        t = difference / np.sqrt(post * (1 / n1 + 1 / n2))
+    total = min(df + d0, df * len(s2))
     return np.array([t_two_sided(x, total) for x in t])
 
 
@@ -153,3 +150,44 @@ def ideal_fourths(x: np.ndarray) -> tuple[float, float]:
 def boxplot_fences(x: np.ndarray) -> tuple[float, float]:
     low, high = ideal_fourths(x)
     return low - 1.5 * (high - low), high + 1.5 * (high - low)
+
+
+def dirichlet(rng: np.random.Generator, alpha: np.ndarray) -> np.ndarray:
+    """One draw: gamma variates brought to the sum of 1."""
+    x = rng.gamma(np.asarray(alpha, float))
+    return x / x.sum()
+
+
+def leaf_order(x: np.ndarray) -> list[int]:
+    """Rows in the order of a clustering tree: complete linkage of Euclidean distances; of two branches that with the smaller sum of row means comes first."""
+    x = np.asarray(x, float)
+    n = len(x)
+    if n < 2:
+        return list(range(n))
+    d = np.sqrt(np.maximum(((x[:, None] - x[None]) ** 2).sum(2), 0))
+    np.fill_diagonal(d, np.inf)
+    means = np.nanmean(x, axis=1)
+    branches = {k: ([k], float(means[k])) for k in range(n)}
+    while len(branches) > 1:
+        i, j = divmod(int(d.argmin()), n)
+        (a, u), (b, v) = branches.pop(i), branches.pop(j)
+        branches[i] = ([*a, *b] if u <= v else [*b, *a], u + v)
+        d[i] = d[:, i] = np.maximum(d[i], d[j])
+        d[j] = d[:, j] = np.inf
+        d[i, i] = np.inf
+    return next(iter(branches.values()))[0]
+
+
+def weighted_quantile(x: np.ndarray, weight: np.ndarray, q: float) -> float:
+    """The quantile (linear between neighbours) of sorted values that each stand for so many."""
+    ends = np.cumsum(weight)
+    at = q * (ends[-1] - 1)
+    low, high = (x[np.searchsorted(ends, k, "right")] for k in (math.floor(at), math.ceil(at)))
+    return float(low + (high - low) * (at - math.floor(at)))
+
+
+def weighted_deviation(x: np.ndarray, weight: np.ndarray) -> float:
+    """Sample deviation of values that each stand for so many."""
+    n = weight.sum()
+    mean = (x * weight).sum() / n
+    return float(math.sqrt((weight * (x - mean) ** 2).sum() / (n - 1))) if n > 1 else 0.0

@@ -1,10 +1,18 @@
-"""Alignments to genes by overlap with exons: a range join on binned positions."""
+"""Alignments to genes by overlap with exons: a range join on binned positions.
+
+Of each alignment only none, one or several genes matter. So the annotation is cut at all exon ends into segments, each
+with the first and the last (by name) of its genes, and neighbours alike are joined: an alignment hits one gene if the
+first and the last over its segments are the same. A read meets a segment or two however many exons lie there.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
 from .molecules import AMBIGUOUS
 
 BIN = 1 << 14
@@ -29,6 +37,42 @@ def overlaps(alignments: DataFrame, annotation: DataFrame, strand: int = 1, widt
     return a.join(e, near & once).select("a.aln_id", "e.gene_id").distinct()
 
 
+def _like_length(df: DataFrame) -> int:
+    """A power of two near the mean length of intervals: few bins an interval, few intervals a bin."""
+    mean = df.agg(F.avg(F.col("end") - F.col("start") + 1)).first()[0] or 1.0
+    return min(max(1 << round(math.log2(max(mean, 1.0))), 64), 1 << 20)
+
+
+def segments(annotation: DataFrame, stranded: bool = True) -> DataFrame:
+    """chrom, strand ('.' if it doesn't matter), start, end, low, high: stretches without a change of genes, with the first and last gene by name; stretches without a gene are left out."""
+    side = F.col("strand") if stranded else F.lit(".")
+    exons = checkpointed(annotation.select("gene_id", "chrom", side.alias("strand"), "start", "end").filter("start <= end").distinct())
+    ends = exons.select("chrom", "strand", F.col("start").alias("at")).union(exons.select("chrom", "strand", (F.col("end") + 1).alias("at"))).distinct()
+    along = Window.partitionBy("chrom", "strand").orderBy("at")  # an annotation's places on one chromosome
+    cut = ends.select("chrom", "strand", F.col("at").alias("start"), (F.lead("at").over(along) - 1).alias("end")).filter(F.col("end").isNotNull())
+    width = _like_length(exons)
+    # a segment lies wholly in an exon or outside of it: its first place tells
+    e = _bins(exons, width).alias("e")
+    c = cut.withColumn("_bin", F.expr(f"start div {width}")).alias("c")
+    held = c.join(e, (F.col("c.chrom") == F.col("e.chrom")) & (F.col("c.strand") == F.col("e.strand")) & (F.col("c._bin") == F.col("e._bin")) & (F.col("c.start") >= F.col("e.start")) & (F.col("c.start") <= F.col("e.end")))
+    named = held.groupBy("c.chrom", "c.strand", "c.start", "c.end").agg(F.min("e.gene_id").alias("low"), F.max("e.gene_id").alias("high"))
+    order = Window.partitionBy("chrom", "strand").orderBy("start")
+    same = (F.lag("end").over(order) == F.col("start") - 1) & (F.lag("low").over(order) == F.col("low")) & (F.lag("high").over(order) == F.col("high"))
+    run = named.withColumn("_new", (~F.coalesce(same, F.lit(False))).cast("int")).withColumn("_run", F.sum("_new").over(order))
+    return run.groupBy("chrom", "strand", "_run", "low", "high").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_run")
+
+
+def genes_hit(alignments: DataFrame, annotation: DataFrame, strand: int = 1) -> DataFrame:
+    """aln_id, low, high: the first and the last gene by name that each alignment overlaps, where there is one. strand as in overlaps."""
+    table = checkpointed(segments(annotation, strand != 0))
+    width = _like_length(table)
+    side = F.lit(".") if strand == 0 else F.col("strand") if strand == 1 else F.when(F.col("strand") == "+", "-").when(F.col("strand") == "-", "+")
+    a = _bins(alignments.select("aln_id", "chrom", side.alias("strand"), "start", "end"), width).alias("a")
+    s = _bins(table, width).alias("s")
+    met = (F.col("a.chrom") == F.col("s.chrom")) & (F.col("a.strand") == F.col("s.strand")) & (F.col("a._bin") == F.col("s._bin")) & (F.col("a.start") <= F.col("s.end")) & (F.col("a.end") >= F.col("s.start"))
+    return a.join(s, met).groupBy("a.aln_id").agg(F.min("s.low").alias("low"), F.max("s.high").alias("high"))
+
+
 def annotate(alignments: DataFrame, annotation: DataFrame, strand: int = 1, introns: DataFrame | None = None, multi_mapping: bool = False) -> DataFrame:
     """alignments with xt and xs: the one gene that is hit, or the ambiguity mark if several are; else both null.
 
@@ -36,11 +80,11 @@ def annotate(alignments: DataFrame, annotation: DataFrame, strand: int = 1, intr
     """
 
     def assigned(rows: DataFrame, table: DataFrame) -> DataFrame:
-        return overlaps(rows, table, strand).groupBy("aln_id").agg(F.count("*").alias("_n"), F.min("gene_id").alias("_gene"))
+        return genes_hit(rows, table, strand)
 
     rows = alignments if multi_mapping else alignments.filter(F.coalesce("nh", F.lit(1)) <= 1)
     found = assigned(rows, annotation)
     if introns is not None:
         found = found.unionByName(assigned(rows.join(found, "aln_id", "left_anti"), introns))
     out = alignments.drop("xt", "xs").join(found, "aln_id", "left")
-    return out.withColumns({"xt": F.when(F.col("_n") == 1, F.col("_gene")), "xs": F.when(F.col("_n") > 1, F.lit(AMBIGUOUS))}).drop("_n", "_gene")
+    return out.withColumns({"xt": F.when(F.col("low") == F.col("high"), F.col("low")), "xs": F.when(F.col("low") != F.col("high"), F.lit(AMBIGUOUS))}).drop("low", "high")

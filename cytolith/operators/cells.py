@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,77 +96,56 @@ def t_ratios(counts: DataFrame) -> DataFrame:
     return counts.withColumn("t_ratio", ratio).withColumn("n_flags", F.size(F.filter("t_ratio", lambda r: (r > HIGH_RATIO) | (r < LOW_RATIO))))
 
 
-def connected(pairs: DataFrame, nodes: DataFrame, rounds: int = 30) -> DataFrame:
-    """cb, component of each of nodes (cb) under pairs (a, b): smallest labels spread over neighbours and jump."""
-    both = checkpointed(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")).union(pairs.select(F.col("b").alias("u"), F.col("a").alias("v"))))
-    labels = nodes.select("cb", F.col("cb").alias("component"))
-    for _ in range(rounds):
-        near = both.join(labels, both["v"] == labels["cb"]).groupBy("u").agg(F.min("component").alias("low"))
-        spread = labels.join(near, labels["cb"] == near["u"], "left").select("cb", F.least("component", F.coalesce("low", "component")).alias("component"), F.col("component").alias("was"))
-        up = spread.select(F.col("cb").alias("_c"), F.col("component").alias("_up"))
-        jumped = checkpointed(spread.join(up, spread["component"] == up["_c"]).select("cb", F.least("component", "_up").alias("component"), "was"))
-        labels = jumped.select("cb", "component")
-        if jumped.filter("component <> was").isEmpty():
-            return labels
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
+def _in_order(counts: DataFrame, distance: int, rule) -> DataFrame:
+    """cb of the barcodes that a greedy pass by falling count (ties by barcode) accepts.
 
-
-def _mismatches(a: str, b: str) -> int:
-    return sum(x != y for x, y in zip(a, b, strict=False))
-
-
-def merge_in_order(rows: Iterable[tuple[str, int]], distance: int = 1) -> list[str]:
-    """Barcodes by falling count: one without an accepted neighbour is accepted; with exactly one, if it has more than a tenth of its reads."""
-    accepted: dict[str, int] = {}
-    for cb, count in sorted(rows, key=lambda x: (-x[1], x[0])):
-        near = [a for a in accepted if _mismatches(cb, a) <= distance]
-        if not near or len(near) == 1 and count > accepted[near[0]] / 10:
-            accepted[cb] = count
-    return list(accepted)
-
-
-def absorb_in_order(rows: Iterable[tuple[str, int]], distance: int = 1) -> list[str]:
-    """Barcodes by falling count: the first absorbs all within the distance, and so on with the rest."""
-    left, heads = sorted(rows, key=lambda x: (-x[1], x[0])), []
-    while left:
-        head = left[0][0]
-        heads.append(head)
-        left = [x for x in left[1:] if _mismatches(head, x[0]) > distance]
-    return heads
-
-
-def _by_component(counts: DataFrame, kernel, distance: int) -> DataFrame:
-    """A greedy kernel run in each connected component of barcodes; barcodes of different components don't interact."""
+    Whether one is accepted depends on its neighbours above it alone: of a barcode of L bases there are 4 L at most at
+    distance 1. So all whose answer is known are answered at once, round after round; there are as many rounds as the
+    longest chain of barcodes that wait for each other, and no group of barcodes is held together. rule gives, from n_open,
+    n_accepted, top (the largest accepted count) and own, true, false, or null for not yet.
+    """
     nodes = checkpointed(counts.select("cb", "cb_count"))
-    pairs = near_pairs(nodes, distance, "cb")
-    placed = nodes.join(connected(pairs, nodes), "cb")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"cb": kernel(zip(pdf["cb"], pdf["cb_count"], strict=True), distance)}, dtype=object)
-
-    return placed.groupBy("component").applyInPandas(run, "cb string")
+    named = lambda n: nodes.select(F.col("cb").alias(n), F.col("cb_count").alias(f"{n}_count"))
+    met = near_pairs(nodes, distance, "cb").join(named("a"), "a").join(named("b"), "b")
+    first = (F.col("a_count") > F.col("b_count")) | ((F.col("a_count") == F.col("b_count")) & (F.col("a") < F.col("b")))
+    pick = lambda x, y, out: F.when(first, F.col(x)).otherwise(F.col(y)).alias(out)
+    edges = checkpointed(met.select(pick("b", "a", "cb"), pick("b_count", "a_count", "own"), pick("a", "b", "above"), pick("a_count", "b_count", "above_count"), F.lit(None).cast("boolean").alias("accepted")))
+    decided = nodes.join(edges.select("cb").distinct(), "cb", "left_anti").select("cb", F.lit(True).alias("accepted"))
+    done = [decided]
+    while True:
+        news = done[-1].select(F.col("cb").alias("above"), F.col("accepted").alias("_new"))
+        edges = checkpointed(edges.join(news, "above", "left").withColumn("accepted", F.coalesce("accepted", "_new")).drop("_new"))
+        if edges.isEmpty():
+            break
+        state = edges.groupBy("cb", "own").agg(F.count_if(F.col("accepted").isNull()).alias("n_open"), F.count_if("accepted").alias("n_accepted"), F.max(F.when(F.col("accepted"), F.col("above_count"))).alias("top"))
+        answered = checkpointed(state.select("cb", rule.alias("accepted")).filter(F.col("accepted").isNotNull()))
+        done.append(answered)
+        edges = edges.join(answered.select("cb"), "cb", "left_anti")
+    return reduce(DataFrame.unionByName, done).filter("accepted").select("cb")
 
 
 def greedy_merge(counts: DataFrame, distance: int = 1) -> DataFrame:
-    """cb of the barcodes that merge_in_order accepts."""
-    return _by_component(counts, merge_in_order, distance)
+    """cb of accepted barcodes: those without an accepted neighbour above, or with exactly one and more than a tenth of its reads."""
+    enough = F.col("own") > F.col("top") / 10
+    lost = (F.col("n_accepted") >= 2) | ((F.col("n_accepted") == 1) & ~enough)
+    return _in_order(counts, distance, F.when(lost, False).when(F.col("n_open") == 0, True))
 
 
 def greedy_absorb(counts: DataFrame, distance: int = 1) -> DataFrame:
-    """cb of the barcodes that absorb_in_order leaves."""
-    return _by_component(counts, absorb_in_order, distance)
+    """cb of the barcodes that are left if each, by falling count, absorbs all within the distance."""
+    return _in_order(counts, distance, F.when(F.col("n_accepted") >= 1, False).when(F.col("n_open") == 0, True))
 
 
-def merge_deleted(counts: DataFrame, merge: bool, distance: int = 1, most_merged: int = 100_000) -> tuple[DataFrame, DataFrame]:
+def merge_deleted(counts: DataFrame, merge: bool, distance: int = 1) -> tuple[DataFrame, DataFrame]:
     """(whitelist, removed), both with cb, from counts by corrected barcode.
 
-    Barcodes without a flag make the whitelist (merged greedily if asked and they are few enough), those with one flag
+    Barcodes without a flag make the whitelist (merged greedily if asked, however many they are), those with one flag
     have lost a base and are represented by the largest of each neighbourhood, others go. Of the whitelist, barcodes next
     to a representative whose last base is N are to be removed.
     """
     flagged = checkpointed(t_ratios(counts).select("cb", "cb_count", "n_flags"))
     whole = flagged.filter("n_flags = 0")
-    listed = greedy_merge(whole, distance) if merge and whole.count() <= most_merged else whole.select("cb")
+    listed = greedy_merge(whole, distance) if merge else whole.select("cb")
     shorter = checkpointed(greedy_absorb(flagged.filter("n_flags = 1"), distance))
     masked = shorter.select(F.explode(neighbours(F.concat(F.expr("left(cb, length(cb) - 1)"), F.lit("N")))).alias("cb")).distinct()
     removed = listed.join(masked, "cb", "left_semi")

@@ -10,10 +10,11 @@ from __future__ import annotations
 import math
 from itertools import product
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import BisectingKMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,10 +22,10 @@ from pyspark.sql.types import DoubleType
 
 from ..functions.dna import MITO_RIBO
 from .markers import annotate_clusters, assign_clusters, average_auc, cluster_auc, marker_scores
+from .matrix import axis
+from .ranks import below
 from ..session import checkpointed
 
-MOST_GENES = 3000
-
 
 def normalise(counts: DataFrame, scale: float = 1e4, tpm: bool = False) -> DataFrame:
     """cell, gene, value: log1p of counts by ``scale`` of the cell's, or of the values as they are."""
@@ -56,18 +57,69 @@ def variable_genes(values: DataFrame, low: float = 0.0125, high: float = 3.0, di
     return binned.join(by_bin, "bin").select("gene", "mean", F.coalesce(z, F.lit(0.0)).alias("z")).filter((F.col("mean") > low) & (F.col("mean") < high) & (F.col("z") > dispersion))
 
 
-def components(values: DataFrame, genes: DataFrame, n_pc: int = 50, most_genes: int = MOST_GENES) -> DataFrame:
-    """cell, pc (vector) from scaled values of the genes, at most ``most_genes`` (a documented bound: PCA keeps genes x genes)."""
-    index = genes.select("gene").distinct().orderBy(F.xxhash64("gene")).limit(most_genes).withColumn("k", F.row_number().over(Window.orderBy("gene")) - 1).cache()
-    width = index.count()
+def components(values: DataFrame, genes: DataFrame, n_pc: int = 50, rounds: int = 6, extra: int = 10, seed: int = 0) -> DataFrame:
+    """cell, pc (vector) from scaled values of all these genes.
+
+    The leading components by subspace iteration: the cells' rows stay sparse and where they are, each round multiplies
+    them with a matrix of genes x (n_pc + extra) and back, and only matrices of that size are summed up and come to the
+    driver. There is no matrix of genes x genes, and genes are as many as an annotation has.
+    """
+    index = axis(genes, "gene", "k").select("gene", (F.col("k") - 1).cast("int").alias("k"))
+    used = values.join(index, "gene")
     n = values.select("cell").distinct().count()
-    used = values.join(F.broadcast(index), "gene")
     stats = used.groupBy("k").agg((F.sum("value") / n).alias("m"), (F.sum(F.col("value") * F.col("value")) / n).alias("m2"))
     spread = F.sqrt(F.greatest((F.col("m2") - F.col("m") * F.col("m")) * n / max(n - 1, 1), F.lit(1e-12)))
-    rows = used.join(F.broadcast(stats.select("k", "m", spread.alias("s"))), "k").groupBy("cell").agg(F.map_from_entries(F.collect_list(F.struct("k", F.col("value") / F.col("s")))).alias("v"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(max(width, 1) - 1)), lambda i: F.coalesce(F.col("v")[i], F.lit(0.0)))
-    vectors = rows.select("cell", array_to_vector(dense).alias("x"))
-    return PCA(k=max(1, min(n_pc, width)), inputCol="x", outputCol="pc").fit(vectors).transform(vectors).select("cell", "pc")
+    scaled = checkpointed(stats.select("k", "m", spread.alias("s")))
+    width = index.count()
+    mean = np.zeros(max(width, 1))
+    for r in scaled.select("k", (F.col("m") / F.col("s")).alias("m")).collect():  # a number for each gene
+        mean[r["k"]] = r["m"]
+    rows = checkpointed(used.join(scaled.select("k", "s"), "k").groupBy("cell").agg(F.collect_list("k").alias("k"), F.collect_list(F.col("value") / F.col("s")).alias("v")))
+    size = max(1, min(n_pc, width))
+    wide = min(size + extra, max(width, 1))
+    basis = np.linalg.qr(np.random.default_rng(seed).standard_normal((max(width, 1), wide)))[0]
+
+    def product(batch: pa.RecordBatch, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Genes and values of a batch's entries, the row of each, and the centred rows times q."""
+        k, v = batch.column(0), batch.column(1)
+        sizes = np.diff(k.offsets.to_numpy())
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        gene, value = k.flatten().to_numpy(), v.flatten().to_numpy()
+        out = np.zeros((len(sizes), q.shape[1]))
+        for j in range(q.shape[1]):
+            out[:, j] = np.bincount(row, value * q[gene, j], len(sizes))
+        return gene, value, row, out - mean @ q
+
+    def back(q: np.ndarray):
+        def run(batches):
+            total, held = np.zeros((len(mean), q.shape[1])), np.zeros(q.shape[1])
+            for batch in batches:
+                gene, value, row, y = product(batch, q)
+                for j in range(q.shape[1]):
+                    total[:, j] += np.bincount(gene, value * y[row, j], len(mean))
+                held += y.sum(0)
+            total -= np.outer(mean, held)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(mean))), pa.array(total.tolist(), pa.list_(pa.float64()))], ["k", "z"])
+
+        return run
+
+    for _ in range(rounds):
+        sums = rows.select("k", "v").mapInArrow(back(basis), "k long, z array<double>").groupBy("k").agg(*(F.sum(F.col("z")[j]).alias(f"z{j}") for j in range(basis.shape[1])))
+        z = np.zeros_like(basis)
+        for r in sums.collect():
+            z[r["k"]] = r[1:]
+        basis, strength, turn = np.linalg.svd(z, full_matrices=False)
+    # the sign of a component is free: its largest weight is positive
+    basis = basis * np.where(basis[np.abs(basis).argmax(0), np.arange(basis.shape[1])] < 0, -1, 1)
+    axes = basis[:, :size]
+
+    def project(batches):
+        for batch in batches:
+            # not centred: the bisection starts from small moves in proportion to a mean, which must not be 0
+            y = product(batch.select([1, 2]), axes)[3] + mean @ axes
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(y.tolist(), pa.list_(pa.float64()))], ["cell", "pc"])
+
+    return rows.select("cell", "k", "v").mapInArrow(project, "cell string, pc array<double>").select("cell", array_to_vector("pc").alias("pc"))
 
 
 def cluster_cells(counts: DataFrame, resolution: float = 1.0, n_pc: int = 50, variable: bool = False, species: str = "human", tpm: bool = False, min_cells: int = 3, min_genes: int = 1, seed: int = 0) -> DataFrame:
@@ -79,6 +131,11 @@ def cluster_cells(counts: DataFrame, resolution: float = 1.0, n_pc: int = 50, va
     return model.transform(points).select("cell", F.col("c").cast("string").alias("cluster"), "pc")
 
 
+def cluster_sizes(clusters: DataFrame) -> DataFrame:
+    """cluster, n."""
+    return clusters.groupBy("cluster").agg(F.count("*").alias("n"))
+
+
 def silhouette(clustered: DataFrame) -> float:
     """Mean silhouette (squared Euclidean distance) of pc by cluster."""
     rows = clustered.withColumn("c", F.col("cluster").cast("double"))
@@ -94,21 +151,21 @@ def rank_sum_tests(values: DataFrame, clusters: DataFrame, min_share: float = 0.
     """cluster, gene, z, p_val, p_val_adj, avg_change, pct_1, pct_2, pos: each cluster against the rest.
 
     Wilcoxon rank sums with tie correction and normal tails; absent values are zeros and rank below all others. Counts by
-    gene, value and cluster are made first, so ranking sees distinct values only.
+    gene, value and cluster are made first, so ranking sees distinct values only, by ranges. The result has a row for each
+    gene and cluster, and so has the grid of cells without a value.
     """
     sizes = clusters.groupBy("cluster").agg(F.count("*").alias("n1"))
     n = clusters.count()
     seen = values.filter("value > 0").join(clusters, "cell")
     genes = seen.select("gene").distinct()
     present = seen.groupBy("gene", "value", "cluster").agg(F.count("*").alias("c"))
-    zeros = genes.join(sizes).join(present.groupBy("gene", "cluster").agg(F.sum("c").alias("s")), ["gene", "cluster"], "left").select("gene", F.lit(0.0).alias("value"), "cluster", (F.col("n1") - F.coalesce("s", F.lit(0))).alias("c"))
+    zeros = genes.crossJoin(sizes).join(present.groupBy("gene", "cluster").agg(F.sum("c").alias("s")), ["gene", "cluster"], "left").select("gene", F.lit(0.0).alias("value"), "cluster", (F.col("n1") - F.coalesce("s", F.lit(0))).alias("c"))
     every = present.unionByName(zeros)
     tied = every.groupBy("gene", "value").agg(F.sum("c").alias("t"))
-    before = F.coalesce(F.sum("t").over(Window.partitionBy("gene").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = tied.withColumn("rank", before + (F.col("t") + 1) / 2)
+    ranked = below(tied, ["gene"], "value", ["t"]).select("gene", "value", "t", (F.col("_below_t") + (F.col("t") + 1) / 2).alias("rank"))
     tie = ranked.groupBy("gene").agg(F.sum(F.pow(F.col("t").cast("double"), F.lit(3.0)) - F.col("t")).alias("tie"))
     change = F.expm1("value") * F.col("c")
-    by = every.join(ranked, ["gene", "value"]).groupBy("gene", "cluster").agg(F.sum(F.col("rank") * F.col("c")).alias("r"), F.sum(F.when(F.col("value") > 0, F.col("c")).otherwise(0)).alias("k"), F.sum(change).alias("e"))
+    by = every.join(ranked.drop("t"), ["gene", "value"]).groupBy("gene", "cluster").agg(F.sum(F.col("rank") * F.col("c")).alias("r"), F.sum(F.when(F.col("value") > 0, F.col("c")).otherwise(0)).alias("k"), F.sum(change).alias("e"))
     whole = by.groupBy("gene").agg(F.sum("k").alias("k_all"), F.sum("e").alias("e_all"))
     rows = by.join(whole, "gene").join(tie, "gene").join(sizes, "cluster").withColumn("n2", n - F.col("n1")).filter("n2 > 0")
     u = F.col("r") - F.col("n1") * (F.col("n1") + 1) / 2 - F.col("n1") * F.col("n2") / 2

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.stats import log_sum_exp
+from ..functions.stats import dirichlet, log_sum_exp
 from ..session import checkpointed
 
 EVIDENCE = "gene string, sample string, neighbour string, p_down double, p_neutral double, p_up double, h double"
@@ -219,3 +219,25 @@ def posterior_table(found: DataFrame) -> DataFrame:
     pairs = found.select(F.col("gene").alias("hgnc_symbol"), "p_driver", F.explode(F.arrays_zip("samples", "p_effect")).alias("x"))
     return pairs.select(F.col("x.samples").alias("sample"), "hgnc_symbol", F.col("x.p_effect").alias("p_effect"), "p_driver").orderBy(F.desc("p_driver"), "hgnc_symbol", F.desc("p_effect"), "sample")
 
+
+
+def integrated_prior(priors: DataFrame) -> DataFrame:
+    """gene, log_p0, log_p1 from the pseudo-counts (gene, b0, b1) of each gene's own table: the log of the table's expectation, its parameter integrated out."""
+    total = F.col("b0") + F.col("b1")
+    return priors.select("gene", F.log(F.col("b0") / total).alias("log_p0"), F.log(F.col("b1") / total).alias("log_p1"))
+
+
+def replicated(table: DataFrame, names: DataFrame, name: str = "name") -> DataFrame:
+    """A shared table's rows once for each name: what gives every gene, or every mutation, a table of its own. One side is a table of a few rows."""
+    return table.crossJoin(names.select(F.col(name).alias("name")).distinct())
+
+
+def dirichlet_draws(names: DataFrame, alpha: list[float], seed: int = 0, name: str = "name") -> DataFrame:
+    """name, share (array) drawn from a Dirichlet distribution for each name; a name's draw depends on it and the seed alone."""
+
+    def run(parts):
+        for pdf in parts:
+            yield pd.DataFrame({"name": pdf["name"], "share": [dirichlet(np.random.default_rng([seed, h]), np.array(alpha)).tolist() for h in pdf["h"]]})
+
+    keyed = names.select(F.col(name).cast("string").alias("name"), F.pmod(F.xxhash64(F.col(name).cast("string")), F.lit(1 << 62)).alias("h"))
+    return keyed.mapInPandas(run, "name string, share array<double>")

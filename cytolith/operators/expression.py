@@ -7,7 +7,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import boxplot_fences, gauss_log_density, minimise, student_log_density
+from ..functions.stats import boxplot_fences, gauss_log_density, leaf_order, minimise, student_log_density
+from ..session import checkpointed
+from .matrix import axis
 from .mixture import fit, fit_expression
 
 #: Variant types that count as strong (fixed values); NONSTOP only if asked for.
@@ -57,33 +59,53 @@ def boxplot_outliers(df: DataFrame, by: str, column: str = "value") -> DataFrame
     return df.join(q, F.col(by) == F.col("_by")).filter((F.col(column) < F.col("ql") - reach) | (F.col(column) > F.col("qu") + reach)).drop("_by", "ql", "qu")
 
 
-def impute_knn(df: DataFrame, k: int = 10, ratio: float = 0.5, blocks: int = 1) -> DataFrame:
-    """Missing values of a gene filled with the mean of that sample in its k nearest genes.
+def impute_knn(df: DataFrame, k: int = 10, ratio: float = 0.5, block: int = 1024) -> DataFrame:
+    """Missing values of a gene filled with the mean of that sample in its k nearest genes (ties by name).
 
-    Distances are root mean squares over samples that both genes have. Genes are split into blocks by hash and each block
-    is imputed by itself, as the method does when a matrix is too large for all pairs.
+    Distances are root mean squares over samples that both genes have. Genes are dealt into blocks of about so many; the
+    genes with missing values are compared with all genes block by block, and the nearest of all blocks are taken, so the
+    block's size changes nothing in the result. A sample that no near gene has gets its mean.
     """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        wide = pdf.pivot(index="gene", columns="sample", values="value")
-        x = wide.to_numpy(float)
-        known = ~np.isnan(x)
-        filled = x.copy()
-        column_mean = np.nanmean(np.where(known.any(0), x, 0), axis=0)
-        for i in np.flatnonzero(~known.all(1)):
-            both = known & known[i]
-            d = np.where(both, x - x[i], 0.0)
+    usable = checkpointed(drop_missing(df, ratio).filter(F.col("value").isNotNull()))
+    samples = axis(usable, "sample", "_s")
+    n_samples, n_genes = samples.count(), usable.select("gene").distinct().count()
+    blocks = max(1, -(-n_genes // block))
+    vectors = usable.join(samples, "sample").groupBy("gene").agg(F.collect_list(F.struct(F.col("_s").cast("int").alias("s"), "value")).alias("v"))
+    vectors = checkpointed(vectors.withColumn("b", F.pmod(F.xxhash64("gene"), F.lit(blocks)).cast("int")))
+    every = F.sequence(F.lit(0), F.lit(blocks - 1))
+    asked = vectors.filter(F.size("v") < n_samples).select("gene", "v", F.col("b").alias("q"), F.explode(every).alias("t"))
+    known = vectors.select("gene", "v", F.col("b").alias("t"), F.explode(every).alias("q"))
+
+    def dense(pdf: pd.DataFrame) -> np.ndarray:
+        x = np.full((len(pdf), n_samples), np.nan)
+        for i, v in enumerate(pdf["v"]):
+            for e in v:
+                x[i, e["s"] - 1] = e["value"]
+        return x
+
+    def nearest(mine: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
+        others = others.sort_values("gene")
+        names, x, y = others["gene"].to_numpy(), dense(mine), dense(others)
+        has, rows = ~np.isnan(y), []
+        for gene, row in zip(mine["gene"], x, strict=True):
+            own = ~np.isnan(row)
+            both = has & own
+            n = both.sum(1)
+            d = np.where(both, y - row, 0.0)
             with np.errstate(invalid="ignore", divide="ignore"):
-                distance = np.sqrt((d * d).sum(1) / both.sum(1))
-            distance[i] = np.inf
-            distance[~np.isfinite(distance)] = np.inf
-            for j in np.flatnonzero(~known[i]):
-                near = [g for g in np.argsort(distance, kind="stable") if known[g, j] and np.isfinite(distance[g])][:k]
-                filled[i, j] = x[near, j].mean() if near else column_mean[j]
-        return pd.DataFrame(filled, index=wide.index, columns=wide.columns).stack().rename("value").reset_index()[["sample", "gene", "value"]]
+                distance = np.sqrt((d * d).sum(1) / n)
+            order = [g for g in np.argsort(distance, kind="stable") if n[g] and names[g] != gene]
+            for j in np.flatnonzero(~own):
+                rows += [(gene, j + 1, float(distance[g]), names[g], float(y[g, j])) for g in [g for g in order if has[g, j]][:k]]
+        return pd.DataFrame(rows, columns=["gene", "_s", "distance", "near", "value"])
 
-    usable = drop_missing(df, ratio).withColumn("_b", F.pmod(F.xxhash64("gene"), F.lit(blocks)))
-    return usable.groupBy("_b").applyInPandas(lambda pdf: run(pdf), "sample string, gene string, value double")
+    found = asked.groupBy("q", "t").cogroup(known.groupBy("q", "t")).applyInPandas(nearest, "gene string, _s long, distance double, near string, value double")
+    first = F.row_number().over(Window.partitionBy("gene", "_s").orderBy("distance", "near"))
+    filled = found.withColumn("_r", first).filter(F.col("_r") <= k).groupBy("gene", "_s").agg(F.avg("value").alias("_near"))
+    means = usable.groupBy("sample").agg(F.avg("value").alias("_mean"))
+    holes = asked.filter("t = 0").select("gene", F.explode(F.array_except(F.sequence(F.lit(1), F.lit(max(n_samples, 1))), F.transform("v", lambda e: e["s"]))).alias("_s")).withColumn("_s", F.col("_s").cast("long"))
+    late = holes.join(filled, ["gene", "_s"], "left").join(samples, "_s").join(means, "sample").select("sample", "gene", F.coalesce("_near", "_mean").alias("value"))
+    return usable.select("sample", "gene", "value").unionByName(late)
 
 
 def strong_mutations(mutations: DataFrame, samples: DataFrame, nonstop: bool = False) -> DataFrame:
@@ -206,6 +228,18 @@ def remove_copy_number(expr: DataFrame, cna: DataFrame, kind: str = "gp") -> Dat
     return both.groupBy("gene").applyInPandas(run, "sample string, gene string, value double")
 
 
+def heatmap_order(values: DataFrame) -> DataFrame:
+    """axis, name, position of a heatmap's genes and samples, by clustering trees. A heatmap is a picture: its matrix is one task's."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        wide = pdf.pivot(index="gene", columns="sample", values="value").fillna(0.0)
+        out = [("gene", wide.index[i], k) for k, i in enumerate(leaf_order(wide.to_numpy()))]
+        out += [("sample", wide.columns[i], k) for k, i in enumerate(leaf_order(wide.to_numpy().T))]
+        return pd.DataFrame(out, columns=["axis", "name", "position"])
+
+    return values.select("gene", "sample", "value").groupBy().applyInPandas(run, "axis string, name string, position long")
+
+
 def heatmap_data(dist: DataFrame) -> DataFrame:
     """gene, sample, value: the larger of up and down, signed: what a regulation heatmap draws."""
     share = [F.col(p) * F.col("share")[k] for k, p in enumerate(("p_down", "p_neutral", "p_up"))]

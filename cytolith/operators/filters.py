@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,9 +9,6 @@ from pyspark.sql import functions as F
 from ..functions.dna import MITO
 from .mixture import fit_totals
 
-#: Cells that the mixture of totals is fitted to at most, drawn by hash of the name; the cut applies to all cells.
-FITTED_CELLS = 200_000
-
 
 def cell_totals(counts: DataFrame) -> DataFrame:
     """cell, total."""
@@ -41,16 +37,19 @@ def mito_filter(counts: DataFrame, species: str = "human", pattern: str | None =
     return ratios.join(F.broadcast(limit), F.col("ratio") <= F.col("limit")).drop("limit")
 
 
-def low_count_filter(counts: DataFrame, ratio: float = 0.1, take_log: bool = True, fitted_cells: int = FITTED_CELLS) -> DataFrame:
-    """Cells (cell, total) at or above the cut of a two-part mixture of their totals."""
+def low_count_filter(counts: DataFrame, ratio: float = 0.1, take_log: bool = True) -> DataFrame:
+    """Cells (cell, total) at or above the cut of a two-part mixture of their totals.
+
+    The mixture is that of all cells: it is fitted to the distinct totals, each weighing as many cells as have it. Totals
+    are counts, so one task gets no more rows than the largest total is.
+    """
     totals = cell_totals(counts)
     value = F.log10(F.col("total").cast("double")) if take_log else F.col("total").cast("double")
-    n = totals.count()
-    share = min(1.0, fitted_cells / max(n, 1))
-    sample = totals.filter(F.pmod(F.xxhash64("cell"), F.lit(1 << 30)) < F.lit(share * (1 << 30))).select(value.alias("x"))
+    held = totals.groupBy("total").agg(F.count("*").alias("n")).select(value.alias("x"), "n")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"cut": [fit_totals(np.sort(pdf["x"].to_numpy()), ratio)[1]]})
+        pdf = pdf.sort_values("x")
+        return pd.DataFrame({"cut": [fit_totals(pdf["x"].to_numpy(), ratio, pdf["n"].to_numpy())[1]]})
 
-    cut = sample.groupBy().applyInPandas(run, "cut double")
+    cut = held.groupBy().applyInPandas(run, "cut double")
     return totals.join(F.broadcast(cut), value >= F.col("cut")).drop("cut")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dna import IGNORED, MITO_RIBO, gene_short_name
 from ..session import checkpointed
+from .ranks import below
 
 UNASSIGNED = 0.65
 GOOD, SEPARABLE = 0.9, 0.55
@@ -38,7 +39,7 @@ def marker_scores(counts: DataFrame, markers: DataFrame) -> DataFrame:
     kinds = used.groupBy("cell_type").agg(F.count_if(F.col("sign") == "+").alias("n_pos"))
     signed = used.select("cell_type", "gene", "sign")
     sums = counts.join(signed, "gene").groupBy("cell", "cell_type").agg(F.sum(F.when(F.col("sign") == "+", F.col("count")).otherwise(0)).alias("pos"), F.sum(F.when(F.col("sign") == "-", F.col("count")).otherwise(0)).alias("neg"))
-    grid = totals.crossJoin(F.broadcast(kinds)).join(sums, ["cell", "cell_type"], "left").na.fill(0, ["pos", "neg"])
+    grid = totals.crossJoin(kinds).join(sums, ["cell", "cell_type"], "left").na.fill(0, ["pos", "neg"])
     most = sums.groupBy("cell_type").agg(F.max("neg").alias("most"))
     raw = F.when(F.col("n_pos") > 0, F.col("pos") - F.col("neg")).otherwise(F.col("most") - F.col("neg"))
     return grid.join(most, "cell_type", "left").select("cell", "cell_type", F.log1p(F.greatest(F.lit(0.0), raw.cast("double") / F.col("total") * 10000)).alias("score"))
@@ -47,11 +48,10 @@ def marker_scores(counts: DataFrame, markers: DataFrame) -> DataFrame:
 def rank_auc(scored: DataFrame, groups: list[str]) -> DataFrame:
     """groups, auc of score against label (boolean): area under the ROC curve, 0.5 if all labels are the same.
 
-    Distinct scores are counted before they are ranked, so ties cost nothing; the ranking is by group.
+    Distinct scores are counted before they are ranked, so ties cost nothing; the ranking is by ranges of scores.
     """
     tied = scored.groupBy(*groups, "score").agg(F.count("*").alias("n"), F.count_if("label").alias("n1"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy(*groups).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = tied.withColumn("rank", before + (F.col("n") + 1) / 2)
+    ranked = below(tied, groups, "score", ["n"]).withColumn("rank", F.col("_below_n") + (F.col("n") + 1) / 2)
     sums = ranked.groupBy(*groups).agg(F.sum(F.col("rank") * F.col("n1")).alias("r1"), F.sum("n1").alias("a"), F.sum("n").alias("all"))
     b = F.col("all") - F.col("a")
     area = (F.col("r1") - F.col("a") * (F.col("a") + 1) / 2) / (F.col("a") * b)
@@ -63,8 +63,7 @@ def cluster_auc(scores: DataFrame, clusters: DataFrame) -> DataFrame:
     joined = scores.join(clusters, "cell")
     tied = joined.groupBy("cell_type", "score", "cluster").agg(F.count("*").alias("n1"))
     totals = tied.groupBy("cell_type", "score").agg(F.sum("n1").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("cell_type").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = totals.withColumn("rank", before + (F.col("n") + 1) / 2)
+    ranked = below(totals, ["cell_type"], "score", ["n"]).select("cell_type", "score", (F.col("_below_n") + (F.col("n") + 1) / 2).alias("rank"))
     sums = tied.join(ranked, ["cell_type", "score"]).groupBy("cell_type", "cluster").agg(F.sum(F.col("rank") * F.col("n1")).alias("r1"), F.sum("n1").alias("a"))
     everyone = tied.groupBy("cell_type").agg(F.sum("n1").alias("all"))
     b = F.col("all") - F.col("a")
@@ -78,20 +77,38 @@ def assign_clusters(auc: DataFrame) -> DataFrame:
     return auc.withColumn("_r", best).filter("_r = 1").select("cluster", "cell_type", "auc")
 
 
-def _auc_of(scores: DataFrame, clusters: DataFrame, cell_type: str, positive: set[str], among: set[str] | None) -> float:
-    rows = scores.filter(F.col("cell_type") == cell_type).join(clusters, "cell")
-    if among is not None:
-        rows = rows.filter(F.col("cluster").isin(*among))
-    found = rank_auc(rows.select(F.lit(1).alias("g"), "score", F.col("cluster").isin(*positive).alias("label")), ["g"]).first()
-    return float(found["auc"]) if found else 0.5
+class PairAuc:
+    """AUCs of any set of clusters against any other, by type, from one query: for each type and two clusters, how many pairs of their cells are in order.
 
+    What the driver holds is types x clusters x clusters numbers.
+    """
 
-def reassign_clusters(scores: DataFrame, clusters: DataFrame, table: dict[tuple[str, str], float], assigned: dict[str, str]) -> dict[tuple[str, str], float]:
+    def __init__(self, scores: DataFrame, clusters: DataFrame):
+        self.names = sorted(r[0] for r in clusters.select("cluster").distinct().collect() if r[0] is not None)
+        held = [f"n{k}" for k in range(len(self.names))]
+        tied = scores.join(clusters, "cell").groupBy("cell_type", "score").agg(*(F.count_if(F.col("cluster") == name).alias(n) for name, n in zip(self.names, held, strict=True)))
+        ranked = below(tied, ["cell_type"], "score", held)
+        # of a cell with this score: cells below it twice, and cells level with it, of each cluster
+        twice = [2 * F.col(f"_below_{n}") + F.col(n) for n in held]
+        rows = ranked.select("cell_type", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(n).alias("n")) for k, n in enumerate(held)])).alias("own"), *(x.alias(f"b{k}") for k, x in enumerate(twice))) if held else None
+        found = rows.filter("own.n > 0").groupBy("cell_type", "own.k").agg(F.sum("own.n").alias("n"), *(F.sum(F.col("own.n") * F.col(f"b{k}")).alias(f"u{k}") for k in range(len(held)))).collect() if held else []
+        self.size = {(r["cell_type"], self.names[r["k"]]): r["n"] for r in found}
+        self.pairs = {(r["cell_type"], self.names[r["k"]], self.names[j]): r[f"u{j}"] / 2 for r in found for j in range(len(held))}
+        self.types = sorted({t for t, _ in self.size})
+
+    def auc(self, cell_type: str, positive: set[str], among: set[str]) -> float:
+        """Of the positive clusters against the others among these; 0.5 if either side is empty."""
+        mine, rest = positive & among, among - positive
+        n, m = (sum(self.size.get((cell_type, c), 0) for c in side) for side in (mine, rest))
+        return sum(self.pairs.get((cell_type, c, d), 0.0) for c in mine for d in rest) / (n * m) if n and m else 0.5
+
+
+def reassign_clusters(pairs: PairAuc, table: dict[tuple[str, str], float], assigned: dict[str, str]) -> dict[tuple[str, str], float]:
     """The AUC table (type, cluster) after one pass.
 
     Each cluster whose best AUC is not good is scored anew for each assigned type, leaving out that type's other clusters;
     not if it is the only cluster of its own type and that type sets it apart from the other type's clusters. The table is
-    types by clusters, small; each AUC is a distributed query.
+    types by clusters, small, and all AUCs come from the pairs.
     """
     types = list(dict.fromkeys(assigned.values()))
     table = {k: v for k, v in table.items() if k[0] in types}
@@ -104,10 +121,10 @@ def reassign_clusters(scores: DataFrame, clusters: DataFrame, table: dict[tuple[
         for t in types:
             rivals = {c for c, x in assigned.items() if x == t}
             if list(assigned.values()).count(own) == 1:
-                apart = 0.5 if own == t else _auc_of(scores, clusters, own, {cluster}, rivals | {cluster})
+                apart = 0.5 if own == t else pairs.auc(own, {cluster}, rivals | {cluster})
                 if apart > SEPARABLE:
                     continue
-            fresh[t] = _auc_of(scores, clusters, t, {cluster}, names - (rivals - {cluster}))
+            fresh[t] = pairs.auc(t, {cluster}, names - (rivals - {cluster}))
         table.update({(t, cluster): v for t, v in fresh.items()})
     return table
 
@@ -124,22 +141,22 @@ def annotate_clusters(counts: DataFrame, clusters: DataFrame, markers: DataFrame
     threshold are Unassigned; the AUC of a type is that of its merged clusters.
     """
     spark = counts.sparkSession
-    scores = checkpointed(marker_scores(counts, markers))
-    table = {(r["cell_type"], r["cluster"]): r["auc"] for r in cluster_auc(scores, clusters).collect()}  # types x clusters
-    names = sorted({c for _, c in table})
+    pairs = PairAuc(checkpointed(marker_scores(counts, markers)), clusters)
+    names, every = sorted({c for _, c in pairs.size}), set(pairs.names)
+    table = {(t, c): pairs.auc(t, {c}, every) for t, c in pairs.size}
     assigned = _best(table, names)
     if merge and names:
-        table = reassign_clusters(scores, clusters, table, assigned)
+        table = reassign_clusters(pairs, table, assigned)
         for _ in range(passes):
             new = _best(table, names)
             if new == assigned:
                 break
             assigned = new
-            table = reassign_clusters(scores, clusters, table, assigned)
+            table = reassign_clusters(pairs, table, assigned)
         assigned = _best(table, names)
     unsure = {c for c in names if max(v for (_, x), v in table.items() if x == c) < threshold}
     label = {c: "Unassigned" if c in unsure else t for c, t in assigned.items()}
-    auc = {t: _auc_of(scores, clusters, t, {c for c, x in label.items() if x == t}, None) for t in dict.fromkeys(label.values()) if t != "Unassigned"}
+    auc = {t: pairs.auc(t, {c for c, x in label.items() if x == t}, every) for t in dict.fromkeys(label.values()) if t != "Unassigned"}
     if unsure:
         auc["Unassigned"] = sum(table[assigned[c], c] for c in unsure) / len(unsure)
     names_of = spark.createDataFrame(list(label.items()) or [("", "")], "cluster string, label string")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
+
 
 def read_counts(molecules: DataFrame) -> DataFrame:
     """cell, gene, count: reads."""
@@ -16,18 +18,22 @@ def transcript_counts(molecules: DataFrame, depth_threshold: int = 1) -> DataFra
     return molecules.filter(F.col("depth") >= depth_threshold).groupBy("cell", "gene").agg(F.count("*").alias("count"))
 
 
-def _index(df: DataFrame, column: str, out: str) -> DataFrame:
-    """(column, out): distinct values numbered from 1 in order. Values are numbered within a prefix, prefixes added up."""
-    values = df.select(column).distinct().withColumn("_head", F.substring(column, 1, 4))
-    totals = values.groupBy("_head").agg(F.count("*").alias("_n"))
-    base = totals.withColumn("_base", F.coalesce(F.sum("_n").over(Window.orderBy("_head").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    own = F.row_number().over(Window.partitionBy("_head").orderBy(column))
-    return values.join(base, "_head").select(column, (F.col("_base") + own).alias(out))
+def axis(df: DataFrame, column: str, out: str) -> DataFrame:
+    """(column, out): distinct values numbered from 1 in order.
+
+    Values are sorted by ranges; a value's number is its place in its range plus the sizes of the ranges before.
+    """
+    place_bits = 33  # of monotonically_increasing_id: the place within a partition
+    placed = checkpointed(df.select(column).distinct().repartitionByRange(column).sortWithinPartitions(column).withColumn("_at", F.monotonically_increasing_id()))
+    placed = placed.withColumns({"_part": F.shiftright("_at", place_bits), "_place": F.col("_at").bitwiseAND((1 << place_bits) - 1)})
+    totals = placed.groupBy("_part").agg(F.count("*").alias("_n"))  # a row for each range
+    base = totals.withColumn("_base", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    return placed.join(base, "_part").select(column, (F.col("_base") + F.col("_place") + 1).alias(out))
 
 
 def gene_axis(features: DataFrame) -> DataFrame:
     """gene, gene_idx over all features, counted or not."""
-    return _index(features, "gene", "gene_idx")
+    return axis(features, "gene", "gene_idx")
 
 
 def cell_axis(molecules: DataFrame, depth_threshold: int = 0) -> DataFrame:
@@ -36,7 +42,7 @@ def cell_axis(molecules: DataFrame, depth_threshold: int = 0) -> DataFrame:
     if depth_threshold > 0:
         first = molecules.agg(F.min("cell").alias("cell")).filter(F.col("cell").isNotNull())
         cells = molecules.filter(F.col("depth") >= depth_threshold).select("cell").union(first)
-    return _index(cells, "cell", "cell_idx")
+    return axis(cells, "cell", "cell_idx")
 
 
 def coordinates(counts: DataFrame, genes: DataFrame, cells: DataFrame) -> DataFrame:
@@ -45,6 +51,9 @@ def coordinates(counts: DataFrame, genes: DataFrame, cells: DataFrame) -> DataFr
 
 
 def padded(counts: DataFrame, features: DataFrame, cells: DataFrame) -> DataFrame:
-    """cell, gene, count over all features and cells, zeros too (a dense view, for small axes only)."""
-    grid = features.select("gene").distinct().crossJoin(cells.select("cell").distinct())
-    return grid.join(counts, ["cell", "gene"], "left").select("cell", "gene", F.coalesce("count", F.lit(0)).alias("count"))
+    """cell, gene, count with a zero row, in the first cell, for each feature that no cell has, and for each cell without a count one in the first feature: every feature and cell is on an axis, and nothing else is added."""
+    first_cell, first_gene = cells.agg(F.min("cell").alias("cell")), features.agg(F.min("gene").alias("gene"))  # one row each
+    genes = features.select("gene").distinct().join(counts.select("gene"), "gene", "left_anti").crossJoin(F.broadcast(first_cell))
+    empty = cells.select("cell").distinct().join(counts.select("cell"), "cell", "left_anti").join(genes.select("cell"), "cell", "left_anti").crossJoin(F.broadcast(first_gene))
+    zeros = genes.select("cell", "gene").union(empty.select("cell", "gene")).filter("cell is not null and gene is not null").withColumn("count", F.lit(0).cast(counts.schema["count"].dataType))
+    return counts.select("cell", "gene", "count").unionByName(zeros)

@@ -6,8 +6,11 @@ import math
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
-from ..functions.stats import boxplot_fences, gauss_log_density, log_sum_exp, minimise, student_log_density
+from ..functions.stats import boxplot_fences, gauss_log_density, log_sum_exp, minimise, student_log_density, weighted_deviation, weighted_quantile
 
 STOP, LEAST_SHARE, MOST_ROUNDS = 1e-5, 1e-5, 1000
 
@@ -67,29 +70,31 @@ def _log_prior(share, mu, sigma, prior: Prior, equal: bool) -> float:
     return out + float((-(prior.dof + 3) * np.log(sigma) - (prior.sigma**2 + pull) / (2 * sigma**2)).sum())
 
 
-def fit(x: np.ndarray, share=None, mu=None, sigma=None, k: int = 3, prior: Prior | None = None, student: bool = False, equal_sigma: bool = False, nu_max: float = 50.0, most_rounds: int = MOST_ROUNDS) -> Mixture:
-    """Fit k components to x. Student components share their degrees of freedom, found in [0.1, nu_max] in each round."""
+def fit(x: np.ndarray, share=None, mu=None, sigma=None, k: int = 3, prior: Prior | None = None, student: bool = False, equal_sigma: bool = False, nu_max: float = 50.0, most_rounds: int = MOST_ROUNDS, weight: np.ndarray | None = None) -> Mixture:
+    """Fit k components to x, of which each value stands for weight values. Student components share their degrees of freedom, found in [0.1, nu_max] in each round."""
     x = np.asarray(x, float)
-    n = len(x)
+    c = np.ones(len(x)) if weight is None else np.asarray(weight, float)
+    n = c.sum()
     if share is None or mu is None or sigma is None:
         s0, m0, d0 = kmeans_start(x, k)
         share, mu, sigma = (v if v is not None else w for v, w in ((share, s0), (mu, m0), (sigma, d0)))
     share, mu, sigma = (np.array(v, float) for v in (share, mu, sigma))
     prior = prior or Prior(np.full(k, 2.0), mu.copy(), sigma.copy())
     nu = np.full(k, nu_max) if student else None
-    best = Mixture(share, mu, sigma, nu, np.zeros((n, k)), -math.inf)
+    best = Mixture(share, mu, sigma, nu, np.zeros((len(x), k)), -math.inf)
 
     def expect(m: Mixture) -> tuple[np.ndarray, float]:
         joint = np.log(m.share) + m.log_density(x)
         rows = log_sum_exp(joint, 1)
-        return np.exp(joint - rows[:, None]), float(rows.sum()) + _log_prior(m.share, m.mu, m.sigma, prior, equal_sigma)
+        return np.exp(joint - rows[:, None]), float(c @ rows) + _log_prior(m.share, m.mu, m.sigma, prior, equal_sigma)
 
     tau, loglik = expect(best)
     best.posterior, best.loglik, best.trace = tau, loglik, [loglik]
     for _ in range(most_rounds):
-        r = tau.sum(0)
+        counted = tau * c[:, None]
+        r = counted.sum(0)
         residual = (x[:, None] - best.mu) ** 2
-        w = tau * ((best.nu + 1) / (best.nu + residual / best.sigma**2)) if student else tau
+        w = counted * ((best.nu + 1) / (best.nu + residual / best.sigma**2)) if student else counted
         mass = w.sum(0)
         mean = (w * x[:, None]).sum(0) / mass
         scatter = (w * residual).sum(0)
@@ -103,7 +108,7 @@ def fit(x: np.ndarray, share=None, mu=None, sigma=None, k: int = 3, prior: Prior
             sigma = np.sqrt((prior.sigma**2 + scatter + pull) / (prior.dof + r + 3))
         nu = None
         if student:
-            cost = lambda v, s=share, m=mu, d=sigma: -float(log_sum_exp(np.log(s) + student_log_density(x, m, d, np.full(k, v)), 1).sum())
+            cost = lambda v, s=share, m=mu, d=sigma: -float(c @ log_sum_exp(np.log(s) + student_log_density(x, m, d, np.full(k, v)), 1))
             nu = np.full(k, minimise(cost, 0.1, nu_max, 1e-3))
         if (share < LEAST_SHARE).any() or not np.isfinite(sigma).all():
             break
@@ -118,7 +123,7 @@ def fit(x: np.ndarray, share=None, mu=None, sigma=None, k: int = 3, prior: Prior
         if abs(gain) < STOP * abs(now):
             break
     parameters = (k - 1) + k + (1 if equal_sigma else k) + (1 if student else 0)
-    plain = float(log_sum_exp(np.log(best.share) + best.log_density(x), 1).sum())
+    plain = float(c @ log_sum_exp(np.log(best.share) + best.log_density(x), 1))
     best.aic, best.bic = 2 * plain - 2 * parameters, 2 * plain - parameters * math.log(n)
     return best
 
@@ -175,20 +180,23 @@ def fit_expression(x: np.ndarray, mutated: np.ndarray | None = None, student: bo
     return fit(x, share, mu, widest, 3, Prior(alpha, mu, widest, 0.1, max(len(x) * 0.05, 3)), student, True, 20.0)
 
 
-def fit_totals(x: np.ndarray, ratio: float = 0.1) -> tuple[Mixture, float]:
+def fit_totals(x: np.ndarray, ratio: float = 0.1, weight: np.ndarray | None = None) -> tuple[Mixture, float]:
     """Two-part Student mixture of (log) cell totals, and the cut below which a cell is of the low part.
 
-    The cut is the end of the first run of grid points at which the low part is likelier.
+    x sorted; with weight, each value stands for so many cells. The cut is the end of the first run of grid points at
+    which the low part is likelier.
     """
     x = np.asarray(x, float)
-    th = np.quantile(x, ratio)
-    low, high = x[x <= th], x[x > th]
-    if len(low) < 2 or len(high) < 2:
+    weight = np.ones(len(x)) if weight is None else np.asarray(weight, float)
+    low = x <= weighted_quantile(x, weight, ratio)
+    if weight[low].sum() < 2 or weight[~low].sum() < 2:
         raise ValueError("too few cells for a mixture")
-    mu, sigma = np.array([low.mean(), high.mean()]), np.array([low.std(ddof=1), high.std(ddof=1)])
-    sigma = np.where(sigma > 0, sigma, x.std(ddof=1) or 1.0)
+    parts = [(x[side], weight[side]) for side in (low, ~low)]
+    mu = np.array([np.average(v, weights=w) for v, w in parts])
+    sigma = np.array([weighted_deviation(v, w) for v, w in parts])
+    sigma = np.where(sigma > 0, sigma, weighted_deviation(x, weight) or 1.0)
     share = np.array([ratio, 1 - ratio])
-    model = fit(x, share, mu, sigma, 2, Prior(np.full(2, 5.0), mu, sigma, 0.2, 3.0), True, False)
+    model = fit(x, share, mu, sigma, 2, Prior(np.full(2, 5.0), mu, sigma, 0.2, 3.0), True, False, weight=weight)
     grid = np.linspace(x.min(), x.max(), 1001)
     post = model.responsibilities(grid)
     at = np.flatnonzero(post[:, 0] > post[:, 1])
@@ -196,3 +204,18 @@ def fit_totals(x: np.ndarray, ratio: float = 0.1) -> tuple[Mixture, float]:
         return model, float(x.min())
     breaks = np.flatnonzero(np.diff(at) > 1)
     return model, float(grid[at[breaks[0]] if len(breaks) else at[-1]])
+
+
+def posteriors(df: DataFrame, model: dict[str, list[float]], column: str = "value") -> DataFrame:
+    """df with posterior (array): the probability of each component of a mixture (share, mu, sigma, and nu for Student components) for a column; null for null."""
+    m = Mixture(*(np.array(model[k], float) for k in ("share", "mu", "sigma")), np.array(model["nu"], float) if "nu" in model else None, np.zeros((0, len(model["share"]))), 0.0)
+
+    def run(batches):
+        for batch in batches:
+            x = batch.column(batch.schema.get_field_index(column))
+            values = x.cast(pa.float64()).fill_null(0.0).to_numpy(zero_copy_only=False)
+            post = m.responsibilities(values)
+            rows = [p if ok else None for p, ok in zip(post.tolist(), x.is_valid().to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, pa.list_(pa.float64()))], [*batch.schema.names, "posterior"])
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("posterior", T.ArrayType(T.DoubleType()))]))

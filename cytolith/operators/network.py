@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import benjamini_hochberg, moderated_t
+from ..functions.stats import benjamini_hochberg, moderated_t_of
 
 
 def top_edges(edges: DataFrame, least: int = 5, most: int = 50) -> DataFrame:
@@ -35,24 +35,35 @@ def adjust(tests: DataFrame, by: list[str]) -> DataFrame:
     return scaled.withColumn("q", q).drop("_r", "_n", "_s").unionByName(tests.filter(F.col("p").isNull()).withColumn("q", F.lit(None).cast("double")))
 
 
+def edge_tests(edges: DataFrame, expr: DataFrame, mutations: DataFrame) -> DataFrame:
+    """gene, neighbour, weight, n1, n0 (samples with the gene mutated, others), difference of means, s2 (pooled variance), from sums over the samples in which all of a gene's neighbours have a value."""
+    samples = expr.select("sample").distinct()
+    hit = mutations.select("sample", F.col("hgnc_symbol").alias("gene")).distinct().join(samples, "sample", "left_semi").withColumn("mut", F.lit(True))
+    net = edges.join(expr.select(F.col("gene").alias("neighbour")).distinct(), "neighbour", "left_semi").select("gene", "neighbour", "weight")
+    values = net.join(expr.filter(F.col("value").isNotNull()).withColumnRenamed("gene", "neighbour"), "neighbour")
+    whole = values.groupBy("gene", "sample").agg(F.countDistinct("neighbour").alias("n")).join(net.groupBy("gene").agg(F.countDistinct("neighbour").alias("all")), "gene").filter(F.col("n") == F.col("all")).select("gene", "sample")
+    marked = values.join(whole, ["gene", "sample"]).join(hit, ["sample", "gene"], "left").withColumn("mut", F.coalesce("mut", F.lit(False)))
+    side = lambda f, mut: f(F.when(F.col("mut") == F.lit(mut), F.col("value")))
+    sums = marked.groupBy("gene", "neighbour").agg(F.max("weight").alias("weight"), F.count_if("mut").alias("n1"), F.count_if(~F.col("mut")).alias("n0"), side(F.avg, True).alias("m1"), side(F.avg, False).alias("m0"), side(F.var_pop, True).alias("v1"), side(F.var_pop, False).alias("v0"))
+    scatter = F.coalesce(F.col("v1") * F.col("n1"), F.lit(0.0)) + F.coalesce(F.col("v0") * F.col("n0"), F.lit(0.0))
+    return sums.select("gene", "neighbour", "weight", "n1", "n0", (F.col("m1") - F.col("m0")).alias("difference"), (scatter / F.nullif(F.col("n1") + F.col("n0") - 2, F.lit(0))).alias("s2"))
+
+
 def differential_edges(edges: DataFrame, expr: DataFrame, mutations: DataFrame, least_mutated: int = 2) -> DataFrame:
-    """gene, neighbour, weight, p: moderated t-test of each neighbour between samples with the gene mutated and others.
+    """gene, neighbour, weight, p, q: moderated t-test of each neighbour between samples with the gene mutated and others.
 
-    One group is a gene's neighbours over all samples; a gene with too few mutated samples has null p.
+    The sums are native; a gene's neighbours, a row each, share the moderated variance. A gene with too few mutated samples
+    has null p.
     """
-    samples = expr.select("sample").distinct()
-    hit = mutations.select("sample", F.col("hgnc_symbol").alias("gene")).distinct().join(samples, "sample", "left_semi").withColumn("mut", F.lit(True))
-    values = edges.join(expr.withColumnRenamed("gene", "neighbour"), "neighbour").join(hit, ["sample", "gene"], "left").select("gene", "neighbour", "weight", "sample", "value", F.coalesce("mut", F.lit(False)).alias("mut"))
+    least = max(2, least_mutated)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["neighbour", "sample"])
-        wide = pdf.pivot(index="neighbour", columns="sample", values="value").dropna(axis=1)
-        groups = pdf.drop_duplicates("sample").set_index("sample")["mut"].reindex(wide.columns).to_numpy(bool)
-        p = moderated_t(groups, wide.to_numpy(float)) if groups.sum() >= max(2, least_mutated) else np.full(len(wide), np.nan)
-        weight = pdf.drop_duplicates("neighbour").set_index("neighbour")["weight"].reindex(wide.index)
-        return pd.DataFrame({"gene": pdf["gene"].iloc[0], "neighbour": wide.index, "weight": weight.to_numpy(), "p": p, "q": benjamini_hochberg(p)})
-
-    return values.groupBy("gene").applyInPandas(run, "gene string, neighbour string, weight double, p double, q double")
+        pdf = pdf.sort_values("neighbour")
+        n1, n0 = int(pdf["n1"].iloc[0]), int(pdf["n0"].iloc[0])
+        p = moderated_t_of(pdf["difference"].to_numpy(float), pdf["s2"].to_numpy(float), n1, n0) if n1 >= least and n0 >= 1 and n1 + n0 > 2 else np.full(len(pdf), np.nan)
+        return pd.DataFrame({"gene": pdf["gene"], "neighbour": pdf["neighbour"], "weight": pdf["weight"], "p": p, "q": benjamini_hochberg(p)})
+
+    return edge_tests(edges, expr, mutations).groupBy("gene").applyInPandas(run, "gene string, neighbour string, weight double, p double, q double")
 
 
 def filter_by_expression(edges: DataFrame, expr: DataFrame, mutations: DataFrame, limit: float = 0.05, least: int = 5, most: int = 50) -> DataFrame:

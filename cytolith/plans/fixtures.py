@@ -126,3 +126,50 @@ def expression(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 EXPRESSION = """expr as (select concat('P', cast(c_nationkey as varchar)) as sample, concat('M', cast(month(o_orderdate) as varchar)) as gene, round(avg(o_totalprice), 4) as value
   from orders join customer on o_custkey = c_custkey group by 1, 2)"""
+
+
+# -- known barcodes: the suppliers'
+def known_barcodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    return table(spark, sf_dir, "supplier").select(bc(k, 6).alias("barcode"), F.concat_ws("-", bc(k % 50, 6), bc(k, 5)).alias("composite"))
+
+
+KNOWN = f"sup as (select {bc_sql('s_suppkey', 6)} as barcode, concat({bc_sql('s_suppkey % 50', 6)}, '-', {bc_sql('s_suppkey', 5)}) as composite from supplier)"
+
+
+# -- barcode counts with T counts, of the parts
+def flagged_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Composite barcodes, some with N, with counts of reads and of T at two positions."""
+    k = F.col("p_partkey")
+    last = F.when(k % 9 == 0, F.concat(bc(k, 4), F.lit("N"))).when(k % 11 == 0, F.concat(bc(k, 3), F.lit("NN"))).otherwise(bc(k, 5))
+    n = 100 + k % 37
+    rows = table(spark, sf_dir, "part").select(F.concat_ws("-", bc(k % 50, 6), last).alias("cb"), n.alias("n"), F.floor(n * (k % 100) / 101.0).alias("t1"), F.floor(n / 2).alias("t2"))
+    return rows.groupBy("cb").agg(F.sum("n").alias("cb_count"), F.array(F.sum("t1"), F.sum("t2")).alias("t_count"))
+
+
+FLAGGED = f"""flagged as (select concat({bc_sql('p_partkey % 50', 6)}, '-', case when p_partkey % 9 = 0 then concat({bc_sql('p_partkey', 4)}, 'N') when p_partkey % 11 = 0 then concat({bc_sql('p_partkey', 3)}, 'NN') else {bc_sql('p_partkey', 5)} end) as cb,
+  cast(sum(100 + p_partkey % 37) as bigint) as cb_count, cast(sum(((100 + p_partkey % 37) * (p_partkey % 100)) // 101) as bigint) as t1, cast(sum((100 + p_partkey % 37) // 2) as bigint) as t2 from part group by 1)"""
+
+#: Composite barcodes that pass the N rule, with the correction of their second component to the suppliers' barcodes of five bases.
+REFINED = f"""{FLAGGED}, {KNOWN}, targets as (select distinct split_part(composite, '-', 2) as target from sup),
+  ruled as (select * from flagged where length(split_part(cb, '-', 2)) - length(replace(split_part(cb, '-', 2), 'N', '')) <= 1),
+  second as (select distinct split_part(cb, '-', 2) as c from ruled),
+  near as (select c, min(target) as t, count(target) as n, bool_or(target = c) as own from second left join targets on hamming(c, target) <= 1 group by 1),
+  refined as (select r.*, concat(split_part(cb, '-', 1), '-', case when own then c else t end) as corrected from ruled r join near on split_part(cb, '-', 2) = c where own or n = 1)"""
+
+
+# -- gene densities, weighed: stand-ins for fitted distributions
+def densities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """gene, sample, p_down, p_neutral, p_up, share, mu: normal densities around each gene's mean, with shares by its name's length."""
+    rows = expression(spark, sf_dir)
+    g = rows.groupBy("gene").agg(F.avg("value").alias("m"), F.stddev_samp("value").alias("s"))
+    x = rows.join(g, "gene").filter("s > 0")
+    at = lambda k: F.exp(-0.5 * F.pow((F.col("value") - F.col("m") - F.lit(float(k)) * F.col("s")) / F.col("s"), F.lit(2.0)))
+    n = F.length("gene").cast("double")
+    share = F.array(0.1 + 0.01 * n, 0.7 - 0.02 * n, 0.2 + 0.01 * n)
+    return x.select("gene", "sample", at(-1).alias("p_down"), at(0).alias("p_neutral"), at(1).alias("p_up"), share.alias("share"), F.array(F.col("m") - F.col("s"), F.col("m"), F.col("m") + F.col("s")).alias("mu"))
+
+
+DENSITIES = f"""{EXPRESSION}, gs as (select gene, avg(value) as m, stddev_samp(value) as s from expr group by 1),
+  dens as (select gene, sample, value, m, exp(cast(-0.5 as double) * pow((value - m + s) / s, 2)) as p_down, exp(cast(-0.5 as double) * pow((value - m) / s, 2)) as p_neutral, exp(cast(-0.5 as double) * pow((value - m - s) / s, 2)) as p_up,
+   cast(0.1 as double) + cast(0.01 as double) * length(gene) as s0, cast(0.7 as double) - cast(0.02 as double) * length(gene) as s1, cast(0.2 as double) + cast(0.01 as double) * length(gene) as s2 from expr join gs using (gene) where s > 0)"""

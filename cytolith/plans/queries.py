@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import values as V
 from ..functions.dna import count_base, is_homopolymer, passes_n_rule, within_poly_t
 from ..operators import annotate as A
 from ..operators import cells as C
@@ -17,14 +20,21 @@ from ..operators import filters as L
 from ..operators import fuzzy as Z
 from ..operators import markers as K
 from ..operators import matrix as X
+from ..operators import mixture as B
 from ..operators import molecules as M
 from ..operators import network as N
 from ..operators import reads as R
 from ..operators import sample as S
 from ..operators.collapse import collapse_umis
 from ..operators.template import STRUCTURES, compile_template
+from ..session import checkpoint_dir, checkpointed
+from ..sources import fastq as Q
+from ..sources import gtf as G
+from ..sources import mtx as T
+from ..sources import packaged as P
+from ..sources import sam as A2
+from . import commands as W
 from . import fixtures as fx
-from ..session import checkpointed
 
 Query = Callable[[SparkSession, str], DataFrame]
 TEMPLATE_UMI = 6
@@ -87,7 +97,7 @@ def value_filter(spark, sf_dir):
 
 
 def _barcodes(spark, sf_dir) -> DataFrame:
-    """Observed: composites of two components of 6, of part keys; known ones are those of small keys."""
+    """Observed: composites of two components of 6, of part keys; the suppliers' are known."""
     p = F.col("p_partkey")
     return fx.table(spark, sf_dir, "part").select(p.alias("id"), fx.bc(p, 6).alias("barcode"), F.concat_ws("-", fx.bc(p % 50, 6), fx.bc(p, 5)).alias("composite"))
 
@@ -110,17 +120,17 @@ def uniform_filter(spark, sf_dir):
 
 def fuzzy_correct(spark, sf_dir):
     rows = _barcodes(spark, sf_dir)
-    return Z.correct(rows.select("id", "barcode"), "barcode", rows.filter("id < 100").select("barcode"))
+    return Z.correct(rows.select("id", "barcode"), "barcode", fx.known_barcodes(spark, sf_dir).select("barcode"))
 
 
 def fuzzy_constrained(spark, sf_dir):
     rows = _barcodes(spark, sf_dir)
-    return Z.correct_constrained(rows.select("id", "composite"), "composite", rows.filter("id < 60").select("composite"))
+    return Z.correct_constrained(rows.select("id", "composite"), "composite", fx.known_barcodes(spark, sf_dir).select("composite"))
 
 
 def composite_correct(spark, sf_dir):
     rows = _barcodes(spark, sf_dir)
-    return Z.correct_components(rows.select("id", "composite"), "composite", [None, rows.filter("id < 60").select(F.split("composite", "-")[1].alias("barcode"))])
+    return Z.correct_components(rows.select("id", "composite"), "composite", [None, fx.known_barcodes(spark, sf_dir).select(F.split("composite", "-")[1].alias("barcode"))])
 
 
 def near_pairs(spark, sf_dir):
@@ -128,12 +138,12 @@ def near_pairs(spark, sf_dir):
 
 
 def component_index(spark, sf_dir):
-    index = Z.component_index(_barcodes(spark, sf_dir).filter("id < 200"), "composite")
+    index = Z.component_index(_barcodes(spark, sf_dir), "composite")
     return index.select(F.col("position").cast("long").alias("position"), "component", F.array_join("composites", ",").alias("composites"))
 
 
 def primer_merge(spark, sf_dir):
-    pairs = fx.table(spark, sf_dir, "part").filter("p_partkey < 300").select(fx.bc(F.col("p_partkey"), 4).alias("dt"), fx.bc(F.col("p_partkey") + 1000, 4).alias("random"))
+    pairs = fx.table(spark, sf_dir, "part").select(fx.bc(F.col("p_partkey"), 4).alias("dt"), fx.bc(F.col("p_partkey") + 1000, 4).alias("random"))
     return Z.merge_primers(pairs)
 
 
@@ -228,23 +238,145 @@ def forced_cells(spark, sf_dir):
 def whitelist_remove(spark, sf_dir):
     """Whitelist entries next to a shortened barcode whose last base is masked."""
     rows = _barcodes(spark, sf_dir)
-    masked = rows.filter("id >= 100 AND id < 140").select(F.explode(Z.neighbours(F.concat(F.substring("barcode", 1, 5), F.lit("N")))).alias("barcode")).distinct()
+    masked = fx.known_barcodes(spark, sf_dir).select(F.explode(Z.neighbours(F.concat(F.substring("barcode", 1, 5), F.lit("N")))).alias("barcode")).distinct()
     return rows.select("barcode").distinct().join(masked, "barcode", "left_semi")
 
 
 def detected_cells(spark, sf_dir):
-    rows = _barcodes(spark, sf_dir).select("id", F.col("barcode").alias("cb"))
-    return C.detected(rows.filter("id < 500").select("cb"), rows.filter("id % 7 = 0").select("cb"))
+    return C.detected(_barcodes(spark, sf_dir).select(F.col("barcode").alias("cb")), fx.known_barcodes(spark, sf_dir).select(F.col("barcode").alias("cb")))
+
+
+def _part_counts(spark, sf_dir) -> DataFrame:
+    return _barcodes(spark, sf_dir).groupBy(F.col("barcode").alias("cb")).agg(F.sum(F.col("id") % 13 + 1).alias("cb_count"))
 
 
 def greedy_merge(spark, sf_dir):
-    rows = _barcodes(spark, sf_dir).groupBy(F.substring("barcode", 1, 4).alias("cb")).agg(F.sum(F.col("id") % 13 + 1).alias("cb_count"))
-    return C.greedy_merge(rows.filter("cb_count % 2 = 0"))
+    return C.greedy_merge(_part_counts(spark, sf_dir))
 
 
 def greedy_absorb(spark, sf_dir):
-    rows = _barcodes(spark, sf_dir).groupBy(F.substring("barcode", 1, 4).alias("cb")).agg(F.sum(F.col("id") % 13 + 1).alias("cb_count"))
-    return C.greedy_absorb(rows.filter("cb_count % 2 = 0"))
+    return C.greedy_absorb(_part_counts(spark, sf_dir))
+
+
+def refined_cells(spark, sf_dir):
+    """Barcodes that pass the N rule, corrected in their second component."""
+    known = fx.known_barcodes(spark, sf_dir).select(F.split("composite", "-")[1].alias("barcode"))
+    return C.refine(fx.flagged_counts(spark, sf_dir), [None, known])
+
+
+def refined_barcodes(spark, sf_dir):
+    return refined_cells(spark, sf_dir).select("cb", "cb_count", "corrected")
+
+
+def regrouped_counts(spark, sf_dir):
+    done = C.regroup(refined_cells(spark, sf_dir))
+    return done.select("cb", "cb_count", F.col("t_count")[0].alias("t1"), F.col("t_count")[1].alias("t2"))
+
+
+def _simple_counts(spark, sf_dir) -> DataFrame:
+    """Barcodes of one component, with T counts of which some are flagged."""
+    k = F.col("p_partkey")
+    rows = fx.table(spark, sf_dir, "part").groupBy(fx.bc(k, 6).alias("cb")).agg(F.sum(k % 13 + 10).alias("cb_count"), F.min(k).alias("k"))
+    t = F.floor(F.col("cb_count") * F.when(F.col("k") % 5 == 0, 9).otherwise(3) / 10).cast("long")
+    return rows.select("cb", "cb_count", F.array(t, F.floor(F.col("cb_count") / 2).cast("long")).alias("t_count"))
+
+
+def merged_whitelist(spark, sf_dir):
+    """What merging keeps, and which of it is to be removed."""
+    listed, removed = C.merge_deleted(_simple_counts(spark, sf_dir), True)
+    return listed.select("cb", F.lit("listed").alias("kind")).union(removed.select("cb", F.lit("removed")))
+
+
+def candidate_cells(spark, sf_dir):
+    """From raw counts to detected cells, with a candidate file for the second component."""
+    known = fx.known_barcodes(spark, sf_dir).select(F.split("composite", "-")[1].alias("barcode"))
+    listed, removed = C.candidates(fx.flagged_counts(spark, sf_dir).filter("cb IS NOT NULL"), [None, known], 150)
+    return C.detected(listed, removed)
+
+
+def chosen_correction(spark, sf_dir):
+    """Observed composite barcodes corrected to a whitelist file of composites."""
+    path = f"{_folder(spark)}/whitelist"
+    fx.known_barcodes(spark, sf_dir).select("composite").distinct().write.text(path)
+    done, _, _ = W.cell_map(spark, _barcodes(spark, sf_dir).select(F.col("composite").alias("cb")), None, [], path)
+    return done.select("cb", "cell")
+
+
+# -- files: written to the shared folder, read back
+
+
+def _folder(spark) -> str:
+    return f"{checkpoint_dir(spark)}/files-{uuid.uuid4().hex}"
+
+
+def _mate_file(spark, sf_dir, path: str, mate: int) -> DataFrame:
+    rows = fx.tuples(spark, sf_dir).select("record_id", F.concat_ws("\n", F.concat(F.lit("@"), f"name{mate}"), f"seq{mate}", F.lit("+"), f"qual{mate}").alias("value"))
+    rows.repartitionByRange(4, "record_id").sortWithinPartitions("record_id").select("value").write.option("compression", "gzip").text(path)
+    return Q.read_fastq_lines(spark, path)
+
+
+def fastq_scan(spark, sf_dir):
+    return _mate_file(spark, sf_dir, f"{_folder(spark)}/r1", 1).select("record_id", "name", "seq", "qual")
+
+
+def mate_scan(spark, sf_dir):
+    """Two mate files, met by record."""
+    folder = _folder(spark)
+    joined = R.join_mates([_mate_file(spark, sf_dir, f"{folder}/r{m}", m) for m in (1, 2)])
+    return joined.select("record_id", "name1", "seq1", "seq2")
+
+
+def sam_scan(spark, sf_dir):
+    rows = fx.alignments(spark, sf_dir)
+    flag = F.when(F.col("is_unmapped"), "4").otherwise("0")
+    tags = F.concat_ws("\t", F.concat(F.lit("NH:i:"), F.col("nh").cast("string")), F.concat(F.lit("XT:Z:"), "xt"), F.concat(F.lit("XS:Z:"), "xs"))
+    lines = rows.select(F.concat_ws("\t", "qname", flag, "reference_name", (F.col("aln_id") % 1000 + 1).cast("string"), F.lit("255"), F.lit("20M5N10M"), F.lit("*"), F.lit("0"), F.lit("0"), F.lit("ACGT"), F.lit("FFFF"), tags).alias("value"))
+    path = f"{_folder(spark)}/alignments.sam"
+    spark.createDataFrame([("@HD\tVN:1.6",)], "value string").coalesce(1).union(lines).write.text(path)
+    done = A2.read_sam(spark, path)
+    return done.groupBy("qname", "is_unmapped", "reference_name", "strand", "nh", "xt", "xs", "start", "end").agg(F.count("*").alias("n"))
+
+
+def gtf_genes(spark, sf_dir):
+    p = F.col("p_partkey")
+    attributes = F.concat(F.lit('gene_id "id'), p.cast("string"), F.when(p % 7 == 0, F.lit('";')).otherwise(F.concat(F.lit('"; gene_name "n'), (p % 50).cast("string"), F.lit('";'))))
+    kind = F.when(p % 3 == 0, "exon").otherwise("gene")
+    lines = fx.table(spark, sf_dir, "part").select(F.concat_ws("\t", F.lit("chr1"), F.lit("x"), kind, p.cast("string"), (p + 10).cast("string"), F.lit("."), F.lit("+"), F.lit("."), attributes).alias("value"))
+    path = f"{_folder(spark)}/genes.gtf"
+    spark.createDataFrame([("# a comment",)], "value string").coalesce(1).union(lines).write.text(path)
+    return G.gene_map(G.read_gtf(spark, path))
+
+
+def barcode_file(spark, sf_dir):
+    path = f"{_folder(spark)}/barcodes.tsv"
+    fx.known_barcodes(spark, sf_dir).select(F.concat("barcode", F.lit(" "))).write.text(path)
+    return T.read_barcodes(spark, path)
+
+
+def count_table(spark, sf_dir):
+    """Barcode counts written as a table with header and read again."""
+    path = f"{_folder(spark)}/counts.tsv"
+    R.wide_counts(_counts(spark, sf_dir), TEMPLATE_UMI).write.csv(path, sep="\t", header=True)
+    done = R.long_counts(T.read_counts(spark, path))
+    return done.select("cb", "cb_count", *(F.col("t_count")[i].alias(f"t{i + 1}") for i in range(TEMPLATE_UMI)))
+
+
+def molecule_store(spark, sf_dir):
+    """A store written and read again: molecules, and a row for each other table's size."""
+    mol = fx.molecules(spark, sf_dir)
+    path = f"{_folder(spark)}/store"
+    cells = mol.groupBy("cell").agg(F.sum("depth").alias("n_read"))
+    T.write_store(path, molecular_info=mol.orderBy("cell", "gene", "umi"), map_info=cells.agg(F.count("*").alias("value")).select(F.lit("num_cell").alias("metric"), "value"), feature=M.features(mol), read_in_cell=cells)
+    tables = T.read_store(spark, path)
+    named = lambda name: tables[name].agg(F.count("*").alias("depth")).select(F.lit(name).alias("cell"), F.lit("").alias("gene"), F.lit("").alias("umi"), "depth")
+    return tables["molecular_info"].select("cell", "gene", "umi", "depth").union(named("feature")).union(named("read_in_cell"))
+
+
+def packaged_expression(spark, sf_dir):
+    """A wide table of samples by genes, as analysis packages ship it, written and read into long form."""
+    path = f"{_folder(spark)}/expr.csv"
+    fx.expression(spark, sf_dir).groupBy("sample").pivot("gene").agg(F.first("value")).write.csv(path, header=True)
+    return P.read_wide(spark, path)
 
 
 def _some_molecules(spark, sf_dir) -> DataFrame:
@@ -338,7 +470,7 @@ def split_markers(spark, sf_dir):
 
 def top_markers(spark, sf_dir):
     o = F.col("l_orderkey") * 8 + F.col("l_linenumber")
-    tests = fx.table(spark, sf_dir, "lineitem").filter("l_orderkey < 4000").select(
+    tests = fx.table(spark, sf_dir, "lineitem").select(
         o.alias("pos"), F.concat(F.lit("k"), (F.col("l_suppkey") % 9).cast("string")).alias("cluster"),
         F.when(F.col("l_partkey") % 6 == 0, "RPL1").when(F.col("l_partkey") % 11 == 0, "MALAT1").otherwise(F.concat(F.lit("GENE"), F.col("l_partkey").cast("string"))).alias("gene"),
         F.col("l_discount").alias("p_val_adj"), (F.col("l_quantity") / 50).alias("pct_1"), F.col("l_tax").alias("pct_2"),
@@ -409,8 +541,8 @@ def boxplot_outliers(spark, sf_dir):
 def _mutations(spark, sf_dir) -> DataFrame:
     o = F.col("o_orderkey")
     kinds = F.array(*map(F.lit, ("HOMD", "HLAMP", "MISSENSE", "NONSENSE", "FRAMESHIFT", "SYNONYMOUS", "SPLICE")))
-    rows = fx.table(spark, sf_dir, "orders").filter(o % 53 == 0)
-    return rows.select(F.concat(F.lit("P"), (o % 25).cast("string")).alias("sample"), F.concat(F.lit("M"), (1 + o % 14).cast("string")).alias("hgnc_symbol"), kinds[(o % 7).cast("int")].alias("variant_type"))
+    rows = fx.table(spark, sf_dir, "orders")
+    return rows.select(F.concat(F.lit("P"), (o % 25).cast("string")).alias("sample"), F.concat(F.lit("M"), (1 + o % 997).cast("string")).alias("hgnc_symbol"), kinds[(o % 7).cast("int")].alias("variant_type"))
 
 
 def complex_mutation(spark, sf_dir):
@@ -432,7 +564,7 @@ def top_edges(spark, sf_dir):
 
 
 def network_filter(spark, sf_dir):
-    weights = fx.table(spark, sf_dir, "nation").filter("n_nationkey < 12").select(F.concat(F.lit("M"), (F.col("n_nationkey") + 1).cast("string")).alias("gene"), (F.col("n_nationkey") % 4 / 4.0 + 0.2).alias("weight"))
+    weights = fx.table(spark, sf_dir, "nation").select(F.concat(F.lit("M"), (F.col("n_nationkey") + 1).cast("string")).alias("gene"), (F.col("n_nationkey") % 4 / 4.0 + 0.2).alias("weight"))
     return N.filter_by_weight(_edges(spark, sf_dir), weights, 0.4, 0.4, 2, 5)
 
 
@@ -441,7 +573,7 @@ def network_expansion(spark, sf_dir):
 
 
 def bh_adjust(spark, sf_dir):
-    rows = fx.table(spark, sf_dir, "lineitem").filter("l_orderkey < 3000").select("l_orderkey", "l_linenumber", F.col("l_returnflag").alias("gene"), (F.col("l_extendedprice") / 200000 * (F.col("l_discount") + 0.01)).alias("p"))
+    rows = fx.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("gene"), (F.col("l_extendedprice") / 200000 * (F.col("l_discount") + 0.01)).alias("p"))
     return N.adjust(rows, ["gene"]).select("l_orderkey", "l_linenumber", F.round("q", 6).alias("q"))
 
 
@@ -462,7 +594,29 @@ def student_mixture(spark, sf_dir):
 
 
 def regulation_heatmap(spark, sf_dir):
-    return E.heatmap_data(E.distributions(fx.expression(spark, sf_dir)))
+    return E.heatmap_data(fx.densities(spark, sf_dir)).select("gene", "sample", F.round("value", 6).alias("value"))
+
+
+def heatmap_order(spark, sf_dir):
+    return E.heatmap_order(E.heatmap_data(fx.densities(spark, sf_dir)))
+
+
+GAUSS = {"share": [0.2, 0.5, 0.3], "mu": [-1.0, 0.0, 1.5], "sigma": [0.8, 0.5, 1.2]}
+STUDENT = GAUSS | {"nu": [4.0, 4.0, 4.0]}
+
+
+def _standard(spark, sf_dir) -> DataFrame:
+    return E.z_scores(fx.expression(spark, sf_dir), "gene")
+
+
+def gauss_e_step(spark, sf_dir):
+    done = B.posteriors(_standard(spark, sf_dir), GAUSS)
+    return done.select("sample", "gene", *(F.round(F.col("posterior")[k], 6).alias(f"p{k}") for k in range(3)))
+
+
+def student_e_step(spark, sf_dir):
+    done = B.posteriors(_standard(spark, sf_dir), STUDENT)
+    return done.select("sample", "gene", *(F.round(F.col("posterior")[k], 6).alias(f"p{k}") for k in range(3)))
 
 
 def expression_weights(spark, sf_dir):
@@ -471,8 +625,15 @@ def expression_weights(spark, sf_dir):
 
 
 def impute_knn(spark, sf_dir):
-    holes = F.when(F.xxhash64("sample", "gene") % 7 == 0, None).otherwise(F.col("value"))
-    return E.impute_knn(fx.expression(spark, sf_dir).withColumn("value", holes))
+    holes = F.when((F.length("sample") + F.length("gene") + F.floor("value").cast("int")) % 7 == 0, None).otherwise(F.col("value"))
+    return E.impute_knn(fx.expression(spark, sf_dir).withColumn("value", holes), 3, block=5).select("sample", "gene", F.round("value", 4).alias("value"))
+
+
+def flat_copy_number(spark, sf_dir):
+    """Genes whose copy number doesn't change lose their median."""
+    expr = fx.expression(spark, sf_dir)
+    done = E.remove_copy_number(expr, expr.select("sample", "gene", F.lit(0.0).alias("value")))
+    return done.select("sample", "gene", F.round("value", 4).alias("value"))
 
 
 def copy_number_residuals(spark, sf_dir):
@@ -484,6 +645,11 @@ def differential_edges(spark, sf_dir):
     return N.differential_edges(_edges(spark, sf_dir).filter("gene <> neighbour"), fx.expression(spark, sf_dir), _mutations(spark, sf_dir))
 
 
+def edge_tests(spark, sf_dir):
+    done = N.edge_tests(_edges(spark, sf_dir).filter("gene <> neighbour"), fx.expression(spark, sf_dir), _mutations(spark, sf_dir))
+    return done.select("gene", "neighbour", "n1", "n0", F.round("difference", 1).alias("difference"), F.round(F.col("s2") / 1000, 1).alias("s2"))
+
+
 def driver_posterior(spark, sf_dir):
     expr, mut, edges = fx.expression(spark, sf_dir), _mutations(spark, sf_dir), _edges(spark, sf_dir).filter("gene <> neighbour")
     dist = checkpointed(E.distributions(expr, mut))
@@ -493,6 +659,53 @@ def driver_posterior(spark, sf_dir):
     return D.posterior_table(D.infer(data, learned))
 
 
+def driver_evidence(spark, sf_dir):
+    expr, mut = fx.expression(spark, sf_dir), _mutations(spark, sf_dir)
+    done = D.evidence(fx.densities(spark, sf_dir), expr, mut, _edges(spark, sf_dir).filter("gene <> neighbour"))
+    return done.select("gene", "sample", "neighbour", *(F.round(c, 6).alias(c) for c in ("p_down", "p_neutral", "p_up", "h")))
+
+
+def driver_e_step(spark, sf_dir):
+    """One exact inference with given tables: how likely each gene drives, and each of its mutations has an effect."""
+    data = D.evidence(fx.densities(spark, sf_dir), fx.expression(spark, sf_dir), _mutations(spark, sf_dir), _edges(spark, sf_dir).filter("gene <> neighbour"))
+    one = np.ones
+    tables = D.Tables(np.array([0.7, 0.3]), np.array([[0.9, 0.1], [0.2, 0.8]]), np.array([[0.2, 0.6, 0.2], [0.6, 0.2, 0.2], [0.1, 0.3, 0.6]]), one(2), one((2, 2)), one((3, 3)), 0.6)
+    done = D.posterior_table(D.infer(data, tables))
+    return done.select("sample", "hgnc_symbol", F.round("p_effect", 5).alias("p_effect"), F.round("p_driver", 5).alias("p_driver"))
+
+
+def driver_priors(spark, sf_dir):
+    """The starting table of expression states, from the genes' shares."""
+    t = D.set_priors(fx.densities(spark, sf_dir), _mutations(spark, sf_dir), None)
+    return spark.createDataFrame([(i, *map(float, row)) for i, row in enumerate(t.p_fg)], "state long, p_down double, p_neutral double, p_up double").select("state", *(F.round(c, 6).alias(c) for c in ("p_down", "p_neutral", "p_up")))
+
+
+def integrated_prior(spark, sf_dir):
+    rows = fx.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("gene"), (1 + F.col("p_partkey") % 17).cast("double").alias("b0"), (2 + F.col("p_partkey") % 5).cast("double").alias("b1"))
+    return D.integrated_prior(rows).select("gene", F.round("log_p0", 6).alias("log_p0"), F.round("log_p1", 6).alias("log_p1"))
+
+
+def replicated_tables(spark, sf_dir):
+    shared = spark.createDataFrame([("none", 0.9, 0.1), ("effect", 0.2, 0.8)], "state string, p0 double, p1 double")
+    return D.replicated(shared, fx.table(spark, sf_dir, "part"), "p_partkey")
+
+
+def dirichlet_draws(spark, sf_dir):
+    return D.dirichlet_draws(fx.table(spark, sf_dir, "part"), [2.0, 5.0, 1.0], 3, "p_partkey")
+
+
+def trimmed_values(spark, sf_dir):
+    """Text without white space at its ends, and whether a nested value is missing."""
+    name = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("  "), "p_name", F.lit("\t"))).otherwise(F.col("p_name"))
+    nested = F.when(F.col("p_partkey") % 4 == 0, F.array().cast("array<struct<a:int,b:array<string>>>")).when(F.col("p_partkey") % 4 == 1, F.expr("array(named_struct('a', cast(null as int), 'b', array(cast(null as string))))")).when(F.col("p_partkey") % 4 == 2, F.expr("array(named_struct('a', 1, 'b', array(cast(null as string))))"))
+    rows = fx.table(spark, sf_dir, "part").select("p_partkey", name.alias("name"), nested.alias("nested"))
+    return rows.select("p_partkey", V.trimmed(F.col("name")).alias("name"), V.is_missing(F.col("nested"), rows.schema["nested"].dataType).alias("missing"))
+
+
+def cluster_sizes(spark, sf_dir):
+    return U.cluster_sizes(_clusters(spark, sf_dir))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -503,6 +716,8 @@ QUERIES: dict[str, Query] = {
         gene_name_reset, marker_score, marker_auc, rank_auc, assign_cluster, merged_auc, average_auc, annotate_clusters, split_markers, top_markers, mito_filter, mito_ratio, low_count_filter,
         log_normalised, expressed_cells, rank_sum_tests, cluster_cells, gene_set_intersection, na_fraction, quantile_norm, ideal_fourths, boxplot_outliers, complex_mutation, strong_mutations,
         top_edges, network_filter, network_expansion, bh_adjust, z_scores, expression_distribution, gauss_mixture, student_mixture, regulation_heatmap, expression_weights, impute_knn,
-        copy_number_residuals, differential_edges, driver_posterior,
+        copy_number_residuals, differential_edges, driver_posterior, refined_barcodes, regrouped_counts, merged_whitelist, candidate_cells, chosen_correction, fastq_scan, mate_scan, sam_scan,
+        gtf_genes, barcode_file, count_table, molecule_store, packaged_expression, heatmap_order, gauss_e_step, student_e_step, flat_copy_number, edge_tests, driver_evidence, driver_e_step,
+        driver_priors, integrated_prior, replicated_tables, dirichlet_draws, trimmed_values, cluster_sizes,
     )
 }

@@ -36,11 +36,13 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; only where none is set, one of our own."""
+    """The folder that driver and executors share, from spark.checkpoint.dir; a local session may have one of our own."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if not current.isDefined():
-        spark.sparkContext.setCheckpointDir(configured or "/tmp/checkpoints")
+        if not configured and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(configured or tempfile.mkdtemp(prefix="checkpoints"))
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
     return (configured or str(current.get())).rstrip("/")
 

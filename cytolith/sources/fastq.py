@@ -12,7 +12,7 @@ import gzip
 from collections.abc import Iterator
 from glob import glob
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -71,11 +71,21 @@ def read_fastq(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("fastq").load(path)
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """value, at: the lines of a file, or of a folder's files one after the other by name, numbered from 0, from any store that Spark reads.
+
+    Lines keep their order within a part of a file that is read in one go; the sizes of the parts before are added.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"))
+    parts = lines.groupBy("_file", "_block").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))  # a row for each part
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return lines.join(parts.withColumn("_before", before), ["_file", "_block"]).select("value", (F.col("_id") - F.col("_first") + F.col("_before")).alias("at"))
+
+
 def read_fastq_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Read one file from any store that Spark reads, by the number of each line (from the file's splits, in order)."""
-    numbered = spark.createDataFrame(spark.sparkContext.textFile(path).zipWithIndex(), "line string, at long")
-    part = lambda k: F.max(F.when(F.col("at") % 4 == k, F.col("line")))
-    rows = numbered.groupBy(F.expr("at div 4").alias("record_id")).agg(part(0).alias("head"), part(1).alias("seq"), part(2).alias("plus"), part(3).alias("qual"))
+    """Read a file, or a folder of files, from any store that Spark reads; record_id counts over all of them."""
+    part = lambda k: F.max(F.when(F.col("at") % 4 == k, F.col("value")))
+    rows = numbered_lines(spark, path).groupBy(F.expr("at div 4").alias("record_id")).agg(part(0).alias("head"), part(1).alias("seq"), part(2).alias("plus"), part(3).alias("qual"))
     return rows.filter(F.col("qual").isNotNull()).select("record_id", F.expr("substring(head, 2)").alias("name"), "seq", "plus", "qual")
 
 

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from cytolith.functions import stats
 from cytolith.functions.dna import hamming, neighbours
-from cytolith.operators import annotate, cells, clustering, collapse, driver_model, expression, filters, fuzzy, markers, matrix, mixture, molecules, network, reads, sample
+from cytolith.operators import annotate, cells, clustering, collapse, driver_model, expression, filters, fuzzy, markers, matrix, mixture, molecules, network, ranks, reads, sample
 from cytolith.operators.template import STRUCTURES, compile_template, read_config
+from cytolith.sources import packaged
 
 
 def distance(a, b):
@@ -183,12 +184,35 @@ def test_axes_and_coordinates(spark):
 # -- cells
 
 
-def test_greedy_kernels_by_component_equal_the_whole(spark):
+def _near(a, b):
+    return sum(x != y for x, y in zip(a, b, strict=True)) <= 1
+
+
+def merge_in_order(rows):
+    """One after the other, by falling count."""
+    accepted = {}
+    for cb, count in sorted(rows, key=lambda x: (-x[1], x[0])):
+        near = [a for a in accepted if _near(cb, a)]
+        if not near or len(near) == 1 and count > accepted[near[0]] / 10:
+            accepted[cb] = count
+    return set(accepted)
+
+
+def absorb_in_order(rows):
+    left, heads = sorted(rows, key=lambda x: (-x[1], x[0])), set()
+    while left:
+        heads.add(left[0][0])
+        left = [x for x in left[1:] if not _near(left[0][0], x[0])]
+    return heads
+
+
+@pytest.mark.parametrize("n", [0, 150, 700])
+def test_greedy_passes_equal_one_pass(spark, n):
     rng = random.Random(6)
-    rows = [(b, rng.randrange(1, 200)) for b in sorted({dna(rng, 5) for _ in range(150)})]
+    rows = [(b, rng.choice([rng.randrange(1, 200), 10 ** rng.randrange(4)])) for b in sorted({dna(rng, 5) for _ in range(n)})]
     df = frame(spark, rows, "cb string, cb_count long")
-    assert {r["cb"] for r in cells.greedy_merge(df).collect()} == set(cells.merge_in_order(rows))
-    assert {r["cb"] for r in cells.greedy_absorb(df).collect()} == set(cells.absorb_in_order(rows))
+    assert {r["cb"] for r in cells.greedy_merge(df).collect()} == merge_in_order(rows)
+    assert {r["cb"] for r in cells.greedy_absorb(df).collect()} == absorb_in_order(rows)
 
 
 def test_cell_threshold_equals_percentiles(spark):
@@ -225,6 +249,115 @@ def test_overlaps_equal_the_nested_loop(spark, strand):
     assert {tuple(r) for r in got.collect()} == wanted
 
 
+@pytest.mark.parametrize("strand", [0, 1, 2])
+def test_annotation_equals_the_nested_loop(spark, strand):
+    rng = random.Random(9)
+    aln = [(k, rng.choice("xy"), s := rng.randrange(3000), s + rng.randrange(rng.choice([1, 50, 800])), rng.choice("+-"), 1 + (k % 7 == 0)) for k in range(400)]
+    exon = [(f"g{k % 13}", rng.choice("xy"), s := rng.randrange(3000), s + rng.randrange(200), rng.choice("+-")) for k in range(60)]
+    ok = {0: lambda a, b: True, 1: lambda a, b: a == b, 2: lambda a, b: a != b}[strand]
+    got = annotate.annotate(frame(spark, aln, "aln_id long, chrom string, start long, end long, strand string, nh int"), frame(spark, exon, "gene_id string, chrom string, start long, end long, strand string"), strand)
+    for r in got.collect():
+        a = aln[r["aln_id"]]
+        hit = {e[0] for e in exon if a[1] == e[1] and a[2] <= e[3] and a[3] >= e[2] and ok(a[4], e[4])} if a[5] == 1 else set()
+        assert (r["xt"], r["xs"]) == (next(iter(hit)) if len(hit) == 1 else None, "Unassigned_Ambiguity" if len(hit) > 1 else None)
+
+
+def test_segments_of_an_annotation(spark):
+    exon = [("a", "x", 10, 20, "+"), ("b", "x", 15, 30, "+"), ("a", "x", 31, 40, "+"), ("a", "x", 41, 45, "+"), ("c", "x", 100, 100, "-")]
+    got = annotate.segments(frame(spark, exon, "gene_id string, chrom string, start long, end long, strand string"))
+    assert sorted((r["start"], r["end"], r["low"], r["high"], r["strand"]) for r in got.collect()) == [(10, 14, "a", "a", "+"), (15, 20, "a", "b", "+"), (21, 30, "b", "b", "+"), (31, 45, "a", "a", "+"), (100, 100, "c", "c", "-")]
+
+
+def test_sums_below_by_ranges(spark):
+    rng = random.Random(10)
+    rows = sorted({(rng.choice("ab"), round(float(rng.choice([rng.random(), rng.randrange(5)])), 3)) for _ in range(500)})
+    held = [(g, v, rng.randrange(9), rng.randrange(3)) for g, v in rows]
+    got = ranks.below(frame(spark, held, "g string, v double, n long, m long"), ["g"], "v", ["n", "m"], parts=7).collect()
+    assert len(got) == len(held)
+    for r in got:
+        assert (r["_below_n"], r["_below_m"]) == tuple(sum(x[k] for x in held if x[0] == r["g"] and x[1] < r["v"]) for k in (2, 3))
+
+
+def test_auc_of_sets_of_clusters(spark):
+    rng = random.Random(11)
+    scored = [(f"c{k}", t, float(rng.randrange(12))) for k in range(90) for t in "TB"]
+    placed = {f"c{k}": rng.choice("xyz") for k in range(90)}
+    pairs = markers.PairAuc(frame(spark, scored, "cell string, cell_type string, score double"), frame(spark, list(placed.items()), "cell string, cluster string"))
+    for t in "TB":
+        for mine, among in (({"x"}, {"x", "y", "z"}), ({"x", "z"}, {"x", "y", "z"}), ({"y"}, {"y", "z"})):
+            a = [s for c, u, s in scored if u == t and placed[c] in mine]
+            b = [s for c, u, s in scored if u == t and placed[c] in among - mine]
+            assert pairs.auc(t, mine, among) == pytest.approx(sum((x > y) + 0.5 * (x == y) for x in a for y in b) / (len(a) * len(b)))
+    assert pairs.auc("T", {"x"}, {"x"}) == 0.5 and pairs.auc("none", {"x"}, {"x", "y"}) == 0.5
+
+
+def test_components_of_all_genes_are_those_of_the_covariance(spark):
+    rng = np.random.default_rng(12)
+    x = rng.standard_normal((60, 3)) @ rng.standard_normal((3, 40)) * np.array([5.0]) + rng.standard_normal((60, 40))
+    x = np.where(x > 0, x, 0.0)
+    rows = [(f"c{i:02}", f"g{j:02}", float(x[i, j])) for i in range(60) for j in range(40) if x[i, j]]
+    values = frame(spark, rows, "cell string, gene string, value double")
+    got = {r["cell"]: r["pc"].toArray() for r in clustering.components(values, values.select("gene").distinct(), 3, rounds=12).collect()}
+    scaled = x / x.std(0, ddof=1)
+    u, s, vt = np.linalg.svd(scaled - scaled.mean(0), full_matrices=False)
+    wanted, pc = u[:, :3] * s[:3], np.stack([got[f"c{i:02}"] for i in range(60)])
+    pc = pc - pc.mean(0)
+    for k in range(3):
+        assert abs(np.corrcoef(wanted[:, k], pc[:, k])[0, 1]) > 0.9999 and np.linalg.norm(pc[:, k]) == pytest.approx(s[k], rel=1e-3)
+
+
+def test_blocks_do_not_change_imputation(spark):
+    rng = random.Random(13)
+    rows = [(f"s{i}", f"g{j:02}", None if rng.random() < 0.15 else rng.gauss(j, 1)) for i in range(15) for j in range(25)]
+    df = frame(spark, rows, "sample string, gene string, value double")
+    named = lambda block: {(r["sample"], r["gene"]): r["value"] for r in expression.impute_knn(df, 4, block=block).collect()}
+    one, many = named(1000), named(4)
+    assert one.keys() == many.keys() == {(s, g) for s, g, _ in rows} and all(math.isclose(one[k], many[k]) for k in one)
+
+
+def test_a_weighted_fit_is_that_of_repeated_values():
+    rng = np.random.default_rng(14)
+    x = np.sort(np.round(np.concatenate([rng.normal(2, 0.3, 60), rng.normal(4, 0.2, 300)]), 1))
+    values, n = np.unique(x, return_counts=True)
+    (a, cut_a), (b, cut_b) = mixture.fit_totals(x), mixture.fit_totals(values, weight=n)
+    assert cut_a == pytest.approx(cut_b) and a.mu == pytest.approx(b.mu, rel=1e-6) and a.loglik == pytest.approx(b.loglik, rel=1e-9)
+
+
+def test_moderated_tests_equal_those_of_the_matrix(spark):
+    rng = random.Random(15)
+    samples = [f"s{k}" for k in range(30)]
+    expr = frame(spark, [(s, g, rng.gauss(0, 1) + (2 if g == "n0" and k < 8 else 0)) for k, s in enumerate(samples) for g in ("n0", "n1", "n2")], "sample string, gene string, value double")
+    mut = frame(spark, [(s, "m", "MISSENSE") for s in samples[:8]], "sample string, hgnc_symbol string, variant_type string")
+    edges = frame(spark, [("m", f"n{k}", 1.0) for k in range(3)], "gene string, neighbour string, weight double")
+    rows = {r["neighbour"]: r for r in network.edge_tests(edges, expr, mut).collect()}
+    values = {(r["sample"], r["gene"]): r["value"] for r in expr.collect()}
+    for g, r in rows.items():
+        a, b = (np.array([values[s, g] for s in part]) for part in (samples[:8], samples[8:]))
+        assert r["difference"] == pytest.approx(a.mean() - b.mean()) and r["s2"] == pytest.approx((a.var() * 8 + b.var() * 22) / 28)
+    p = {r["neighbour"]: r["p"] for r in network.differential_edges(edges, expr, mut).collect()}
+    assert p["n0"] < 0.01 < min(p["n1"], p["n2"])
+
+
+def test_leaf_order_puts_like_rows_together():
+    x = np.array([[0.0, 0.1], [5.0, 5.2], [0.1, 0.0], [5.1, 5.0], [9.0, 9.0]])
+    order = stats.leaf_order(x)
+    assert order[0] in (0, 2) and set(order[:2]) == {0, 2} and order[2] == 4 and stats.leaf_order(x[:1]) == [0]
+
+
+def test_dirichlet_draws_repeat(spark):
+    names = frame(spark, [(f"n{k}",) for k in range(2000)], "name string")
+    draw = lambda parts: {r["name"]: r["share"] for r in driver_model.dirichlet_draws(names.repartition(parts), [2.0, 5.0, 1.0], 3).collect()}
+    a, b = draw(1), draw(5)
+    assert a == b and np.allclose(np.array(list(a.values())).mean(0), np.array([2, 5, 1]) / 8, atol=0.02)
+
+
+def test_packages_of_files(spark, tmp_path):
+    for name, text in {"expr": "s,A,B.1\np1,1.5,NA\np2,2,3\n", "cna.logr": "s,A\np1,0.1\n", "cna.call": "s,A\np1,-2\n", "mut": "sample,hgnc_symbol,variant_type,x\np1,A,HOMD,1\n", "net": "gene,neighbour,weight\nA,B,0.5\n"}.items():
+        (tmp_path / f"{name}.csv").write_text(text)
+    got = {k: sorted(map(tuple, df.collect()), key=str) for k, df in packaged.read_package(spark, str(tmp_path)).items()}
+    assert got == {"expr": [("p1", "A", 1.5), ("p1", "B.1", None), ("p2", "A", 2.0), ("p2", "B.1", 3.0)], "cna.logr": [("p1", "A", 0.1)], "cna.call": [("p1", "A", -2)], "mut": [("p1", "A", "HOMD")], "net": [("A", "B", 0.5)]}
+
+
 # -- statistics
 
 
