@@ -11,7 +11,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Characters of text that one inner batch of a Python operator holds at most (a longer text is a batch of its own).
 BATCH_CHARS = 2_000_000
@@ -77,19 +76,18 @@ def discard(spark: SparkSession, paths: Iterable[str]) -> None:
 def spread_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", shares: int = SHARES) -> DataFrame:
     """left joined with right on a column, of which some values may hold a large part of left's rows.
 
-    A value with more than 1 / shares of left's rows (there are fewer than shares of them, so they are collected and
-    broadcast) is dealt over as many tasks as it has such shares; right's rows with it are repeated for each of them.
+    A value with more than 1 / shares of left's rows (there are fewer than shares of them, so they are broadcast) is dealt over as many tasks as it has such shares; right's rows with it are repeated for each of them.
     left is read twice: it should be a written table.
     """
     counts = left.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
     total = left.count()
-    heavy = counts.filter(F.col("n") * shares > total).select(key, F.ceil(F.col("n") * shares / F.lit(float(max(total, 1)))).cast("int").alias("__salts")).collect() if total > shares else []
-    if not heavy:
+    heavy = counts.filter(F.col("n") * shares > total).select(key, F.ceil(F.col("n") * shares / F.lit(float(max(total, 1)))).cast("int").alias("__salts"))
+    heavy = materialise(heavy, "heavy") if total > shares else None
+    if heavy is None or heavy.isEmpty():
         return left.join(right, key, how)
-    dealt = F.broadcast(left.sparkSession.createDataFrame(heavy, T.StructType([left.schema[key], T.StructField("__salts", T.IntegerType())])))
     salts = F.coalesce("__salts", F.lit(1))
-    one = left.join(dealt, key, "left").withColumn("__salt", F.pmod(F.xxhash64(*[c for c, kind in left.dtypes if not kind.startswith("map")]), salts).cast("int")).drop("__salts")
-    other = right.join(dealt, key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("__salts")
+    one = left.join(F.broadcast(heavy), key, "left").withColumn("__salt", F.pmod(F.xxhash64(*[c for c, kind in left.dtypes if not kind.startswith("map")]), salts).cast("int")).drop("__salts")
+    other = right.join(F.broadcast(heavy), key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("__salts")
     return one.join(other, [key, "__salt"], how).drop("__salt")
 
 
