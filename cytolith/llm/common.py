@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -111,6 +113,14 @@ def small_batches(batches: Iterable[pa.RecordBatch], text: int, chars: int = BAT
             if stop > start:
                 yield batch.slice(start, stop - start)
             start = stop
+    tidy()
+
+
+def tidy() -> None:
+    """Give memory that a finished partition has freed back to the system: a worker process lives on, and so would it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not glibc
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -39,7 +39,7 @@ HASHED = 1024
 BITS = 10
 #: Half the width of the cube that the curve fills, in units of a projected mean.
 SPREAD = 0.6
-CACHED_WORDS = 450_000
+CACHED_WORDS = 300_000
 ENCODED_AT_ONCE = 4000
 MARKS = (".", ",")
 #: Bytes of ids that a range of the curve holds on average, at most.
@@ -100,9 +100,9 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer, self.of_words = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        # for words that are one pre-token each
-        self.of_words.normalizer = None
+        self.tokenizer = Tokenizer.from_file(path)
+        # for words that are one pre-token each; the model is shared
+        self.of_words = Tokenizer(self.tokenizer.model)
         self.of_words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.wide = size > 65536

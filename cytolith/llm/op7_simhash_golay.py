@@ -46,7 +46,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WRITTEN, discard, materialise, small_batches, spread_join
+from .common import WRITTEN, discard, materialise, small_batches, spread_join, tidy
 
 SHINGLE = 3
 SEED = 42
@@ -61,7 +61,7 @@ STAGE_SHINGLE = 5
 SIMILAR = 0.8
 BANDS, BAND_ROWS = 25, 4
 DELTA_BITS = 1024
-CACHED_WORDS = 100_000
+CACHED_WORDS = 50_000
 #: Bytes of a text that are split into words at a time.
 BLOCK = 1 << 22
 
@@ -370,6 +370,7 @@ def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             if rows:
                 columns = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:5]), pa.array(columns[5], pa.list_(pa.int64())), pa.array(columns[6], pa.bool_())], [x.split()[0] for x in COMPARED.split(", ")])
+        tidy()
 
     x, y = (sets.select(F.col("node").alias(n), F.col("shingles").alias(f"{n}_set")) for n in "ab")
     # a's set goes along as it is joined first; a hub's set is repeated for the parts that its many rows are dealt over
