@@ -1,8 +1,7 @@
 """Cells to clusters, differential genes, and choice among models.
 
-Normalisation, gene choice, tests and silhouettes are distributed. The grouping itself is bisecting k-means on principal
-components, with ten clusters per unit of resolution: graph clustering has no counterpart here, so clusters differ in
-detail from tools that use it.
+Normalisation, gene choice, components, neighbours, communities, tests and silhouettes are distributed. Communities are
+found by local moves in rounds, not one node after the other, so clusters differ in detail from other tools of the kind.
 """
 
 from __future__ import annotations
@@ -21,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions.dna import MITO_RIBO
+from .graph import MOST_LEVELS, MOST_ROUNDS, communities, nearest, shared_neighbours
 from .markers import annotate_clusters, assign_clusters, average_auc, cluster_auc, marker_scores
 from .matrix import axis
 from .ranks import below
@@ -122,13 +122,23 @@ def components(values: DataFrame, genes: DataFrame, n_pc: int = 50, rounds: int
     return rows.select("cell", "k", "v").mapInArrow(project, "cell string, pc array<double>").select("cell", array_to_vector("pc").alias("pc"))
 
 
-def cluster_cells(counts: DataFrame, resolution: float = 1.0, n_pc: int = 50, variable: bool = False, species: str = "human", tpm: bool = False, min_cells: int = 3, min_genes: int = 1, seed: int = 0) -> DataFrame:
-    """cell, cluster (string), pc."""
+def cluster_cells(counts: DataFrame, resolution: float = 1.0, n_pc: int = 50, variable: bool = False, species: str = "human", tpm: bool = False, min_cells: int = 3, min_genes: int = 1, seed: int = 0, neighbours: int = 30, method: str = "graph", rounds: int = MOST_ROUNDS, levels: int = MOST_LEVELS) -> DataFrame:
+    """cell, cluster (string), pc. method: graph (communities of the graph of shared neighbours) or kmeans (ten clusters per unit of resolution).
+
+    Clusters of the graph are numbered by falling size; a cell without a like neighbour is one of its own.
+    """
+    if method not in ("graph", "kmeans"):
+        raise ValueError(f"unknown method {method!r}")
     values = normalise(expressed(counts, min_cells, min_genes), tpm=tpm)
     genes = variable_genes(values) if variable else values.select("gene").distinct().filter(~F.col("gene").rlike(MITO_RIBO[species]))
-    points = components(values, genes, n_pc).cache()
-    model = BisectingKMeans(k=max(2, round(10 * resolution)), featuresCol="pc", predictionCol="c", seed=seed, minDivisibleClusterSize=2.0).fit(points)
-    return model.transform(points).select("cell", F.col("c").cast("string").alias("cluster"), "pc")
+    points = checkpointed(components(values, genes, n_pc))
+    if method == "kmeans":
+        model = BisectingKMeans(k=max(2, round(10 * resolution)), featuresCol="pc", predictionCol="c", seed=seed, minDivisibleClusterSize=2.0).fit(points)
+        return model.transform(points).select("cell", F.col("c").cast("string").alias("cluster"), "pc")
+    found = communities(shared_neighbours(checkpointed(nearest(points, neighbours))), resolution, rounds, levels)
+    placed = points.join(found.select(F.col("node").alias("cell"), "community"), "cell", "left").withColumn("community", F.coalesce("community", "cell"))
+    sizes = placed.groupBy("community").agg(F.count("*").alias("n")).withColumn("cluster", (F.row_number().over(Window.orderBy(F.desc("n"), "community")) - 1).cast("string"))  # a row for each cluster
+    return placed.join(sizes, "community").select("cell", "cluster", "pc")
 
 
 def cluster_sizes(clusters: DataFrame) -> DataFrame:
@@ -183,17 +193,17 @@ def extract_best(rows: list[dict], least: int = 3, most: int = 20) -> tuple[int,
     return max(fits, key=lambda k: (rows[k]["silhouette"], -k)), max(fits, key=lambda k: (rows[k]["auc"], -k))
 
 
-def select_model(counts: DataFrame, markers: DataFrame, resolutions=(0.8, 1.0, 1.2, 1.5), n_pcs=(20, 30, 50, 100), variable=(True, False), least: int = 3, most: int = 20, **options) -> dict:
+def select_model(counts: DataFrame, markers: DataFrame, neighbours=(15, 30), resolutions=(0.8, 1.0, 1.2, 1.5), n_pcs=(20, 30, 50, 100), variable=(True, False), least: int = 3, most: int = 20, **options) -> dict:
     """The best of a grid of models: the better, by annotation, of that with the best silhouette and that with the best AUC.
 
     The grid is a loop on the driver over a few dozen models; each model's work is distributed.
     """
     rows: list[dict] = []
     scores = checkpointed(marker_scores(counts, markers))
-    for r, n_pc, v in product(resolutions, n_pcs, variable):
-        clustered = cluster_cells(counts, r, n_pc, v, **options).cache()
+    for k, r, n_pc, v in product(neighbours, resolutions, n_pcs, variable):
+        clustered = checkpointed(cluster_cells(counts, r, n_pc, v, neighbours=k, **options))
         n = clustered.select("cluster").distinct().count()
-        row = {"resolution": r, "n_pc": n_pc, "variable": v, "n": n, "silhouette": -1.0, "auc": 0.0, "clusters": clustered.select("cell", "cluster")}
+        row = {"neighbours": k, "resolution": r, "n_pc": n_pc, "variable": v, "n": n, "silhouette": -1.0, "auc": 0.0, "clusters": clustered.select("cell", "cluster")}
         if least <= n <= most:
             row["silhouette"] = silhouette(clustered)
             row["auc"] = average_auc(assign_clusters(cluster_auc(scores, row["clusters"]))).first()["score"] or 0.0

@@ -200,12 +200,30 @@ def _gaussian_process_residual(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return c - k @ a
 
 
-def _kernel_ridge_residual(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Residuals of a radial-kernel regression with a fixed penalty (in place of a support-vector machine)."""
-    xs = (x - x.mean()) / (x.std() or 1.0)
-    k = np.exp(-((xs[:, None] - xs) ** 2))
-    c = y - y.mean()
-    return c - k @ np.linalg.solve(k + np.eye(len(x)), c)
+def _support_vector_residual(x: np.ndarray, y: np.ndarray, cost: float = 1.0, tube: float = 0.1, width: float = 1.0, tolerance: float = 1e-3) -> np.ndarray:
+    """Residuals of a support-vector regression with a radial kernel, on standardised values.
+
+    Of the dual's coefficients (between -cost and cost, with sum 0) the pair that breaks optimality most is moved, until
+    none does by more than the tolerance.
+    """
+    sd = y.std(ddof=1) or 1.0
+    xs, ys = (x - x.mean()) / (x.std(ddof=1) or 1.0), (y - y.mean()) / sd
+    k = np.exp(-width * (xs[:, None] - xs) ** 2)
+    beta, gradient = np.zeros(len(x)), -ys
+    for _ in range(1000 * len(x)):
+        rise = np.where(beta < cost, gradient + np.where(beta >= 0, tube, -tube), np.inf)
+        fall = np.where(beta > -cost, gradient + np.where(beta <= 0, -tube, tube), -np.inf)
+        i, j = int(rise.argmin()), int(fall.argmax())
+        if fall[j] - rise[i] <= tolerance:
+            break
+        curve = max(k[i, i] + k[j, j] - 2 * k[i, j], 1e-12)
+        # no step goes past a bound, or past 0, where the tube's slope turns
+        step = min((fall[j] - rise[i]) / curve, -beta[i] if beta[i] < 0 else cost - beta[i], beta[j] if beta[j] > 0 else beta[j] + cost)
+        beta[i] += step
+        beta[j] -= step
+        gradient += step * (k[:, i] - k[:, j])
+    offset = -(rise.min() + fall.max()) / 2
+    return y - (y.mean() + sd * (k @ beta + offset))
 
 
 def remove_copy_number(expr: DataFrame, cna: DataFrame, kind: str = "gp") -> DataFrame:
@@ -222,7 +240,7 @@ def remove_copy_number(expr: DataFrame, cna: DataFrame, kind: str = "gp") -> Dat
         pdf = pdf.sort_values("sample")
         x, y = pdf["cna"].to_numpy(float), pdf["value"].to_numpy(float)
         flat = np.median(np.abs(x)) == 0
-        out = y - np.median(y) if flat else (_gaussian_process_residual if kind == "gp" else _kernel_ridge_residual)(x, y)
+        out = y - np.median(y) if flat else (_gaussian_process_residual if kind == "gp" else _support_vector_residual)(x, y)
         return pd.DataFrame({"sample": pdf["sample"], "gene": pdf["gene"], "value": out})
 
     return both.groupBy("gene").applyInPandas(run, "sample string, gene string, value double")

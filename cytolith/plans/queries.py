@@ -508,7 +508,7 @@ def rank_sum_tests(spark, sf_dir):
 
 
 def cluster_cells(spark, sf_dir):
-    return U.cluster_cells(_matrix(spark, sf_dir), 0.4, 4, min_cells=1).select("cell", "cluster")
+    return U.cluster_cells(_matrix(spark, sf_dir), 0.4, 4, min_cells=1, neighbours=10, rounds=4, levels=2).select("cell", "cluster")
 
 
 # -- expression, networks and mutations

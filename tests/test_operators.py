@@ -6,11 +6,12 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from cytolith.functions import stats
 from cytolith.functions.dna import hamming, neighbours
-from cytolith.operators import annotate, cells, clustering, collapse, driver_model, expression, filters, fuzzy, markers, matrix, mixture, molecules, network, ranks, reads, sample
+from cytolith.operators import annotate, cells, clustering, collapse, driver_model, expression, filters, fuzzy, graph, markers, matrix, mixture, molecules, network, ranks, reads, sample
 from cytolith.operators.template import STRUCTURES, compile_template, read_config
 from cytolith.sources import packaged
 
@@ -358,6 +359,91 @@ def test_packages_of_files(spark, tmp_path):
     assert got == {"expr": [("p1", "A", 1.5), ("p1", "B.1", None), ("p2", "A", 2.0), ("p2", "B.1", 3.0)], "cna.logr": [("p1", "A", 0.1)], "cna.call": [("p1", "A", -2)], "mut": [("p1", "A", "HOMD")], "net": [("A", "B", 0.5)]}
 
 
+def test_neighbours_and_communities(spark):
+    rng = np.random.default_rng(16)
+    x = np.concatenate([rng.normal(c, 0.3, (25, 2)) for c in ((0, 0), (5, 0), (0, 5))])
+    points = spark.createDataFrame([(f"c{i:02}", Vectors.dense(v)) for i, v in enumerate(x)], ["cell", "pc"])
+    d = ((x[:, None] - x[None]) ** 2).sum(2)
+    np.fill_diagonal(d, np.inf)
+    wanted = {(f"c{i:02}", f"c{j:02}") for i in range(75) for j in np.argsort(d[i], kind="stable")[:6]}
+    near = graph.nearest(points, 6, block=20)
+    assert {(r["cell"], r["near"]) for r in near.collect()} == wanted
+    edges = graph.shared_neighbours(near)
+    sets = {f"c{i:02}": {b for a, b in wanted if a == f"c{i:02}"} | {f"c{i:02}"} for i in range(75)}
+    for r in edges.collect():
+        assert r["weight"] == pytest.approx(len(sets[r["a"]] & sets[r["b"]]) / len(sets[r["a"]] | sets[r["b"]]))
+    found = {r["node"]: r["community"] for r in graph.communities(edges, 0.3, 4, 2).collect()}
+    groups = [{found[f"c{i:02}"] for i in range(k, k + 25)} for k in (0, 25, 50)]
+    assert not groups[0] & groups[1] and not groups[0] & groups[2] and not groups[1] & groups[2]
+
+
+def test_communities_raise_modularity(spark):
+    rng = random.Random(17)
+    names = [f"n{k}" for k in range(40)]
+    weight = {}
+    for i in range(40):
+        for j in range(i):
+            if rng.random() < (0.6 if i // 10 == j // 10 else 0.05):
+                weight[names[i], names[j]] = weight[names[j], names[i]] = rng.random()
+    found = {r["node"]: r["community"] for r in graph.communities(frame(spark, [(a, b, w) for (a, b), w in weight.items()], "a string, b string, weight double"), 1.0, 5, 2).collect()}
+    total = sum(weight.values())
+    degree = {n: sum(w for (a, _), w in weight.items() if a == n) for n in names}
+
+    def modularity(of):
+        return sum(w for (a, b), w in weight.items() if of[a] == of[b]) / total - sum(sum(degree[n] for n in names if of.get(n) == c) ** 2 for c in set(of.values())) / total**2
+
+    assert modularity(found) >= modularity({n: k // 10 for k, n in enumerate(names)}) - 0.02
+
+
+def test_copy_number_is_taken_off(spark):
+    rng = random.Random(18)
+    cna = [(f"s{k}", g, float(rng.choice([-2, -1, 0, 1, 2])) if g == "a" else 0.0) for k in range(40) for g in "ab"]
+    expr = [(s, g, 3 * c + rng.gauss(0, 0.2) + 10) for s, g, c in cna]
+    for kind in ("gp", "svm"):
+        got = {(r["sample"], r["gene"]): r["value"] for r in expression.remove_copy_number(frame(spark, expr, "sample string, gene string, value double"), frame(spark, cna, "sample string, gene string, value double"), kind).collect()}
+        a = np.array([got[s, g] for s, g, _ in cna if g == "a"])
+        assert a.std() < 0.25 * np.std([v for _, g, v in expr if g == "a"]), kind
+        b = np.array([v for _, g, v in expr if g == "b"])
+        assert np.allclose([got[s, g] for s, g, _ in cna if g == "b"], b - np.median(b))
+
+
+def test_support_vector_regression_follows_the_levels():
+    rng = np.random.default_rng(21)
+    x = rng.integers(-2, 3, 60).astype(float)
+    y = np.sin(x) * 3 + rng.normal(0, 0.3, 60)
+    residual = expression._support_vector_residual(x, y, tolerance=1e-6)
+    by_level = [residual[x == v] for v in np.unique(x)]
+    # within a level all values share one prediction, inside or at the edge of most of its values
+    assert all(abs(np.median(r)) < 0.5 for r in by_level) and all(np.ptp(y[x == v] - residual[x == v]) < 1e-9 for v in np.unique(x))
+
+
+def test_densities_are_those_of_the_fitted_parts(spark):
+    rng = random.Random(19)
+    expr = [(f"s{k:02}", "g", rng.gauss(5, 1) + (4 if k < 5 else 0)) for k in range(40)]
+    for kind in ("student", "gauss"):
+        rows = sorted(expression.distributions(frame(spark, expr, "sample string, gene string, value double"), None, kind).collect(), key=lambda r: r["sample"])
+        m = mixture.fit_expression(np.array([v for _, _, v in expr]), None, kind == "student")
+        assert rows[0]["mu"] == pytest.approx(m.mu.tolist())
+        wanted = np.exp(m.log_density(np.array([v for _, _, v in expr])))
+        assert np.allclose([[r["p_down"], r["p_neutral"], r["p_up"]] for r in rows], wanted)
+
+
+def test_expression_weights_by_direct_fit(spark):
+    rng = random.Random(20)
+    rows = [(s, f"g{k:03}", rng.gauss(0, 0.5) if k < 40 else rng.gauss(6, 0.8)) for k in range(120) for s in range(12)]
+    got = {r["gene"]: r["weight"] for r in expression.expression_weights(frame(spark, rows, "sample long, gene string, value double")).collect()}
+    q = np.array([np.quantile([v for _, g, v in rows if g == f"g{k:03}"], 0.9) for k in range(120)])
+    low, high = stats.boxplot_fences(np.sort(q))
+    inside = (q >= low) & (q <= high)
+    y = np.sort(q[inside])
+    th = np.quantile(y, 0.3)
+    parts = (y[y <= th], y[y > th])
+    m = mixture.fit(y, [0.3, 0.7], [p.mean() for p in parts], [p.std(ddof=1) for p in parts], 2)
+    for k in np.flatnonzero(inside):
+        assert got[f"g{k:03}"] == pytest.approx(m.responsibilities(q[k : k + 1])[0, 1], abs=1e-6)
+    assert np.mean([got[f"g{k:03}"] for k in range(120) if k >= 40 and f"g{k:03}" in got]) > 0.9
+
+
 # -- statistics
 
 
@@ -428,12 +514,14 @@ def test_clusters_get_their_types(spark):
     assert all(r["auc"] > 0.99 for r in auc.collect())
 
 
-def test_cells_of_different_types_cluster_apart(spark):
+@pytest.mark.parametrize("method", ["graph", "kmeans"])
+def test_cells_of_different_types_cluster_apart(spark, method):
     rng = random.Random(14)
     counts = [(f"c{k}", f"g{j}", rng.randrange(1, 3) + 30 * (j % 2 == k % 2)) for k in range(60) for j in range(12)]
-    done = clustering.cluster_cells(frame(spark, counts, "cell string, gene string, count long"), 0.2, 3)
+    done = clustering.cluster_cells(frame(spark, counts, "cell string, gene string, count long"), 0.2, 3, method=method, neighbours=10, rounds=4, levels=2)
     mixed = done.groupBy("cluster").agg(F.count_distinct(F.expr("int(substring(cell, 2)) % 2")).alias("n"))
-    assert [r["n"] for r in mixed.collect()] == [1, 1]
+    found = [r["n"] for r in mixed.collect()]
+    assert len(found) >= 2 and set(found) == {1}
     assert clustering.silhouette(done) > 0.3
     assert clustering.extract_best([{"n": 2, "silhouette": 0.9, "auc": 1}, {"n": 4, "silhouette": 0.1, "auc": 0.2}, {"n": 5, "silhouette": 0.3, "auc": 0.1}]) == (2, 1)
 
