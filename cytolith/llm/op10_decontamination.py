@@ -32,7 +32,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, materialise
+from .common import SPACE, WRITTEN, discard, materialise
 
 WINDOW = 8
 #: Share of a window's tokens that are no placeholders, at least, for a match by template; else raw words must be equal.
@@ -205,5 +205,7 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     What goes is written first: Spark then knows its size, and broadcasts it or shuffles accordingly.
     """
+    before = len(WRITTEN)
     gone = materialise(contaminations(docs, benchmark).select(F.col("doc_id").alias("__gone")).distinct(), "contaminated")
+    discard(docs.sparkSession, WRITTEN[before:-1])
     return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__gone"]), "left_anti")

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, small_batches
+from .common import WRITTEN, discard, materialise, small_batches
 
 LENGTH = 2048
 END_ID = 1
@@ -301,11 +301,14 @@ def _pack(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordB
 
 
 def pack(docs: DataFrame, path: str, length: int = LENGTH) -> DataFrame:
-    """Pieces of the rows of docs: doc_id and the columns of PIECES."""
+    """Pieces of the rows of docs, written: doc_id and the columns of PIECES."""
+    before = len(WRITTEN)
     ids = materialise(tokenized(docs, path).withColumn("row", F.monotonically_increasing_id()), "ids")
     kind = docs.schema["doc_id"].dataType.simpleString()
     order = [F.col("curve"), F.col("doc_id").asc_nulls_first(), F.xxhash64("ids"), F.col("row")]
     total = ids.agg(F.sum(F.col("n_ids") * F.when(F.col("wide"), 4).otherwise(2))).first()[0] or 0
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // RANGE_BYTES))
     along = ids.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    return along.select("doc_id", "n_ids", "wide", "ids").mapInArrow(lambda batches: _pack(batches, length), f"doc_id {kind}, {PIECES}")
+    done = materialise(along.select("doc_id", "n_ids", "wide", "ids").mapInArrow(lambda batches: _pack(batches, length), f"doc_id {kind}, {PIECES}"), "pieces")
+    discard(docs.sparkSession, WRITTEN[before:-1])
+    return done

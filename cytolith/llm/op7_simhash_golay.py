@@ -62,6 +62,8 @@ SIMILAR = 0.8
 BANDS, BAND_ROWS = 25, 4
 DELTA_BITS = 1024
 CACHED_WORDS = 50_000
+#: Bits of the map of texts that are compared, at most (8 MB).
+MOST_BITS = 1 << 26
 #: Bytes of a text that are split into words at a time.
 BLOCK = 1 << 22
 
@@ -378,6 +380,21 @@ def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return met.select("a", "b", "a_set", "b_set").mapInArrow(run, COMPARED)
 
 
+def _likely(texts: DataFrame, asked: DataFrame) -> DataFrame:
+    """The rows of texts whose node may be asked for, so that a join with asked need not shuffle the others.
+
+    A bitmap of sixteen bits for each node asked for, MOST_BITS at most, is broadcast as one row; a node's bit is its hash.
+    """
+    size = min(1 << max(16 * asked.count(), 64).bit_length(), MOST_BITS)
+    spot = lambda node: F.col(node).bitwiseAND(F.lit(size - 1).cast("long"))
+    word = lambda node: F.shiftright(spot(node), 6).cast("int")
+    bit = lambda node: F.call_function("shiftleft", F.lit(1).cast("long"), spot(node).bitwiseAND(F.lit(63).cast("long")).cast("int"))
+    held = asked.groupBy(word("asked").alias("word")).agg(F.bit_or(bit("asked")).alias("bits"))
+    every = asked.sparkSession.range(size >> 6).select(F.col("id").cast("int").alias("word")).join(held, "word", "left")
+    bitmap = every.agg(F.transform(F.array_sort(F.collect_list(F.struct("word", F.coalesce("bits", F.lit(0).cast("long")).alias("bits")))), lambda x: x["bits"]).alias("bitmap"))
+    return texts.join(F.broadcast(bitmap), F.get(F.col("bitmap"), word("node")).bitwiseAND(bit("node")) != 0).drop("bitmap")
+
+
 def similar_groups(docs: DataFrame) -> DataFrame:
     """doc_id and component_id (the smallest doc_id reachable over similar texts) of each row of docs."""
     own = materialise(with_bands(docs), "bands")
@@ -392,7 +409,7 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     # the text of a node is that of its row with the least id: copies are not met again
     asked = mine.join(nodes.select("node", "least_id"), "node").select(F.col("node").alias("asked"), "least_id")
     asked = materialise(asked, "asked")
-    texts = docs.select("doc_id", _node().alias("node"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = _likely(docs.select("doc_id", _node().alias("node"), F.coalesce("text", F.lit("")).alias("text")), asked)
     texts = texts.join(asked, (texts["node"] == asked["asked"]) & texts["doc_id"].eqNullSafe(asked["least_id"]), "left_semi")
     sets = materialise(with_sets(texts).dropDuplicates(["node"]), "sets")
     met = materialise(compared(materialise(mine.select(F.col("node").alias("a"), F.col("hub").alias("b")), "pairs"), sets), "compared")
@@ -420,7 +437,9 @@ def representatives(docs: DataFrame) -> DataFrame:
     Rows without an id stay; of rows that repeat id and text one stays. What goes is written first: Spark then knows its
     size, and broadcasts it or shuffles accordingly, so texts are shuffled only where many of them go.
     """
+    before = len(WRITTEN)
     found = materialise(similar_groups(docs), "components")
+    discard(docs.sparkSession, WRITTEN[before:-1])
     gone = materialise(found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__gone")).distinct(), "gone")
     repeated = materialise(found.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("__repeated")), "repeated")
     left = docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
