@@ -40,6 +40,8 @@ LITERAL = 0.5
 #: Share of an item's tokens that matching windows cover, at least.
 COVERED = 0.4
 BROADCAST_WINDOWS = 1_000_000
+#: Items that a window may be in and still name them.
+SHARED = 8
 #: Units of measure and currency, as fixed words.
 UNITS = "mm|cm|m|km|in|ft|mi|g|kg|mg|lb|oz|t|s|min|h|hr|hrs|ms|l|ml|kb|mb|gb|w|kw|v|a|hz|khz|mhz|%|usd|eur|gbp|dollars?|cents?|euros?|pounds?|miles?|meters?|metres?|hours?|minutes?|seconds?|days?|weeks?|months?|years?"
 NUMBER = r"[0-9][0-9.,:/]*"
@@ -169,6 +171,20 @@ def _unions(units: Column, size: Column) -> Column:
     return _let(union(units[0]), lambda first: F.when(first["covered"] >= F.col("least"), first).otherwise(F.array_max(F.transform(units, union))))
 
 
+def _candidates(hit: DataFrame, of_items: DataFrame, covered: float) -> DataFrame:
+    """c_doc, item_id, n_tokens of documents and items that may have enough in common.
+
+    A window that more than SHARED items have names no item, unless such windows alone cover enough of it: every other
+    contaminated document has one of the item's own windows. So a common phrase isn't met with all items that hold it.
+    """
+    held = of_items.groupBy("hash", "size").agg(F.count_distinct(F.struct("item_id")).alias("n_items"))
+    marked = of_items.select("item_id", "n_tokens", "size", "hash", "i_pos").join(held, ["hash", "size"])
+    places = F.array_distinct(F.flatten(F.collect_set(F.when(F.col("n_items") > SHARED, F.sequence(F.col("i_pos"), F.col("i_pos") + F.col("size") - 1)))))
+    reach = marked.groupBy("item_id", "n_tokens").agg((F.size(places) >= F.ceil(F.lit(covered) * F.col("n_tokens"))).alias("by_shared")).withColumnsRenamed({"item_id": "r_item", "n_tokens": "r_tokens"})
+    seeds = marked.join(reach, F.col("item_id").eqNullSafe(F.col("r_item")) & (F.col("n_tokens") == F.col("r_tokens"))).filter((F.col("n_items") <= SHARED) | F.col("by_shared"))
+    return hit.select(F.col("doc_id").alias("c_doc"), "hash", "size").distinct().join(seeds.select("item_id", "n_tokens", "hash", "size").distinct(), ["hash", "size"]).select("c_doc", "item_id", "n_tokens").distinct()
+
+
 def contaminations(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, covered: float = COVERED, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
     """doc_id, item_id, n_windows, covered_tokens, item_tokens, n_slots of every contaminated document and its items."""
     of_items, sizes = benchmark_windows(benchmark, window)
@@ -179,7 +195,10 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     match = _matching if hashes.count() <= broadcast_windows else _matching_by_shuffle
     hit = materialise(match(docs.select("doc_id", "text"), hashes, sizes), "matches")
     alike = F.when(_is_verbatim(F.col("i_window"), F.col("i_size")), F.transform("d_words", _bare) == F.transform("i_words", _bare)).otherwise(F.lit(True))
-    both = hit.join(of_items.withColumnsRenamed({"size": "i_size", "hash": "i_hash"}), (F.col("hash") == F.col("i_hash")) & (F.col("d_window") == F.col("i_window")) & alike)
+    of_items = materialise(of_items, "windows")
+    asked = _candidates(hit, of_items, covered).withColumnsRenamed({"item_id": "c_item", "n_tokens": "c_tokens"})
+    of_pairs = asked.join(of_items.withColumnsRenamed({"size": "i_size", "hash": "i_hash"}), F.col("item_id").eqNullSafe(F.col("c_item")) & (F.col("n_tokens") == F.col("c_tokens")))
+    both = of_pairs.join(hit, F.col("doc_id").eqNullSafe(F.col("c_doc")) & (F.col("hash") == F.col("i_hash")) & (F.col("size") == F.col("i_size")) & (F.col("d_window") == F.col("i_window")) & alike)
     slots = F.filter(
         F.transform("i_window", lambda w, k: F.struct(F.regexp_like(w, F.lit(SLOT)).alias("slot"), _bare(F.col("i_words")[k]).alias("i"), _bare(F.col("d_words")[k]).alias("d"))),
         lambda s: s["slot"],

@@ -220,3 +220,15 @@ def test_very_long_texts(documents, items):
     filler = "plain words of no passage at all in many places " * 200_000
     docs = documents({1: filler + "plain words of a passage that has neither names nor numbers in it at all", 2: filler, 3: "x" * 5_000_000})
     assert found(docs, items) == {(1, 5)}
+
+
+def test_windows_of_many_items(documents, spark):
+    """A phrase that all items share names none of them, but where it is most of an item."""
+    phrase = "choose the best of the answers that are given below and explain your choice"
+    rng = random.Random(19)
+    own = [" ".join(rng.choice("abcdefghijklmnop") * 3 + rng.choice("xyz") for _ in range(rng.choice((3, 40)))) for _ in range(30)]
+    plain = {k: f"{phrase} {t}" for k, t in enumerate(own)}
+    texts = {k: f"so {phrase} then" for k in range(5)} | {10 + k: f"x {t} y" for k, t in plain.items()} | {100: own[0], 101: " ".join(own[:6])}
+    items = spark.createDataFrame([(k, t, "x") for k, t in plain.items()], ITEMS)
+    wanted = directly(texts, plain)
+    assert found(documents(texts), items) == wanted and {i for d, i in wanted if d == 0} == {k for k, t in enumerate(own) if len(t.split()) == 3}
