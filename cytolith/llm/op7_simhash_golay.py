@@ -383,7 +383,7 @@ def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def _likely(texts: DataFrame, asked: DataFrame) -> DataFrame:
     """The rows of texts whose node may be asked for, so that a join with asked need not shuffle the others.
 
-    A bitmap of sixteen bits for each node asked for, MOST_BITS at most, is broadcast as one row; a node's bit is its hash.
+    A bitmap of sixteen bits for each node asked for, MOST_BITS at most, goes to all tasks; a node's bit is its hash.
     """
     size = min(1 << max(16 * asked.count(), 64).bit_length(), MOST_BITS)
     spot = lambda node: F.col(node).bitwiseAND(F.lit(size - 1).cast("long"))
@@ -392,7 +392,8 @@ def _likely(texts: DataFrame, asked: DataFrame) -> DataFrame:
     held = asked.groupBy(word("asked").alias("word")).agg(F.bit_or(bit("asked")).alias("bits"))
     every = asked.sparkSession.range(size >> 6).select(F.col("id").cast("int").alias("word")).join(held, "word", "left")
     bitmap = every.agg(F.transform(F.array_sort(F.collect_list(F.struct("word", F.coalesce("bits", F.lit(0).cast("long")).alias("bits")))), lambda x: x["bits"]).alias("bitmap"))
-    return texts.join(F.broadcast(bitmap), F.get(F.col("bitmap"), word("node")).bitwiseAND(bit("node")) != 0).drop("bitmap")
+    # a filter, not a join: the optimizer would put the exact join before it
+    return texts.filter(F.get(bitmap.scalar(), word("node")).bitwiseAND(bit("node")) != 0)
 
 
 def similar_groups(docs: DataFrame) -> DataFrame:
