@@ -9,6 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 PACKAGE = Path(__file__).resolve().parent
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def build_session(app: str = "cytolith", shuffle_partitions: int | None = None, **conf: str) -> SparkSession:
@@ -24,6 +25,9 @@ def ship_package(spark: SparkSession) -> None:
 
     Spark's file server sends the archive; the executors don't need the driver's folder.
     """
+    # rows are texts, pages or sets: where the session leaves it open, fewer of them go to Python at a time
+    if spark.conf.get(ARROW_ROWS) == "10000":
+        spark.conf.set(ARROW_ROWS, "2000")
     context = spark.sparkContext
     if getattr(context, "_cytolith_shipped", False):
         return
