@@ -41,6 +41,8 @@ BITS = 10
 SPREAD = 0.6
 CACHED_WORDS = 300_000
 ENCODED_AT_ONCE = 4000
+#: The distinct chunks of so many bytes of text are looked up together.
+BATCH_CHARS = 4_000_000
 MARKS = (".", ",")
 #: Bytes of ids that a range of the curve holds on average, at most.
 RANGE_BYTES = 128 << 20
@@ -238,7 +240,7 @@ def tokenized(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        for batch in small_batches(batches, 1):
+        for batch in small_batches(batches, 1, BATCH_CHARS):
             ids, sizes = enc.encode(batch.column(1).to_pylist())
             keys = enc.keys(ids, sizes)
             raw = ids.astype("<u4" if enc.wide else "<u2").tobytes()
