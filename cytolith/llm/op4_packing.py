@@ -42,7 +42,7 @@ SPREAD = 0.6
 CACHED_WORDS = 300_000
 ENCODED_AT_ONCE = 4000
 #: The distinct chunks of so many bytes of text are looked up together.
-BATCH_CHARS = 4_000_000
+BATCH_CHARS = 2_500_000
 MARKS = (".", ",")
 #: Bytes of ids that a range of the curve holds on average, at most.
 RANGE_BYTES = 128 << 20
@@ -197,7 +197,7 @@ class Encoder:
     def keys(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Hilbert keys of the texts' mean projected vectors."""
         starts = np.cumsum(sizes) - sizes
-        mean = np.add.reduceat(self.vectors[ids].astype(np.float64), starts) / sizes[:, None]
+        mean = np.add.reduceat(self.vectors[ids], starts, dtype=np.float64) / sizes[:, None]
         side = 1 << BITS
         return hilbert(np.clip(((mean / SPREAD + 1) / 2 * side), 0, side - 1).astype(np.int64))
 
