@@ -17,13 +17,22 @@ components every pair is compared; so a dense ball of fingerprints gives as many
 pairs, no bucket is cut and no link between components is lost.
 
 The pipeline's stage (representatives) has a link of its own: a Jaccard similarity of SIMILAR (0.8) or more of the sets
-of 5-word shingles. At that similarity fingerprints differ in some ten bits, which no few Golay keys cover (of 48 such
-pairs 5 are within 3 bits), so its candidates share one of BANDS keys, each of BAND_ROWS min-hashes: a pair of similarity
-0.8 shares none with a chance of 2 in a million, a closer pair with less. Each text is first compared with its hub, the
-text that most others share buckets with, exactly and on whole texts. Two texts of one hub that are not yet in one
-component differ by what their differences from the hub don't share: they link only if these differences share so many
-shingles, and a bitmap of DELTA_BITS bits of each difference bounds that from above. Pairs beyond the bound, or of too
-unlike sizes, are none; the few others of different components are compared exactly.
+of 5-word shingles. It is found by the same method with a longer fingerprint, as at that similarity 64 bits differ in ten:
+a SimHash of those sets with PLANES * WORDS (1472) bits is read as 64 words of the Golay code, 23 bits each, one from every
+plane; a turn reads it anew with the planes turned against each other, so no two words share more than one bit. A text's
+keys are the codewords nearest to its words. At a similarity of 0.8 some 0.15 of the bits differ and two words have one
+nearest codeword with a chance of 0.12, so of the 128 words of two turns pairs share 15.5 on average (measured variance
+15.5), none with a chance of 2 in ten million, closer pairs with less. Texts of few shingles, whose bits are often ties,
+have four turns. From 2^24 texts on keys get raw bits as well, and turns for the chance these take, so buckets grow slowly.
+In a bucket the first CHECK_PLANES * WORDS (192) bits of the fingerprints are compared: at CHECK_DISTANCE or fewer differing
+bits (6 standard deviations above those of a similarity of 0.8) two texts are near, and what a chain of near texts joins goes
+on together; a text near no other is done.
+
+An exact check follows. Each text is first compared with its hub, the text that most others are near to, exactly and on
+whole texts. Two texts of one hub that are not yet in one component differ by what their differences from the hub don't
+share: they link only if these differences share so many shingles, and a bitmap of DELTA_BITS bits of each difference bounds
+that from above. So does such a bitmap of the sets for two texts of any hubs. Pairs beyond a bound, or of too unlike sizes,
+are none; the few others of different components are compared exactly.
 
 Components: alternating large-star and small-star rounds on the links, each written to the shared folder, the last one
 deleted. Only what has a link takes part; the rest are their own component.
@@ -37,7 +46,7 @@ held at once. Texts are told apart by a 64-bit hash.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import cache
+from functools import cache, reduce
 from itertools import combinations
 
 import numpy as np
@@ -59,7 +68,16 @@ GENERATOR = 0b110001110101
 #: The stage's shingles, and the Jaccard similarity of their sets that links.
 STAGE_SHINGLE = 5
 SIMILAR = 0.8
-BANDS, BAND_ROWS = 25, 4
+#: The stage's fingerprint: a Golay word has a bit from each plane, a plane a bit for each word.
+PLANES, WORDS = 23, 64
+#: How often it is read as words, and how often for sets of FEW shingles at most.
+TURNS, FEW_TURNS, FEW = 2, 4, 40
+#: Texts from which keys have a raw bit besides, one more for twice as many, and the chance that a similar pair agrees in one.
+MANY, AGREE = 1 << 24, 0.8485
+#: Planes of the bits that are compared in a bucket, and how many of them differ at most.
+CHECK_PLANES, CHECK_DISTANCE = 3, 60
+#: Rows of a task that compares buckets, and the texts of one that are compared all at once.
+BUCKET_ROWS, AT_ONCE = 250_000, 512
 DELTA_BITS = 1024
 CACHED_WORDS = 50_000
 #: Bits of the map of texts that are compared, at most (8 MB).
@@ -288,15 +306,15 @@ def _words() -> Hashed:
 
 
 @cache
-def _multipliers() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Odd factors of the min-hashes, of the rows within a band's key, and of the words within a shingle."""
-    odd = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * BAND_ROWS + BAND_ROWS + STAGE_SHINGLE, np.uint64) * np.uint64(2) + np.uint64(1)
-    return odd[: BANDS * BAND_ROWS], odd[BANDS * BAND_ROWS :][:BAND_ROWS], odd[-STAGE_SHINGLE:]
+def _multipliers() -> tuple[np.ndarray, np.ndarray]:
+    """Odd numbers for the planes, and for the words within a shingle."""
+    odd = np.random.default_rng(SEED).integers(0, 1 << 63, PLANES + STAGE_SHINGLE, np.uint64) * np.uint64(2) + np.uint64(1)
+    return odd[:PLANES], odd[PLANES:]
 
 
 def shingle_set(text: str | None) -> np.ndarray:
     """Distinct 64-bit hashes of a text's 5-word shingles, sorted; of a shorter text, that of all its words."""
-    known, factors, parts = _words(), _multipliers()[2], []
+    known, factors, parts = _words(), _multipliers()[1], []
     for words in _runs(text, STAGE_SHINGLE):
         h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
         n = max(h.size - STAGE_SHINGLE + 1, 1)
@@ -308,14 +326,50 @@ def shingle_set(text: str | None) -> np.ndarray:
     return parts[0] if len(parts) == 1 else np.unique(np.concatenate([np.zeros(1, np.uint64)] if not parts else parts))
 
 
-def band_keys(shingles: np.ndarray) -> np.ndarray:
-    """BANDS keys (signed) of a set of shingles."""
-    factors, mixers, _ = _multipliers()
-    least = np.full(factors.size, np.iinfo(np.uint64).max, np.uint64)
-    for start in range(0, shingles.size, 10_000):
-        np.minimum(least, (factors[:, None] * shingles[None, start : start + 10_000]).min(1), out=least)
-    keys = (least.reshape(BANDS, BAND_ROWS) * mixers).sum(1, dtype=np.uint64)
-    return ((keys ^ (keys >> np.uint64(29))) * mixers[0] + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """Numbers whose every bit depends on every bit of x."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def wide_fingerprint(shingles: np.ndarray) -> np.ndarray:
+    """SimHash of a set of shingles, a number for each plane: a bit is 1 if it is set in over half the shingles' hashes."""
+    total = np.zeros(PLANES * WORDS, np.int64)
+    for start in range(0, shingles.size, 255):
+        hashes = _mixed(shingles[start : start + 255, None] + _multipliers()[0])
+        total += np.unpackbits(hashes.view(np.uint8), axis=1).sum(0, dtype=np.uint8)
+    return np.packbits(2 * total > shingles.size).view(np.uint64)
+
+
+def wide_keys(wide: np.ndarray, turn: int, raw: int = 0) -> np.ndarray:
+    """Keys of fingerprints (a row each) in one turn, a column for each word: the word's number, its nearest codeword's, raw bits of another word."""
+    bits = np.unpackbits(np.ascontiguousarray(wide).view(np.uint8).reshape(len(wide), -1), axis=1).reshape(len(wide), PLANES, WORDS)
+    words = np.zeros((len(wide), WORDS), np.int64)
+    for plane in range(PLANES):
+        words |= np.roll(bits[:, plane], -turn * plane, axis=1).astype(np.int64) << plane
+    nearest = (words ^ error_patterns()[syndrome(words.ravel()), 0].reshape(words.shape)) >> 11
+    return ((turn * WORDS + np.arange(WORDS)) << 12 | nearest) << raw | np.roll(words, WORDS // 2, axis=1) & ((1 << raw) - 1)
+
+
+def near_groups(checks: np.ndarray) -> np.ndarray:
+    """For the fingerprints (a row each) of a bucket: the first of those that a chain of near ones joins it with, itself if there is none."""
+    first, rest = np.arange(len(checks)), np.arange(len(checks))
+
+    def near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return sum(np.bitwise_count(x[:, None, k] ^ y[None, :, k]).astype(np.uint8) for k in range(CHECK_PLANES)) <= CHECK_DISTANCE
+
+    if len(checks) <= AT_ONCE:
+        rest = np.flatnonzero(near(checks, checks).sum(1) > 1)
+    while rest.size > 1:
+        start, front, rest = rest[0], rest[:1], rest[1:]
+        while front.size and rest.size:
+            met, step = np.zeros(rest.size, bool), max(1_000_000 // rest.size, 1)
+            for low in range(0, front.size, step):
+                met |= near(checks[front[low : low + step]], checks[rest]).any(0)
+            front, rest = rest[met], rest[~met]
+            first[front] = start
+    return first
 
 
 def _node() -> Column:
@@ -323,17 +377,68 @@ def _node() -> Column:
     return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
-def with_bands(docs: DataFrame) -> DataFrame:
-    """doc_id, node and keys (of its bands) of each row of docs."""
+def with_wide(docs: DataFrame) -> DataFrame:
+    """doc_id, node, wide (the stage's fingerprint, 8 bytes a plane) and few (of FEW shingles at most) of each row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, 2):
-            keys = [band_keys(shingle_set(t)) for t in batch.column(2).to_pylist()]
-            flat = pa.array(np.concatenate(keys))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(np.arange(0, len(keys) * BANDS + 1, BANDS, dtype=np.int32), flat)], ["doc_id", "node", "keys"])
+            sets = [shingle_set(t) for t in batch.column(2).to_pylist()]
+            wide = pa.array([wide_fingerprint(x).tobytes() for x in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), wide, pa.array([x.size <= FEW for x in sets])], ["doc_id", "node", "wide", "few"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", _node().alias("node"), "text").mapInArrow(run, f"doc_id {kind}, node long, keys array<long>")
+    return docs.select("doc_id", _node().alias("node"), "text").mapInArrow(run, f"doc_id {kind}, node long, wide binary, few boolean")
+
+
+def together(nodes: DataFrame, turn: int, rows: int, raw: int = 0) -> DataFrame:
+    """key, node, n of nodes (node, wide) that are near others of a bucket of one turn: key is that of the group (of what nodes it has), n its size. rows is how many nodes there are."""
+    checks = [f"check{k}" for k in range(CHECK_PLANES)]
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            wide = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint64).reshape(-1, PLANES)
+            keys = wide_keys(wide, turn, raw)
+            node = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), WORDS)
+            own = [np.repeat(wide[:, k].view(np.int64), WORDS) for k in range(CHECK_PLANES)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys.ravel(), node, *own)], ["key", "node", *checks])
+        tidy()
+
+    def compared_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, node, *own = (c.to_numpy() for c in pa.Table.from_batches(batches, schema).columns)
+        order = np.argsort(key, kind="stable")
+        key, node, check = key[order], node[order], np.stack([c[order].view(np.uint64) for c in own], 1)
+        edges = np.flatnonzero(np.diff(key, prepend=key[:1] - 1, append=key[-1:] + 1)) if key.size else key
+        found: list[tuple[np.ndarray, ...]] = []
+        for low, high in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            if high - low > 1:
+                first = near_groups(check[low:high])
+                size = np.bincount(first, minlength=high - low)
+                for of in np.flatnonzero(size > 1).tolist():
+                    members = node[low:high][first == of]
+                    name = _mixed(_mixed(members.view(np.uint64)).sum(keepdims=True))
+                    found.append((np.full(members.size, name.view(np.int64)[0]), members, np.full(members.size, members.size)))
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], ["key", "node", "n"])
+        tidy()
+
+    names = ["key", "node", *checks]
+    schema, ddl = pa.schema([(n, pa.int64()) for n in names]), ", ".join(f"{n} long" for n in names)
+    tasks = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows * WORDS // BUCKET_ROWS + 1)
+    return nodes.select("node", "wide").mapInArrow(keyed, ddl).repartition(tasks, "key").mapInArrow(compared_buckets, "key long, node long, n long")
+
+
+def candidates(nodes: DataFrame) -> DataFrame:
+    """key, node, n: groups of nodes (node, wide, few) that share a key and are near each other, and their sizes; a group that several keys have once. nodes is a written table."""
+    total, few = nodes.agg(F.count("*"), F.count(F.when(F.col("few"), 1))).first()
+    raw = max((total // MANY).bit_length(), 0)
+    turns = int(np.ceil(TURNS / AGREE**raw))
+    found = [materialise(together(nodes, turn, total, raw), "together") for turn in range(turns)]
+    if few:
+        short = nodes.filter("few")
+        found += [materialise(together(short, turn, few, raw), "together") for turn in range(turns, turns * FEW_TURNS // TURNS)]
+    return materialise(reduce(DataFrame.union, found).distinct(), "shared")
 
 
 def with_sets(texts: DataFrame) -> DataFrame:
@@ -353,11 +458,11 @@ def delta_bitmap(delta: np.ndarray) -> tuple[np.ndarray, int]:
     return np.packbits(bits).view(np.int64), delta.size - int(bits.sum())
 
 
-COMPARED = "a long, b long, size long, delta long, excess long, bits array<long>, similar boolean"
+COMPARED = "a long, b long, size long, delta long, excess long, own_excess long, bits array<long>, own_bits array<long>, similar boolean"
 
 
 def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Of pairs (a, b) of nodes: a's size, the size of the two sets' difference, its bitmap, and whether they are similar. pairs is a written table."""
+    """Of pairs (a, b) of nodes: a's size, the size of the two sets' difference, bitmaps of that and of a's set, and whether they are similar. pairs is a written table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -366,12 +471,12 @@ def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 mine, other = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
                 delta = np.setxor1d(mine, other, assume_unique=True)
                 both = mine.size + other.size
-                bitmap, excess = delta_bitmap(delta)
+                (bitmap, excess), (own, own_excess) = delta_bitmap(delta), delta_bitmap(mine)
                 # similarity (both - delta) / (both + delta), in whole numbers
-                rows.append((a, b, mine.size, delta.size, excess, bitmap, 10 * (both - delta.size) >= 8 * (both + delta.size)))
+                rows.append((a, b, mine.size, delta.size, excess, own_excess, bitmap, own, 10 * (both - delta.size) >= 8 * (both + delta.size)))
             if rows:
                 columns = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:5]), pa.array(columns[5], pa.list_(pa.int64())), pa.array(columns[6], pa.bool_())], [x.split()[0] for x in COMPARED.split(", ")])
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:6]), *(pa.array(c, pa.list_(pa.int64())) for c in columns[6:8]), pa.array(columns[8], pa.bool_())], [x.split()[0] for x in COMPARED.split(", ")])
         tidy()
 
     x, y = (sets.select(F.col("node").alias(n), F.col("shingles").alias(f"{n}_set")) for n in "ab")
@@ -398,10 +503,9 @@ def _likely(texts: DataFrame, asked: DataFrame) -> DataFrame:
 
 def similar_groups(docs: DataFrame) -> DataFrame:
     """doc_id and component_id (the smallest doc_id reachable over similar texts) of each row of docs."""
-    own = materialise(with_bands(docs), "bands")
-    nodes = materialise(own.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.first("keys").alias("keys")), "nodes")
-    keyed = nodes.select("node", F.explode("keys").alias("key"))
-    shared = materialise(keyed.join(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "key"), "buckets")
+    own = materialise(with_wide(docs), "wide")
+    nodes = materialise(own.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.first("wide").alias("wide"), F.first("few").alias("few")), "nodes")
+    shared = candidates(nodes)
     central = shared.groupBy("node").agg(F.sum("n").alias("n"))
     ranked = materialise(shared.select("key", "node").join(central, "node"), "ranked")
     hubs = ranked.groupBy("key").agg(F.max(F.struct("n", "node")).alias("hub"))
@@ -415,17 +519,21 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     sets = materialise(with_sets(texts).dropDuplicates(["node"]), "sets")
     met = materialise(compared(materialise(mine.select(F.col("node").alias("a"), F.col("hub").alias("b")), "pairs"), sets), "compared")
     found = materialise(_pairs(met.filter("similar"), "a", "b"), "similar")
-    known = met.select(F.col("a").alias("node"), F.col("b").alias("hub"), "size", "delta", "excess", *(F.col("bits")[k].alias(f"bits{k}") for k in range(DELTA_BITS // 64)))
+    parts = range(DELTA_BITS // 64)
+    bits = [F.col(name)[k].alias(f"{name}{k}") for name in ("bits", "own_bits") for k in parts]
+    known = met.select(F.col("a").alias("node"), F.col("b").alias("hub"), "size", "delta", "excess", "own_excess", *bits)
     left = _open(ranked.select("key", "node"), components(found)).join(known, "node")
 
     def may_link(x: str, y: str) -> Column:
         c = lambda side, name: F.col(f"{side}.{name}")
-        common = sum((F.bit_count(c(x, f"bits{k}").bitwiseAND(c(y, f"bits{k}"))) for k in range(1, DELTA_BITS // 64)), F.bit_count(c(x, "bits0").bitwiseAND(c(y, "bits0"))))
-        most = F.least(common + c(x, "excess"), common + c(y, "excess"), c(x, "delta"), c(y, "delta"))
-        # sets of sizes p and q are similar if their difference is at most (p + q) / 9; it is delta + delta - 2 common
-        enough = 9 * (c(x, "delta") + c(y, "delta") - 2 * most) <= c(x, "size") + c(y, "size")
+        shared_bits = lambda name: reduce(Column.__add__, (F.bit_count(c(x, f"{name}{k}").bitwiseAND(c(y, f"{name}{k}"))) for k in parts))
+        most = lambda name, excess, size: F.least(shared_bits(name) + c(x, excess), shared_bits(name) + c(y, excess), c(x, size), c(y, size))
+        # sets of sizes p and q are similar if their difference is at most (p + q) / 9: it is delta + delta - 2 common for
+        # the differences from one hub, p + q - 2 common for the sets
+        by_hub = 9 * (c(x, "delta") + c(y, "delta") - 2 * most("bits", "excess", "delta")) <= c(x, "size") + c(y, "size")
+        by_sets = 9 * most("own_bits", "own_excess", "size") >= 4 * (c(x, "size") + c(y, "size"))
         sized = (10 * c(x, "size") >= 8 * c(y, "size")) & (10 * c(y, "size") >= 8 * c(x, "size"))
-        return sized & ((c(x, "hub") != c(y, "hub")) | enough)
+        return sized & ((c(x, "hub") != c(y, "hub")) | by_hub) & by_sets
 
     more = materialise(_pairs(compared(materialise(_across(left, may_link), "across"), sets).filter("similar"), "a", "b"), "more")
     labels = _labels(nodes.select("node", "least_id"), components(found.union(more).distinct()), "node")

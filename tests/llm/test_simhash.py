@@ -5,7 +5,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from cytolith.llm import op7_simhash_golay as op
-from cytolith.llm.common import spread_join
+from cytolith.llm.common import materialise, spread_join
 
 
 def fingerprint(text):
@@ -176,3 +176,105 @@ def test_very_long_text(documents):
     got = {r["doc_id"]: r["component_id"] for r in op.near_duplicates(docs).collect()}
     assert got == {1: 1, 2: 2, 3: 1}
     assert {r["doc_id"] for r in op.representatives(docs).collect()} == {1, 2}
+
+
+def codewords():
+    """All words of the Golay code, by multiplying with its generator."""
+    words = []
+    for message in range(1 << 12):
+        word = 0
+        for k in range(12):
+            if message >> k & 1:
+                word ^= op.GENERATOR << k
+        words.append(word)
+    return np.array(words)
+
+
+def near_copies(rng, count):
+    """Sets of hashes in pairs of a similarity of 0.8: 8 of 10, 9 of them in each."""
+    for _ in range(count):
+        size = rng.randrange(1, 40)
+        drawn = np.array([rng.getrandbits(64) for _ in range(10 * size)], np.uint64)
+        yield drawn[: 9 * size], np.concatenate([drawn[: 8 * size], drawn[9 * size :]])
+
+
+def test_stage_fingerprints_bit_by_bit():
+    rng = random.Random(14)
+    for size in (1, 2, 5, 254, 255, 256, 700):
+        shingles = np.array([rng.getrandbits(64) for _ in range(size)], np.uint64)
+        hashes = np.array([op._mixed(h + op._multipliers()[0]) for h in shingles])
+        wanted = [sum(1 << b for b in range(64) if 2 * int((hashes[:, k] >> np.uint64(b) & np.uint64(1)).sum()) > size) for k in range(op.PLANES)]
+        assert op.wide_fingerprint(shingles).tolist() == wanted
+
+
+def test_stage_keys_are_nearest_codewords():
+    rng = np.random.default_rng(15)
+    code = codewords()
+    wide = rng.integers(0, 1 << 63, (3, op.PLANES), np.uint64)
+    bits = np.unpackbits(wide.view(np.uint8), axis=1).reshape(3, op.PLANES, 64)
+    for turn in (0, 1, 3):
+        keys = op.wide_keys(wide, turn)
+        for row in range(3):
+            for w in range(64):
+                word = sum(int(bits[row, k, (w + turn * k) % 64]) << k for k in range(op.PLANES))
+                nearest = code[np.bitwise_count(code ^ word).argmin()]
+                assert keys[row, w] == (turn * 64 + w) << 12 | nearest >> 11
+
+
+def test_stage_similar_sets_share_keys_and_are_near():
+    shared = []
+    for a, b in near_copies(random.Random(16), 1000):
+        x, y = op.wide_fingerprint(a), op.wide_fingerprint(b)
+        assert np.bitwise_count(x[: op.CHECK_PLANES] ^ y[: op.CHECK_PLANES]).sum() <= op.CHECK_DISTANCE
+        shared.append(sum(int((op.wide_keys(x[None], t) == op.wide_keys(y[None], t)).sum()) for t in range(op.TURNS)))
+    assert min(shared) >= 1 and np.mean(shared) > 14
+
+
+def test_stage_groups_of_a_bucket(monkeypatch):
+    """Chains and dense groups, all at once and from their ends."""
+    rng = np.random.default_rng(17)
+    checks = [rng.integers(0, 1 << 63, op.CHECK_PLANES, np.uint64)]
+    for k in range(80):  # chains that start anew, and their like
+        step = np.zeros(op.CHECK_PLANES * 64, np.uint8)
+        step[rng.choice(step.size, 50, replace=False)] = 1
+        checks.append(rng.integers(0, 1 << 63, op.CHECK_PLANES, np.uint64) if k % 9 == 0 else checks[-1] ^ np.packbits(step).view(np.uint64))
+    checks = np.array(checks)[rng.permutation(len(checks))]
+    near = np.bitwise_count(checks[:, None] ^ checks[None]).sum(2) <= op.CHECK_DISTANCE
+    root = list(range(len(checks)))
+    for a, b in zip(*np.nonzero(near), strict=True):
+        low, high = sorted((root[a], root[b]))
+        root = [low if r == high else r for r in root]
+    for at_once in (512, 3):
+        monkeypatch.setattr(op, "AT_ONCE", at_once)
+        assert op.near_groups(checks).tolist() == root
+    assert op.near_groups(checks[:1]).tolist() == [0] and op.near_groups(checks[:0]).tolist() == []
+
+
+def test_stage_candidates_come_from_golay_keys(documents):
+    """Groups of texts that share a nearest codeword and are near each other, over all turns; texts near no other have none."""
+    rng = random.Random(18)
+    texts = ["", "one two"]
+    for k in range(60):
+        words = [f"w{rng.randrange(400)}" for _ in range(rng.choice([12, 30, 150]))]
+        texts.append(" ".join(words))
+        if k % 2:
+            words[rng.randrange(len(words))] = "changed"
+            texts.append(" ".join(words))
+    nodes = materialise(op.with_wide(documents(texts)), "nodes")
+    rows = nodes.collect()
+    wide = {r["node"]: np.frombuffer(r["wide"], np.uint64) for r in rows}
+    few = {r["node"] for r in rows if r["few"]}
+    assert len(few) > 20
+    wanted = set()
+    for a in wide:
+        for b in wide:
+            if a < b and np.bitwise_count(wide[a][: op.CHECK_PLANES] ^ wide[b][: op.CHECK_PLANES]).sum() <= op.CHECK_DISTANCE:
+                turns = op.FEW_TURNS if {a, b} <= few else op.TURNS
+                if any((op.wide_keys(wide[a][None], t) == op.wide_keys(wide[b][None], t)).any() for t in range(turns)):
+                    wanted.add((a, b))
+    groups, sizes = {}, set()
+    for r in op.candidates(nodes).collect():
+        groups.setdefault(r["key"], set()).add(r["node"])
+        sizes.add((r["key"], r["n"]))
+    assert sizes == {(k, len(g)) for k, g in groups.items()}
+    assert sorted(tuple(sorted(g)) for g in groups.values()) == sorted(wanted) and len(wanted) >= 20
