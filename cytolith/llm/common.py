@@ -51,16 +51,20 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     # rows are texts or sets of shingles: fewer go to Python at a time
-    rows = spark.conf.get(ARROW_ROWS)
+    rows, cleanup = spark.conf.get(ARROW_ROWS), spark.conf.get(CLEANUP, "false")
     spark.conf.set(ARROW_ROWS, str(min(int(rows), 1000) if int(rows) > 0 else 1000))
+    # the shuffles of a written table aren't read again: their files go with the query, not when the driver next frees memory
+    spark.conf.set(CLEANUP, "true")
     try:
         df.write.parquet(path)
     finally:
         spark.conf.set(ARROW_ROWS, rows)
+        spark.conf.set(CLEANUP, cleanup)
     WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Tables that materialise has written and that are still there.
 WRITTEN: list[str] = []

@@ -32,7 +32,8 @@ An exact check follows. Each text is first compared with its hub, the text that
 whole texts. Two texts of one hub that are not yet in one component differ by what their differences from the hub don't
 share: they link only if these differences share so many shingles, and a bitmap of DELTA_BITS bits of each difference bounds
 that from above. So does such a bitmap of the sets for two texts of any hubs. Pairs beyond a bound, or of too unlike sizes,
-are none; the few others of different components are compared exactly.
+are none; the few others of different components are compared exactly. Buckets are met anew for the hubs and for these bounds,
+which are applied within a bucket: a text has a row for each key in a shuffle, and in no join.
 
 Components: alternating large-star and small-star rounds on the links, each written to the shared folder, the last one
 deleted. Only what has a link takes part; the rest are their own component.
@@ -45,7 +46,7 @@ held at once. Texts are told apart by a 64-bit hash.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import cache, reduce
 from itertools import combinations
 
@@ -79,6 +80,9 @@ CHECK_PLANES, CHECK_DISTANCE = 3, 60
 #: Rows of a task that compares buckets, and the texts of one that are compared all at once.
 BUCKET_ROWS, AT_ONCE = 250_000, 512
 DELTA_BITS = 1024
+#: What is known of a text once it is compared with its hub.
+KNOWN = ("root", "hub", "size", "delta", "excess", "own_excess", *(f"{name}{k}" for name in ("bits", "own_bits") for k in range(DELTA_BITS // 64)))
+Found = Callable[..., Iterable[tuple[np.ndarray, ...]]]
 CACHED_WORDS = 50_000
 #: Bits of the map of texts that are compared, at most (8 MB).
 MOST_BITS = 1 << 26
@@ -241,24 +245,6 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     return now.select(F.col("b").alias("node"), F.col("a").alias("root")).union(now.select(F.col("a").alias("node"), F.col("a").alias("root"))).distinct()
 
 
-def _open(shared: DataFrame, roots: DataFrame) -> DataFrame:
-    """shared (key, node, ..) with root, and main (the bucket's largest component), of the buckets with several components."""
-    rooted = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("key")
-    left = materialise(rooted.join(mixed, "key", "left_semi"), "open")
-    main = left.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
-    return left.join(main, "key")
-
-
-def _across(left: DataFrame, condition: Callable[[str, str], Column]) -> DataFrame:
-    """Pairs (a, b) of nodes that share a bucket, are of different components and meet the condition on columns of x and y."""
-    x, y = left.filter("root <> main").withColumnRenamed("main", "main_").alias("x"), left.drop("main").alias("y")
-    # a pair of which neither is in the largest component would come twice
-    once = (F.col("y.root") == F.col("x.main_")) | (F.col("x.node") < F.col("y.node"))
-    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & once & condition("x", "y"))
-    return _pairs(met.select(F.col("x.node").alias("m"), F.col("y.node").alias("n")), "m", "n")
-
-
 def links(fps: DataFrame) -> DataFrame:
     """Pairs a < b of the distinct fingerprints in column fp that differ in MAX_DISTANCE bits at most and join all that such pairs join.
 
@@ -390,55 +376,139 @@ def with_wide(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", _node().alias("node"), "text").mapInArrow(run, f"doc_id {kind}, node long, wide binary, few boolean")
 
 
-def together(nodes: DataFrame, turn: int, rows: int, raw: int = 0) -> DataFrame:
-    """key, node, n of nodes (node, wide) that are near others of a bucket of one turn: key is that of the group (of what nodes it has), n its size. rows is how many nodes there are."""
-    checks = [f"check{k}" for k in range(CHECK_PLANES)]
+def _members(first: np.ndarray) -> Iterator[np.ndarray]:
+    """The places of each of near_groups' groups of several."""
+    size, order = np.bincount(first), np.argsort(first, kind="stable")
+    for n, end in zip(size[size > 1].tolist(), np.cumsum(size)[size > 1].tolist(), strict=True):
+        yield order[end - n : end]
+
+
+def in_buckets(nodes: DataFrame, turn: int, words: range, rows: int, raw: int, found: Found, result: tuple[str, ...], also: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (longs, named by result) that found makes of the buckets of some words of one turn; rows is how many nodes there are.
+
+    found gets a bucket's nodes, the fingerprints' bits that are compared (a row each) and the columns also (longs, a row each).
+    """
+    names = ["key", "node", *(f"check{k}" for k in range(CHECK_PLANES)), *also]
+    schema, ddl = pa.schema([(n, pa.int64()) for n in names]), ", ".join(f"{n} long" for n in names)
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            wide = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint64).reshape(-1, PLANES)
-            keys = wide_keys(wide, turn, raw)
-            node = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), WORDS)
-            own = [np.repeat(wide[:, k].view(np.int64), WORDS) for k in range(CHECK_PLANES)]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys.ravel(), node, *own)], ["key", "node", *checks])
+            node, binary, *more = batch.columns
+            wide = np.frombuffer(b"".join(binary.to_pylist()), np.uint64).reshape(-1, PLANES)
+            keys = wide_keys(wide, turn, raw)[:, words]
+            own = [node.to_numpy(zero_copy_only=False), *(wide[:, k].view(np.int64) for k in range(CHECK_PLANES)), *(c.to_numpy(zero_copy_only=False) for c in more)]
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *(pa.array(np.repeat(x, len(words))) for x in own)], names)
         tidy()
 
-    def compared_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, node, *own = (c.to_numpy() for c in pa.Table.from_batches(batches, schema).columns)
         order = np.argsort(key, kind="stable")
-        key, node, check = key[order], node[order], np.stack([c[order].view(np.uint64) for c in own], 1)
+        key, node, check = key[order], node[order], np.stack([c[order].view(np.uint64) for c in own[:CHECK_PLANES]], 1)
+        more = np.stack([c[order] for c in own[CHECK_PLANES:]], 1) if also else None
         edges = np.flatnonzero(np.diff(key, prepend=key[:1] - 1, append=key[-1:] + 1)) if key.size else key
-        found: list[tuple[np.ndarray, ...]] = []
+        parts: list[tuple[np.ndarray, ...]] = []
         for low, high in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
             if high - low > 1:
-                first = near_groups(check[low:high])
-                size = np.bincount(first, minlength=high - low)
-                for of in np.flatnonzero(size > 1).tolist():
-                    members = node[low:high][first == of]
-                    name = _mixed(_mixed(members.view(np.uint64)).sum(keepdims=True))
-                    found.append((np.full(members.size, name.view(np.int64)[0]), members, np.full(members.size, members.size)))
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], ["key", "node", "n"])
+                parts += found(node[low:high], check[low:high], *([more[low:high]] if also else []))
+        if parts:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], list(result))
         tidy()
 
-    names = ["key", "node", *checks]
-    schema, ddl = pa.schema([(n, pa.int64()) for n in names]), ", ".join(f"{n} long" for n in names)
-    tasks = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows * WORDS // BUCKET_ROWS + 1)
-    return nodes.select("node", "wide").mapInArrow(keyed, ddl).repartition(tasks, "key").mapInArrow(compared_buckets, "key long, node long, n long")
+    # a task gets so many bytes, and fewer of wider rows
+    tasks = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows * len(words) * len(names) // (BUCKET_ROWS * (2 + CHECK_PLANES)) + 1)
+    return nodes.select("node", "wide", *also).mapInArrow(keyed, ddl).repartition(tasks, "key").mapInArrow(met, ", ".join(f"{n} long" for n in result))
 
 
-def candidates(nodes: DataFrame) -> DataFrame:
-    """key, node, n: groups of nodes (node, wide, few) that share a key and are near each other, and their sizes; a group that several keys have once. nodes is a written table."""
+def over_turns(nodes: DataFrame, found: Found, result: tuple[str, ...], also: tuple[str, ...] = ()) -> DataFrame:
+    """The rows of in_buckets over all turns; texts of few shingles have more of them. nodes (node, wide, few, also) is a written table.
+
+    Wide rows go a part of the words at a time, so that no shuffle holds much.
+    """
     total, few = nodes.agg(F.count("*"), F.count(F.when(F.col("few"), 1))).first()
     raw = max((total // MANY).bit_length(), 0)
     turns = int(np.ceil(TURNS / AGREE**raw))
-    found = [materialise(together(nodes, turn, total, raw), "together") for turn in range(turns)]
+    step = WORDS // (1 if len(also) < 10 else 4)
+    parts = [range(low, low + step) for low in range(0, WORDS, step)]
+    rows = [materialise(in_buckets(nodes, turn, words, total, raw, found, result, also), "together") for turn in range(turns) for words in parts]
     if few:
         short = nodes.filter("few")
-        found += [materialise(together(short, turn, few, raw), "together") for turn in range(turns, turns * FEW_TURNS // TURNS)]
-    return materialise(reduce(DataFrame.union, found).distinct(), "shared")
+        rows += [materialise(in_buckets(short, turn, words, few, raw, found, result, also), "together") for turn in range(turns, turns * FEW_TURNS // TURNS) for words in parts]
+    return reduce(DataFrame.union, rows)
+
+
+def candidates(nodes: DataFrame) -> DataFrame:
+    """key, node, n: groups of nodes (node, wide, few) that share a key and are near each other, and their sizes; a group that several keys have once. nodes is a written table."""
+
+    def found(node: np.ndarray, check: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        for at in _members(near_groups(check)):
+            # a group is named by what nodes it has
+            name = _mixed(_mixed(node[at].view(np.uint64)).sum(keepdims=True)).view(np.int64)
+            yield np.repeat(name, at.size), node[at], np.full(at.size, at.size)
+
+    return materialise(over_turns(nodes, found, ("key", "node", "n")).distinct(), "shared")
+
+
+def hubs_of(near: DataFrame) -> DataFrame:
+    """node, hub of nodes (node, wide, few, n) that are near others: of the members of its groups that with the greatest n. near is a written table.
+
+    Buckets are met again, here and in left_open: only a row for each text is kept between, not one for each key of each text.
+    """
+
+    def found(node: np.ndarray, check: np.ndarray, more: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        for at in _members(near_groups(check)):
+            hub = at[np.lexsort((node[at], more[at, 0]))[-1]]
+            yield node[at], np.repeat(more[hub], at.size), np.repeat(node[hub], at.size)
+
+    met = over_turns(near, found, ("node", "n", "hub"), ("n",))
+    return met.groupBy("node").agg(F.max(F.struct("n", "hub")).alias("hub")).select("node", F.col("hub.hub").alias("hub"))
+
+
+def may_link(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether two texts with what KNOWN names (a row each) can be similar.
+
+    Sets of sizes p and q are similar if their difference is at most (p + q) / 9: it is delta + delta - 2 common for the
+    differences from one hub, p + q - 2 common for the sets.
+    """
+    at = {name: k for k, name in enumerate(KNOWN)}
+
+    def most(bits: str, excess: str, size: str) -> np.ndarray:
+        first = at[f"{bits}0"]
+        shared = sum(np.bitwise_count((x[:, k] & y[:, k]).view(np.uint64)).astype(np.int64) for k in range(first, first + DELTA_BITS // 64))
+        return np.minimum(shared + np.minimum(x[:, at[excess]], y[:, at[excess]]), np.minimum(x[:, at[size]], y[:, at[size]]))
+
+    p, q = x[:, at["size"]], y[:, at["size"]]
+    by_hub = 9 * (x[:, at["delta"]] + y[:, at["delta"]] - 2 * most("bits", "excess", "delta")) <= p + q
+    by_sets = 9 * most("own_bits", "own_excess", "size") >= 4 * (p + q)
+    return (10 * p >= 8 * q) & (10 * q >= 8 * p) & ((x[:, at["hub"]] != y[:, at["hub"]]) | by_hub) & by_sets
+
+
+def pairs_apart(node: np.ndarray, check: np.ndarray, more: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of a bucket's nodes that are near, of different components (root) and may link."""
+    root = more[:, KNOWN.index("root")]
+    if (root == root[0]).all():
+        return
+    for at in _members(near_groups(check)):
+        roots, n = np.unique(root[at], return_counts=True)
+        main = roots[n.argmax()]
+        # of each pair one is outside the largest component
+        rest = at[root[at] != main]
+        step = max(100_000 // at.size, 1)
+        for low in range(0, rest.size, step):
+            x = rest[low : low + step, None]
+            once = (root[x] != root[at]) & ((root[at] == main) | (node[x] < node[at]))
+            differ = sum(np.bitwise_count(check[x, k] ^ check[at, k]) for k in range(CHECK_PLANES))
+            i, j = np.nonzero(once & (differ <= CHECK_DISTANCE))
+            i, j = x[i, 0], at[j]
+            can = may_link(more[i], more[j])
+            i, j = i[can], j[can]
+            yield np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
+
+
+def left_open(near: DataFrame) -> DataFrame:
+    """Pairs a < b of nodes (node, wide, few, KNOWN) that share a bucket, are of different components and may link. near is a written table."""
+    return over_turns(near, pairs_apart, ("a", "b"), KNOWN).distinct()
 
 
 def with_sets(texts: DataFrame) -> DataFrame:
@@ -505,12 +575,9 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     """doc_id and component_id (the smallest doc_id reachable over similar texts) of each row of docs."""
     own = materialise(with_wide(docs), "wide")
     nodes = materialise(own.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.first("wide").alias("wide"), F.first("few").alias("few")), "nodes")
-    shared = candidates(nodes)
-    central = shared.groupBy("node").agg(F.sum("n").alias("n"))
-    ranked = materialise(shared.select("key", "node").join(central, "node"), "ranked")
-    hubs = ranked.groupBy("key").agg(F.max(F.struct("n", "node")).alias("hub"))
-    mine = ranked.select("key", "node").join(hubs, "key").groupBy("node").agg(F.max("hub").alias("hub")).select("node", F.col("hub.node").alias("hub"))
-    mine = materialise(mine, "hubs")
+    central = candidates(nodes).groupBy("node").agg(F.sum("n").alias("n"))
+    near = materialise(nodes.join(central, "node"), "near")
+    mine = materialise(hubs_of(near), "hubs")
     # the text of a node is that of its row with the least id: copies are not met again
     asked = mine.join(nodes.select("node", "least_id"), "node").select(F.col("node").alias("asked"), "least_id")
     asked = materialise(asked, "asked")
@@ -519,23 +586,11 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     sets = materialise(with_sets(texts).dropDuplicates(["node"]), "sets")
     met = materialise(compared(materialise(mine.select(F.col("node").alias("a"), F.col("hub").alias("b")), "pairs"), sets), "compared")
     found = materialise(_pairs(met.filter("similar"), "a", "b"), "similar")
-    parts = range(DELTA_BITS // 64)
-    bits = [F.col(name)[k].alias(f"{name}{k}") for name in ("bits", "own_bits") for k in parts]
+    bits = [F.col(name)[k].alias(f"{name}{k}") for name in ("bits", "own_bits") for k in range(DELTA_BITS // 64)]
     known = met.select(F.col("a").alias("node"), F.col("b").alias("hub"), "size", "delta", "excess", "own_excess", *bits)
-    left = _open(ranked.select("key", "node"), components(found)).join(known, "node")
-
-    def may_link(x: str, y: str) -> Column:
-        c = lambda side, name: F.col(f"{side}.{name}")
-        shared_bits = lambda name: reduce(Column.__add__, (F.bit_count(c(x, f"{name}{k}").bitwiseAND(c(y, f"{name}{k}"))) for k in parts))
-        most = lambda name, excess, size: F.least(shared_bits(name) + c(x, excess), shared_bits(name) + c(y, excess), c(x, size), c(y, size))
-        # sets of sizes p and q are similar if their difference is at most (p + q) / 9: it is delta + delta - 2 common for
-        # the differences from one hub, p + q - 2 common for the sets
-        by_hub = 9 * (c(x, "delta") + c(y, "delta") - 2 * most("bits", "excess", "delta")) <= c(x, "size") + c(y, "size")
-        by_sets = 9 * most("own_bits", "own_excess", "size") >= 4 * (c(x, "size") + c(y, "size"))
-        sized = (10 * c(x, "size") >= 8 * c(y, "size")) & (10 * c(y, "size") >= 8 * c(x, "size"))
-        return sized & ((c(x, "hub") != c(y, "hub")) | by_hub) & by_sets
-
-    more = materialise(_pairs(compared(materialise(_across(left, may_link), "across"), sets).filter("similar"), "a", "b"), "more")
+    rooted = near.select("node", "wide", "few").join(known, "node").join(components(found), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    across = materialise(left_open(materialise(rooted, "rooted")), "across")
+    more = materialise(_pairs(compared(across, sets).filter("similar"), "a", "b"), "more")
     labels = _labels(nodes.select("node", "least_id"), components(found.union(more).distinct()), "node")
     return spread_join(own.select("doc_id", "node"), labels, "node").select("doc_id", "component_id")
 

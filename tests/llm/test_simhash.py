@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import xxhash
@@ -278,3 +279,106 @@ def test_stage_candidates_come_from_golay_keys(documents):
         sizes.add((r["key"], r["n"]))
     assert sizes == {(k, len(g)) for k, g in groups.items()}
     assert sorted(tuple(sorted(g)) for g in groups.values()) == sorted(wanted) and len(wanted) >= 20
+
+
+def known_of(sets, hubs, roots):
+    """A row of KNOWN for each set."""
+    rows = []
+    for mine, hub, root in zip(sets, hubs, roots, strict=True):
+        delta = np.setxor1d(mine, sets[hub], assume_unique=True)
+        (bits, excess), (own, own_excess) = op.delta_bitmap(delta), op.delta_bitmap(mine)
+        rows.append([root, hub, mine.size, delta.size, excess, own_excess, *bits.tolist(), *own.tolist()])
+    return np.array(rows, np.int64)
+
+
+def families(rng, count):
+    """Sets of shingles: copies of a base with 5 to 49 of 300 changed, and unlike ones."""
+    base = np.array([rng.getrandbits(64) for _ in range(300)], np.uint64)
+    sets = []
+    for k in range(count):
+        new = rng.randrange(5, 50) if k % 5 else 300
+        kept = rng.sample(range(300), 300 - new)
+        sets.append(np.unique(np.concatenate([base[kept], np.array([rng.getrandbits(64) for _ in range(new)], np.uint64)])))
+    return sets
+
+
+def similarity(a, b):
+    both = np.intersect1d(a, b).size
+    return both / (a.size + b.size - both)
+
+
+def test_stage_bounds_lose_no_pair():
+    rng = random.Random(19)
+    sets = families(rng, 60)
+    known = known_of(sets, [rng.randrange(3) for _ in sets], range(60))
+    i, j = np.nonzero(np.ones((60, 60)))
+    can = op.may_link(known[i], known[j])
+    similar = np.array([similarity(sets[a], sets[b]) >= 0.8 for a, b in zip(i, j, strict=True)])
+    assert can[similar].all() and 200 < similar.sum() and can[~similar].mean() < 0.5
+
+
+def test_stage_pairs_left_open_by_a_bucket():
+    """All pairs of different components that are near and may link, once each, whichever component is the largest."""
+    rng = random.Random(20)
+    sets = families(rng, 60)
+    node = np.array(rng.sample(range(-1000, 1000), 60))
+    check = np.array([op.wide_fingerprint(s)[: op.CHECK_PLANES] for s in sets])
+    for roots in ([k % 4 for k in range(60)], [0] * 50 + [1] * 10, list(range(60)), [7] * 60):
+        known = known_of(sets, [k % 2 for k in range(60)], roots)
+        found = [p for a, b in op.pairs_apart(node, check, known) for p in zip(a.tolist(), b.tolist(), strict=True)]
+        wanted = set()
+        for a in range(60):
+            for b in range(60):
+                if node[a] < node[b] and roots[a] != roots[b] and np.bitwise_count(check[a] ^ check[b]).sum() <= op.CHECK_DISTANCE and op.may_link(known[[a]], known[[b]])[0]:
+                    wanted.add((int(node[a]), int(node[b])))
+        assert sorted(found) == sorted(wanted)
+        missed = {(a, b) for a in range(60) for b in range(60) if node[a] < node[b] and roots[a] != roots[b] and similarity(sets[a], sets[b]) >= 0.8} - {(a, b) for a in range(60) for b in range(60) if (node[a], node[b]) in wanted}
+        assert not missed
+
+
+def test_stage_joins_a_row_for_each_text(documents, monkeypatch):
+    """Of a large group of near copies that hubs leave open a text has one row in what is joined, not one for each key."""
+    rng = random.Random(21)
+    base = [f"w{k}" for k in range(200)]
+    texts = []
+    for _ in range(80):
+        words = list(base)
+        for _ in range(rng.randrange(2, 9)):
+            words[rng.randrange(200)] = f"x{rng.getrandbits(30)}"
+        texts.append(" ".join(words))
+    written, write = [], op.materialise
+
+    def counted(df, label):
+        done = write(df, label)
+        written.append((label, done.count()))
+        return done
+
+    monkeypatch.setattr(op, "materialise", counted)
+    rows = {r["doc_id"]: r["component_id"] for r in op.similar_groups(documents(texts)).collect()}
+    root = {k: k for k in rows}
+    for a in rows:
+        for b in rows:
+            if a < b and jaccard(texts[a], texts[b]) >= 0.8 and root[a] != root[b]:
+                low, high = sorted((root[a], root[b]))
+                root = {k: low if r == high else r for k, r in root.items()}
+    assert rows == root
+    most = {label: n for label, n in sorted(written, key=lambda x: x[1])}
+    assert most["shared"] > 5 * len(texts) and most["across"] > 0
+    assert {label for label, n in most.items() if n > 2 * len(texts)} <= {"together", "shared"}, most
+
+
+def shuffled_bytes(spark):
+    """Of the files of each shuffle that are there."""
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    files = [files.apply(k) for k in range(files.size())]
+    return {f.getName(): f.length() for f in files if f.getName().startswith("shuffle_") and f.getName().endswith(".data")}
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, setting = shuffled_bytes(spark), spark.conf.get(name, "false")
+    table = materialise(spark.range(100_000).select("id", F.xxhash64("id").alias("x")).repartition(4, "x"), "dealt")
+    end = time.time() + 20
+    while (left := sum(n for f, n in shuffled_bytes(spark).items() if f not in before)) and time.time() < end:
+        time.sleep(0.2)
+    assert left == 0 and table.count() == 100_000 and spark.conf.get(name, "false") == setting
