@@ -269,6 +269,63 @@ def test_segments_of_an_annotation(spark):
     assert sorted((r["start"], r["end"], r["low"], r["high"], r["strand"]) for r in got.collect()) == [(10, 14, "a", "a", "+"), (15, 20, "a", "b", "+"), (21, 30, "b", "b", "+"), (31, 45, "a", "a", "+"), (100, 100, "c", "c", "-")]
 
 
+ALN, EXON = "aln_id long, chrom string, start long, end long, strand string, nh int", "gene_id string, chrom string, start long, end long, strand string"
+
+
+def joined_rows(spark, run):
+    """Rows that the joins of run() put out."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = {store.executionsList().apply(k).executionId() for k in range(store.executionsList().size())}
+    run()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    total, done = 0, store.executionsList()
+    for x in {done.apply(k).executionId() for k in range(done.size())} - before:
+        nodes, values = store.planGraph(x).allNodes(), store.executionMetrics(x)
+        for node in (nodes.apply(k) for k in range(nodes.size())):
+            for m in (node.metrics().apply(k) for k in range(node.metrics().size()) if "Join" in node.name()):
+                if m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                    total += int(values.apply(m.accumulatorId()).replace(",", ""))
+    return total
+
+
+@pytest.mark.parametrize("genes", [6, 600])
+def test_deep_annotation_makes_no_pairs(spark, genes):
+    rng = random.Random(12)
+    exon = [(f"g{k % genes}", "x", s := rng.randrange(3000), s + 900 + rng.randrange(100), "+") for k in range(600)]
+    got = []
+    made = joined_rows(spark, lambda: got.extend(annotate.segments(frame(spark, exon, EXON)).collect()))
+    assert 0 < made < 40 * len(exon)  # of pairs there are some 150,000
+    at = {p: (r["low"], r["high"]) for r in got for p in range(r["start"], r["end"] + 1)}
+    assert len(at) == sum(r["end"] - r["start"] + 1 for r in got)
+    for p in range(4100):
+        held = [e[0] for e in exon if e[2] <= p <= e[3]]
+        assert at.get(p) == ((min(held), max(held)) if held else None)
+
+
+def test_short_alignments_are_not_shuffled(spark):
+    exon = frame(spark, [("a", "x", 10, 20, "+"), ("b", "x", 15, 30, "+")], EXON)
+    aln = frame(spark, [(1, "x", 5, 12, "+", 1), (2, "x", 18, 19, "+", 1), (3, "x", 31, 40, "+", 1)], ALN)
+    got = annotate.annotate(aln, exon)
+    assert {r["aln_id"]: (r["xt"], r["xs"]) for r in got.collect()} == {1: ("a", None), 2: (None, "Unassigned_Ambiguity"), 3: (None, None)}
+    assert "Exchange hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("small", [0, 100_000])
+def test_exons_then_introns_equal_the_nested_loop(spark, small, monkeypatch):
+    monkeypatch.setattr(annotate, "SMALL", small)
+    rng = random.Random(13)
+    aln = [(k, rng.choice("xy"), s := rng.randrange(30_000), s + rng.randrange(rng.choice([1, 90, 9000])), rng.choice("+-"), 1 + (k % 7 == 0)) for k in range(300)] + [(300, None, None, None, "+", 1), (301, "x", 5, 900, None, None)]
+    whole = [(f"g{k}", rng.choice("xy"), s := rng.randrange(30_000), s + 300 + rng.randrange(3000), rng.choice("+-")) for k in range(25)]
+    exon = [(g, c, p := s + rng.randrange(e - s - 60), p + rng.randrange(60), side) for g, c, s, e, side in whole for _ in range(3)]
+    hit = lambda a, table: {x[0] for x in table if a[1] == x[1] and a[4] == x[4] and a[2] <= x[3] and a[3] >= x[2]} if a[1] and (a[5] or 1) == 1 else set()
+    got = annotate.annotate(frame(spark, aln, ALN), frame(spark, exon, EXON), introns=frame(spark, whole, EXON)).collect()
+    assert sorted(r["aln_id"] for r in got) == list(range(302))
+    for r in got:
+        genes = hit(aln[r["aln_id"]], exon) or hit(aln[r["aln_id"]], whole)
+        assert (r["xt"], r["xs"]) == (next(iter(genes)) if len(genes) == 1 else None, "Unassigned_Ambiguity" if len(genes) > 1 else None)
+
+
 def test_sums_below_by_ranges(spark):
     rng = random.Random(10)
     rows = sorted({(rng.choice("ab"), round(float(rng.choice([rng.random(), rng.randrange(5)])), 3)) for _ in range(500)})
